@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryflow.llm import mixing, packing
+from quarryflow.llm import minhash, mixing, packing, quality, secrets
 from quarryflow.llm.common import read_table
 
 
@@ -15,6 +15,19 @@ def word_bpe_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = minhash.group_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text"), k=2, percent=80)
+    return groups.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(read_table(spark, sf_dir, "documents")))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(read_table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", mixing.words_taken().alias("taken"))
@@ -26,6 +39,9 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_minhash_near_dedup": op1_minhash_near_dedup,
+        "op3_secret_scan": op3_secret_scan,
+        "op4_quality_classifier": op4_quality_classifier,
         "op5_mix_sources": op5_mix_sources,
         "op8_best_fit_packing": op8_best_fit_packing,
     }
