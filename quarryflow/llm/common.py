@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -29,13 +30,16 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet under the shared scratch folder and read it back.
 
     Later stages then start from files that outlive any executor, read only the columns they use, and never repeat
-    the work before. The files go when the session ends.
+    the work before. The files go when the session ends. The collection afterwards lets Spark's cleaner remove the
+    shuffle files of the finished part, which nothing refers to any more.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/quarryflow/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    gc.collect()
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryflow.llm import minhash, mixing, packing, quality, secrets
+from quarryflow.llm import minhash, mixing, packing, quality, secrets, substrings
 from quarryflow.llm.common import read_table
 
 
@@ -37,6 +37,11 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), word_bpe_path())
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.drop_repeated_passages(read_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
@@ -44,6 +49,7 @@ def queries() -> dict:
         "op4_quality_classifier": op4_quality_classifier,
         "op5_mix_sources": op5_mix_sources,
         "op8_best_fit_packing": op8_best_fit_packing,
+        "op10_substring_dedup": op10_substring_dedup,
     }
 
 
