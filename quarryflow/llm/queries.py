@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryflow.llm import minhash, mixing, packing, quality, secrets, substrings
+from quarryflow.llm import fingerprints, minhash, mixing, packing, quality, secrets, substrings
 from quarryflow.llm.common import read_table
 
 
@@ -33,6 +33,10 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", mixing.words_taken().alias("taken"))
 
 
+def op7_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), word_bpe_path())
 
@@ -48,6 +52,7 @@ def queries() -> dict:
         "op3_secret_scan": op3_secret_scan,
         "op4_quality_classifier": op4_quality_classifier,
         "op5_mix_sources": op5_mix_sources,
+        "op7_edit_fingerprints": op7_edit_fingerprints,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op10_substring_dedup": op10_substring_dedup,
     }
