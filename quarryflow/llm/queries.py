@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryflow.llm import fingerprints, minhash, mixing, packing, quality, secrets, substrings
+from quarryflow.llm import fingerprints, licenses, minhash, mixing, neighbours, packing, quality, secrets, substrings
 from quarryflow.llm.common import read_table
 
 
@@ -20,6 +20,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan(read_table(spark, sf_dir, "documents")))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(read_table(spark, sf_dir, "documents")))
 
@@ -41,6 +45,10 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), word_bpe_path())
 
 
+def op9_adaptive_scan_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_neighbours(read_table(spark, sf_dir, "embeddings"), F.coalesce(F.col("vec_id") % 100 == 0, F.lit(False)))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substrings.drop_repeated_passages(read_table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -49,14 +57,16 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
+        "op2_license_scan": op2_license_scan,
         "op3_secret_scan": op3_secret_scan,
         "op4_quality_classifier": op4_quality_classifier,
         "op5_mix_sources": op5_mix_sources,
         "op7_edit_fingerprints": op7_edit_fingerprints,
         "op8_best_fit_packing": op8_best_fit_packing,
+        "op9_adaptive_scan_ann": op9_adaptive_scan_ann,
         "op10_substring_dedup": op10_substring_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_license_scan": licenses.oracle_sql()}

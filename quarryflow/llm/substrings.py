@@ -143,7 +143,7 @@ def locate(frame: pd.DataFrame) -> pd.DataFrame:
         for anchor, sid, ids in zip(frame["anchor"], frame["sid"], texts, strict=True):
             if hits := list(automaton.iter(ids)):
                 rows.append((anchor, sid, [end - WINDOW + 1 for end, _ in hits], [least for _, least in hits]))
-    return pd.DataFrame(rows, columns=["anchor", "sid", "at", "least"])
+    return pd.DataFrame(rows, columns=["anchor", "sid", "at", "least"], dtype=object)
 
 
 def repeated_windows(rows: DataFrame) -> DataFrame:
