@@ -10,10 +10,12 @@ their own; an empty table gives no rows; other columns of the input are ignored,
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -26,15 +28,18 @@ from quarryflow.llm.common import keep
 CAPACITY = 2048
 #: Pieces a lot, on average.
 LOT = 8192
-#: Chunks that a Python worker remembers with their ids.
-REMEMBERED = 400_000
+#: Chunks, and lower-case words, that a Python worker remembers with their ids.
+REMEMBERED = 500_000
+#: Latin words, whose lower case is the same by all rules, with at most one mark behind.
+PLAIN = re.compile(r"^([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+)([.,]?)$", re.M)
 
 
 class ChunkTokenizer:
-    """Token ids of whole texts, remembered by blank-separated chunk.
+    """Token ids of whole texts, remembered by blank-separated chunk and by lower-case word.
 
-    The vocabulary drops white space and never joins across it, so a text's ids are its chunks' ids in order. Chunks
-    of letters alone are one pre-token; many of them are encoded in one call and told apart by the end-of-word mark.
+    The vocabulary drops white space and case and never joins across blanks, so a text's ids are its chunks' ids in
+    order. A word of letters alone is one pre-token; many of them are encoded in one string and told apart by the
+    end-of-word mark. Everything else is encoded chunk by chunk.
     """
 
     def __init__(self, path: str, closing_id: int = 0):
@@ -45,51 +50,50 @@ class ChunkTokenizer:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.closing = np.array([closing_id], "<u4").tobytes()
+        self.tails = {"": b""} | dict(zip(".,", self._each([".", ","]), strict=True))
         self.known: dict[str, bytes] = {}
+        self.again: set[str] = set()
+        self.words: dict[str, bytes] = {}
 
     def learn(self, chunks: set[str]) -> None:
-        if len(self.known) + len(chunks) > REMEMBERED:
-            self.known = {}
-        cores: dict[str, list[tuple[str, str]]] = {}
-        odd = []
-        for chunk in chunks:
-            core, tail = (chunk[:-1], chunk[-1]) if chunk[-1:] in (".", ",") else (chunk, "")
-            if core.isalpha():
-                cores.setdefault(core, []).append((chunk, tail))
-            else:
-                odd.append(chunk)
-        for lot, many in ((odd, self._each(odd)), (list(cores), self._letters(list(cores)))):
-            for chunk, ids in zip(lot, many, strict=True):
-                if lot is odd:
-                    self.known[chunk] = ids
-                for whole, tail in cores.get(chunk, ()) if lot is not odd else ():
-                    self.known[whole] = ids + self._mark(tail) if tail else ids
+        found = PLAIN.findall("\n".join(chunks))
+        if found:
+            words, tails = zip(*found, strict=True)
+            lower = "\n".join(words).lower().split("\n")
+            new = set(lower).difference(self.words)
+            if len(self.words) + len(new) > REMEMBERED:
+                self.words, new = {}, set(lower)
+            listed = list(new)
+            self.words.update(zip(listed, self._words(listed), strict=True))
+            ids = map(add, map(self.words.__getitem__, lower), map(self.tails.__getitem__, tails))
+            self.known.update(zip(map(add, words, tails), ids, strict=True))
+            chunks = chunks.difference(map(add, words, tails))
+        odd = list(chunks)
+        self.known.update(zip(odd, self._each(odd), strict=True))
 
     def _each(self, chunks: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.encoder.encode_batch_fast(chunks, add_special_tokens=False)]
 
-    def _letters(self, cores: list[str]) -> list[bytes]:
-        if not cores:
-            return []
-        ids = np.array(self.encoder.encode(" ".join(cores), add_special_tokens=False).ids, "<u4")
+    def _words(self, words: list[str], together: int = 50) -> list[bytes]:
+        lots = [" ".join(words[i : i + together]) for i in range(0, len(words), together)]
+        ids = np.array([i for e in self.encoder.encode_batch_fast(lots, add_special_tokens=False) for i in e.ids], "<u4")
         stops = np.flatnonzero(self.ends[ids]) + 1
-        if len(stops) != len(cores):
-            return self._each(cores)
+        if len(stops) != len(words):
+            return self._each(words)
         raw, at = ids.tobytes(), [0, *(stops * 4).tolist()]
         return [raw[a:b] for a, b in zip(at, at[1:])]
 
-    @lru_cache(8)  # noqa: B019
-    def _mark(self, tail: str) -> bytes:
-        return self._each([tail])[0]
-
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, closed by the closing id."""
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*split).difference(self.known)
-        if new:
-            if len(self.known) + len(new) > REMEMBERED:  # learn() then forgets the rest
-                new = set().union(*split)
-            self.learn(new)
+        seen = set().union(*split)
+        new = seen.difference(self.known)
+        if len(self.known) + len(new) > REMEMBERED:  # keep what came more than once
+            stay = self.again | (seen - new)
+            self.known = {c: self.known[c] for c in stay} if 2 * len(stay) < REMEMBERED else {c: self.known[c] for c in seen - new}
+            self.again = set()
+        self.again |= seen - new
+        self.learn(new)
         get = self.known.__getitem__
         return [b"".join(map(get, chunks)) + self.closing for chunks in split]
 
@@ -122,7 +126,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
                         rows.append((piece, start // 4, len(cut_out) // 4, zlib.crc32(cut_out), row))
                         if ids:
                             raws.append(np.frombuffer(cut_out, "<u4").astype(np.int32))
-                columns = [pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), fields)]
+                columns = [pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=False)]
                 columns += [pa.array(raws, pa.list_(pa.int32()))] if ids else []
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(which)), *columns], names=["doc_id", *(n for n, _ in fields)])
 
