@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarryflow.llm.common import keep
@@ -42,11 +42,17 @@ def components(edges: DataFrame) -> DataFrame:
     return roots if roots is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def linked_within_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: Callable[[str, str], F.Column] | None = None) -> DataFrame:
+def crowds(members: DataFrame) -> DataFrame:
+    """The members (bucket, node, size) of buckets with several nodes, with the bucket's count n; kept."""
+    counts = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    return keep(members.join(counts, "bucket").select("bucket", "node", "size", "n"), "crowds")
+
+
+def linked_within_buckets(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: Callable[[str, str], Column] | None = None) -> DataFrame:
     """(node, root) of the components that verified links between members of common buckets make.
 
-    members: (bucket, node, size), kept. verify: takes pairs (a, b) and returns those that are links. fits: a cheap
-    necessary condition on the columns of two sizes.
+    shared: (bucket, node, size), kept, as crowds() gives. verify: takes pairs (a, b) and returns those that are links.
+    fits: a cheap necessary condition on the columns of two sizes.
 
     First each member of a bucket is compared with the smallest one, then with one chosen by hash; most groups are
     whole by then. At last, in buckets that still hold several components, the members outside the bucket's most
@@ -68,9 +74,9 @@ def linked_within_buckets(members: DataFrame, verify: Callable[[DataFrame], Data
             every = every.union(more)
         return components(every)
 
-    shared = members.groupBy("bucket").agg(F.count("*").alias("_n"), F.min(F.struct("node", "size")).alias("pivot")).where("_n > 1").drop("_n")
-    shared = keep(members.join(shared, "bucket"), "shared")
-    roots = grown(shared.where("node <> pivot.node").where(fits("size", "pivot.size")).select(F.col("node").alias("a"), F.col("pivot.node").alias("b")))
+    pivots = shared.groupBy("bucket").agg(F.min("node").alias("pivot"), F.min_by("size", "node").alias("pivot_size"))
+    first = shared.join(pivots, "bucket").where("node <> pivot").where(fits("size", "pivot_size"))
+    roots = grown(first.select(F.col("node").alias("a"), F.col("pivot").alias("b")))
 
     for full in (False, True):
         named = shared.select("bucket", "node", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -5,7 +5,9 @@ A sketch has t coordinates. Round i < t throws each element into one random bin
 end when every bin is full, so a long document needs one or two rounds and a short one still fills all coordinates. A
 coordinate of two sets agrees with probability equal to their Jaccard similarity, and the share of agreeing coordinates
 is concentrated around it. 32 bands of 4 coordinates bring a pair of similarity 0.8 together but for a chance of 5 in
-100 million. Pairs from bands are confirmed on the full shingle sets.
+100 million. Bands that more than CROWD documents share mostly come from a passage in otherwise different texts; their
+documents are banded anew by REFINED random choices of 12 coordinates, which such texts rarely share, while a pair of
+similarity 0.8 misses all of them with a chance of 2 in 10 million. Pairs from bands are confirmed on the full sets.
 
 Documents with equal words are one class from the start, so copies, however many, are one node. Links within a bucket
 are found as components.linked_within_buckets says.
@@ -18,7 +20,7 @@ copies of each other; an empty table gives no rows; other columns are untouched
 from __future__ import annotations
 
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -29,14 +31,18 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from quarryflow.llm.common import keep, text_bytes
-from quarryflow.llm.components import linked_within_buckets
+from quarryflow.llm.components import crowds, linked_within_buckets
 
 BANDS, ROWS = 32, 4
 COORDINATES = BANDS * ROWS
+#: A band shared by more documents is refined.
+CROWD = 16
+REFINED, REFINED_ROWS = 220, 12
 _BITS = COORDINATES.bit_length() - 1
 _U = np.uint64
 _SEEDS = np.random.default_rng(1).integers(1, 2**63, 2 * COORDINATES, dtype=np.uint64)
 _BAND_SEEDS = np.random.default_rng(2).integers(1, 2**63, BANDS, dtype=np.uint64)
+_CHOICES = np.stack([np.random.default_rng([3, i]).choice(COORDINATES, REFINED_ROWS, replace=False) for i in range(REFINED)])
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -82,29 +88,54 @@ def sketch(elements: np.ndarray) -> np.ndarray:
     return filled
 
 
-def bands_of(filled: np.ndarray) -> np.ndarray:
-    total = _BAND_SEEDS.copy()
-    for column in filled.reshape(BANDS, ROWS).T:
-        total = mixed(total ^ column)
+def folded(filled: np.ndarray) -> bytes:
+    """Two bytes of each coordinate; unequal ones agree there with a chance of 1 in 65,536."""
+    return mixed(filled).astype("<u2").tobytes()
+
+
+def band_keys(sketches: np.ndarray) -> np.ndarray:
+    """(documents, COORDINATES) folded sketches to (documents, BANDS) keys."""
+    return mixed(np.ascontiguousarray(sketches).view(np.uint64) ^ _BAND_SEEDS).view(np.int64)
+
+
+def refined_keys(sketches: np.ndarray) -> np.ndarray:
+    """(documents, REFINED) keys of 12 coordinates each."""
+    total = np.arange(REFINED, dtype=np.uint64)[None, :] + _U(1)
+    for column in _CHOICES.T:
+        total = mixed(total * _U(0x9E3779B97F4A7C15) + sketches[:, column])
     return total.view(np.int64)
 
 
 def signature(text: Column, k: int) -> Column:
-    """struct<n_shingles, words (digest of the word sequence), bands>; bands is null without shingles."""
+    """struct<n_shingles, words (digest of the word sequence), sketch>; sketch is null without shingles."""
 
-    @F.pandas_udf("n_shingles long, words binary, bands array<long>")
+    @F.pandas_udf("n_shingles long, words binary, sketch binary")
     def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             rows = []
             for text in texts:
                 words = shingle_words(text)
                 found = shingle_hashes(words, k) if words else ()
-                rows.append((len(found), blake2b(b" ".join(words), digest_size=16).digest(), bands_of(sketch(found)) if len(found) else None))
-            yield pd.DataFrame(rows, columns=["n_shingles", "words", "bands"])
+                rows.append((len(found), blake2b(b" ".join(words), digest_size=16).digest(), folded(sketch(found)) if len(found) else None))
+            yield pd.DataFrame(rows, columns=["n_shingles", "words", "sketch"])
 
     return sign(text)
 
 
+def banded(classes: DataFrame, keys: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(bucket, node, size): one row for each key of each class's sketch. classes: (row, size, sketch)."""
+
+    def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                buckets = keys(np.frombuffer(b"".join(part.column("sketch").to_pylist()), "<u2").reshape(-1, COORDINATES))
+                node, size = (np.repeat(part.column(c).to_numpy(), buckets.shape[1]) for c in ("row", "size"))
+                yield pa.RecordBatch.from_arrays([pa.array(buckets.ravel()), pa.array(node), pa.array(size)], names=["bucket", "node", "size"])
+
+    return classes.select("row", "size", "sketch").mapInArrow(band, "bucket long, node long, size long")
+
+
 def similar_pairs(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union on full sets. texts: (row, text)."""
     of = lambda c: texts.select(F.col("row").alias(c), F.col("text").alias(f"text_{c}"))
@@ -136,23 +167,25 @@ def group_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """
     own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.monotonically_increasing_id().alias("row"))
     rows = own.select("doc", "row", signature(F.col("doc.text"), k).alias("s"))
-    rows = keep(rows.select("doc", "row", F.col("doc.doc_id").alias("doc_id"), "s.n_shingles", "s.words", "s.bands"), "signed")
+    rows = keep(rows.select("doc", "row", F.col("doc.doc_id").alias("doc_id"), "s.n_shingles", "s.words", "s.sketch"), "signed")
 
     linkable = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = linkable.groupBy("words").agg(F.min(F.struct("doc_id", "row")).alias("least"), F.first("bands").alias("bands"), F.first("n_shingles").alias("size"))
-    classes = keep(classes.select("words", F.col("least.doc_id").alias("doc_id"), F.col("least.row").alias("row"), "bands", "size"), "classes")
-    members = keep(classes.select(F.explode("bands").alias("bucket"), F.col("row").alias("node"), "size"), "bands")
-
-    crowded = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    wanted = members.join(crowded, "bucket", "left_semi").select(F.col("node").alias("row")).distinct()
+    classes = linkable.groupBy("words").agg(F.min(F.struct("doc_id", "row")).alias("least"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("size"))
+    classes = keep(classes.select("words", F.col("least.doc_id").alias("doc_id"), F.col("least.row").alias("row"), "sketch", "size"), "classes")
+
+    shared = crowds(keep(banded(classes, band_keys), "bands"))
+    in_crowd = shared.where(F.col("n") > CROWD).select(F.col("node").alias("row")).distinct()
+    refined = crowds(banded(classes.join(in_crowd, "row", "left_semi"), refined_keys))
+    shared = shared.where(F.col("n") <= CROWD).union(refined)
+    wanted = shared.select(F.col("node").alias("row")).distinct()
     texts = keep(rows.select("row", F.col("doc.text").alias("text")).join(wanted, "row", "left_semi"), "texts")
 
-    roots = linked_within_buckets(members, lambda pairs: similar_pairs(pairs, texts, k, percent), lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b))
+    roots = linked_within_buckets(shared, lambda pairs: similar_pairs(pairs, texts, k, percent), lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b))
     named = classes.select("words", "doc_id", "row").join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
     least = named.groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("least"))
     groups = keep(named.join(least, "root").select("words", F.col("least.doc_id").alias("component_id"), F.col("least.row").alias("_first")), "groups")
 
-    linked = rows.drop("bands").withColumn("_words", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("words")))
+    linked = rows.drop("sketch").withColumn("_words", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("words")))
     out = linked.join(groups.withColumnRenamed("words", "_words"), "_words", "left")
     return out.select("doc", "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), (F.coalesce("_first", "row") == F.col("row")).alias("first"))
 
