@@ -64,29 +64,39 @@ def anchors(words: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.nd
 
 
 def read_words(docs: DataFrame) -> DataFrame:
-    """One row a document: doc_id, row, n_words, words (digest), packed (compressed words), anchors (distinct)."""
+    """One row a document: doc_id, row, n_words, words (digest), packed (compressed words)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = _zstd()[0].compress
         for batch in batches:
-            counts, digests, packed, found = [], [], [], []
+            counts, digests, packed = [], [], []
             for text in batch.column("text"):
                 words = words_of(text.as_py())
                 whole = b" ".join(words)
                 counts.append(len(words))
                 digests.append(blake2b(whole, digest_size=16).digest())
                 packed.append(pack(whole))
-                found.append(np.unique(anchors(words)[2]) if len(words) >= WINDOW else np.zeros(0, np.int64))
-            offsets = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*found, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("row"), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(packed, pa.binary()), lists],
-                names=["doc_id", "row", "n_words", "words", "packed", "anchors"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(packed, pa.binary())], names=["doc_id", "row", "n_words", "words", "packed"])
 
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
-    return rows.mapInArrow(read, f"doc_id {kind}, row long, n_words long, words binary, packed binary, anchors array<long>")
+    return rows.mapInArrow(read, f"doc_id {kind}, row long, n_words long, words binary, packed binary")
+
+
+def distinct_anchors(rows: DataFrame) -> DataFrame:
+    """From (doc_id, row, packed): one row for each distinct anchor of each document: doc_id, row, anchor."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = _zstd()[1].decompress
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                found = [np.unique(anchors(unpack(packed.as_py()).split())[2]) for packed in part.column("packed")]
+                which = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(which), part.column("row").take(which), pa.array(np.concatenate(found))], names=["doc_id", "row", "anchor"])
+
+    return rows.select("doc_id", "row", "packed").mapInArrow(find, f"doc_id {kind}, row long, anchor long")
 
 
 def cut_stretches(rows: DataFrame) -> DataFrame:
@@ -147,9 +157,9 @@ def locate(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def repeated_windows(rows: DataFrame) -> DataFrame:
-    """(row, starts): for the representatives, where windows start that a smaller doc_id has. rows: of read_words, kept, one a class."""
+    """(row, starts): where windows start that a smaller doc_id has. rows: (doc_id, row, packed), texts that all differ."""
     kind = rows.schema["doc_id"].dataType.simpleString()
-    every = rows.select("row", "doc_id", F.explode("anchors").alias("anchor"))
+    every = keep(distinct_anchors(rows), "every_anchor")
     recurring = keep(every.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor"), "anchors")
     wanted = every.select("row", "anchor").join(recurring, "anchor", "left_semi").groupBy("row").agg(F.collect_list("anchor").alias("recurring"))
     places = keep(cut_stretches(rows.select("row", "doc_id", "packed").join(wanted, "row")), "places")
@@ -181,8 +191,7 @@ def drop_repeated_passages(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     classes = rows.where("doc_id IS NOT NULL").where(F.col("n_words") >= WINDOW).groupBy("words").agg(F.min(F.struct("doc_id", "row")).alias("first"))
     classes = keep(classes.select("words", F.col("first.doc_id").alias("_doc_id"), F.col("first.row").alias("_row")), "classes")
-    one_each = keep(rows.join(classes.select("_row"), F.col("row") == F.col("_row"), "left_semi"), "representatives")
-    starts = repeated_windows(one_each)
+    starts = repeated_windows(rows.join(classes, F.col("row") == F.col("_row"), "left_semi").select("doc_id", "row", "packed"))
     named = keep(classes.join(starts, F.col("_row") == F.col("row"), "left").select("words", "_doc_id", "starts"), "starts")
     whole = rows.select("doc_id", "packed", F.when(F.col("doc_id").isNotNull() & (F.col("n_words") >= WINDOW), F.col("words")).alias("words")).join(named, "words", "left")
     whole = whole.select("doc_id", "packed", "starts", F.coalesce(F.col("doc_id") > F.col("_doc_id"), F.lit(False)).alias("copy"))
