@@ -14,7 +14,9 @@ where asked for and never clash, since the operator's own columns are checked ag
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 
 from quarryflow.llm.common import WORD, keep, small
 
+_WORD = re.compile(WORD)
 WEIGHTS = (1, 2, 3)
 MOST = 3
 #: Documents a block, on average.
@@ -147,6 +150,12 @@ def words_taken(draws: str = "draws") -> F.Column:
     return F.aggregate(draws, F.lit(0).cast("long"), lambda total, t: total + t["words"])
 
 
+def first_words(texts: pd.Series, counts: pd.Series) -> pd.Series:
+    """Each text up to the end of so many words; null stays null."""
+    ends = [None if text is None else next(islice(_WORD.finditer(text), int(n) - 1, None)).end() for text, n in zip(texts, counts, strict=True)]
+    return pd.Series([text if end is None else text[:end] for text, end in zip(texts, ends, strict=True)], dtype=object)
+
+
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: one row a draw, with the document's columns, copy, words, shard and place.
 
@@ -155,8 +164,9 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     carry = [c for c in docs.columns if c not in ("doc_id", "source")]
     plan = mix_plan(docs, carry=carry, **options)
     rows = plan.select("doc_id", "source", *carry, "size", F.explode("draws").alias("_draw"))
-    first_words = F.regexp_extract(F.col("text"), F.concat(F.lit(r"^[\x20\x09-\x0D]*(?:" + WORD + r"[\x20\x09-\x0D]+){"), (F.col("_draw.words") - 1).cast("string"), F.lit("}" + WORD)), 0)
-    rows = rows.withColumn("text", F.when(F.col("_draw.words") < F.col("size"), first_words).otherwise(F.col("text")))
+    whole = F.col("_draw.words") >= F.col("size")
+    cut = F.pandas_udf(first_words, "string")(F.when(~whole, F.col("text")), F.col("_draw.words"))
+    rows = rows.withColumn("text", F.when(whole, F.col("text")).otherwise(cut))
     return rows.select(*docs.columns, *(F.col(f"_draw.{c}").alias(f"mix_{c}") for c in ("copy", "words", "shard", "place")))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryflow.llm import fingerprints, licenses, minhash, mixing, neighbours, packing, quality, secrets, substrings
+from quarryflow.llm import fingerprints, licenses, lines, minhash, mixing, neighbours, packing, quality, secrets, substrings
 from quarryflow.llm.common import read_table
 
 
@@ -37,6 +37,11 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", mixing.words_taken().alias("taken"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc.doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op7_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(read_table(spark, sf_dir, "documents"))
 
@@ -61,6 +66,7 @@ def queries() -> dict:
         "op3_secret_scan": op3_secret_scan,
         "op4_quality_classifier": op4_quality_classifier,
         "op5_mix_sources": op5_mix_sources,
+        "op6_line_dedup": op6_line_dedup,
         "op7_edit_fingerprints": op7_edit_fingerprints,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_adaptive_scan_ann": op9_adaptive_scan_ann,
