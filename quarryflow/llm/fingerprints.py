@@ -28,14 +28,14 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from quarryflow.llm.common import keep, small
-from quarryflow.llm.components import linked_within_buckets
+from quarryflow.llm.components import crowds, linked_within_buckets
 
 SEGMENT = 2048
 STEPS = 3 * SEGMENT
 #: Steps of a walk, and how many samples are taken of them.
 STRATA = ((0, 96, 16), (96, 384, 16), (384, 1536, 24), (1536, STEPS, 40))
 SAMPLES = sum(n for _, _, n in STRATA)
-BANDS, BAND_SAMPLES = 10, 5
+BANDS, BAND_SAMPLES = 8, 7
 #: Documents in one range of doc_ids, on average, and the most ranges.
 RANGE, RANGES = 1024, 8192
 
@@ -46,8 +46,20 @@ _AT = np.concatenate([np.sort(_random.choice(np.arange(a, b), n, replace=False))
 _WEIGHT = np.concatenate([np.full(n, (b - a) / n) for a, b, n in STRATA])
 _DIGIT = _random.choice(np.frombuffer(b"0123456789abcdef", np.uint8), (SAMPLES, 256))
 _DIGIT[:, 0] = ord("-")
-#: Each band's samples; the first ones lie early in the walk, so that short texts have some.
-_BAND = [np.sort(_random.choice(16 if b < 4 else 56 if b < 7 else SAMPLES, BAND_SAMPLES, replace=False)) for b in range(BANDS)]
+
+
+@lru_cache(32)
+def band_samples(size_class: int) -> list[np.ndarray]:
+    """The bands of a walk over about 2 ** (size_class / 2) characters, drawn from what lies past its start.
+
+    Texts often begin alike; samples from the middle tell more.
+    """
+    size = 2 ** (size_class / 2)
+    eligible = np.flatnonzero((_AT >= size / 4) & (_AT < 1.6 * size))
+    if len(eligible) < 5:
+        return []
+    pick = np.random.default_rng([7, size_class])
+    return [np.sort(pick.choice(eligible, min(BAND_SAMPLES, len(eligible)), replace=False)) for _ in range(BANDS)]
 
 
 @lru_cache(1)
@@ -100,14 +112,13 @@ def likeness(one: bytes, two: bytes) -> float:
     return float((weight * (a == b)).sum() / weight.sum())
 
 
-def band_keys(fingerprint: bytes) -> list[int]:
-    """One key for each band of each segment whose samples the text all reaches."""
+def band_keys(fingerprint: bytes, n_chars: int) -> list[int]:
+    """One key for each band of each segment; none for walks too short to tell texts apart."""
     grid, keys = np.frombuffer(fingerprint, np.uint8).reshape(-1, SAMPLES), []
     for segment, digits in enumerate(grid):
-        for band, samples in enumerate(_BAND):
-            chosen = digits[samples].tobytes()
-            if b"-" not in chosen:
-                keys.append(xxh3_64_intdigest(b"%d/%d/" % (segment, band) + chosen) - (1 << 63))
+        size_class = int(2 * np.log2(min(SEGMENT, n_chars - segment * SEGMENT)))
+        for band, samples in enumerate(band_samples(size_class)):
+            keys.append(xxh3_64_intdigest(b"%d/%d/%d/" % (segment, size_class, band) + digits[samples].tobytes()) - (1 << 63))
     return keys
 
 
@@ -121,7 +132,7 @@ def _described(doc_ids: list, texts: list[str], prints: list[bytes], nexts: list
     changed = [edited(text, following) for text, (following, _) in zip(texts, nexts, strict=True)]
     others = fingerprints(changed)
     return [
-        (d, len(t), sha256(c.encode("utf-8", "replace")).hexdigest(), p.decode(), o.decode(), likeness(p, o), likeness(p, q), band_keys(p), blake2b(p, digest_size=16).digest() if p else None)
+        (d, len(t), sha256(c.encode("utf-8", "replace")).hexdigest(), p.decode(), o.decode(), likeness(p, o), likeness(p, q), band_keys(p, len(t)), blake2b(p, digest_size=16).digest() if p else None)
         for d, t, c, p, o, (_, q) in zip(doc_ids, texts, changed, prints, others, nexts, strict=True)
     ]
 
@@ -129,6 +140,7 @@ def _described(doc_ids: list, texts: list[str], prints: list[bytes], nexts: list
 _FIELDS = [("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("bands", pa.list_(pa.int64())), ("same", pa.binary())]
 _SCHEMA = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, bands array<long>, same binary"
 _EDGE = [("kind", pa.int32()), ("range", pa.int32()), ("packed", pa.binary())]
+_EDGE_SCHEMA = "kind int, range int, packed binary"
 
 
 def _batch(doc_id_type: pa.DataType, rows: list[tuple], edges: list[tuple]) -> pa.RecordBatch:
@@ -140,7 +152,7 @@ def _batch(doc_id_type: pa.DataType, rows: list[tuple], edges: list[tuple]) -> p
 
 
 def describe(docs: DataFrame, chunk: int = 512) -> DataFrame:
-    """One row a document: doc_id, n_chars, edited_sha256, both fingerprints, both likenesses, bands, same (digest).
+    """One row a document, kept: row (a number), doc_id, n_chars, edited_sha256, both fingerprints, both likenesses, bands, same (digest).
 
     Documents are dealt by ranges of doc_ids and sorted within each, so almost every next document is the next row.
     The first and the last of each range are written as well, and the few pairs across ranges are joined after.
@@ -185,7 +197,8 @@ def describe(docs: DataFrame, chunk: int = 512) -> DataFrame:
         if before:
             yield _batch(doc_id_type, [(before[1], None, None, before[4].decode(), None, None, None, None, None)], [(2, before[0], before[2])])
 
-    walked = keep(dealt.mapInArrow(walk, f"doc_id {kind}, {_SCHEMA}, kind int, range int, packed binary"), "walked")
+    walked = dealt.mapInArrow(walk, f"doc_id {kind}, {_SCHEMA}, {_EDGE_SCHEMA}")
+    walked = keep(walked.withColumn("row", F.monotonically_increasing_id()), "walked")
     heads = walked.where("kind = 1").select("range", F.col("packed").alias("next_packed"), F.col("fingerprint").alias("next_fingerprint"))
     tails = walked.where("kind = 2").select("range", "doc_id", "packed", "fingerprint")
     order = walked.where("kind = 1").select("range")  # one row a range, RANGES at most
@@ -199,9 +212,10 @@ def describe(docs: DataFrame, chunk: int = 512) -> DataFrame:
             texts, nexts = ([unpack(p).decode() for p in c[name]] for name in ("packed", "next_packed"))
             prints, others = ([p.encode() for p in c[name]] for name in ("fingerprint", "next_fingerprint"))
             rows = _described(c["doc_id"], texts, prints, list(zip(nexts, others, strict=True)))
-            yield _batch(batch.schema.field("doc_id").type, rows, [(0, None, None)] * len(rows))
+            yield _batch(batch.schema.field("doc_id").type, rows, [(0, r, None) for r in c["range"]])
 
-    closed = closing.mapInArrow(close, f"doc_id {kind}, {_SCHEMA}, kind int, range int, packed binary")
+    closed = closing.mapInArrow(close, f"doc_id {kind}, {_SCHEMA}, {_EDGE_SCHEMA}")
+    closed = keep(closed.withColumn("row", -1 - F.col("range").cast("long")), "closed")
     return walked.where("kind = 0").union(closed).drop("kind", "range", "packed")
 
 
@@ -221,13 +235,13 @@ def alike_pairs(pairs: DataFrame, prints: DataFrame, least: float) -> DataFrame:
 
 def fingerprint_documents(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """describe(), and class_id: the smallest doc_id of the documents linked by likeness of at least least."""
-    rows = keep(describe(docs).withColumn("row", F.monotonically_increasing_id()), "fingerprints")
+    rows = describe(docs)
     linkable = rows.where("same IS NOT NULL AND doc_id IS NOT NULL")
     classes = linkable.groupBy("same").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.first("bands").alias("bands"))
     classes = keep(classes.select("same", F.col("first.doc_id").alias("_doc_id"), F.col("first.row").alias("row"), "bands"), "classes")
-    members = keep(classes.select(F.explode("bands").alias("bucket"), F.col("row").alias("node"), F.lit(0).alias("size")), "bands")
+    shared = crowds(classes.select(F.explode("bands").alias("bucket"), F.col("row").alias("node"), F.lit(0).alias("size")))
     prints = rows.select("row", "fingerprint")
-    roots = linked_within_buckets(members, lambda pairs: alike_pairs(pairs, prints, least))
+    roots = linked_within_buckets(shared, lambda pairs: alike_pairs(pairs, prints, least))
     named = classes.drop("bands").join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
     least_id = named.groupBy("root").agg(F.min("_doc_id").alias("class_id"))
     groups = keep(named.join(least_id, "root").select("same", "class_id"), "groups")
