@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryflow.operators import assess, graph, incremental, reconcile, retrieval, text_metrics
+from quarryflow.operators import assess, graph, incremental, reconcile, retrieval, risk_model, text_metrics
+from quarryflow.sources import repository
 from quarryflow.sources.tables import run_sql, table
 
 #: SQL objects made from the supplier table by the same text in both engines.
@@ -171,7 +172,22 @@ def staged_daily(spark: SparkSession, folder: str) -> DataFrame:
     return daily.withColumn("segment", F.when((F.col("order_count") >= 2) & (F.col("total_spend") > 100), "MEDIUM_VALUE").otherwise("STANDARD"))
 
 
+def risk_ml(spark: SparkSession, folder: str) -> DataFrame:
+    """Trained on the assessed levels of the objects and applied to all of them."""
+    assessed = _assessed(spark, folder).select("id", "source_sql", "level")
+    return risk_model.predict(risk_model.fit(assessed), assessed).select("id", "level", "predicted", "hard")
+
+
+def leaderboard_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """Event types as contestants, the best three."""
+    board = run_sql(spark, folder, "SELECT event_type AS name, ROUND(COUNT_IF(value > 50) / COUNT(*), 6) AS pass_rate, ROUND(COUNT_IF(value > 20) / COUNT(*), 6) AS token_f1 FROM {events} GROUP BY event_type")
+    return repository.append_leaderboard(board.where("name < 'p'"), board.where("name >= 'p'"), 3)
+
+
 QUERIES = {
+    "risk_ml": risk_ml,
+    "leaderboard_topk": leaderboard_topk,
+    "sample_tables": lambda s, d: repository.sample_table(s, {"load_date": "date", "customer_id": "id", "amount": "amount", "customer_name": "name", "note": "other"}),
     "join_semi": lambda s, d: table(s, d, "customer").join(table(s, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey"),
     "join_anti": lambda s, d: table(s, d, "orders").join(table(s, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey"),
     "recon_row_count": lambda s, d: reconcile.row_counts(table(s, d, "orders"), changed_orders(s, d)),
@@ -237,6 +253,8 @@ _DUCK_TERMS = "list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-
 _WANTED = sorted({t for t in QUERY_TEXT.split() if len(t) > 2})
 
 ORACLES = {
+    "leaderboard_topk": "SELECT event_type AS name, ROUND(COUNT(*) FILTER (value > 50) / COUNT(*), 6) AS pass_rate, ROUND(COUNT(*) FILTER (value > 20) / COUNT(*), 6) AS token_f1 FROM events GROUP BY event_type ORDER BY pass_rate DESC, token_f1 DESC, name LIMIT 3",
+    "sample_tables": "SELECT DATE '2024-01-01' + CAST(i AS INTEGER) AS load_date, i + 1 AS customer_id, CASE WHEN i > 0 THEN CAST(i * 10.5 AS DECIMAL(18,2)) END AS amount, 'name_' || i AS customer_name, 'v' || i AS note FROM range(5) t(i)",
     "join_semi": "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)",
     "join_anti": "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)",
     "recon_row_count": "SELECT 'source' AS platform, COUNT(*) AS row_count FROM orders UNION ALL SELECT 'target', COUNT(*) FROM orders WHERE o_orderkey % 100 <> 0",

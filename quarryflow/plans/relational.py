@@ -86,6 +86,9 @@ SQL: dict[str, str] = {
     "json_extract": "SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM {events}",
     "explode_array": "SELECT doc_id, word FROM (SELECT doc_id, EXPLODE(SPLIT(source, 'c')) AS word FROM {documents}) t",
     "nvl2_zeroifnull": "SELECT event_id, NVL2(NULLIF(event_type, 'view'), 'other', 'view') AS a, ZEROIFNULL(NULLIF(value, value)) AS z, NVL(NULLIF(event_type, 'click'), 'c') AS b FROM {events}",
+    "to_char": "SELECT o_orderkey, CAST(o_orderkey AS STRING) AS c, DATE_FORMAT(o_orderdate, 'yyyy-MM-dd') AS d FROM {orders}",
+    "scalar_now": "SELECT CURRENT_DATE = CAST(CURRENT_TIMESTAMP AS DATE) AS same_day, CURRENT_TIMESTAMP IS NOT NULL AS now",
+    "event_sessions": "SELECT user_id, COUNT(*) AS sessions, CAST(SUM(n) AS BIGINT) AS events FROM (SELECT user_id, session_window.start AS s, COUNT(*) AS n FROM {events} GROUP BY user_id, session_window(ts, '1 hour')) t GROUP BY user_id",
     # subqueries, scripts
     "cte_chain": "WITH big AS (SELECT o_custkey, o_totalprice FROM {orders} WHERE o_totalprice > 100000), per AS (SELECT o_custkey, COUNT(*) AS n FROM big GROUP BY o_custkey) SELECT c_name, n FROM per JOIN {customer} ON o_custkey = c_custkey WHERE n >= 3",
     "scalar_subquery": "SELECT o_orderkey FROM {orders} WHERE o_totalprice > (SELECT 1.5 * AVG(o_totalprice) FROM {orders})",
@@ -140,6 +143,9 @@ SELECT days.day, COALESCE(n, 0) AS n FROM days LEFT JOIN per ON days.day = per.d
 
 #: Where DuckDB needs other words.
 OTHER: dict[str, str] = {
+    "to_char": "SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS c, STRFTIME(o_orderdate, '%Y-%m-%d') AS d FROM orders",
+    "scalar_now": "SELECT TRUE AS same_day, TRUE AS now",
+    "event_sessions": "SELECT user_id, CAST(SUM(fresh) AS BIGINT) AS sessions, COUNT(*) AS events FROM (SELECT user_id, CASE WHEN ts >= LAG(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 1 HOUR OR LAG(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS fresh FROM events) GROUP BY user_id",
     "string_agg": "SELECT n_regionkey, STRING_AGG(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey",
     "iff": "SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN 'big' ELSE 'small' END AS size FROM orders",
     "decode": "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 0 END AS code FROM orders",
