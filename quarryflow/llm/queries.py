@@ -75,4 +75,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": licenses.oracle_sql()}
+    return {"op2_license_scan": licenses.oracle_sql(), "op3_secret_scan": secrets.oracle_sql(), "op10_substring_dedup": substrings.oracle_sql()}

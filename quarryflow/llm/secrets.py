@@ -112,3 +112,28 @@ def digest(found: DataFrame) -> DataFrame:
         F.sha2(joined(F.col("_base")), 256).alias("base_sha256"),
         joined(F.concat("_base", "_more")).alias("spans"),
     )
+
+
+def oracle_sql() -> str:
+    """The digest in DuckDB SQL, from the same fixed values."""
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+
+    def spans(pattern: str, group: int, least: int, rank: str) -> str:
+        p = quote(pattern)
+        lengths = "coalesce(list_sum(list_transform({0}, lambda x: length(x))), 0)"
+        start = f"{lengths.format('z.gaps[1:i]')} + {lengths.format('z.found[1:i - 1]')}"
+        one = f"{{s: CAST({start} AS BIGINT), r: {rank}, e: CAST({start} + length(z.found[i]) AS BIGINT), v: z.vals[i]}}"
+        z = f"(SELECT {{gaps: regexp_split_to_array(t, {p}), found: regexp_extract_all(t, {p}, 0), vals: regexp_extract_all(t, {p}, {group})}})"
+        return f"(SELECT list_filter(list_transform(range(1, len(z.found) + 1), lambda i: {one}), lambda y: length(y.v) >= {least}) FROM (SELECT {z} AS z))"
+
+    text = lambda column: f"coalesce(array_to_string(list_transform(list_sort({column}), lambda y: [{', '.join(map(quote, KINDS))}][y.r + 1] || ':' || y.s || ':' || y.e), ','), '')"
+    allowed = " OR ".join(f"regexp_matches(q.v, {quote(p)})" for p in ALLOWED)
+    bits = f"list_max(list_transform(range(1, length(q.v) - {WINDOW - 2}), lambda i: list_entropy(string_split(substring(q.v, i, {WINDOW}), ''))))"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS (SELECT doc_id, {spans(ASSIGN, 2, 6, "0")} AS a, {spans(ACCESS, 0, 0, "1")} AS k, {spans(HEX, 0, 0, "2")} AS h, {spans(CANDIDATE, 0, 0, "3")} AS c FROM d),
+b AS (SELECT *, list_concat(a, k, h) AS base FROM f),
+o AS (SELECT *, list_filter(c, lambda q: NOT ({allowed}) AND len(list_filter(base, lambda y: y.s < q.e AND q.s < y.e)) = 0) AS open_ones FROM b),
+m AS (SELECT *, list_filter(list_transform(open_ones, lambda q: {{s: q.s, r: CASE WHEN regexp_matches(q.v, '^[0-9a-fA-F]+$') THEN 3 ELSE 4 END, e: q.e, bits: {bits}}}), lambda q: q.bits >= CASE WHEN q.r = 3 THEN {LEAST_HEX} ELSE {LEAST_MIXED} END) AS more FROM o),
+s AS (SELECT *, list_transform(base, lambda y: {{s: y.s, r: y.r, e: y.e}}) AS bs, list_transform(more, lambda y: {{s: y.s, r: y.r, e: y.e}}) AS ms FROM m)
+SELECT doc_id, len(a) AS n_assign, len(k) AS n_access, len(h) AS n_hex, sha256({text("bs")}) AS base_sha256, {text("list_concat(bs, ms)")} AS spans FROM s"""
