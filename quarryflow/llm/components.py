@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,48 +51,101 @@ def crowds(members: DataFrame) -> DataFrame:
     return keep(members.join(counts, "bucket").select("bucket", "node", "size", "n"), "crowds")
 
 
-def linked_within_buckets(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: Callable[[str, str], Column] | None = None) -> DataFrame:
+def linked_within_buckets(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: Callable[[str, str], Column] | None = None, dense: Dense | None = None) -> DataFrame:
     """(node, root) of the components that verified links between members of common buckets make.
 
-    shared: (bucket, node, size), kept, as crowds() gives. verify: takes pairs (a, b) and returns those that are links.
-    fits: a cheap necessary condition on the columns of two sizes.
+    shared: (bucket, node, size, n), kept, as crowds() gives. verify: takes pairs (a, b) and returns those that are
+    links. fits: a cheap necessary condition on the columns of two sizes.
 
     First each member of a bucket is compared with the smallest one, then with one chosen by hash; most groups are
     whole by then. At last, in buckets that still hold several components, the members outside the bucket's most
     frequent component are compared with all members of other components. So every pair that shares a bucket is
-    either compared or already connected, and a large group costs about as many comparisons as it has members.
+    either compared or already connected. With dense, large buckets of that kind are compared by blocks.
     """
     fits = fits or (lambda a, b: F.lit(True))
     links, tested = [], []
 
-    def grown(pairs: DataFrame) -> DataFrame:
+    def grown(pairs: DataFrame, more: DataFrame | None = None) -> DataFrame:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         for old in tested:
             pairs = pairs.join(old, ["a", "b"], "left_anti")
         pairs = keep(pairs, "pairs")
         tested.append(pairs)
-        links.append(keep(verify(pairs).select("a", "b"), "links"))
-        every = links[0]
-        for more in links[1:]:
-            every = every.union(more)
-        return components(every)
+        found = verify(pairs).select("a", "b")
+        links.append(keep(found.union(more) if more is not None else found, "links"))
+        return components(reduce(DataFrame.union, links))
 
     pivots = shared.groupBy("bucket").agg(F.min("node").alias("pivot"), F.min_by("size", "node").alias("pivot_size"))
     first = shared.join(pivots, "bucket").where("node <> pivot").where(fits("size", "pivot_size"))
     roots = grown(first.select(F.col("node").alias("a"), F.col("pivot").alias("b")))
 
     for full in (False, True):
-        named = shared.select("bucket", "node", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        named = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         by_root = named.groupBy("bucket", "root").agg(F.count("*").alias("_n"), F.min(F.struct(F.xxhash64("node", "bucket").alias("h"), "node", "size")).alias("_pick"))
         mixed = by_root.groupBy("bucket").agg(F.count("*").alias("_roots"), F.max(F.struct("_n", "root", "_pick")).alias("_most")).where("_roots > 1")
         mixed = mixed.select("bucket", F.col("_most.root").alias("_main"), F.col("_most._pick.node").alias("_pivot"), F.col("_most._pick.size").alias("_size"))
         open_ones = keep(named.join(mixed, "bucket"), "open")
-        rest = open_ones.where("root <> _main")
         if full:
+            large = None
+            if dense is not None:
+                large = linked_in_blocks(open_ones.where(F.col("n") > dense.least), dense)
+                open_ones = open_ones.where(F.col("n") <= dense.least)
             others = open_ones.select("bucket", F.col("node").alias("_node"), F.col("size").alias("_other"), F.col("root").alias("_root"))
-            pairs = rest.join(others, "bucket").where((F.col("root") != F.col("_root")) & ((F.col("_root") == F.col("_main")) | (F.col("node") < F.col("_node"))))
+            pairs = open_ones.where("root <> _main").join(others, "bucket").where((F.col("root") != F.col("_root")) & ((F.col("_root") == F.col("_main")) | (F.col("node") < F.col("_node"))))
             pairs = pairs.where(fits("size", "_other")).select(F.col("node").alias("a"), F.col("_node").alias("b"))
+            roots = grown(pairs, large)
         else:
-            pairs = rest.where(fits("size", "_size")).select(F.col("node").alias("a"), F.col("_pivot").alias("b"))
-        roots = grown(pairs)
+            pairs = open_ones.where("root <> _main").where(fits("size", "_size")).select(F.col("node").alias("a"), F.col("_pivot").alias("b"))
+            roots = grown(pairs)
     return roots
+
+
+@dataclass
+class Dense:
+    """How to compare the members of large buckets: content (row, payload), and a test of two prepared payloads."""
+
+    content: DataFrame
+    prepare: Callable
+    linked: Callable
+    least: int = 16
+    block: int = 128
+    part: int = 1024
+
+
+def linked_in_blocks(members: DataFrame, dense: Dense) -> DataFrame:
+    """Links (a, b) among members (bucket, node, root) of buckets that overlap, between different roots.
+
+    Buckets that share members form a cluster. Its members lie in blocks; those outside its most frequent root are
+    sent to every block, in parts, and compared there with all members of other roots. A task holds one block and one
+    part, whatever the cluster's size, and no row is made for a pair that isn't a link.
+    """
+    pivots = members.groupBy("bucket").agg(F.min("node").alias("b"))
+    clusters = components(members.join(pivots, "bucket").select(F.col("node").alias("a"), "b"))
+    nodes = members.select("node", "root").distinct().join(clusters.withColumnRenamed("root", "cluster"), "node")
+    nodes = keep(nodes.join(dense.content.withColumnRenamed("row", "node"), "node"), "dense")
+    by_root = nodes.groupBy("cluster", "root").agg(F.count("*").alias("n"))
+    totals = by_root.groupBy("cluster").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most"))
+    shape = totals.select(
+        "cluster",
+        F.col("most.root").alias("main"),
+        F.ceil(F.col("n") / dense.block).cast("int").alias("blocks"),
+        F.greatest(F.lit(1), F.ceil((F.col("n") - F.col("most.n")) / dense.part)).cast("int").alias("parts"),
+    )
+    nodes = nodes.join(shape, "cluster").withColumn("rest", F.col("root") != F.col("main"))
+    deal = lambda k: F.pmod(F.xxhash64("node"), F.col(k)).cast("int")
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    columns = ["cluster", "block", "part", "node", "root", "rest", "payload"]
+    held = nodes.withColumn("block", deal("blocks")).withColumn("part", each("parts")).select(*columns)
+    asks = nodes.where("rest").withColumn("part", deal("parts")).withColumn("block", each("blocks")).select(*columns).toDF(*columns)  # columns of its own
+    prepare, linked = dense.prepare, dense.linked
+
+    def compare(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(one) and len(two):
+            theirs = list(zip(two["node"].tolist(), two["root"].tolist(), two["rest"].tolist(), map(prepare, two["payload"]), strict=True))
+            for a, root, content in zip(one["node"].tolist(), one["root"].tolist(), map(prepare, one["payload"]), strict=True):
+                rows += [(a, b) for b, other, rest, payload in theirs if other != root and not (rest and b < a) and linked(content, payload)]
+        return pd.DataFrame(rows, columns=["a", "b"], dtype="int64")
+
+    key = ["cluster", "block", "part"]
+    return asks.groupBy(*key).cogroup(held.groupBy(*key)).applyInPandas(compare, "a long, b long")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from quarryflow.llm.common import keep, text_bytes
-from quarryflow.llm.components import crowds, linked_within_buckets
+from quarryflow.llm.components import Dense, crowds, linked_within_buckets
 
 BANDS, ROWS = 32, 4
 COORDINATES = BANDS * ROWS
@@ -180,7 +180,14 @@ def group_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     wanted = shared.select(F.col("node").alias("row")).distinct()
     texts = keep(rows.select("row", F.col("doc.text").alias("text")).join(wanted, "row", "left_semi"), "texts")
 
-    roots = linked_within_buckets(shared, lambda pairs: similar_pairs(pairs, texts, k, percent), lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b))
+    def linked(one: set, two: set) -> bool:
+        if 100 * min(len(one), len(two)) < percent * max(len(one), len(two)):
+            return False
+        common = len(one & two)
+        return 100 * common >= percent * (len(one) + len(two) - common)
+
+    dense = Dense(texts.withColumnRenamed("text", "payload"), lambda text: shingles(shingle_words(text), k), linked, CROWD)
+    roots = linked_within_buckets(shared, lambda pairs: similar_pairs(pairs, texts, k, percent), lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b), dense)
     named = classes.select("words", "doc_id", "row").join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
     least = named.groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("least"))
     groups = keep(named.join(least, "root").select("words", F.col("least.doc_id").alias("component_id"), F.col("least.row").alias("_first")), "groups")
