@@ -29,7 +29,7 @@ from quarryflow.llm.common import keep
 SAMPLE_ROWS = 32_768
 LISTS = 16_384
 #: Share of the lists that a query probes. Vectors without clusters have their neighbours spread over many lists.
-PROBES = 0.6
+PROBES, LEAST_PROBES = 0.6, 56
 #: Vectors in one part of a list, on average at most.
 PART = 2048
 BLOCK = 16
@@ -123,7 +123,7 @@ def nearest_neighbours(table: DataFrame, is_query: Column, k: int = 10, probes:
         for frame in frames:
             q = np.array(frame["v"].tolist(), float).reshape(len(frame), dims)
             order = np.argsort(((centroids**2).sum(1) / 2)[None, :] - q @ centroids.T, axis=1, kind="stable")
-            enough = np.maximum(math.ceil(probes * len(centroids)), (np.cumsum(counts[order], axis=1) < 10 * (k + 1)).sum(1) + 1)
+            enough = np.maximum(max(LEAST_PROBES, math.ceil(probes * len(centroids))), (np.cumsum(counts[order], axis=1) < 10 * (k + 1)).sum(1) + 1)
             for i, many in enumerate(enough):
                 chosen = order[i, :many]
                 lists = np.repeat(chosen, parts[chosen])
