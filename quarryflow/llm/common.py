@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: A table is joined by broadcast only when it has at most so many rows; beyond, Spark shuffles both sides.
 BROADCAST_ROWS = 10_000
 
+#: When keep() last asked for a collection; a short job needs none.
+_collected = [0.0]
+
 
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder of spark.checkpoint.dir; a temporary one only where the session names none (tests)."""
@@ -38,9 +42,19 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    gc.collect()
-    spark._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    if time.monotonic() - _collected[0] > 4:
+        gc.collect()
+        spark._jvm.System.gc()
+        _collected[0] = time.monotonic()
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept.kept_at = path
+    return kept
+
+
+def discard(kept: DataFrame) -> None:
+    """Remove the files of a kept table that nothing reads any more: all that was made from it is kept itself."""
+    path = kept.sparkSession._jvm.org.apache.hadoop.fs.Path(kept.kept_at)
+    path.getFileSystem(kept.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:

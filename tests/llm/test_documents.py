@@ -352,7 +352,7 @@ def brute_passages(rows):
     return out
 
 
-@pytest.mark.parametrize("hot", [substrings.HOT, 0])
+@pytest.mark.parametrize("hot", [substrings.HOT, 1])
 def test_passages(spark, folder, odd_docs, no_docs, hot, monkeypatch):
     monkeypatch.setattr(substrings, "HOT", hot)
     docs = documents(spark, folder)
