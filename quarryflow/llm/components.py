@@ -113,14 +113,13 @@ class Dense:
 
 
 def linked_in_blocks(members: DataFrame, dense: Dense) -> DataFrame:
-    """Links (a, b) among members (bucket, node, root) of buckets that overlap, between different roots.
+    """Links (a, b) among members (bucket, node, root, _pivot) of buckets that overlap, between different roots.
 
-    Buckets that share members form a cluster. Its members lie in blocks; those outside its most frequent root are
+    _pivot is one member of the bucket. Buckets that share members form a cluster. Its members lie in blocks; those outside its most frequent root are
     sent to every block, in parts, and compared there with all members of other roots. A task holds one block and one
     part, whatever the cluster's size, and no row is made for a pair that isn't a link.
     """
-    pivots = members.groupBy("bucket").agg(F.min("node").alias("b"))
-    clusters = components(members.join(pivots, "bucket").select(F.col("node").alias("a"), "b"))
+    clusters = components(members.select(F.col("node").alias("a"), F.col("_pivot").alias("b")))
     nodes = members.select("node", "root").distinct().join(clusters.withColumnRenamed("root", "cluster"), "node")
     nodes = keep(nodes.join(dense.content.withColumnRenamed("row", "node"), "node"), "dense")
     by_root = nodes.groupBy("cluster", "root").agg(F.count("*").alias("n"))

@@ -6,8 +6,8 @@ end when every bin is full, so a long document needs one or two rounds and a sho
 coordinate of two sets agrees with probability equal to their Jaccard similarity, and the share of agreeing coordinates
 is concentrated around it. 32 bands of 4 coordinates bring a pair of similarity 0.8 together but for a chance of 5 in
 100 million. Bands that more than CROWD documents share mostly come from a passage in otherwise different texts; their
-documents are banded anew by REFINED random choices of 12 coordinates, which such texts rarely share, while a pair of
-similarity 0.8 misses all of them with a chance of 2 in 10 million. Pairs from bands are confirmed on the full sets.
+documents are banded anew by REFINED random choices of 8 coordinates, which such texts rarely share, while a pair of
+similarity 0.8 misses all of them with a chance of 4 in 10 million. Pairs from bands are confirmed on the full sets.
 
 Documents with equal words are one class from the start, so copies, however many, are one node. Links within a bucket
 are found as components.linked_within_buckets says.
@@ -37,7 +37,7 @@ BANDS, ROWS = 32, 4
 COORDINATES = BANDS * ROWS
 #: A band shared by more documents is refined.
 CROWD = 16
-REFINED, REFINED_ROWS = 220, 12
+REFINED, REFINED_ROWS = 80, 8
 _BITS = COORDINATES.bit_length() - 1
 _U = np.uint64
 _SEEDS = np.random.default_rng(1).integers(1, 2**63, 2 * COORDINATES, dtype=np.uint64)
@@ -99,7 +99,7 @@ def band_keys(sketches: np.ndarray) -> np.ndarray:
 
 
 def refined_keys(sketches: np.ndarray) -> np.ndarray:
-    """(documents, REFINED) keys of 12 coordinates each."""
+    """(documents, REFINED) keys of 8 coordinates each."""
     total = np.arange(REFINED, dtype=np.uint64)[None, :] + _U(1)
     for column in _CHOICES.T:
         total = mixed(total * _U(0x9E3779B97F4A7C15) + sketches[:, column])
