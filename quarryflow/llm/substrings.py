@@ -1,13 +1,14 @@
 """Removal of passages that an earlier document has, by repeated-phrase automata (operator 10).
 
-A window is WINDOW consecutive words. Of its word 5-grams the one with the least hash is its anchor, so equal windows
-have equal anchors wherever they stand, and about one position in five is an anchor. The search goes:
+A window is WINDOW consecutive words. Of its word 4-grams the one with the least hash is its anchor, so equal windows
+have equal anchors wherever they stand, and about one position in six is an anchor. The search goes:
 
 1. anchors that several documents have are found by an aggregation (least and greatest doc_id);
 2. around each such anchor, the stretch of words whose windows it anchors is cut out, and equal stretches become one;
 3. stretches of the same anchor meet in a shard; windows that documents with different ids have are confirmed there
    word by word, compiled to one Aho-Corasick automaton a shard, and the stretches are streamed through it to locate
-   every occurrence, with the least doc_id that has it;
+   every occurrence, with the least doc_id that has it (a stretch that is its anchor's only one needs no automaton: it
+   is the same text wherever the anchor stands, so all its windows recur);
 4. each document drops the words of located windows whose least doc_id is smaller than its own.
 
 An anchor with more than HOT distinct stretches (a line that stands in very many places) would load one shard; its
@@ -33,11 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from quarryflow.llm.common import keep, words_of
+from quarryflow.llm.common import discard, keep, words_of
 from quarryflow.llm.minhash import mixed
 
 WINDOW = 13
-GRAM = 5
+GRAM = 4
 HOT = 256
 #: Distinct stretches a shard, on average.
 SHARD = 4096
@@ -164,17 +165,21 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
     wanted = every.select("row", "anchor").join(recurring, "anchor", "left_semi").groupBy("row").agg(F.collect_list("anchor").alias("recurring"))
     places = keep(cut_stretches(rows.select("row", "doc_id", "packed").join(wanted, "row")), "places")
 
+    discard(every)
+
     stretches = keep(places.groupBy("anchor", "stretch").agg(F.first("sid").alias("sid"), F.min("doc_id").alias("least"), F.max("doc_id").alias("greatest")), "stretches")
     per_anchor = keep(stretches.groupBy("anchor").agg(F.count("*").alias("n"), F.min("least").alias("a"), F.max("greatest").alias("b")), "per_anchor")
     # An anchor whose stretches all come from one doc_id after all (as hashes of several texts) has nothing to find.
-    cold = stretches.join(per_anchor.where(f"a < b AND n <= {HOT}").select("anchor"), "anchor", "left_semi")
-    hot = stretches.join(per_anchor.where(f"a < b AND n > {HOT}").select("anchor"), "anchor", "left_semi")
+    of = lambda which: stretches.join(per_anchor.where("a < b").where(which).select("anchor"), "anchor", "left_semi")
+    only, cold, hot = of("n = 1"), of(f"n > 1 AND n <= {HOT}"), of(f"n > {HOT}")
 
-    shards = max(1, -(-stretches.count() // SHARD))
+    shards = max(1, -(-(per_anchor.where(f"a < b AND n > 1 AND n <= {HOT}").agg(F.sum("n")).head()[0] or 0) // SHARD))
     hits = cold.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")).applyInPandas(locate, f"anchor long, sid long, at array<int>, least array<{kind}>")
     hits = hits.select("anchor", "sid", F.arrays_zip("at", "least").alias("hits"))
 
     words = F.split("stretch", " ")
+    whole = F.transform(F.sequence(F.lit(0), F.size(words) - WINDOW), lambda i: F.struct(i.cast("int").alias("at"), F.col("least").alias("least")))
+    hits = hits.union(only.select("anchor", "sid", whole.alias("hits")))
     single = F.transform(F.sequence(F.lit(0), F.size(words) - WINDOW), lambda i: F.struct(i.cast("int").alias("at"), F.array_join(F.slice(words, i + 1, WINDOW), " ").alias("window")))
     apart = keep(hot.select("anchor", "sid", "least", "greatest", F.explode(single).alias("w")).select("anchor", "sid", "least", "greatest", "w.*"), "hot_windows")
     agreed = apart.groupBy("window").agg(F.min("least").alias("_least"), F.max("greatest").alias("_greatest")).where("_least < _greatest")
@@ -215,3 +220,15 @@ def drop_repeated_passages(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
     return whole.mapInArrow(drop, f"doc_id {kind}, n_words long, n_removed long, kept_text string")
+
+
+def oracle_sql() -> str:
+    """n_words, n_removed and the digest of the kept text in DuckDB SQL; every window is a row there."""
+    return rf"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + {WINDOW - 1}], ' ') AS s FROM (SELECT doc_id, ws, UNNEST(range(1, len(ws) - {WINDOW - 2})) AS i FROM w)),
+first AS (SELECT s, MIN(doc_id) AS m FROM win GROUP BY s),
+gone AS (SELECT DISTINCT doc_id, i + k AS j FROM (SELECT doc_id, i FROM win JOIN first USING (s) WHERE m < doc_id), (SELECT UNNEST(range({WINDOW})) AS k)),
+words AS (SELECT doc_id, UNNEST(ws) AS x, UNNEST(range(1, len(ws) + 1)) AS j FROM w),
+kept AS (SELECT doc_id, COUNT(*) AS n, STRING_AGG(x, ' ' ORDER BY j) AS t FROM words ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
+SELECT w.doc_id, len(ws) AS n_words, len(ws) - COALESCE(n, 0) AS n_removed, sha256(COALESCE(t, '')) AS kept_sha256 FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id"""
