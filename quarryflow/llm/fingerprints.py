@@ -28,14 +28,14 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from quarryflow.llm.common import keep, small
-from quarryflow.llm.components import crowds, linked_within_buckets
+from quarryflow.llm.components import Dense, crowds, linked_within_buckets
 
 SEGMENT = 2048
 STEPS = 3 * SEGMENT
 #: Steps of a walk, and how many samples are taken of them.
 STRATA = ((0, 96, 16), (96, 384, 16), (384, 1536, 24), (1536, STEPS, 40))
 SAMPLES = sum(n for _, _, n in STRATA)
-BANDS, BAND_SAMPLES = 8, 7
+BANDS, BAND_SAMPLES = 8, 12
 #: Documents in one range of doc_ids, on average, and the most ranges.
 RANGE, RANGES = 1024, 8192
 
@@ -241,7 +241,8 @@ def fingerprint_documents(docs: DataFrame, least: float = 0.8) -> DataFrame:
     classes = keep(classes.select("same", F.col("first.doc_id").alias("_doc_id"), F.col("first.row").alias("row"), "bands"), "classes")
     shared = crowds(classes.select(F.explode("bands").alias("bucket"), F.col("row").alias("node"), F.lit(0).alias("size")))
     prints = rows.select("row", "fingerprint")
-    roots = linked_within_buckets(shared, lambda pairs: alike_pairs(pairs, prints, least))
+    dense = Dense(prints.withColumnRenamed("fingerprint", "payload"), str.encode, lambda one, two: likeness(one, two) >= least)
+    roots = linked_within_buckets(shared, lambda pairs: alike_pairs(pairs, prints, least), dense=dense)
     named = classes.drop("bands").join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
     least_id = named.groupBy("root").agg(F.min("_doc_id").alias("class_id"))
     groups = keep(named.join(least_id, "root").select("same", "class_id"), "groups")
