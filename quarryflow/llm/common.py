@@ -16,9 +16,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: A table is joined by broadcast only when it has at most so many rows; beyond, Spark shuffles both sides.
 BROADCAST_ROWS = 10_000
 
-#: When keep() last asked for a collection; a short job needs none.
-_collected = [0.0]
-
 
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder of spark.checkpoint.dir; a temporary one only where the session names none (tests)."""
@@ -39,13 +36,13 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/quarryflow/{name}-{uuid.uuid4().hex}"
+    began = time.monotonic()
     df.write.option("compression", "zstd").parquet(path)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    if time.monotonic() - _collected[0] > 4:
+    if time.monotonic() - began > 1:  # what was quick leaves little behind
         gc.collect()
         spark._jvm.System.gc()
-        _collected[0] = time.monotonic()
     kept = spark.read.schema(df.schema).parquet(path)
     kept.kept_at = path
     return kept

@@ -158,7 +158,7 @@ def locate(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def repeated_windows(rows: DataFrame) -> DataFrame:
-    """(row, starts): where windows start that a smaller doc_id has. rows: (doc_id, row, packed), texts that all differ."""
+    """(row, starts), kept: where windows start that a smaller doc_id has. rows: (doc_id, row, packed), texts that all differ."""
     kind = rows.schema["doc_id"].dataType.simpleString()
     every = keep(distinct_anchors(rows), "every_anchor")
     recurring = keep(every.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor"), "anchors")
@@ -168,18 +168,19 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
     discard(every)
 
     stretches = keep(places.groupBy("anchor", "stretch").agg(F.first("sid").alias("sid"), F.min("doc_id").alias("least"), F.max("doc_id").alias("greatest")), "stretches")
-    per_anchor = keep(stretches.groupBy("anchor").agg(F.count("*").alias("n"), F.min("least").alias("a"), F.max("greatest").alias("b")), "per_anchor")
+    per_anchor = stretches.groupBy("anchor").agg(F.count("*").alias("n"), F.min("least").alias("a"), F.max("greatest").alias("b"))
     # An anchor whose stretches all come from one doc_id after all (as hashes of several texts) has nothing to find.
-    of = lambda which: stretches.join(per_anchor.where("a < b").where(which).select("anchor"), "anchor", "left_semi")
-    only, cold, hot = of("n = 1"), of(f"n > 1 AND n <= {HOT}"), of(f"n > {HOT}")
+    counted = keep(stretches.join(per_anchor.where("a < b").select("anchor", "n"), "anchor"), "counted")
+    discard(stretches)
+    only, cold, hot = counted.where("n = 1"), counted.where(f"n > 1 AND n <= {HOT}"), counted.where(f"n > {HOT}")
 
-    shards = max(1, -(-(per_anchor.where(f"a < b AND n > 1 AND n <= {HOT}").agg(F.sum("n")).head()[0] or 0) // SHARD))
+    shards = max(1, -(-cold.count() // SHARD))
     hits = cold.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")).applyInPandas(locate, f"anchor long, sid long, at array<int>, least array<{kind}>")
-    hits = hits.select("anchor", "sid", F.arrays_zip("at", "least").alias("hits"))
+    located = keep(hits.select("anchor", "sid", F.arrays_zip("at", "least").alias("hits")), "hits")
 
     words = F.split("stretch", " ")
     whole = F.transform(F.sequence(F.lit(0), F.size(words) - WINDOW), lambda i: F.struct(i.cast("int").alias("at"), F.col("least").alias("least")))
-    hits = hits.union(only.select("anchor", "sid", whole.alias("hits")))
+    hits = located.union(only.select("anchor", "sid", whole.alias("hits")))
     single = F.transform(F.sequence(F.lit(0), F.size(words) - WINDOW), lambda i: F.struct(i.cast("int").alias("at"), F.array_join(F.slice(words, i + 1, WINDOW), " ").alias("window")))
     apart = keep(hot.select("anchor", "sid", "least", "greatest", F.explode(single).alias("w")).select("anchor", "sid", "least", "greatest", "w.*"), "hot_windows")
     agreed = apart.groupBy("window").agg(F.min("least").alias("_least"), F.max("greatest").alias("_greatest")).where("_least < _greatest")
@@ -187,7 +188,11 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
 
     found = places.select("anchor", "sid", "doc_id", "row", "start").join(hits.union(hot_hits), ["anchor", "sid"])
     starts = F.transform(F.filter("hits", lambda h: h["least"] < F.col("doc_id")), lambda h: F.col("start") + h["at"])
-    return found.select("row", starts.alias("starts")).where(F.size("starts") > 0).groupBy("row").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    starts = found.select("row", starts.alias("starts")).where(F.size("starts") > 0).groupBy("row").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    starts = keep(starts, "starts")
+    for done in (places, counted, located, apart):
+        discard(done)
+    return starts
 
 
 def drop_repeated_passages(docs: DataFrame) -> DataFrame:
