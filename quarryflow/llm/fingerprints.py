@@ -25,17 +25,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest
 
 from quarryflow.llm.common import keep, small
 from quarryflow.llm.components import Dense, crowds, linked_within_buckets
+from quarryflow.llm.minhash import mixed
 
 SEGMENT = 2048
 STEPS = 3 * SEGMENT
 #: Steps of a walk, and how many samples are taken of them.
 STRATA = ((0, 96, 16), (96, 384, 16), (384, 1536, 24), (1536, STEPS, 40))
 SAMPLES = sum(n for _, _, n in STRATA)
-BANDS, BAND_SAMPLES = 8, 12
+BANDS, BAND_SAMPLES = 24, 6
 #: Documents in one range of doc_ids, on average, and the most ranges.
 RANGE, RANGES = 1024, 8192
 
@@ -49,17 +49,22 @@ _DIGIT[:, 0] = ord("-")
 
 
 @lru_cache(32)
-def band_samples(size_class: int) -> list[np.ndarray]:
-    """The bands of a walk over about 2 ** (size_class / 2) characters, drawn from what lies past its start.
+def band_samples(size_class: int) -> np.ndarray:
+    """(bands, samples): the bands of a walk over about 2 ** (size_class / 2) characters, drawn from what lies past its start.
 
-    Texts often begin alike; samples from the middle tell more.
+    Texts often begin alike; samples from the middle tell more. A sample is drawn with the weight that it has in the
+    likeness, so it agrees with about that probability. Of few samples, bands take half.
     """
     size = 2 ** (size_class / 2)
     eligible = np.flatnonzero((_AT >= size / 4) & (_AT < 1.6 * size))
     if len(eligible) < 5:
-        return []
-    pick = np.random.default_rng([7, size_class])
-    return [np.sort(pick.choice(eligible, min(BAND_SAMPLES, len(eligible)), replace=False)) for _ in range(BANDS)]
+        eligible = np.flatnonzero(_AT < 2 * size)
+    width = min(BAND_SAMPLES, max(1, len(eligible) // 2))
+    if not len(eligible):
+        return np.zeros((0, width), np.int64)
+    pick, weight = np.random.default_rng([7, size_class]), _WEIGHT[eligible]
+    bands = [tuple(sorted(pick.choice(eligible, width, replace=False, p=weight / weight.sum()).tolist())) for _ in range(BANDS)]
+    return np.array(list(dict.fromkeys(bands)), np.int64)
 
 
 @lru_cache(1)
@@ -112,14 +117,39 @@ def likeness(one: bytes, two: bytes) -> float:
     return float((weight * (a == b)).sum() / weight.sum())
 
 
-def band_keys(fingerprint: bytes, n_chars: int) -> list[int]:
-    """One key for each band of each segment; none for walks too short to tell texts apart."""
-    grid, keys = np.frombuffer(fingerprint, np.uint8).reshape(-1, SAMPLES), []
-    for segment, digits in enumerate(grid):
-        size_class = int(2 * np.log2(min(SEGMENT, n_chars - segment * SEGMENT)))
-        for band, samples in enumerate(band_samples(size_class)):
-            keys.append(xxh3_64_intdigest(b"%d/%d/%d/" % (segment, size_class, band) + digits[samples].tobytes()) - (1 << 63))
-    return keys
+def band_keys(prints: list[bytes], n_chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, text): the keys of each text's bands and the number of their text."""
+    grid = np.frombuffer(b"".join(prints), np.uint8).reshape(-1, SAMPLES)
+    counts = np.array([len(p) // SAMPLES for p in prints], np.int64)
+    text = np.repeat(np.arange(len(prints)), counts)
+    segment = np.arange(len(grid)) - np.repeat(np.cumsum(counts) - counts, counts)
+    size_class = (2 * np.log2(np.minimum(SEGMENT, n_chars[text] - segment * SEGMENT))).astype(np.int64)
+    keys, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for c in np.unique(size_class):
+        rows = np.flatnonzero(size_class == c)
+        samples = band_samples(int(c))
+        digits, packed = grid[rows][:, samples].astype(np.uint64), np.zeros((len(rows), len(samples)), np.uint64)
+        for k in range(samples.shape[1]):
+            packed = packed << np.uint64(8) | digits[:, :, k]
+        salt = (segment[rows][:, None] * 64 + c) * 256 + np.arange(len(samples))[None, :]
+        keys.append(mixed(packed ^ mixed(salt.astype(np.uint64))).ravel())
+        of.append(np.repeat(text[rows], len(samples)))
+    return np.concatenate(keys).view(np.int64), np.concatenate(of)
+
+
+def banded(classes: DataFrame) -> DataFrame:
+    """(bucket, node, size): one row for each key of each class. classes: (row, n_chars, fingerprint)."""
+
+    def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                prints = [p.encode() for p in part.column("fingerprint").to_pylist()]
+                keys, of = band_keys(prints, part.column("n_chars").to_numpy())
+                node = part.column("row").to_numpy()[of]
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(node), pa.array(np.zeros(len(node), np.int32))], names=["bucket", "node", "size"])
+
+    return classes.select("row", "n_chars", "fingerprint").mapInArrow(band, "bucket long, node long, size int")
 
 
 def edited(text: str, following: str) -> str:
@@ -132,13 +162,13 @@ def _described(doc_ids: list, texts: list[str], prints: list[bytes], nexts: list
     changed = [edited(text, following) for text, (following, _) in zip(texts, nexts, strict=True)]
     others = fingerprints(changed)
     return [
-        (d, len(t), sha256(c.encode("utf-8", "replace")).hexdigest(), p.decode(), o.decode(), likeness(p, o), likeness(p, q), band_keys(p, len(t)), blake2b(p, digest_size=16).digest() if p else None)
+        (d, len(t), sha256(c.encode("utf-8", "replace")).hexdigest(), p.decode(), o.decode(), likeness(p, o), likeness(p, q), blake2b(p, digest_size=16).digest() if p else None)
         for d, t, c, p, o, (_, q) in zip(doc_ids, texts, changed, prints, others, nexts, strict=True)
     ]
 
 
-_FIELDS = [("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("bands", pa.list_(pa.int64())), ("same", pa.binary())]
-_SCHEMA = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, bands array<long>, same binary"
+_FIELDS = [("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("same", pa.binary())]
+_SCHEMA = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, same binary"
 _EDGE = [("kind", pa.int32()), ("range", pa.int32()), ("packed", pa.binary())]
 _EDGE_SCHEMA = "kind int, range int, packed binary"
 
@@ -152,7 +182,7 @@ def _batch(doc_id_type: pa.DataType, rows: list[tuple], edges: list[tuple]) -> p
 
 
 def describe(docs: DataFrame, chunk: int = 512) -> DataFrame:
-    """One row a document, kept: row (a number), doc_id, n_chars, edited_sha256, both fingerprints, both likenesses, bands, same (digest).
+    """One row a document, kept: row (a number), doc_id, n_chars, edited_sha256, both fingerprints, both likenesses, same (digest).
 
     Documents are dealt by ranges of doc_ids and sorted within each, so almost every next document is the next row.
     The first and the last of each range are written as well, and the few pairs across ranges are joined after.
@@ -192,10 +222,10 @@ def describe(docs: DataFrame, chunk: int = 512) -> DataFrame:
                 yield _batch(doc_id_type, done, [(0, None, None)] * len(done))
                 cuts = [(a, b) for a, b in zip(line, line[1:]) if a[0] != b[0]] + ([(None, rows[0])] if not before else [])
                 ends = [(2, a) for a, _ in cuts if a] + [(1, b) for _, b in cuts]
-                yield _batch(doc_id_type, [(r[1], None, None, r[4].decode(), None, None, None, None, None) for _, r in ends], [(k, r[0], r[2]) for k, r in ends])
+                yield _batch(doc_id_type, [(r[1], None, None, r[4].decode(), None, None, None, None) for _, r in ends], [(k, r[0], r[2]) for k, r in ends])
                 before = rows[-1]
         if before:
-            yield _batch(doc_id_type, [(before[1], None, None, before[4].decode(), None, None, None, None, None)], [(2, before[0], before[2])])
+            yield _batch(doc_id_type, [(before[1], None, None, before[4].decode(), None, None, None, None)], [(2, before[0], before[2])])
 
     walked = dealt.mapInArrow(walk, f"doc_id {kind}, {_SCHEMA}, {_EDGE_SCHEMA}")
     walked = keep(walked.withColumn("row", F.monotonically_increasing_id()), "walked")
@@ -237,14 +267,14 @@ def fingerprint_documents(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """describe(), and class_id: the smallest doc_id of the documents linked by likeness of at least least."""
     rows = describe(docs)
     linkable = rows.where("same IS NOT NULL AND doc_id IS NOT NULL")
-    classes = linkable.groupBy("same").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.first("bands").alias("bands"))
-    classes = keep(classes.select("same", F.col("first.doc_id").alias("_doc_id"), F.col("first.row").alias("row"), "bands"), "classes")
-    shared = crowds(classes.select(F.explode("bands").alias("bucket"), F.col("row").alias("node"), F.lit(0).alias("size")))
+    classes = linkable.groupBy("same").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.first("fingerprint").alias("fingerprint"), F.min("n_chars").alias("n_chars"))
+    classes = keep(classes.select("same", F.col("first.doc_id").alias("_doc_id"), F.col("first.row").alias("row"), "fingerprint", "n_chars"), "classes")
+    shared = crowds(keep(banded(classes), "bands"))
     prints = rows.select("row", "fingerprint")
     dense = Dense(prints.withColumnRenamed("fingerprint", "payload"), str.encode, lambda one, two: likeness(one, two) >= least)
     roots = linked_within_buckets(shared, lambda pairs: alike_pairs(pairs, prints, least), dense=dense)
-    named = classes.drop("bands").join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+    named = classes.select("same", "_doc_id", "row").join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
     least_id = named.groupBy("root").agg(F.min("_doc_id").alias("class_id"))
     groups = keep(named.join(least_id, "root").select("same", "class_id"), "groups")
-    linked = rows.withColumn("same", F.when(F.col("doc_id").isNotNull(), F.col("same"))).drop("row", "bands")
+    linked = rows.withColumn("same", F.when(F.col("doc_id").isNotNull(), F.col("same"))).drop("row")
     return linked.join(groups, "same", "left").withColumn("class_id", F.coalesce("class_id", "doc_id")).drop("same")

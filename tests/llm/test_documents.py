@@ -363,3 +363,38 @@ def test_passages(spark, folder, odd_docs, no_docs, hot, monkeypatch):
     assert len(odd) == 20 and all((r["n_words"], r["n_removed"], r["kept_text"]) == want[r["doc_id"]] for r in odd if r["doc_id"] is not None)
     assert all(r["n_removed"] == 0 for r in odd if r["doc_id"] is None)
     assert substrings.drop_repeated_passages(no_docs).count() == 0
+
+
+def edited_copy(rng, text, share):
+    """The text with that share of its characters replaced, taken out or doubled."""
+    out = list(text)
+    for at in rng.integers(0, len(text), int(share * len(text))):
+        out[at] = ["x", "", out[at] * 2][at % 3]
+    return "".join(out)
+
+
+def near_texts(seed, lengths, least, most):
+    """(text, copy) for each length where one of 16 copies has a likeness from least to most."""
+    rng, pairs = np.random.default_rng(seed), []
+    for n in lengths:
+        text = "".join(rng.choice(list("abcdefghijklmnop "), n))
+        copies = [edited_copy(rng, text, share) for share in np.linspace(0.01, 0.16, 16)]
+        print_, *others = fingerprints.fingerprints([text, *copies])
+        pairs += [(text, c) for c, o in zip(copies, others) if least <= fingerprints.likeness(print_, o) < most][:1]
+    return pairs
+
+
+def linked_share(spark, pairs):
+    """The share of pairs in one class; texts that brute-force likeness keeps apart must be apart."""
+    texts = [t for pair in pairs for t in pair]
+    prints = fingerprints.fingerprints(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in fingerprints.fingerprint_documents(docs).collect()}
+    alike = {(i, j) for i in range(len(texts)) for j in range(i) if fingerprints.likeness(prints[i], prints[j]) >= 0.8}
+    assert alike == {(2 * k + 1, 2 * k) for k in range(len(pairs))}
+    assert all(got[i] == i or (i, got[i]) in alike for i in got)
+    return np.mean([got[i] == got[j] for i, j in alike])
+
+
+def test_classes_equal_brute_force_likeness(spark):
+    assert linked_share(spark, near_texts(1, [1200] * 48, 0.8, 0.88)) >= 0.95
