@@ -58,7 +58,7 @@ def band_samples(size_class: int) -> np.ndarray:
     size = 2 ** (size_class / 2)
     eligible = np.flatnonzero((_AT >= size / 4) & (_AT < 1.6 * size))
     if len(eligible) < 5:
-        eligible = np.flatnonzero(_AT < 2 * size)
+        eligible = np.flatnonzero(_AT < max(24, 2 * size))
     width = min(BAND_SAMPLES, max(1, len(eligible) // 2))
     if not len(eligible):
         return np.zeros((0, width), np.int64)
@@ -118,15 +118,18 @@ def likeness(one: bytes, two: bytes) -> float:
 
 
 def band_keys(prints: list[bytes], n_chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, text): the keys of each text's bands and the number of their text."""
+    """(keys, text): the keys of each text's bands and the number of their text.
+
+    A segment has the bands of its own and of the next larger size class, so texts on both sides of a border share some.
+    """
     grid = np.frombuffer(b"".join(prints), np.uint8).reshape(-1, SAMPLES)
     counts = np.array([len(p) // SAMPLES for p in prints], np.int64)
     text = np.repeat(np.arange(len(prints)), counts)
     segment = np.arange(len(grid)) - np.repeat(np.cumsum(counts) - counts, counts)
     size_class = (2 * np.log2(np.minimum(SEGMENT, n_chars[text] - segment * SEGMENT))).astype(np.int64)
     keys, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for c in np.unique(size_class):
-        rows = np.flatnonzero(size_class == c)
+    for c in range(int(2 * np.log2(SEGMENT)) + 1):
+        rows = np.flatnonzero((size_class == c) | (size_class == c - 1))  # alike texts are at most a class apart
         samples = band_samples(int(c))
         digits, packed = grid[rows][:, samples].astype(np.uint64), np.zeros((len(rows), len(samples)), np.uint64)
         for k in range(samples.shape[1]):

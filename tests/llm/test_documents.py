@@ -398,3 +398,15 @@ def linked_share(spark, pairs):
 
 def test_classes_equal_brute_force_likeness(spark):
     assert linked_share(spark, near_texts(1, [1200] * 48, 0.8, 0.88)) >= 0.95
+
+
+def test_bands_meet_across_lengths():
+    """Pairs on both sides of a border of size classes, and the shortest texts, share a band."""
+    rng = np.random.default_rng(2)
+    pairs = [(t, t[: n // 2] + "xy" + t[n // 2 :]) for n in (361, 511, 723, 1023, 1447, 2047) for t in ["".join(rng.choice(list("abcdefghijklmnop "), n)) for _ in range(8)]]
+    pairs += [(t, t[:-1] + "Q") for n in (12, 16, 20) for t in ["".join(rng.choice(list("abcdefghijklmnop "), n)) for _ in range(20)]]
+    one, two = (fingerprints.fingerprints([p[i] for p in pairs]) for i in (0, 1))
+    (keys, of), (others, whose) = (fingerprints.band_keys(prints, np.array([len(p[i]) for p in pairs])) for i, prints in enumerate((one, two)))
+    alike = [k for k in range(len(pairs)) if one[k] == two[k] or fingerprints.likeness(one[k], two[k]) >= 0.8]
+    assert len(alike) > 60 and min(len(pairs[k][0]) for k in alike) < 22
+    assert np.mean([bool(set(keys[of == k]) & set(others[whose == k])) for k in alike]) >= 0.99
