@@ -8,8 +8,8 @@ every shard finds the same splits without any table of them. It takes its blocks
 order, which keeps them disjoint, and shuffles what they hold.
 
 Defined cases: null text has size 0; documents of size 0 are never taken; null sources form one source, the last; null
-doc_ids are dealt like others; repeated rows count each on their own; an empty table gives no rows; other columns stay
-where asked for and never clash, since the operator's own columns are checked against them.
+doc_ids are dealt like others; repeated rows count each on their own; an empty table gives no rows; other columns of
+mixed documents are carried as one struct and may have any name; columns that mix_plan carries by themselves are checked.
 """
 
 from __future__ import annotations
@@ -159,15 +159,18 @@ def first_words(texts: pd.Series, counts: pd.Series) -> pd.Series:
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: one row a draw, with the document's columns, copy, words, shard and place.
 
-    Where a draw has fewer words than the document, its text ends after its last drawn word.
+    Where a draw has fewer words than the document, its text ends after its last drawn word, and n_chars, if there is
+    one, is counted anew.
     """
-    carry = [c for c in docs.columns if c not in ("doc_id", "source")]
-    plan = mix_plan(docs, carry=carry, **options)
-    rows = plan.select("doc_id", "source", *carry, "size", F.explode("draws").alias("_draw"))
+    whole_doc = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
+    plan = mix_plan(docs.select("doc_id", "source", "text", whole_doc), carry=["doc"], **options)
+    rows = plan.select("doc", "size", F.explode("draws").alias("_draw"))
     whole = F.col("_draw.words") >= F.col("size")
-    cut = F.pandas_udf(first_words, "string")(F.when(~whole, F.col("text")), F.col("_draw.words"))
-    rows = rows.withColumn("text", F.when(whole, F.col("text")).otherwise(cut))
-    return rows.select(*docs.columns, *(F.col(f"_draw.{c}").alias(f"mix_{c}") for c in ("copy", "words", "shard", "place")))
+    cut = F.pandas_udf(first_words, "string")(F.when(~whole, F.col("doc.text")), F.col("_draw.words"))
+    rows = rows.withColumn("_text", F.when(whole, F.col("doc.text")).otherwise(cut))
+    new = {"text": F.col("_text"), "n_chars": F.when(whole, F.col("doc.n_chars")).otherwise(F.length("_text")).cast("long") if "n_chars" in docs.columns else None}
+    columns = [(F.col(f"doc.`{c}`") if new.get(c) is None else new[c]).alias(c) for c in docs.columns]
+    return rows.select(*columns, *(F.col(f"_draw.{c}").alias(f"mix_{c}") for c in ("copy", "words", "shard", "place")))
 
 
 def write_shards(mix: DataFrame, path: str) -> None:

@@ -410,3 +410,13 @@ def test_bands_meet_across_lengths():
     alike = [k for k in range(len(pairs)) if one[k] == two[k] or fingerprints.likeness(one[k], two[k]) >= 0.8]
     assert len(alike) > 60 and min(len(pairs[k][0]) for k in alike) < 22
     assert np.mean([bool(set(keys[of == k]) & set(others[whose == k])) for k in alike]) >= 0.99
+
+
+def test_mix_documents_with_odd_columns(spark, odd_docs):
+    docs = odd_docs.withColumns({c: F.lit(1) for c in ("target", "draws", "source_size", "source_index", "_key", "_block", "doc")})
+    mix = mixing.mix_documents(docs, block=1)
+    assert mix.columns[: len(docs.columns)] == docs.columns
+    got = mix.collect()
+    assert got and all(len(r["text"].encode().split()) == r["mix_words"] and r["n_chars"] == len(r["text"]) and r["size"] == 7 and r["_row"] == "q" for r in got)
+    whole = {r["text"] for r in odd_docs.collect()}
+    assert any(r["text"] not in whole for r in got)

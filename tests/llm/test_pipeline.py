@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from quarryflow.llm import quality
 from quarryflow.llm.common import keep
@@ -35,3 +37,12 @@ def test_stages(spark):
 def test_run(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
     assert quality.SAMPLE_ROWS <= 20_000
+
+
+def test_stages_on_odd_columns(spark, odd_docs):
+    """Columns named as the operators' own end no stage."""
+    docs = odd_docs.withColumn("target", F.lit(1))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        columns, docs = docs.columns, keep(stage(spark, docs, "/root/testdata/sf0.001"), "stage")
+        assert docs.columns == columns
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001").count() >= docs.count()
