@@ -1,6 +1,8 @@
 """Licence scan by sentence rules (operator 2).
 
-A text falls into sentences at line ends and after ., ! and ?. Each sentence is normalised (ASCII lower case, "licence"
+A text falls into sentences at line ends and after ., ! and ?. Lines without a blank line or such a mark between them
+are joined where that shows a pattern that neither holds alone, so hard-wrapped and commented notices are read whole,
+and lines that each hold a pattern stay apart. Each sentence is normalised (ASCII lower case, "licence"
 as "license", everything else than letters and digits one blank) and mapped to the identifier of the first sentence
 pattern that it holds. The identifiers, in text order, are matched against ordered licence rules: each rule is a
 sequence of identifiers; where it stands it counts one finding of its licence and takes the identifiers away, so that
@@ -19,9 +21,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words of which every sentence pattern below holds one.
+#: Cues of the comparison SQL, which takes each line by itself.
 CUES = r"(?i)licen[cs]e|copyright|warrant|redistribut|permission|free software|public domain|liab|rights reserved|received a copy|published by"
 
+#: Single words of which every text with a sentence pattern holds one, however its lines are wrapped.
+WORDS = r"(?i)licen[cs]e|copyright|warrant|redistribut|permission|domain|liable|reserved|received|cc0|commons|mpl|hope|endorse"
+
 #: Sentence identifiers and their patterns over normalised sentences, in order.
 SENTENCES = (
     ("spdx_mit", r"spdx license identifier mit\b"),
@@ -114,6 +119,9 @@ RULES = (
 BREAK = r"([.!?])[ \t\n\x0B\f\r]+"
 
 
+_LINES = "array<struct<text:string,plain:string>>"
+
+
 def normalised(sentence: Column) -> Column:
     plain = F.regexp_replace(F.lower(sentence), "licence", "license")
     return F.trim(F.regexp_replace(plain, "[^a-z0-9]+", " "))
@@ -131,11 +139,31 @@ def sequence(names: tuple[str, ...]) -> str:
 def scan(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, sentences (structs of identifier and text, in order), licences (license, n)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.split(F.regexp_replace(text, BREAK, "$1\n"), "\n")
-    candidates = F.filter(lines, lambda s: s.rlike(CUES))
-    df = docs.select("doc_id", F.when(text.rlike(CUES), candidates).otherwise(F.array().cast("array<string>")).alias("_lines"))
-    named = F.transform("_lines", lambda s: F.struct(identifier(normalised(s)).alias("identifier"), s.alias("text")))
-    df = df.select("doc_id", F.filter(named, lambda s: s["identifier"].isNotNull()).alias("sentences"))
+    lines = F.split(F.regexp_replace(text, BREAK, "$1\n\n"), "\n")
+    plain = F.transform(lines, lambda s: F.struct(s.alias("text"), normalised(s).alias("plain")))
+    df = docs.select("doc_id", F.when(text.rlike(WORDS), plain).otherwise(F.array().cast(_LINES)).alias("_lines"))
+    known = lambda plain: F.when(plain.rlike(WORDS), identifier(plain))
+    df = df.select("doc_id", F.transform("_lines", lambda s: F.struct(s["text"].alias("text"), s["plain"].alias("plain"), known(s["plain"]).alias("identifier"))).alias("_lines"))
+    nothing = F.struct(F.lit("").alias("text"), F.lit("").alias("plain"), F.lit(None).cast("string").alias("identifier"))
+    done = lambda state: F.when(state["open"]["identifier"].isNotNull(), F.concat(state["found"], F.array(F.struct(state["open"]["identifier"].alias("identifier"), state["open"]["text"].alias("text"))))).otherwise(state["found"])
+
+    def add(state: Column, line: Column) -> Column:
+        """Join the line to the open sentence, or close that and open a new one."""
+        old, plain = state["open"], F.concat_ws(" ", state["open"]["plain"], line["plain"])
+        both = F.struct(F.concat_ws("\n", old["text"], line["text"]).alias("text"), plain.alias("plain"), known(plain).alias("identifier"))
+
+        def choose(joined: Column) -> Column:
+            name = joined["identifier"]
+            new = name.isNotNull() & ~name.eqNullSafe(line["identifier"]) & ~name.eqNullSafe(old["identifier"])
+            joins = new | line["identifier"].isNull()
+            closed = F.struct(done(state).alias("found"), F.struct(line["text"].alias("text"), line["plain"].alias("plain"), line["identifier"].alias("identifier")).alias("open"))
+            return F.when(joins, F.struct(state["found"].alias("found"), joined.alias("open"))).otherwise(closed)
+
+        fresh = F.struct(done(state).alias("found"), F.when(line["plain"] == "", nothing).otherwise(line).alias("open"))
+        return F.when((line["plain"] == "") | (old["plain"] == ""), fresh).otherwise(F.get(F.transform(F.array(both), choose), F.lit(0)))
+
+    start = F.struct(F.array().cast("array<struct<identifier:string,text:string>>").alias("found"), nothing.alias("open"))
+    df = df.select("doc_id", F.aggregate("_lines", start, add, done).alias("sentences"))
     df = df.withColumn("_left", F.array_join(F.transform("sentences", lambda s: F.concat(F.lit("<"), s["identifier"], F.lit(">"))), ""))
     rules = F.array(*(F.struct(F.lit(name).alias("license"), F.lit(sequence(s)).alias("pattern")) for name, s in RULES))
 

@@ -420,3 +420,78 @@ def test_mix_documents_with_odd_columns(spark, odd_docs):
     assert got and all(len(r["text"].encode().split()) == r["mix_words"] and r["n_chars"] == len(r["text"]) and r["size"] == 7 and r["_row"] == "q" for r in got)
     whole = {r["text"] for r in odd_docs.collect()}
     assert any(r["text"] not in whole for r in got)
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction.
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT
+WARRANTY OF ANY KIND, EXPRESS OR IMPLIED. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright
+   notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above
+   copyright notice."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS.
+See the License for the specific language governing permissions."""
+GPL = """This program is free software: you can redistribute it under the terms of the GNU General
+Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope
+that it will be useful.
+
+You should have received a
+copy of the GNU General Public License."""
+
+
+def test_wrapped_license_notices(spark):
+    plain = [MIT, BSD, APACHE, GPL, "This is in the public\ndomain: released into the public\ndomain", "CC0 1.0", "Creative Commons Zero", "SPDX-License-Identifier: MIT\nLicensed under the Apache License, Version 2.0", "My project\nCopyright (c) 2020 Me\nAll rights reserved"]
+    want = ["MIT", "BSD-2-Clause", "Apache-2.0", "GPL-3.0-or-later", "Public-Domain", "CC0-1.0", "CC0-1.0", "Apache-2.0,MIT", "All-Rights-Reserved"]
+    texts = [mark + t.replace("\n", "\n" + mark) for mark in ("", "# ", " * ", "// ") for t in plain]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["licenses"], r["n_licenses"], r["n_unmatched"]) for r in licenses.digest(licenses.scan(docs)).collect()}
+    names = [w for _ in range(4) for w in want]
+    assert got == {i: (name, 1 + name.count(","), 0) for i, name in enumerate(names)}
+
+
+def test_license_words_cover_every_pattern():
+    """The shortest texts of each way through a pattern hold a word of the pre-filter."""
+    from re import _parser
+
+    def ways(items):
+        out = [""]
+        for kind, value in items:
+            kind = str(kind)
+            if kind == "LITERAL":
+                more = [chr(value)]
+            elif kind == "SUBPATTERN":
+                more = ways(value[-1])
+            elif kind == "BRANCH":
+                more = [w for branch in value[1] for w in ways(branch)]
+            elif kind == "MAX_REPEAT":
+                more = [w * value[0] for w in ways(value[2])] if value[0] else [""]
+            elif kind == "IN":
+                more = ["0"]
+            else:
+                assert kind == "AT"
+                more = [""]
+            out = [a + b for a in out for b in more]
+        return out
+
+    assert all(re.search(licenses.WORDS, w) for _, p in licenses.SENTENCES for w in ways(_parser.parse(p)))
