@@ -495,3 +495,22 @@ def test_license_words_cover_every_pattern():
         return out
 
     assert all(re.search(licenses.WORDS, w) for _, p in licenses.SENTENCES for w in ways(_parser.parse(p)))
+
+
+def test_lines_share_keys_by_edit_similarity():
+    """Recall of the keys against all pairs by edit similarity alone."""
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefghijkl"), int(rng.integers(3, 9))))
+    found = defaultdict(list)
+    for n in (1, 2, 5, 10, 20, 30, 40):
+        for _ in range(60):
+            line = [word() for _ in range(n)]
+            copy = list(line)
+            for at in rng.choice(n, max(1, n // 6), replace=False):
+                copy[at] = word() if n >= 5 else copy[at][:-1] + "z"
+            a, b = " ".join(line), " ".join(copy)
+            if a != b and levenshtein(a, b) <= max(len(a), len(b)) * 20 // 100:
+                one, two = lines.simhash_blocks([line, ["other"], copy])[[0, 2]]
+                found[n].append((one == two).any())
+    assert min(map(len, found.values())) >= 10
+    assert all(np.mean(found[n]) >= 0.95 for n in found if n >= 5) and np.mean(found[1] + found[2]) >= 0.9
