@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarryflow.llm.common import keep
+from quarryflow.llm.common import keep, tidy
 
 
+@tidy
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of edges (a, b): root is the smallest node that can be reached.
 
@@ -28,21 +28,45 @@ def components(edges: DataFrame) -> DataFrame:
         while True:
             ends = links.where("node <> root").select(F.col("node").alias("_at"), F.col("root").alias("_next"))
             longer = links.join(ends, F.col("root") == F.col("_at"), "left")
-            links = keep(longer.select("node", F.coalesce("_next", "root").alias("root"), F.col("_next").isNotNull().alias("_moved")), "links")
-            moved = not links.where("_moved").isEmpty()
-            links = links.drop("_moved")
-            if not moved:
+            links = keep(longer.select("node", F.coalesce("_next", "root").alias("root"), F.col("_next").isNotNull().alias("moved")), "links")
+            if links.where("moved").isEmpty():
                 break
         before = roots
         if roots is None:
-            roots = links
+            roots = keep(links.select("node", "root"), "roots")
         else:
             ends = links.select(F.col("node").alias("_at"), F.col("root").alias("_next"))
             roots = keep(before.join(ends, F.col("root") == F.col("_at"), "left").select("node", F.coalesce("_next", "root").alias("root")), "roots")
         one = links.select(F.col("node").alias("a"), F.col("root").alias("_a"))
         two = links.select(F.col("node").alias("b"), F.col("root").alias("_b"))
         edges = keep(edges.join(one, "a").join(two, "b").where("_a <> _b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct(), "edges")
-    return roots if roots is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return roots if roots is not None else keep(edges.select(F.col("a").alias("node"), F.col("b").alias("root")), "roots")
+
+
+@tidy
+def extended(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """roots, as components() gives them, with further links (a, b): only what the links join is worked out anew."""
+    if roots is None:
+        return components(links)
+    ends = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"_{c}"))
+    mapped = links.join(ends("a"), "a", "left").join(ends("b"), "b", "left")
+    more = components(mapped.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")))
+    old = roots.join(more.select(F.col("node").alias("_at"), F.col("root").alias("_next")), F.col("root") == F.col("_at"), "left")
+    new = more.join(roots.select("node"), "node", "left_anti")
+    return keep(old.select("node", F.coalesce("_next", "root").alias("root")).union(new.select("node", "root")), "roots")
+
+
+def with_contents(pairs: DataFrame, content: DataFrame, fan: int = 64) -> DataFrame:
+    """pairs (a, b) with content_a and content_b, from content (node, content).
+
+    One node can be in very many pairs. Its pairs are dealt to one part for each fan of them, and its content is
+    repeated for each part, so no task gets all pairs of a node.
+    """
+    parts = keep(pairs.groupBy("a").agg(F.ceil(F.count("*") / fan).cast("int").alias("_parts")), "parts")
+    dealt = pairs.join(parts, "a").withColumn("_part", F.pmod(F.xxhash64("b"), "_parts").cast("int")).drop("_parts")
+    one = content.join(parts, F.col("node") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), F.col("content").alias("content_a"))
+    two = content.select(F.col("node").alias("b"), F.col("content").alias("content_b"))
+    return dealt.join(two, "b").join(one, ["a", "_part"]).select("a", "b", "content_a", "content_b")
 
 
 def crowds(members: DataFrame) -> DataFrame:
@@ -51,6 +75,7 @@ def crowds(members: DataFrame) -> DataFrame:
     return keep(members.join(counts, "bucket").select("bucket", "node", "size", "n"), "crowds")
 
 
+@tidy
 def linked_within_buckets(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: Callable[[str, str], Column] | None = None, dense: Dense | None = None) -> DataFrame:
     """(node, root) of the components that verified links between members of common buckets make.
 
@@ -63,21 +88,20 @@ def linked_within_buckets(shared: DataFrame, verify: Callable[[DataFrame], DataF
     either compared or already connected. With dense, large buckets of that kind are compared by blocks.
     """
     fits = fits or (lambda a, b: F.lit(True))
-    links, tested = [], []
+    tested = []
 
-    def grown(pairs: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    def grown(roots: DataFrame | None, pairs: DataFrame, more: DataFrame | None = None) -> DataFrame:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         for old in tested:
             pairs = pairs.join(old, ["a", "b"], "left_anti")
         pairs = keep(pairs, "pairs")
         tested.append(pairs)
         found = verify(pairs).select("a", "b")
-        links.append(keep(found.union(more) if more is not None else found, "links"))
-        return components(reduce(DataFrame.union, links))
+        return extended(roots, keep(found.union(more) if more is not None else found, "links"))
 
     pivots = shared.groupBy("bucket").agg(F.min("node").alias("pivot"), F.min_by("size", "node").alias("pivot_size"))
     first = shared.join(pivots, "bucket").where("node <> pivot").where(fits("size", "pivot_size"))
-    roots = grown(first.select(F.col("node").alias("a"), F.col("pivot").alias("b")))
+    roots = grown(None, first.select(F.col("node").alias("a"), F.col("pivot").alias("b")))
 
     for full in (False, True):
         named = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -85,24 +109,27 @@ def linked_within_buckets(shared: DataFrame, verify: Callable[[DataFrame], DataF
         mixed = by_root.groupBy("bucket").agg(F.count("*").alias("_roots"), F.max(F.struct("_n", "root", "_pick")).alias("_most")).where("_roots > 1")
         mixed = mixed.select("bucket", F.col("_most.root").alias("_main"), F.col("_most._pick.node").alias("_pivot"), F.col("_most._pick.size").alias("_size"))
         open_ones = keep(named.join(mixed, "bucket"), "open")
+        if open_ones.isEmpty():
+            break
         if full:
             large = None
             if dense is not None:
-                large = linked_in_blocks(open_ones.where(F.col("n") > dense.least), dense)
+                crowded = open_ones.where(F.col("n") > dense.least)
+                large = None if crowded.isEmpty() else linked_in_blocks(crowded, dense)
                 open_ones = open_ones.where(F.col("n") <= dense.least)
             others = open_ones.select("bucket", F.col("node").alias("_node"), F.col("size").alias("_other"), F.col("root").alias("_root"))
             pairs = open_ones.where("root <> _main").join(others, "bucket").where((F.col("root") != F.col("_root")) & ((F.col("_root") == F.col("_main")) | (F.col("node") < F.col("_node"))))
             pairs = pairs.where(fits("size", "_other")).select(F.col("node").alias("a"), F.col("_node").alias("b"))
-            roots = grown(pairs, large)
+            roots = grown(roots, pairs, large)
         else:
             pairs = open_ones.where("root <> _main").where(fits("size", "_size")).select(F.col("node").alias("a"), F.col("_pivot").alias("b"))
-            roots = grown(pairs)
+            roots = grown(roots, pairs)
     return roots
 
 
 @dataclass
 class Dense:
-    """How to compare the members of large buckets: content (row, payload), and a test of two prepared payloads."""
+    """How to compare the members of large buckets: content (node, content), and a test of two prepared contents."""
 
     content: DataFrame
     prepare: Callable
@@ -121,7 +148,7 @@ def linked_in_blocks(members: DataFrame, dense: Dense) -> DataFrame:
     """
     clusters = components(members.select(F.col("node").alias("a"), F.col("_pivot").alias("b")))
     nodes = members.select("node", "root").distinct().join(clusters.withColumnRenamed("root", "cluster"), "node")
-    nodes = keep(nodes.join(dense.content.withColumnRenamed("row", "node"), "node"), "dense")
+    nodes = keep(nodes.join(dense.content, "node"), "dense")
     by_root = nodes.groupBy("cluster", "root").agg(F.count("*").alias("n"))
     totals = by_root.groupBy("cluster").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most"))
     shape = totals.select(
@@ -133,7 +160,7 @@ def linked_in_blocks(members: DataFrame, dense: Dense) -> DataFrame:
     nodes = nodes.join(shape, "cluster").withColumn("rest", F.col("root") != F.col("main"))
     deal = lambda k: F.pmod(F.xxhash64("node"), F.col(k)).cast("int")
     each = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
-    columns = ["cluster", "block", "part", "node", "root", "rest", "payload"]
+    columns = ["cluster", "block", "part", "node", "root", "rest", "content"]
     held = nodes.withColumn("block", deal("blocks")).withColumn("part", each("parts")).select(*columns)
     asks = nodes.where("rest").withColumn("part", deal("parts")).withColumn("block", each("blocks")).select(*columns).toDF(*columns)  # columns of its own
     prepare, linked = dense.prepare, dense.linked
@@ -141,9 +168,9 @@ def linked_in_blocks(members: DataFrame, dense: Dense) -> DataFrame:
     def compare(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(one) and len(two):
-            theirs = list(zip(two["node"].tolist(), two["root"].tolist(), two["rest"].tolist(), map(prepare, two["payload"]), strict=True))
-            for a, root, content in zip(one["node"].tolist(), one["root"].tolist(), map(prepare, one["payload"]), strict=True):
-                rows += [(a, b) for b, other, rest, payload in theirs if other != root and not (rest and b < a) and linked(content, payload)]
+            theirs = list(zip(two["node"].tolist(), two["root"].tolist(), two["rest"].tolist(), map(prepare, two["content"]), strict=True))
+            for a, root, mine in zip(one["node"].tolist(), one["root"].tolist(), map(prepare, one["content"]), strict=True):
+                rows += [(a, b) for b, other, rest, yours in theirs if other != root and not (rest and b < a) and linked(mine, yours)]
         return pd.DataFrame(rows, columns=["a", "b"], dtype="int64")
 
     key = ["cluster", "block", "part"]

@@ -38,7 +38,7 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = lines.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = lines.dedup_lines(read_table(spark, sf_dir, "documents"), stored=True)
     return kept.select("doc.doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
