@@ -97,7 +97,7 @@ def numbered(docs: DataFrame, stored: bool = False) -> DataFrame:
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
     if not stored or "_metadata" in {c.lower() for c in docs.columns}:
         return keep(docs.select(whole, F.monotonically_increasing_id().alias("row")), "documents")
-    files = sorted(docs.inputFiles())
+    files = sorted(r["p"] for r in docs.select(F.col("_metadata.file_path").alias("p")).distinct().collect())  # Spark's driver lists them anyway
     names = docs.sparkSession.createDataFrame(list(enumerate(files)), "_file long, _path string")
     if len(files) <= BROADCAST_FILES:
         names = F.broadcast(names)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryflow.llm.common import keep, small
-from quarryflow.llm.components import Dense, crowds, linked_within_buckets
+from quarryflow.llm.components import Dense, crowds, linked_within_buckets, with_contents
 from quarryflow.llm.minhash import mixed
 
 SEGMENT = 2048
@@ -253,17 +253,15 @@ def describe(docs: DataFrame, chunk: int = 512) -> DataFrame:
 
 
 def alike_pairs(pairs: DataFrame, prints: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose fingerprints have at least this likeness. prints: (row, fingerprint)."""
-    of = lambda c: prints.select(F.col("row").alias(c), F.col("fingerprint").alias(f"print_{c}"))
-    both = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "print_a", "print_b")
+    """The pairs (a, b) whose fingerprints have at least this likeness. prints: (node, content)."""
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one, two = (batch.column(c).to_pylist() for c in ("print_a", "print_b"))
+            one, two = (batch.column(c).to_pylist() for c in ("content_a", "content_b"))
             good = pa.array([likeness(x.encode(), y.encode()) >= least for x, y in zip(one, two, strict=True)], pa.bool_())
             yield batch.select(["a", "b"]).filter(good)
 
-    return both.mapInArrow(confirm, "a long, b long")
+    return with_contents(pairs, prints).mapInArrow(confirm, "a long, b long")
 
 
 def fingerprint_documents(docs: DataFrame, least: float = 0.8) -> DataFrame:
@@ -273,8 +271,8 @@ def fingerprint_documents(docs: DataFrame, least: float = 0.8) -> DataFrame:
     classes = linkable.groupBy("same").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.first("fingerprint").alias("fingerprint"), F.min("n_chars").alias("n_chars"))
     classes = keep(classes.select("same", F.col("first.doc_id").alias("_doc_id"), F.col("first.row").alias("row"), "fingerprint", "n_chars"), "classes")
     shared = crowds(keep(banded(classes), "bands"))
-    prints = rows.select("row", "fingerprint")
-    dense = Dense(prints.withColumnRenamed("fingerprint", "payload"), str.encode, lambda one, two: likeness(one, two) >= least)
+    prints = classes.select(F.col("row").alias("node"), F.col("fingerprint").alias("content"))
+    dense = Dense(prints, str.encode, lambda one, two: likeness(one, two) >= least)
     roots = linked_within_buckets(shared, lambda pairs: alike_pairs(pairs, prints, least), dense=dense)
     named = classes.select("same", "_doc_id", "row").join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
     least_id = named.groupBy("root").agg(F.min("_doc_id").alias("class_id"))

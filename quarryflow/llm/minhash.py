@@ -4,10 +4,8 @@ A sketch has t coordinates. Round i < t throws each element into one random bin
 2t - 1 throw every element into bin i - t. A coordinate is the least (round, value) that fell into it, and the rounds
 end when every bin is full, so a long document needs one or two rounds and a short one still fills all coordinates. A
 coordinate of two sets agrees with probability equal to their Jaccard similarity, and the share of agreeing coordinates
-is concentrated around it. 32 bands of 4 coordinates bring a pair of similarity 0.8 together but for a chance of 5 in
-100 million. Bands that more than CROWD documents share mostly come from a passage in otherwise different texts; their
-documents are banded anew by REFINED random choices of 8 coordinates, which such texts rarely share, while a pair of
-similarity 0.8 misses all of them with a chance of 4 in 10 million. Pairs from bands are confirmed on the full sets.
+is concentrated around it. BANDS choices of ROWS coordinates each bring a pair of similarity 0.8 together but for a chance
+of 5 in a million, and texts with only a passage in common rarely. Pairs from bands are confirmed on the full sets.
 
 Documents with equal words are one class from the start, so copies, however many, are one node. Links within a bucket
 are found as components.linked_within_buckets says.
@@ -20,7 +18,7 @@ copies of each other; an empty table gives no rows; other columns are untouched
 from __future__ import annotations
 
 from collections import OrderedDict
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -30,19 +28,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from quarryflow.llm.common import keep, text_bytes
-from quarryflow.llm.components import Dense, crowds, linked_within_buckets
+from quarryflow.llm.common import keep, numbered, text_bytes, tidy
+from quarryflow.llm.components import Dense, crowds, linked_within_buckets, with_contents
 
-BANDS, ROWS = 32, 4
-COORDINATES = BANDS * ROWS
-#: A band shared by more documents is refined.
+COORDINATES = 128
+BANDS, ROWS = 40, 6
+#: Buckets of more members that stay apart are compared by blocks.
 CROWD = 16
-REFINED, REFINED_ROWS = 80, 8
 _BITS = COORDINATES.bit_length() - 1
 _U = np.uint64
 _SEEDS = np.random.default_rng(1).integers(1, 2**63, 2 * COORDINATES, dtype=np.uint64)
-_BAND_SEEDS = np.random.default_rng(2).integers(1, 2**63, BANDS, dtype=np.uint64)
-_CHOICES = np.stack([np.random.default_rng([3, i]).choice(COORDINATES, REFINED_ROWS, replace=False) for i in range(REFINED)])
+_CHOICES = np.stack([np.random.default_rng([3, i]).choice(COORDINATES, ROWS, replace=False) for i in range(BANDS)])
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -95,12 +91,7 @@ def folded(filled: np.ndarray) -> bytes:
 
 def band_keys(sketches: np.ndarray) -> np.ndarray:
     """(documents, COORDINATES) folded sketches to (documents, BANDS) keys."""
-    return mixed(np.ascontiguousarray(sketches).view(np.uint64) ^ _BAND_SEEDS).view(np.int64)
-
-
-def refined_keys(sketches: np.ndarray) -> np.ndarray:
-    """(documents, REFINED) keys of 8 coordinates each."""
-    total = np.arange(REFINED, dtype=np.uint64)[None, :] + _U(1)
+    total = np.arange(BANDS, dtype=np.uint64)[None, :] + _U(1)
     for column in _CHOICES.T:
         total = mixed(total * _U(0x9E3779B97F4A7C15) + sketches[:, column])
     return total.view(np.int64)
@@ -122,24 +113,22 @@ def signature(text: Column, k: int) -> Column:
     return sign(text)
 
 
-def banded(classes: DataFrame, keys: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+def banded(classes: DataFrame) -> DataFrame:
     """(bucket, node, size): one row for each key of each class's sketch. classes: (row, size, sketch)."""
 
     def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                buckets = keys(np.frombuffer(b"".join(part.column("sketch").to_pylist()), "<u2").reshape(-1, COORDINATES))
-                node, size = (np.repeat(part.column(c).to_numpy(), buckets.shape[1]) for c in ("row", "size"))
+                buckets = band_keys(np.frombuffer(b"".join(part.column("sketch").to_pylist()), "<u2").reshape(-1, COORDINATES))
+                node, size = (np.repeat(part.column(c).to_numpy(), BANDS) for c in ("row", "size"))
                 yield pa.RecordBatch.from_arrays([pa.array(buckets.ravel()), pa.array(node), pa.array(size)], names=["bucket", "node", "size"])
 
     return classes.select("row", "size", "sketch").mapInArrow(band, "bucket long, node long, size long")
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union on full sets. texts: (row, text)."""
-    of = lambda c: texts.select(F.col("row").alias(c), F.col("text").alias(f"text_{c}"))
-    both = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "text_a", "text_b")
+    """The pairs (a, b) with 100 * intersection >= percent * union on full sets. texts: (node, content)."""
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: OrderedDict[int, set] = OrderedDict()
@@ -148,37 +137,35 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> D
             good = []
             for i, row in enumerate(a):
                 if row not in known:
-                    known[row] = shingles(shingle_words(batch.column("text_a")[i].as_py()), k)
+                    known[row] = shingles(shingle_words(batch.column("content_a")[i].as_py()), k)
                     if len(known) > 32:
                         known.popitem(last=False)
-                one, two = known[row], shingles(shingle_words(batch.column("text_b")[i].as_py()), k)
+                one, two = known[row], shingles(shingle_words(batch.column("content_b")[i].as_py()), k)
                 common = len(one & two)
                 if 100 * common >= percent * (len(one) + len(two) - common):
                     good.append(i)
             yield pa.RecordBatch.from_pydict({"a": [a[i] for i in good], "b": [b[i] for i in good]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
-    return both.mapInArrow(confirm, "a long, b long")
+    return with_contents(pairs, texts).mapInArrow(confirm, "a long, b long")
 
 
-def group_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One row a document: doc (struct of all columns of docs), doc_id, n_shingles, component_id and first.
+@tidy
+def document_groups(rows: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """row, doc_id, n_shingles, component_id and first of each of rows (row, doc_id, text), kept.
 
-    component_id is the smallest doc_id of the document's group; first marks exactly one row of each group.
+    rows are the same at each reading (common.numbered). component_id is the smallest doc_id of the document's group;
+    first marks exactly one row of each group.
     """
-    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.monotonically_increasing_id().alias("row"))
-    rows = own.select("doc", "row", signature(F.col("doc.text"), k).alias("s"))
-    rows = keep(rows.select("doc", "row", F.col("doc.doc_id").alias("doc_id"), "s.n_shingles", "s.words", "s.sketch"), "signed")
+    signed = rows.select("row", "doc_id", signature(F.col("text"), k).alias("s"))
+    signed = keep(signed.select("row", "doc_id", "s.n_shingles", "s.words", "s.sketch"), "signed")
 
-    linkable = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
+    linkable = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = linkable.groupBy("words").agg(F.min(F.struct("doc_id", "row")).alias("least"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("size"))
     classes = keep(classes.select("words", F.col("least.doc_id").alias("doc_id"), F.col("least.row").alias("row"), "sketch", "size"), "classes")
 
-    shared = crowds(keep(banded(classes, band_keys), "bands"))
-    in_crowd = shared.where(F.col("n") > CROWD).select(F.col("node").alias("row")).distinct()
-    refined = crowds(banded(classes.join(in_crowd, "row", "left_semi"), refined_keys))
-    shared = shared.where(F.col("n") <= CROWD).union(refined)
+    shared = crowds(banded(classes))
     wanted = shared.select(F.col("node").alias("row")).distinct()
-    texts = keep(rows.select("row", F.col("doc.text").alias("text")).join(wanted, "row", "left_semi"), "texts")
+    texts = keep(rows.select("row", "text").join(wanted, "row", "left_semi").toDF("node", "content"), "texts")
 
     def linked(one: set, two: set) -> bool:
         if 100 * min(len(one), len(two)) < percent * max(len(one), len(two)):
@@ -186,17 +173,26 @@ def group_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         common = len(one & two)
         return 100 * common >= percent * (len(one) + len(two) - common)
 
-    dense = Dense(texts.withColumnRenamed("text", "payload"), lambda text: shingles(shingle_words(text), k), linked, CROWD)
+    dense = Dense(texts, lambda text: shingles(shingle_words(text), k), linked, CROWD)
     roots = linked_within_buckets(shared, lambda pairs: similar_pairs(pairs, texts, k, percent), lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b), dense)
     named = classes.select("words", "doc_id", "row").join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
     least = named.groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("least"))
     groups = keep(named.join(least, "root").select("words", F.col("least.doc_id").alias("component_id"), F.col("least.row").alias("_first")), "groups")
 
-    linked = rows.drop("sketch").withColumn("_words", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("words")))
-    out = linked.join(groups.withColumnRenamed("words", "_words"), "_words", "left")
-    return out.select("doc", "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), (F.coalesce("_first", "row") == F.col("row")).alias("first"))
+    ids = signed.drop("sketch").withColumn("words", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("words")))
+    out = ids.join(groups, "words", "left")
+    first = F.coalesce("_first", "row") == F.col("row")
+    return keep(out.select("row", "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), first.alias("first")), "near")
+
+
+def group_documents(docs: DataFrame, k: int = 5, percent: int = 80, stored: bool = False) -> DataFrame:
+    """One row a document: doc_id, n_shingles, component_id and first, as document_groups gives them."""
+    rows = numbered(docs, stored)
+    return document_groups(rows.select("row", F.col("doc.doc_id").alias("doc_id"), F.col("doc.text").alias("text")), k, percent)
 
 
-def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, stored: bool = False) -> DataFrame:
     """One document of each group, the one with the smallest doc_id, with its columns."""
-    return group_documents(docs, k, percent).where("first").select("doc.*")
+    rows = numbered(docs, stored)
+    groups = document_groups(rows.select("row", F.col("doc.doc_id").alias("doc_id"), F.col("doc.text").alias("text")), k, percent)
+    return rows.join(groups.where("NOT first").select("row"), "row", "left_anti").select("doc.*")

@@ -16,7 +16,7 @@ def word_bpe_path() -> str:
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = minhash.group_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text"), k=2, percent=80)
+    groups = minhash.group_documents(read_table(spark, sf_dir, "documents"), k=2, percent=80, stored=True)
     return groups.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
@@ -33,8 +33,8 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = mixing.mix_plan(read_table(spark, sf_dir, "documents"))
-    return plan.select("doc_id", "size", "source_size", "target", mixing.words_taken().alias("taken"))
+    plan = mixing.mix_plan(read_table(spark, sf_dir, "documents"), stored=True)
+    return plan.select("doc_id", "size", "source_size", "target", mixing.words_taken().alias("taken"), "draws")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
