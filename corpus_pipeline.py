@@ -1,7 +1,7 @@
 """A corpus pipeline of five operators: quality, line dedup, near-duplicates, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept. Between stages run() writes
-Parquet to the shared scratch folder and reads it back.
+Parquet to the shared scratch folder and reads it back, so the stages' docs are files read as they are.
 
 The mix repeats documents of sources that weigh more than they hold, so doc_ids recur from there on; a document that
 the mix takes in part ends after its last word taken. The last stage returns packed pieces of token sequences.
@@ -23,22 +23,22 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that another line, equal or similar, already stands for."""
-    return lines.drop_repeated_lines(docs)
+    return lines.drop_repeated_lines(docs, stored=True)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates on five-word shingles."""
-    return minhash.drop_near_duplicates(docs)
+    return minhash.drop_near_duplicates(docs, stored=True)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each draw of the mix as one document, with the columns of documents."""
-    return mixing.mix_documents(docs).select(*docs.columns)
+    """Each draw of the mix as one document, with the columns of documents, in the mix's shards and their order."""
+    return mixing.in_shards(mixing.drawn_documents(docs, stored=True)).select("doc.*")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens with their places in the packed sequences."""
-    return packing.pack_documents(docs, word_bpe_path())
+    """Pieces of at most 2048 tokens with their ids and their places in the packed sequences."""
+    return packing.pack_documents(docs, word_bpe_path(), ids=True)
 
 
 STAGES = [
