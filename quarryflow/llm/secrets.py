@@ -15,6 +15,7 @@ repeated rows, null doc_ids and empty tables pass through; other columns are ign
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -30,54 +31,76 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 ALLOWED = (r"^[A-Za-z/_=+-]*$", r"^[0-9/_=+-]*$", r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$", r"(?i)example|placeholder|changeme|dummy|xxxx|0000000000|1234567890")
 
 WINDOW = 20
+#: Matches placed in one pass.
+CHUNK = 512
 #: Least bits a character in some window.
 LEAST_HEX = 3.05
 LEAST_MIXED = 3.75
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_mixed")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once however often use names it: inside a lambda, a name is a reference."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def matches(text: Column, pattern: str, group: int = 0, least: int = 0) -> Column:
-    """array<struct<start,end,value>> of a pattern's leftmost, non-overlapping matches; group must have least characters."""
+    """array<struct<start,end,value>> of a pattern's leftmost, non-overlapping matches; group must have least characters.
+
+    Matches are placed in chunks of CHUNK, whose starts follow from the lengths of the chunks before: appending to one
+    array copies it, so a single pass over n matches would copy n * n / 2 of them.
+    """
     p = F.lit(pattern)
-    found, gaps = F.regexp_extract_all(text, p, F.lit(0)), F.split(text, pattern, -1)
-    values = F.regexp_extract_all(text, p, F.lit(group)) if group else found
-    rows = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("found"), values.alias("value"))
     empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
 
+    def rows(found: Column) -> Column:
+        values = F.regexp_extract_all(text, p, F.lit(group)) if group else found
+        return F.transform(F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(found)).alias("gap"), found.alias("found"), values.alias("value")), lambda r: F.struct(F.length(r["gap"]).alias("gap"), F.length(r["found"]).alias("size"), r["value"].alias("value")))
+
     def step(state: Column, row: Column) -> Column:
-        start = state["at"] + F.length(row["gap"])
-        end = start + F.length(row["found"])
+        start = state["at"] + row["gap"]
+        end = start + row["size"]
         one = F.array(F.struct(start.alias("start"), end.alias("end"), row["value"].alias("value")))
         return F.struct(end.alias("at"), F.concat(state["spans"], F.when(F.length(row["value"]) >= least, one).otherwise(empty)).alias("spans"))
 
-    spans = F.aggregate(rows, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda state: state["spans"])
+    def chunk_starts(chunks: Column) -> Column:
+        sizes = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda n, r: n + r["gap"] + r["size"]))
+        return F.aggregate(sizes, F.array(F.lit(0)), lambda starts, n: F.concat(starts, F.array(F.element_at(starts, -1) + n)))
+
+    def placed(chunks: Column) -> Column:
+        spans = F.transform(F.arrays_zip(chunks.alias("chunk"), chunk_starts(chunks).alias("start")), lambda c: F.aggregate(F.coalesce(c["chunk"], F.array().cast("array<struct<gap:int,size:int,value:string>>")), F.struct(c["start"].alias("at"), empty.alias("spans")), step, lambda state: state["spans"]))
+        return F.flatten(spans)
+
+    chunked = lambda r: F.transform(F.sequence(F.lit(0), F.floor((F.size(r) - 1) / CHUNK).cast("int")), lambda c: F.slice(r, c * CHUNK + 1, F.lit(CHUNK)))
+    spans = let(F.regexp_extract_all(text, p, F.lit(0)), lambda found: let(rows(found), lambda r: let(chunked(r), placed)))
     return F.when(text.rlike(pattern), spans).otherwise(empty)
 
 
 def most_entropy(value: Column, window: int = WINDOW) -> Column:
     """The largest entropy, in bits a character, of the windows of a string of at least window characters.
 
-    The state holds the counts of the string's distinct characters and the sum of count * log2(count).
+    The state holds the counts of the string's distinct characters and the sum of count * log2(count); a step takes one
+    character in and one out, so the cost is linear in the string's length.
     """
-    weight = F.array(*(F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 1)))
-    letters = F.split(value, "")
-    kinds = F.array_distinct(letters)
-
-    def step(state: Column, i: Column) -> Column:
-        enters = F.get(letters, i)
-        leaves = F.when(i >= window, F.get(letters, i - window))
-        same = F.coalesce(enters == leaves, F.lit(False))
-        entered = F.get(state["counts"], F.array_position(kinds, enters).cast("int") - 1)
-        left = F.get(state["counts"], F.array_position(kinds, leaves).cast("int") - 1)
-        gained = F.get(weight, entered + 1) - F.get(weight, entered)
-        lost = F.coalesce(F.get(weight, left) - F.get(weight, left - 1), F.lit(0.0))
-        total = F.when(same, state["total"]).otherwise(state["total"] + gained - lost)
-        counts = F.transform(F.arrays_zip(kinds.alias("kind"), state["counts"].alias("count")), lambda x: x["count"] + (x["kind"] == enters).cast("int") - F.coalesce((x["kind"] == leaves).cast("int"), F.lit(0)))
-        bits = F.when(i >= window - 1, F.lit(math.log2(window)) - total / window).otherwise(0.0)
-        return F.struct(counts.alias("counts"), total.alias("total"), F.greatest(state["most"], bits).alias("most"))
-
-    start = F.struct(F.transform(kinds, lambda _: F.lit(0)).alias("counts"), F.lit(0.0).alias("total"), F.lit(0.0).alias("most"))
-    return F.aggregate(F.sequence(F.lit(0), F.size(letters) - 1), start, step, lambda state: state["most"])
+
+    def folded(letters: Column, kinds: Column, weight: Column) -> Column:
+        def step(state: Column, i: Column) -> Column:
+            return let(F.struct(F.get(letters, i).alias("enters"), F.when(i >= window, F.get(letters, i - window)).alias("leaves")), lambda x: moved(state, i, x["enters"], x["leaves"]))
+
+        def moved(state: Column, i: Column, enters: Column, leaves: Column) -> Column:
+            same = F.coalesce(enters == leaves, F.lit(False))
+            entered = F.get(state["counts"], F.array_position(kinds, enters).cast("int") - 1)
+            left = F.get(state["counts"], F.array_position(kinds, leaves).cast("int") - 1)
+            gained = F.get(weight, entered + 1) - F.get(weight, entered)
+            lost = F.coalesce(F.get(weight, left) - F.get(weight, left - 1), F.lit(0.0))
+            counts = F.zip_with(kinds, state["counts"], lambda kind, n: n + (kind == enters).cast("int") - F.coalesce((kind == leaves).cast("int"), F.lit(0)))
+            return let(F.when(same, state["total"]).otherwise(state["total"] + gained - lost), lambda total: F.struct(F.when(same, state["counts"]).otherwise(counts).alias("counts"), total.alias("total"), F.greatest(state["most"], F.when(i >= window - 1, F.lit(math.log2(window)) - total / window).otherwise(0.0)).alias("most")))
+
+        start = F.struct(F.transform(kinds, lambda _: F.lit(0)).alias("counts"), F.lit(0.0).alias("total"), F.lit(0.0).alias("most"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(letters) - 1), start, step, lambda state: state["most"])
+
+    weights = F.array(*(F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 1)))
+    return let(F.split(value, ""), lambda letters: let(F.array_distinct(letters), lambda kinds: let(weights, lambda weight: folded(letters, kinds, weight))))
 
 
 def scan(docs: DataFrame) -> DataFrame:
