@@ -78,7 +78,7 @@ def tidy(function: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
             result = function(*args, **options)
         finally:
             _made.reset(token)
-        for kept in made:
+        for kept in made:  # those that have been discarded before are gone already, which does no harm
             if kept.kept_at != result.kept_at:
                 discard(kept)
             elif outer is not None:

@@ -55,7 +55,7 @@ def op9_adaptive_scan_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = substrings.drop_repeated_passages(read_table(spark, sf_dir, "documents"))
+    kept = substrings.drop_repeated_passages(read_table(spark, sf_dir, "documents"), stored=True)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 

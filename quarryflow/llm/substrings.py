@@ -1,7 +1,7 @@
 """Removal of passages that an earlier document has, by repeated-phrase automata (operator 10).
 
-A window is WINDOW consecutive words. Of its word 4-grams the one with the least hash is its anchor, so equal windows
-have equal anchors wherever they stand, and about one position in six is an anchor. The search goes:
+A window is WINDOW consecutive words. Of its word 6-grams the one with the least hash is its anchor, so equal windows
+have equal anchors wherever they stand, and some two positions in nine are anchors. The search goes:
 
 1. anchors that several documents have are found by an aggregation (least and greatest doc_id);
 2. around each such anchor, the stretch of words whose windows it anchors is cut out, and equal stretches become one;
@@ -24,7 +24,6 @@ an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
@@ -34,23 +33,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from quarryflow.llm.common import discard, keep, words_of
+from quarryflow.llm.common import discard, keep, numbered, tidy, words_of
 from quarryflow.llm.minhash import mixed
 
 WINDOW = 13
-GRAM = 4
+#: Longer grams recur by chance less often, which keeps later steps in proportion; they also make more anchors.
+GRAM = 6
 HOT = 256
 #: Distinct stretches a shard, on average.
 SHARD = 4096
 
 
-@lru_cache(1)
-def _zstd():
-    import zstandard
-
-    return zstandard.ZstdCompressor(3), zstandard.ZstdDecompressor()
-
-
 def anchors(words: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows with the same anchor: first window of each run, the next run's first, and the anchor's hash."""
     h = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
@@ -64,52 +57,35 @@ def anchors(words: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.nd
     return first, np.append(first[1:], len(views)), grams[at[first]].view(np.int64)
 
 
-def read_words(docs: DataFrame) -> DataFrame:
-    """One row a document: doc_id, row, n_words, words (digest), packed (compressed words)."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = _zstd()[0].compress
-        for batch in batches:
-            counts, digests, packed = [], [], []
-            for text in batch.column("text"):
-                words = words_of(text.as_py())
-                whole = b" ".join(words)
-                counts.append(len(words))
-                digests.append(blake2b(whole, digest_size=16).digest())
-                packed.append(pack(whole))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(packed, pa.binary())], names=["doc_id", "row", "n_words", "words", "packed"])
-
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
-    return rows.mapInArrow(read, f"doc_id {kind}, row long, n_words long, words binary, packed binary")
-
-
-def distinct_anchors(rows: DataFrame) -> DataFrame:
-    """From (doc_id, row, packed): one row for each distinct anchor of each document: doc_id, row, anchor."""
+def read_anchors(rows: DataFrame) -> DataFrame:
+    """From (row, doc_id, text): row, doc_id, n_words, words (digest) and the distinct anchors of each document."""
     kind = rows.schema["doc_id"].dataType.simpleString()
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = _zstd()[1].decompress
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                found = [np.unique(anchors(unpack(packed.as_py()).split())[2]) for packed in part.column("packed")]
-                which = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(which), part.column("row").take(which), pa.array(np.concatenate(found))], names=["doc_id", "row", "anchor"])
+                counts, digests, found = [], [], []
+                for text in part.column("text"):
+                    words = words_of(text.as_py())
+                    counts.append(len(words))
+                    digests.append(blake2b(b" ".join(words), digest_size=16).digest())
+                    found.append(np.unique(anchors(words)[2]) if len(words) >= WINDOW else np.zeros(0, np.int64))
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate(found)))
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), lists], names=["row", "doc_id", "n_words", "words", "anchors"])
 
-    return rows.select("doc_id", "row", "packed").mapInArrow(find, f"doc_id {kind}, row long, anchor long")
+    return rows.select("row", "doc_id", "text").mapInArrow(read, f"row long, doc_id {kind}, n_words long, words binary, anchors array<long>")
 
 
 def cut_stretches(rows: DataFrame) -> DataFrame:
-    """From (doc_id, row, packed, anchors that recur): one row a stretch: anchor, stretch, sid, doc_id, row, start."""
+    """From (doc_id, row, text, anchors that recur): one row a stretch: anchor, stretch, sid, doc_id, row, start."""
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = _zstd()[1].decompress
         for batch in batches:
             which, anchor, stretch, start = [], [], [], []
             for i in range(batch.num_rows):
-                words = unpack(batch.column("packed")[i].as_py()).split()
+                words = words_of(batch.column("text")[i].as_py())
                 first, stop, found = anchors(words)
                 for k in np.flatnonzero(np.isin(found, batch.column("recurring")[i].values.to_numpy())):
                     which.append(i)
@@ -125,7 +101,7 @@ def cut_stretches(rows: DataFrame) -> DataFrame:
                     )
                     which, anchor, stretch, start = [], [], [], []
 
-    return rows.mapInArrow(cut, f"anchor long, stretch string, sid long, doc_id {kind}, row long, start long")
+    return rows.select("doc_id", "row", "text", "recurring").mapInArrow(cut, f"anchor long, stretch string, sid long, doc_id {kind}, row long, start long")
 
 
 def locate(frame: pd.DataFrame) -> pd.DataFrame:
@@ -157,15 +133,20 @@ def locate(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["anchor", "sid", "at", "least"], dtype=object)
 
 
-def repeated_windows(rows: DataFrame) -> DataFrame:
-    """(row, starts), kept: where windows start that a smaller doc_id has. rows: (doc_id, row, packed), texts that all differ."""
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    every = keep(distinct_anchors(rows), "every_anchor")
-    recurring = keep(every.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor"), "anchors")
-    wanted = every.select("row", "anchor").join(recurring, "anchor", "left_semi").groupBy("row").agg(F.collect_list("anchor").alias("recurring"))
-    places = keep(cut_stretches(rows.select("row", "doc_id", "packed").join(wanted, "row")), "places")
+@tidy
+def repeated_windows(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """(row, starts), kept: where windows start that a smaller doc_id has.
 
-    discard(every)
+    rows: (row, doc_id, text). found: (row, doc_id, anchors) of those whose texts all differ, kept.
+    """
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    each = found.select("doc_id", F.explode("anchors").alias("anchor"))
+    recurring = keep(each.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor"), "anchors")
+    of_rows = found.select("row", F.explode("anchors").alias("anchor"))
+    wanted = keep(of_rows.join(recurring, "anchor", "left_semi").groupBy("row").agg(F.collect_list("anchor").alias("recurring")), "wanted")
+    places = keep(cut_stretches(rows.join(wanted, "row")), "places")
+    for done in (found, recurring, wanted):
+        discard(done)
 
     stretches = keep(places.groupBy("anchor", "stretch").agg(F.first("sid").alias("sid"), F.min("doc_id").alias("least"), F.max("doc_id").alias("greatest")), "stretches")
     per_anchor = stretches.groupBy("anchor").agg(F.count("*").alias("n"), F.min("least").alias("a"), F.max("greatest").alias("b"))
@@ -189,40 +170,49 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
     found = places.select("anchor", "sid", "doc_id", "row", "start").join(hits.union(hot_hits), ["anchor", "sid"])
     starts = F.transform(F.filter("hits", lambda h: h["least"] < F.col("doc_id")), lambda h: F.col("start") + h["at"])
     starts = found.select("row", starts.alias("starts")).where(F.size("starts") > 0).groupBy("row").agg(F.flatten(F.collect_list("starts")).alias("starts"))
-    starts = keep(starts, "starts")
-    for done in (places, counted, located, apart):
-        discard(done)
-    return starts
+    return keep(starts, "starts")
 
 
-def drop_repeated_passages(docs: DataFrame) -> DataFrame:
+@tidy
+def removed_windows(rows: DataFrame) -> DataFrame:
+    """row, starts and copy of each of rows (row, doc_id, text), kept: where removed windows start, or that all words go."""
+    read = keep(read_anchors(rows), "read")
+    classes = read.where("doc_id IS NOT NULL").where(F.col("n_words") >= WINDOW).groupBy("words").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    classes = keep(classes.select("words", F.col("first.doc_id").alias("_doc_id"), F.col("first.row").alias("_row")), "classes")
+    ids = keep(read.select("row", "doc_id", F.when(F.col("doc_id").isNotNull() & (F.col("n_words") >= WINDOW), F.col("words")).alias("words")), "ids")
+    found = keep(read.select("row", "doc_id", "anchors").join(classes, F.col("row") == F.col("_row"), "left_semi"), "found")
+    discard(read)
+    starts = repeated_windows(rows, found)
+    named = keep(classes.join(starts, F.col("_row") == F.col("row"), "left").select("words", "_doc_id", "starts"), "named")
+    out = ids.join(named, "words", "left")
+    return keep(out.select("row", "starts", F.coalesce(F.col("doc_id") > F.col("_doc_id"), F.lit(False)).alias("copy")), "removed")
+
+
+def drop_repeated_passages(docs: DataFrame, stored: bool = False) -> DataFrame:
     """One row a document: doc_id, n_words, n_removed and kept_text, the kept words joined by one space."""
-    rows = keep(read_words(docs), "words")
+    numbers = numbered(docs, stored)
+    rows = numbers.select("row", F.col("doc.doc_id").alias("doc_id"), F.col("doc.text").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    classes = rows.where("doc_id IS NOT NULL").where(F.col("n_words") >= WINDOW).groupBy("words").agg(F.min(F.struct("doc_id", "row")).alias("first"))
-    classes = keep(classes.select("words", F.col("first.doc_id").alias("_doc_id"), F.col("first.row").alias("_row")), "classes")
-    starts = repeated_windows(rows.join(classes, F.col("row") == F.col("_row"), "left_semi").select("doc_id", "row", "packed"))
-    named = keep(classes.join(starts, F.col("_row") == F.col("row"), "left").select("words", "_doc_id", "starts"), "starts")
-    whole = rows.select("doc_id", "packed", F.when(F.col("doc_id").isNotNull() & (F.col("n_words") >= WINDOW), F.col("words")).alias("words")).join(named, "words", "left")
-    whole = whole.select("doc_id", "packed", "starts", F.coalesce(F.col("doc_id") > F.col("_doc_id"), F.lit(False)).alias("copy"))
+    whole = rows.join(removed_windows(rows), "row").select("doc_id", "text", "starts", "copy")
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = _zstd()[1].decompress
         for batch in batches:
-            n_words, n_removed, texts = [], [], []
-            for packed, starts, copy in zip(*(batch.column(c) for c in ("packed", "starts", "copy")), strict=True):
-                words = unpack(packed.as_py()).split()
-                n_words.append(len(words))
-                kept = [] if copy.as_py() else words
-                if starts.is_valid and not copy.as_py():
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    first = np.unique(starts.values.to_numpy())
-                    np.add.at(edge, first, 1)
-                    np.add.at(edge, first + WINDOW, -1)
-                    kept = [words[i] for i in np.flatnonzero(edge.cumsum()[:-1] == 0)]
-                n_removed.append(len(words) - len(kept))
-                texts.append(b" ".join(kept).decode())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                n_words, n_removed, texts = [], [], []
+                for text, starts, copy in zip(*(part.column(c) for c in ("text", "starts", "copy")), strict=True):
+                    words = words_of(text.as_py())
+                    n_words.append(len(words))
+                    kept = [] if copy.as_py() else words
+                    if starts.is_valid and not copy.as_py():
+                        edge = np.zeros(len(words) + 1, np.int64)
+                        first = np.unique(starts.values.to_numpy())
+                        np.add.at(edge, first, 1)
+                        np.add.at(edge, first + WINDOW, -1)
+                        kept = [words[i] for i in np.flatnonzero(edge.cumsum()[:-1] == 0)]
+                    n_removed.append(len(words) - len(kept))
+                    texts.append(b" ".join(kept).decode())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
     return whole.mapInArrow(drop, f"doc_id {kind}, n_words long, n_removed long, kept_text string")
 
