@@ -5,6 +5,7 @@ All are columns over source_sql, so a repository of any size is one scan.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -60,29 +61,82 @@ TRANSFORMS = (
 )
 
 
+#: Class of an object by what its upper-case text holds; the first row that holds counts.
+TYPES = (
+    ("stored_procedure", ("CREATE OR REPLACE PROCEDURE", "CREATE PROCEDURE")),
+    ("function", ("CREATE OR REPLACE FUNCTION", "CREATE FUNCTION")),
+    ("view", ("CREATE VIEW", "CREATE OR REPLACE VIEW")),
+    ("table", ("CREATE TABLE", "CREATE LOCAL TEMP")),
+)
+#: Class of other files by the end of their lower-case path, and what the text must hold, as it is or in lower case.
+FILE_TYPES = ((r"\.ya?ml$", "models:", None, "dbt_model"), (r"\.py$", "DAG(", "airflow", "airflow_dag"), (r"\.sql$", None, None, "sql_script"))
+
+#: Where an object's name stands.
+NAMES = (r"(?i)CREATE\s+(?:OR\s+REPLACE\s+)?(?:PROCEDURE|FUNCTION)\s+([\w.]+)", r"(?i)CREATE\s+(?:OR\s+REPLACE\s+)?VIEW\s+([\w.]+)", r"(?i)CREATE\s+(?:LOCAL\s+TEMP|TEMP|TEMPORARY)?\s*TABLE\s+([\w.]+)")
+
+#: Points of a number that is over the first value; the first row that holds counts.
+LINE_POINTS, DEPENDENCY_POINTS, DOWNSTREAM_POINTS = ((2000, 25), (500, 12), (100, 5)), ((10, 10), (3, 4)), ((5, 12), (0, 3))
+#: Level, category and action by score, at or over the first value.
+LEVELS = ((75, "critical"), (50, "high"), (25, "medium"))
+CATEGORIES = ((80, "manual_redesign"), (55, "partial"), (30, "auto_with_review"))
+ACTIONS = ((80, "manual_redesign"), (60, "rewrite"), (35, "review_and_migrate"))
+#: Temporary tables under this score are retired; more reviews than this ask for a review.
+RETIRED_BELOW, REVIEWS = 30, 3
+
+#: How a script loads its table, by what its upper-case text holds: all of these, and one of those.
+LOADS = (("Delete and reload", ("DELETE FROM", "INSERT INTO"), ()), ("Timestamp-based incremental load", ("WHERE",), ("LOAD_DATE", "UPDATED_AT")), ("Merge/upsert", ("MERGE INTO",), ()))
+
+#: Differences of behaviour: name, source and target platform, pattern of the text, severity.
+BEHAVIORS = (
+    ("empty_string_vs_null", "oracle", "snowflake", r"''|EMPTY", "high"),
+    ("empty_string_vs_null_vertica", "vertica", "snowflake", r"=\s*''|<> ''|IS NULL", "medium"),
+    ("integer_division", "vertica", "snowflake", r"/\s*\d+|/\s*\w+", "medium"),
+    ("case_sensitivity", "vertica", "snowflake", r'"[^"]+"', "high"),
+    ("timezone_behavior", "vertica", "snowflake", r"TIMESTAMP|TIMEZONE|AT TIME ZONE", "high"),
+    ("date_trunc_semantics", "vertica", "snowflake", r"DATE_TRUNC|TRUNC\s*\(", "medium"),
+    ("floating_point_precision", "vertica", "snowflake", r"\bFLOAT\b|\bDOUBLE\b|\bREAL\b", "medium"),
+    ("default_ordering", "vertica", "snowflake", r"SELECT(?!.*ORDER BY)", "low"),
+    ("merge_semantics", "vertica", "snowflake", r"\bMERGE\s+INTO\b", "high"),
+    ("boolean_handling", "vertica", "snowflake", r"\bBOOLEAN\b|=\s*[01]\s", "medium"),
+    ("zeroifnull_isnull", "vertica", "snowflake", r"ZEROIFNULL|ISNULL|NVL", "medium"),
+    ("sequence_handling", "oracle", "snowflake", r"\bSEQUENCE\b|\.NEXTVAL|AUTO_INCREMENT", "low"),
+    ("rownum_vs_qualify", "oracle", "snowflake", r"\bROWNUM\b", "high"),
+    ("redshift_encoding", "redshift", "snowflake", r"\b(DISTKEY|SORTKEY|DISTSTYLE|ENCODE)\b", "medium"),
+    ("redshift_listagg", "redshift", "bigquery", r"\bLISTAGG\b", "medium"),
+    ("bigquery_struct", "bigquery", "snowflake", r"\b(STRUCT|ARRAY)\s*<|\bUNNEST\b", "high"),
+    ("snowflake_variant", "snowflake", "bigquery", r"\b(VARIANT|FLATTEN|OBJECT_INSERT)\b", "high"),
+    ("vertica_to_bigquery_types", "vertica", "bigquery", r"\b(CAST|::|NUMERIC|FLOAT)\b", "medium"),
+)
+
+#: What names tables, and so no columns; qualified column references; single names in calls.
+TABLE_NAMES = r"(?i)\b(?:FROM|JOIN|INTO|UPDATE|TABLE|VIEW|PROCEDURE|FUNCTION|USING)\s+[\w.]+"
+QUALIFIED = r"\b(?:[A-Za-z_]\w*\.)?([A-Za-z_]\w*\.[A-Za-z_]\w*)"
+UNQUALIFIED = r"\(\s*([A-Za-z_]\w*)\s*[,)]"
+
+
 def has(text: Column, *any_of: str) -> Column:
     return reduce(lambda a, b: a | b, (text.contains(x) for x in any_of))
 
 
+def first_of(rules: Iterable[tuple[Column, str | int]], otherwise: str | int) -> Column:
+    """The value of the first rule that holds."""
+    return F.coalesce(*(F.when(condition, F.lit(value)) for condition, value in rules), F.lit(otherwise))
+
+
 def object_type(path: Column, sql: Column) -> Column:
-    """Class of an object; the first rule that holds."""
+    """Class of an object, by TYPES and FILE_TYPES; a table whose text has TEMP is a temp_table."""
     up, low = F.upper(sql), F.lower(path)
-    return (
-        F.when(has(up, "CREATE OR REPLACE PROCEDURE", "CREATE PROCEDURE"), "stored_procedure")
-        .when(has(up, "CREATE OR REPLACE FUNCTION", "CREATE FUNCTION"), "function")
-        .when(has(up, "CREATE VIEW", "CREATE OR REPLACE VIEW"), "view")
-        .when(has(up, "CREATE TABLE", "CREATE LOCAL TEMP"), F.when(has(up, "TEMP"), "temp_table").otherwise("table"))
-        .when(low.rlike(r"\.ya?ml$") & has(sql, "models:"), "dbt_model")
-        .when(low.endswith(".py") & (has(sql, "DAG(") | has(F.lower(sql), "airflow")), "airflow_dag")
-        .when(low.endswith(".sql"), "sql_script")
-        .otherwise("unknown")
-    )
+    rules = [(has(up, *words), kind) for kind, words in TYPES]
+    for end, plain, lower, kind in FILE_TYPES:
+        held = [sql.contains(plain)] * (plain is not None) + [F.lower(sql).contains(lower)] * (lower is not None)
+        rules.append((low.rlike(end) & reduce(lambda a, b: a | b, held or [F.lit(True)]), kind))
+    kind = first_of(rules, "unknown")
+    return F.when((kind == "table") & has(up, "TEMP"), "temp_table").otherwise(kind)
 
 
 def object_name(path: Column, sql: Column) -> Column:
     """Upper-case name after the first CREATE, or the file's stem."""
-    patterns = (r"(?i)CREATE\s+(?:OR\s+REPLACE\s+)?(?:PROCEDURE|FUNCTION)\s+([\w.]+)", r"(?i)CREATE\s+(?:OR\s+REPLACE\s+)?VIEW\s+([\w.]+)", r"(?i)CREATE\s+(?:LOCAL\s+TEMP|TEMP|TEMPORARY)?\s*TABLE\s+([\w.]+)")
-    named = (F.nullif(F.regexp_extract(sql, p, 1), F.lit("")) for p in patterns)
+    named = (F.nullif(F.regexp_extract(sql, p, 1), F.lit("")) for p in NAMES)
     return F.upper(F.coalesce(*named, F.regexp_extract(path, r"([^/]*?)(?:\.[^./]*)?$", 1)))
 
 
@@ -99,42 +153,84 @@ def features(sql: Column, dialect: str) -> Column:
     return F.array_compact(F.array(*(F.when(up.rlike(p), F.lit(name)) for name, p in FEATURES[dialect])))
 
 
+def over(value: Column, table: tuple) -> Column:
+    return first_of(((value > least, points) for least, points in table), 0)
+
+
 def risk_score(m: dict[str, Column], n_features: Column, kind: Column, dependencies: Column, downstream: Column) -> Column:
-    lines = F.when(m["lines"] > 2000, 25).when(m["lines"] > 500, 12).when(m["lines"] > 100, 5).otherwise(0)
+    """Points of the measures, the features, the type and the neighbours in the lineage, 100 at most."""
     parts = [F.when(m[name] >= least, points).otherwise(0) for name, least, points in POINTS]
-    by_type = reduce(lambda rest, kp: rest.when(kind == kp[0], kp[1]), list(TYPE_POINTS.items())[1:], F.when(kind == "stored_procedure", 15)).otherwise(5)
-    parts += [
-        F.least(n_features * 5, F.lit(25)),
-        F.when(dependencies > 10, 10).when(dependencies > 3, 4).otherwise(0),
-        F.when(downstream > 5, 12).when(downstream > 0, 3).otherwise(0),
-        by_type,
-        F.when(m["case_expressions"] > 5, 8).otherwise(0),
-    ]
-    return F.least(F.lit(100), reduce(lambda a, b: a + b, parts, lines)).cast("long")
+    parts += [over(m["lines"], LINE_POINTS), over(dependencies, DEPENDENCY_POINTS), over(downstream, DOWNSTREAM_POINTS)]
+    parts += [F.least(n_features * 5, F.lit(25)), first_of(((kind == k, points) for k, points in TYPE_POINTS.items()), 5), F.when(m["case_expressions"] > 5, 8).otherwise(0)]
+    return F.least(F.lit(100), reduce(lambda a, b: a + b, parts)).cast("long")
+
+
+def by_score(score: Column, table: tuple) -> list[tuple[Column, str]]:
+    return [(score >= least, value) for least, value in table]
 
 
 def risk_level(score: Column) -> Column:
-    return F.when(score >= 75, "critical").when(score >= 50, "high").when(score >= 25, "medium").otherwise("low")
+    return first_of(by_score(score, LEVELS), "low")
 
 
 def category(score: Column, kind: Column, reviews: Column) -> Column:
-    return F.when((kind == "temp_table") & (score < 30), "retire").when(score >= 80, "manual_redesign").when(score >= 55, "partial").when((score >= 30) | (reviews > 0), "auto_with_review").otherwise("auto_migrate")
+    *sure, (least, reviewed) = CATEGORIES
+    rules = [((kind == "temp_table") & (score < RETIRED_BELOW), "retire"), *by_score(score, sure), ((score >= least) | (reviews > 0), reviewed)]
+    return first_of(rules, "auto_migrate")
 
 
 def action(score: Column, category: Column, reviews: Column) -> Column:
-    return F.when(score >= 80, "manual_redesign").when(score >= 60, "rewrite").when(category == "retire", "retire").when((score >= 35) | (reviews > 3), "review_and_migrate").otherwise("migrate")
+    *sure, (least, reviewed) = ACTIONS
+    return first_of([*by_score(score, sure), (category == "retire", "retire"), ((score >= least) | (reviews > REVIEWS), reviewed)], "migrate")
+
 
+def assess(objects: DataFrame, dialect: str = "vertica", edges: DataFrame | None = None) -> DataFrame:
+    """objects (path, source_sql) with type, name, measures, features, score, level, category and action.
 
-def assess(objects: DataFrame, dialect: str = "vertica") -> DataFrame:
-    """objects (path, source_sql) with type, name, measures, features, score, level, category and action."""
+    edges: a lineage (src, dst), by default that of the objects themselves; an object's dependencies are the nodes with
+    an edge to it, its downstream those that it has an edge to.
+    """
     sql, path = F.col("source_sql"), F.col("path")
     df = objects.withColumns({"object_type": object_type(path, sql), "name": object_name(path, sql), "features": features(sql, dialect), **measures(sql)})
+    pairs = (lineage_edges(objects) if edges is None else edges).select("src", "dst").distinct()
+    into = pairs.groupBy(F.col("dst").alias("name")).agg(F.count("*").alias("dependencies"))
+    out = pairs.groupBy(F.col("src").alias("name")).agg(F.count("*").alias("downstream"))
+    df = df.join(into, "name", "left").join(out, "name", "left").fillna(0, ["dependencies", "downstream"])
     m = {name: F.col(name) for name in measures(sql)}
-    df = df.withColumn("score", risk_score(m, F.size("features"), F.col("object_type"), F.lit(0), F.lit(0)))
+    df = df.withColumn("score", risk_score(m, F.size("features"), F.col("object_type"), F.col("dependencies"), F.col("downstream")))
     df = df.withColumn("level", risk_level(F.col("score"))).withColumn("category", category(F.col("score"), F.col("object_type"), F.lit(0)))
     return df.withColumn("action", action(F.col("score"), F.col("category"), F.lit(0)))
 
 
+def behaviors(objects: DataFrame, source: str, target: str) -> DataFrame:
+    """name, behavior, severity: the differences between two platforms that an object's text shows, by BEHAVIORS."""
+    rules = [(name, pattern, severity) for name, a, b, pattern, severity in BEHAVIORS if (a, b) == (source, target)]
+    found = F.array(*(F.when(F.col("source_sql").rlike(f"(?i){p}"), F.struct(F.lit(n).alias("behavior"), F.lit(s).alias("severity"))) for n, p, s in rules))
+    named = objects.select(object_name(F.col("path"), F.col("source_sql")).alias("name"), F.explode(F.array_compact(found)).alias("found"))
+    return named.select("name", "found.behavior", "found.severity")
+
+
+def column_references(sql: Column) -> Column:
+    """Upper-case TABLE.COLUMN of the columns a text names, distinct and sorted; single names in calls belong to _UNQUALIFIED."""
+    plain = F.regexp_replace(sql, TABLE_NAMES, " ")
+    single = F.transform(F.regexp_extract_all(plain, F.lit(UNQUALIFIED), F.lit(1)), lambda c: F.concat(F.lit("_UNQUALIFIED."), c))
+    return F.array_sort(F.array_distinct(F.transform(F.concat(F.regexp_extract_all(plain, F.lit(QUALIFIED), F.lit(1)), single), F.upper)))
+
+
+def column_lineage(objects: DataFrame) -> DataFrame:
+    """name, source_column, column, transforms: one row for each column that an object names, with what it does to it."""
+    named = objects.select(object_name(F.col("path"), F.col("source_sql")).alias("name"), F.upper("source_sql").alias("_up"), F.explode(column_references(F.col("source_sql"))).alias("source_column"))
+    named = named.withColumn("column", F.substring_index("source_column", ".", -1))
+    tag = lambda name, p: F.when(F.regexp_like("_up", F.regexp_replace(F.lit(p), F.lit(r"\{c\}"), F.col("column"))), F.lit(name))
+    return named.select("name", "source_column", "column", F.array_compact(F.array(*(tag(*t) for t in TRANSFORMS))).alias("transforms"))
+
+
+def column_usage(objects: DataFrame) -> DataFrame:
+    """source_column, n_objects, transforms: column_lineage merged by column over all objects."""
+    rows = column_lineage(objects).select("name", "source_column", F.explode_outer("transforms").alias("_transform"))
+    return rows.groupBy("source_column").agg(F.countDistinct("name").alias("n_objects"), F.array_join(F.sort_array(F.collect_set("_transform")), ",").alias("transforms"))
+
+
 def rationalization(assessed: DataFrame) -> DataFrame:
     """action, n, share: how many objects are migrated, reviewed, rewritten or retired, and their share."""
     kind = F.when((F.col("action") == "retire") | (F.col("category") == "retire"), "retire").when(F.col("action").isin("manual_redesign", "rewrite"), "rewrite").when(F.col("action") == "review_and_migrate", "review").otherwise("migrate")
@@ -183,7 +279,7 @@ def column_transforms(sql: Column, column: str) -> Column:
 
 
 def business_rules(sql: Column, blocks: int = 10) -> Column:
-    """array of 'condition -> result' from the first CASE blocks."""
+    """array of 'condition -> result' from the text's first CASE blocks, so many as blocks says."""
     cases = F.slice(F.regexp_extract_all(sql, F.lit(r"(?is)CASE\s+(.*?)\s+END"), F.lit(1)), 1, blocks)
     whens = r"(?i)WHEN\s+(.+?)\s+THEN\s+('[^']*'|\w+)"
     pairs = F.flatten(F.transform(cases, lambda c: F.arrays_zip(F.regexp_extract_all(c, F.lit(whens), F.lit(1)).alias("w"), F.regexp_extract_all(c, F.lit(whens), F.lit(2)).alias("t"))))
@@ -191,9 +287,10 @@ def business_rules(sql: Column, blocks: int = 10) -> Column:
 
 
 def load_pattern(sql: Column) -> Column:
-    """How a script loads its table, by what it contains; the first rule that holds."""
+    """How a script loads its table, by the rows of LOADS."""
     up = F.upper(sql)
-    return F.when(has(up, "DELETE FROM") & has(up, "INSERT INTO"), "Delete and reload").when(has(up, "WHERE") & has(up, "LOAD_DATE", "UPDATED_AT"), "Timestamp-based incremental load").when(has(up, "MERGE INTO"), "Merge/upsert").otherwise("Full refresh")
+    holds = lambda every, some: reduce(lambda a, b: a & b, [*(up.contains(x) for x in every), *([has(up, *some)] if some else [])])
+    return first_of([(holds(every, some), name) for name, every, some in LOADS], "Full refresh")
 
 
 def load_strategy(pattern: Column) -> Column:

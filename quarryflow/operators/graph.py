@@ -5,6 +5,8 @@ Everything is joins over edges; frontiers are kept distinct, so a dense graph co
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,29 +23,66 @@ def neighbours(edges: DataFrame) -> DataFrame:
     return up.join(down, "node", "full").select("node", F.coalesce("upstream", F.lit("")).alias("upstream"), F.coalesce("downstream", F.lit("")).alias("downstream"))
 
 
-def reachability(edges: DataFrame, starts: DataFrame, depth: int = 10) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
+    """df from a checkpoint in the shared folder of spark.checkpoint.dir, so later steps don't repeat it."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="spark-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
+def directed(edges: DataFrame, direction: str) -> DataFrame:
+    """_src, _dst: distinct steps downstream, upstream or both ways."""
+    down = edges.select(F.col("src").alias("_src"), F.col("dst").alias("_dst"))
+    up = down.select(F.col("_dst").alias("_src"), F.col("_src").alias("_dst"))
+    return {"downstream": down, "upstream": up, "both": down.union(up)}[direction].distinct()
+
+
+def reachability(edges: DataFrame, starts: DataFrame, depth: int = 10, direction: str = "downstream") -> DataFrame:
     """start, node, distance: nodes reached from each start within depth steps, by the fewest steps.
 
-    One join a step. The loop only builds the plan; it ends at depth and asks nothing of the data.
+    One join a step; what has been reached before leaves the frontier, and the walk ends when nothing is new. depth is
+    the caller's limit: nodes farther away are not in the result.
     """
-    steps = edges.select(F.col("src").alias("_src"), F.col("dst").alias("_dst")).distinct()
+    steps = directed(edges, direction)
     frontier = starts.select(F.col("node").alias("start"), "node").distinct().withColumn("distance", F.lit(0))
     found = frontier
     for k in range(1, depth + 1):
-        frontier = frontier.join(steps, F.col("node") == F.col("_src")).select("start", F.col("_dst").alias("node")).distinct().withColumn("distance", F.lit(k))
+        reached = frontier.join(steps, F.col("node") == F.col("_src")).select("start", F.col("_dst").alias("node")).distinct()
+        frontier = cut(reached.join(found, ["start", "node"], "left_anti").withColumn("distance", F.lit(k)))
+        if frontier.isEmpty():
+            break
         found = found.union(frontier)
-    return found.groupBy("start", "node").agg(F.min("distance").alias("distance")).where("distance > 0 OR start = node")
+    return found
 
 
 def on_cycles(edges: DataFrame, depth: int = 10) -> DataFrame:
-    """node, length: nodes on a cycle of at most depth steps, with the shortest one's length."""
-    steps = edges.select(F.col("src").alias("_src"), F.col("dst").alias("_dst")).distinct()
+    """node, length: nodes on a cycle of at most depth steps, with the shortest one's length.
+
+    Edges that no cycle can have, for want of a way in or out, are taken off first, until none is left; walks go over the
+    rest only, never twice to the same node. depth is the caller's limit: nodes on longer cycles are not in the result.
+    """
+    steps = cut(directed(edges, "downstream"))
+    while True:
+        n = steps.count()
+        into, out = steps.select(F.col("_dst").alias("_src")).distinct(), steps.select(F.col("_src").alias("_dst")).distinct()
+        steps = cut(steps.join(into, "_src", "left_semi").join(out, "_dst", "left_semi").select("_src", "_dst"))
+        if steps.count() == n:
+            break
     walk = steps.select(F.col("_src").alias("start"), F.col("_dst").alias("node")).withColumn("length", F.lit(1))
     found = walk
     for k in range(2, depth + 1):
-        walk = walk.join(steps, F.col("node") == F.col("_src")).select("start", F.col("_dst").alias("node")).distinct().withColumn("length", F.lit(k))
+        longer = walk.join(steps, F.col("node") == F.col("_src")).select("start", F.col("_dst").alias("node")).distinct()
+        walk = cut(longer.join(found, ["start", "node"], "left_anti").withColumn("length", F.lit(k)))
+        if walk.isEmpty():
+            break
         found = found.union(walk)
-    return found.where("start = node").groupBy("node").agg(F.min("length").alias("length"))
+    return found.where("start = node").select("node", "length")
 
 
 def orphans(edges: DataFrame, nodes: DataFrame) -> DataFrame:

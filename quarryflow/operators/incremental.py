@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def without(target: DataFrame, held: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows of target whose keys held lacks; null is a key like others."""
+    held = held.select(*(F.col(k).alias(f"_held_{k}") for k in keys)).distinct()
+    same = [F.col(k).eqNullSafe(F.col(f"_held_{k}")) for k in keys]
+    return target.join(held, reduce(lambda a, b: a & b, same), "left_anti")
+
+
 def delete_insert(target: DataFrame, increment: DataFrame, partition: Sequence[str]) -> DataFrame:
     """Rows of target in partitions that increment holds are replaced by increment."""
-    held = increment.select(*partition).distinct()
-    return target.join(held, list(partition), "left_anti").select(*target.columns).unionByName(increment)
+    return without(target, increment, partition).unionByName(increment)
 
 
 def write_partitions(increment: DataFrame, path: str, partition: Sequence[str]) -> None:
@@ -20,10 +27,10 @@ def write_partitions(increment: DataFrame, path: str, partition: Sequence[str])
 
 
 def merge_upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The latest source row of each key, by order, replaces or joins target."""
-    latest = Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in order))
+    """The latest source row of each key, by order, replaces or joins target. Ties go to the least hash of the row."""
+    latest = Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in order), F.xxhash64(*source.columns))
     new = source.withColumn("_turn", F.row_number().over(latest)).where("_turn = 1").drop("_turn")
-    return target.join(new.select(*keys), list(keys), "left_anti").select(*target.columns).unionByName(new)
+    return without(target, new, keys).unionByName(new)
 
 
 def watermark_append(target: DataFrame, source: DataFrame, column: str) -> DataFrame:

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarryflow.operators.incremental import without
+
 
 def row_counts(source: DataFrame, target: DataFrame) -> DataFrame:
     """platform, row_count: one row a side."""
@@ -35,12 +37,26 @@ def checksum(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def sample_diff(source: DataFrame, target: DataFrame, keys: Sequence[str], limit: int = 100) -> DataFrame:
-    """The first keys, in order, that one side lacks, with the side that has them."""
+    """The first keys, in order, that one side lacks, with the side that has them. Null is a key like others."""
     keys = list(keys)
-    only = lambda a, b, side: a.select(*keys).join(b.select(*keys).distinct(), keys, "left_anti").withColumn("only_in", F.lit(side))
+    only = lambda a, b, side: without(a.select(*keys), b, keys).withColumn("only_in", F.lit(side))
     return only(source, target, "source").union(only(target, source, "target")).orderBy(*keys, "only_in").limit(limit)
 
 
+def value_diff(source: DataFrame, target: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """The keys, n_source, n_target and changed (names, comma-joined) where the two sides differ; keys are unique a side.
+
+    A full outer join by the keys, null a key like others: rows that one side lacks have 0 there and no changed names.
+    """
+    side = lambda df, name: df.select(*(F.col(k).alias(f"_{name}_{k}") for k in keys), *(F.col(c).alias(f"_{name}_value_{c}") for c in columns), F.lit(1).alias(f"_{name}"))
+    same = reduce(lambda a, b: a & b, (F.col(f"_s_{k}").eqNullSafe(F.col(f"_t_{k}")) for k in keys))
+    both = side(source, "s").join(side(target, "t"), same, "full")
+    present = F.col("_s").isNotNull() & F.col("_t").isNotNull()
+    changed = F.array_join(F.array_compact(F.array(*(F.when(present & ~F.col(f"_s_value_{c}").eqNullSafe(F.col(f"_t_value_{c}")), F.lit(c)) for c in columns))), ",")
+    named = both.select(*(F.coalesce(f"_s_{k}", f"_t_{k}").alias(k) for k in keys), F.coalesce("_s", F.lit(0)).alias("n_source"), F.coalesce("_t", F.lit(0)).alias("n_target"), changed.alias("changed"))
+    return named.where("n_source <> n_target OR changed <> ''")
+
+
 def metric_tolerance(source: DataFrame, target: DataFrame, metrics: dict[str, F.Column], tolerance: float = 0.01) -> DataFrame:
     """metric, source_value, target_value, passed: whether the relative difference is within the tolerance."""
     def values(df: DataFrame, name: str) -> DataFrame:

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Lengths of n-grams, least number of texts that hold one, and size of the vocabulary of each length.
 LENGTHS, LEAST_TEXTS, VOCABULARY = (3, 4, 5), 2, 4000
-#: Fixed value: what is high risk whatever the model says, with its probabilities of low, medium and high.
+#: What is high risk whatever the model says, and the probabilities it then has, by class.
 HARD = r"(?i)EXECUTE\s+IMMEDIATE|\bCURSOR\b|\bCONNECT\s+BY\b|EXCEPTION\s+WHEN"
-HARD_PROBABILITIES = (0.05, 0.15, 0.80)
+HARD_PROBABILITIES = {"low": 0.05, "medium": 0.15, "high": 0.80}
 
 
 def with_characters(objects: DataFrame, text: str = "source_sql") -> DataFrame:
@@ -22,9 +23,10 @@ def with_characters(objects: DataFrame, text: str = "source_sql") -> DataFrame:
 
 def fit(labelled: DataFrame, text: str = "source_sql", label: str = "level") -> PipelineModel:
     """labelled: texts with a class. Classes weigh alike, however many rows they have."""
-    counted = with_characters(labelled, text).withColumn("_n", F.count("*").over(Window.partitionBy(label)))
-    classes, total = labelled.select(label).distinct().count(), labelled.count()
-    weighted = counted.withColumn("_weight", F.lit(float(total)) / (F.lit(float(max(1, classes))) * F.col("_n")))
+    counts = {r[label]: r["count"] for r in labelled.groupBy(label).count().collect()}  # one row a class
+    total = sum(counts.values())
+    weight = F.create_map(*(x for c, n in counts.items() for x in (F.lit(c), F.lit(total / (len(counts) * n)))))
+    weighted = with_characters(labelled, text).withColumn("_weight", F.try_element_at(weight, F.col(label)))
     stages = [StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc")]
     for n in LENGTHS:
         stages += [NGram(n=n, inputCol="_chars", outputCol=f"_g{n}"), CountVectorizer(inputCol=f"_g{n}", outputCol=f"_c{n}", minDF=LEAST_TEXTS, vocabSize=VOCABULARY), IDF(inputCol=f"_c{n}", outputCol=f"_t{n}")]
@@ -33,12 +35,14 @@ def fit(labelled: DataFrame, text: str = "source_sql", label: str = "level") ->
 
 
 def predict(model: PipelineModel, objects: DataFrame, text: str = "source_sql") -> DataFrame:
-    """objects with predicted (class) and hard (whether a hard pattern decided)."""
+    """objects with predicted (class), hard (whether a hard pattern decided) and probabilities (class to probability)."""
     names = F.array(*map(F.lit, model.stages[0].labels))
     # The fitted stages after the label's index
     scored = with_characters(objects, text)
     for stage in model.stages[1:]:
         scored = stage.transform(scored)
     hard = F.col(text).rlike(HARD)
+    fixed = F.create_map(*(x for c, p in HARD_PROBABILITIES.items() for x in (F.lit(c), F.lit(p))))
     out = scored.withColumn("hard", hard).withColumn("predicted", F.when(hard, "high").otherwise(F.get(names, F.col("prediction").cast("int"))))
-    return out.select(*objects.columns, "predicted", "hard")
+    out = out.withColumn("probabilities", F.when(hard, fixed).otherwise(F.map_from_arrays(names, vector_to_array("probability"))))
+    return out.select(*objects.columns, "predicted", "hard", "probabilities")

@@ -24,14 +24,21 @@ def tokens(text: Column) -> Column:
 
 
 def bigrams(text: Column) -> Column:
-    """Distinct pairs of neighbouring characters; a text of one character is its own."""
-    pairs = F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substr(text, i, F.lit(2)))
-    return F.when(F.length(text) < 2, F.array(text)).otherwise(F.array_distinct(pairs))
+    """Distinct pairs of neighbouring characters; a text of one character is its own.
 
+    The text is taken apart once. Inside the transform its characters have a name; an expression would be worked out
+    anew for every pair.
+    """
+    def pairs(letters: Column) -> Column:
+        n = F.size(letters) - 1
+        return F.array_distinct(F.zip_with(F.slice(letters, F.lit(1), n), F.slice(letters, F.lit(2), n), lambda x, y: F.concat(x, y)))
 
-def dice(a: Column, b: Column) -> Column:
-    both = F.size(F.array_intersect(bigrams(a), bigrams(b)))
-    value = 2.0 * both / F.greatest(F.size(bigrams(a)) + F.size(bigrams(b)), F.lit(1))
+    return F.when(F.length(text) < 2, F.array(text)).otherwise(F.get(F.transform(F.array(F.split(text, "")), pairs), F.lit(0)))
+
+
+def dice(a: Column, b: Column, of_a: Column, of_b: Column) -> Column:
+    """of_a, of_b: the bigrams of both texts."""
+    value = 2.0 * F.size(F.array_intersect(of_a, of_b)) / F.greatest(F.size(of_a) + F.size(of_b), F.lit(1))
     return F.when((a == "") & (b == ""), 1.0).when((a == "") | (b == ""), 0.0).otherwise(value)
 
 
@@ -48,8 +55,10 @@ def token_f1(pairs: DataFrame, key: str, predicted: str, gold: str) -> DataFrame
 
 def evaluate(pairs: DataFrame, key: str, predicted: str, gold: str) -> DataFrame:
     """key, exact_match, token_f1, fuzzy, passed for each pair of texts."""
-    a, b = normal_form(F.col(predicted)), normal_form(F.col(gold))
-    scored = pairs.select(key, (a == b).cast("double").alias("exact_match"), dice(a, b).alias("fuzzy")).join(token_f1(pairs, key, predicted, gold), key)
+    a, b, of_a, of_b = (F.col(f"_{c}") for c in ("a", "b", "of_a", "of_b"))
+    plain = pairs.select(key, normal_form(F.col(predicted)).alias("_a"), normal_form(F.col(gold)).alias("_b"))
+    plain = plain.withColumns({"_of_a": bigrams(a), "_of_b": bigrams(b)})
+    scored = plain.select(key, (a == b).cast("double").alias("exact_match"), dice(a, b, of_a, of_b).alias("fuzzy")).join(token_f1(pairs, key, predicted, gold), key)
     passed = (F.col("exact_match") == 1) | ((F.col("token_f1") >= LEAST_F1) & (F.col("fuzzy") >= LEAST_DICE))
     return scored.select(key, "exact_match", "token_f1", "fuzzy", passed.alias("passed"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarryflow.operators import assess, graph, incremental, reconcile, retrieval, risk_model, text_metrics
 from quarryflow.sources import repository
-from quarryflow.sources.tables import run_sql, table
+from quarryflow.sources.tables import plain_sql, run_sql, table
 
 #: SQL objects made from the supplier table by the same text in both engines.
 OBJECTS = """SELECT s_suppkey AS id, 'repo/obj_' || CAST(s_suppkey AS STRING) || '.sql' AS path, CASE CAST(s_suppkey % 7 AS INT)
@@ -45,23 +45,26 @@ def ring_edges(spark: SparkSession, folder: str) -> DataFrame:
     return run_sql(spark, folder, "SELECT n_nationkey AS src, CASE WHEN n_nationkey % 5 = 4 THEN n_nationkey - 4 ELSE n_nationkey + 1 END AS dst FROM {nation} WHERE n_nationkey < 20 UNION ALL SELECT n_nationkey, n_nationkey + 1 FROM {nation} WHERE n_nationkey >= 20")
 
 
+TURNS = "SELECT CONCAT(a.conv_id, ':', a.turn) AS pair_id, a.conv_id, a.text AS predicted, b.text AS gold FROM {conversations} a JOIN {conversations} b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1"
+
+
 def turns(spark: SparkSession, folder: str) -> DataFrame:
-    """conv_id, predicted, gold: the first turns of each conversation's two roles."""
-    return run_sql(spark, folder, "SELECT conv_id, MIN(CASE WHEN turn % 2 = 0 THEN text END) AS predicted, MIN(CASE WHEN turn % 2 = 1 THEN text END) AS gold FROM {conversations} GROUP BY conv_id HAVING COUNT(DISTINCT turn % 2) = 2")
+    """pair_id, conv_id, predicted, gold: each turn of a conversation and the one after it."""
+    return run_sql(spark, folder, TURNS)
 
 
 _DUCK_NORMAL = "trim(replace(regexp_replace(regexp_replace(regexp_replace(lower({0}), '(?m)--.*?$', '', 'g'), '(?s)/\\*.*?\\*/', '', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ';', ''))"
 _DUCK_TOKENS = "regexp_extract_all({0}, '[a-z_][a-z0-9_]*|\\d+|[=<>!()*,.]')"
-_DUCK_TURNS = "turns AS (SELECT conv_id, MIN(CASE WHEN turn % 2 = 0 THEN text END) AS predicted, MIN(CASE WHEN turn % 2 = 1 THEN text END) AS gold FROM conversations GROUP BY conv_id HAVING COUNT(DISTINCT turn % 2) = 2)"
+_DUCK_TURNS = f"turns AS ({plain_sql(TURNS)})"
 _DUCK_EVAL = f"""{_DUCK_TURNS},
-n AS (SELECT conv_id, {_DUCK_NORMAL.format("predicted")} AS a, {_DUCK_NORMAL.format("gold")} AS b FROM turns),
+n AS (SELECT pair_id, conv_id, {_DUCK_NORMAL.format("predicted")} AS a, {_DUCK_NORMAL.format("gold")} AS b FROM turns),
 t AS (SELECT *, {_DUCK_TOKENS.format("a")} AS ta, {_DUCK_TOKENS.format("b")} AS tb,
   list_distinct(list_transform(range(1, length(a)), lambda i: substring(a, i, 2))) AS ba, list_distinct(list_transform(range(1, length(b)), lambda i: substring(b, i, 2))) AS bb FROM n),
-pa AS (SELECT conv_id, w, COUNT(*) AS c FROM (SELECT conv_id, UNNEST(ta) AS w FROM t) GROUP BY 1, 2),
-pb AS (SELECT conv_id, w, COUNT(*) AS c FROM (SELECT conv_id, UNNEST(tb) AS w FROM t) GROUP BY 1, 2),
-o AS (SELECT pa.conv_id, SUM(LEAST(pa.c, pb.c)) AS shared FROM pa JOIN pb ON pa.conv_id = pb.conv_id AND pa.w = pb.w GROUP BY 1),
-e AS (SELECT t.conv_id, CAST(a = b AS DOUBLE) AS exact_match, COALESCE(2.0 * CAST(shared AS DOUBLE) / (len(ta) + len(tb)), 0) AS token_f1,
-  2.0 * len(list_intersect(ba, bb)) / (len(ba) + len(bb)) AS fuzzy FROM t LEFT JOIN o ON t.conv_id = o.conv_id)"""
+pa AS (SELECT pair_id, w, COUNT(*) AS c FROM (SELECT pair_id, UNNEST(ta) AS w FROM t) GROUP BY 1, 2),
+pb AS (SELECT pair_id, w, COUNT(*) AS c FROM (SELECT pair_id, UNNEST(tb) AS w FROM t) GROUP BY 1, 2),
+o AS (SELECT pa.pair_id, SUM(LEAST(pa.c, pb.c)) AS shared FROM pa JOIN pb ON pa.pair_id = pb.pair_id AND pa.w = pb.w GROUP BY 1),
+e AS (SELECT t.pair_id, conv_id, CAST(a = b AS DOUBLE) AS exact_match, COALESCE(2.0 * CAST(shared AS DOUBLE) / (len(ta) + len(tb)), 0) AS token_f1,
+  2.0 * len(list_intersect(ba, bb)) / (len(ba) + len(bb)) AS fuzzy FROM t LEFT JOIN o ON t.pair_id = o.pair_id)"""
 
 QUERY_TEXT = "the with and licensed under version data password"
 
@@ -114,12 +117,12 @@ def text_normalize(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def eval_pairs_scored(spark: SparkSession, folder: str) -> DataFrame:
-    scored = text_metrics.evaluate(turns(spark, folder), "conv_id", "predicted", "gold")
-    return scored.select("conv_id", "exact_match", F.round("token_f1", 6).alias("token_f1"), F.round("fuzzy", 6).alias("fuzzy"), "passed")
+    scored = text_metrics.evaluate(turns(spark, folder), "pair_id", "predicted", "gold")
+    return scored.select("pair_id", "exact_match", F.round("token_f1", 6).alias("token_f1"), F.round("fuzzy", 6).alias("fuzzy"), "passed")
 
 
 def eval_summary(spark: SparkSession, folder: str) -> DataFrame:
-    scored = text_metrics.evaluate(turns(spark, folder), "conv_id", "predicted", "gold").withColumn("category", (F.col("conv_id") % 3).cast("long"))
+    scored = text_metrics.evaluate(turns(spark, folder), "pair_id", "predicted", "gold").withColumn("category", (F.substring_index("pair_id", ":", 1).cast("long") % 3).cast("long"))
     return text_metrics.summary(scored, "category").select("category", "n_pairs", *(F.round(c, 4).alias(c) for c in ("exact_match", "token_f1", "fuzzy", "passed")))
 
 
@@ -201,7 +204,7 @@ QUERIES = {
     "incr_watermark": incr_watermark,
     "script_temp_then_query": staged_daily,
     "graph_out_degree": lambda s, d: graph.out_degree(key_edges(s, d)),
-    "lineage_neighbors": lambda s, d: graph.neighbours(key_edges(s, d)).where("node LIKE 'n%' OR node LIKE 'r%'"),
+    "lineage_neighbors": lambda s, d: graph.neighbours(key_edges(s, d)),
     "graph_reachability": lambda s, d: graph.reachability(key_edges(s, d), run_sql(s, d, "SELECT 'r' || CAST(r_regionkey AS STRING) AS node FROM {region}"), 4),
     "graph_cycles": lambda s, d: graph.on_cycles(ring_edges(s, d), 6),
     "graph_orphans": lambda s, d: graph.orphans(key_edges(s, d), run_sql(s, d, "SELECT 'n' || CAST(n_nationkey AS STRING) AS node FROM {nation} UNION ALL SELECT 'c' || CAST(c_custkey AS STRING) FROM {customer}")),
@@ -216,6 +219,13 @@ QUERIES = {
     "lineage_reads": lineage_reads,
     "column_transforms": column_transforms,
     "business_rules": business_rules,
+    "behavior_differences": lambda s, d: assess.behaviors(objects(s, d), "vertica", "snowflake"),
+    "column_refs": lambda s, d: objects(s, d).select("id", F.array_join(assess.column_references(F.col("source_sql")), ",").alias("columns")),
+    "column_lineage": lambda s, d: assess.column_lineage(objects(s, d)).withColumn("transforms", F.array_join("transforms", ",")),
+    "column_usage": lambda s, d: assess.column_usage(objects(s, d)),
+    "recon_value_diff": lambda s, d: reconcile.value_diff(table(s, d, "orders"), changed_orders(s, d), ["o_orderkey"], ["o_custkey", "o_totalprice"]),
+    "graph_upstream": lambda s, d: graph.reachability(key_edges(s, d), run_sql(s, d, "SELECT 'c' || CAST(c_custkey AS STRING) AS node FROM {customer}"), 4, "upstream"),
+    **{f"unsupported_features_{name}": lambda s, d, name=name: objects(s, d).select("id", F.array_join(assess.features(F.col("source_sql"), name), ",").alias("features")) for name in assess.FEATURES if name != "vertica"},
     "incr_strategy": incr_strategy,
     "text_stats": text_stats,
     "token_count": token_count,
@@ -237,17 +247,35 @@ def _duck_count(column: str, pattern: str) -> str:
 
 _DUCK_TYPE = "CASE WHEN contains(u, 'CREATE OR REPLACE PROCEDURE') OR contains(u, 'CREATE PROCEDURE') THEN 'stored_procedure' WHEN contains(u, 'CREATE OR REPLACE FUNCTION') OR contains(u, 'CREATE FUNCTION') THEN 'function' WHEN contains(u, 'CREATE VIEW') OR contains(u, 'CREATE OR REPLACE VIEW') THEN 'view' WHEN contains(u, 'CREATE TABLE') OR contains(u, 'CREATE LOCAL TEMP') THEN CASE WHEN contains(u, 'TEMP') THEN 'temp_table' ELSE 'table' END ELSE 'sql_script' END"
 _DUCK_NAME = "upper(coalesce(nullif(regexp_extract(source_sql, '(?i)CREATE\\s+(?:OR\\s+REPLACE\\s+)?(?:PROCEDURE|FUNCTION)\\s+([\\w.]+)', 1), ''), nullif(regexp_extract(source_sql, '(?i)CREATE\\s+(?:OR\\s+REPLACE\\s+)?VIEW\\s+([\\w.]+)', 1), ''), nullif(regexp_extract(source_sql, '(?i)CREATE\\s+(?:LOCAL\\s+TEMP|TEMP|TEMPORARY)?\\s*TABLE\\s+([\\w.]+)', 1), ''), 'OBJ_' || id))"
-_DUCK_FEATURES = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(u, '{p}') THEN '{n}' END" for n, p in assess.FEATURES["vertica"]) + "], lambda x: x IS NOT NULL)"
+
+
+def _duck_features(dialect: str) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(u, '{p}') THEN '{n}' END" for n, p in assess.FEATURES[dialect]) + "], lambda x: x IS NOT NULL)"
+
+
+def _vertica_rules() -> list[tuple[str, str, str]]:
+    """The rules as SQL values; DuckDB has no look-ahead, so the ordering rule is spelled out in the query."""
+    return [(n, "x{1000}" if n == "default_ordering" else p.replace("'", "''"), v) for n, a, b, p, v in assess.BEHAVIORS if (a, b) == ("vertica", "snowflake")]
+
+
+_DUCK_FEATURES = _duck_features("vertica")
+_DUCK_UPPER = "list_transform({0}, lambda x: upper(x))"
+_DUCK_READS = "list_sort(list_distinct(list_filter(" + _DUCK_UPPER.format(f"regexp_extract_all(source_sql, '{assess.READS}', 1)") + ", lambda x: NOT list_contains(" + _DUCK_UPPER.format(f"regexp_extract_all(source_sql, '{assess.CTE_NAMES}', 1)") + ", x))))"
+_DUCK_WRITES = "list_sort(list_distinct(" + _DUCK_UPPER.format(" || ".join(f"regexp_extract_all(source_sql, '{p}', 1)" for p in assess.WRITES)) + "))"
+_DUCK_PLAIN = f"regexp_replace(source_sql, '{assess.TABLE_NAMES}', ' ', 'g')"
+_DUCK_COLUMNS = f"list_sort(list_distinct(list_transform(list_concat(regexp_extract_all({_DUCK_PLAIN}, '{assess.QUALIFIED}', 1), list_transform(regexp_extract_all({_DUCK_PLAIN}, '{assess.UNQUALIFIED}', 1), lambda c: '_UNQUALIFIED.' || c)), lambda c: upper(c))))"
+_DUCK_TAGS = ", ".join(f"CASE WHEN regexp_matches(u, replace('{p}', '{{c}}', col)) THEN '{n}' END" for n, p in assess.TRANSFORMS)
+_DUCK_LINEAGE = f"""{_DUCK_OBJECTS}, n AS (SELECT {_DUCK_NAME} AS name, upper(source_sql) AS u, UNNEST({_DUCK_COLUMNS}) AS source_column FROM objects),
+p AS (SELECT *, split_part(source_column, '.', 2) AS col FROM n), g AS (SELECT *, list_filter([{_DUCK_TAGS}], lambda x: x IS NOT NULL) AS tags FROM p)"""
 _DUCK_ASSESSED = f"""{_DUCK_OBJECTS}, u AS (SELECT *, upper(source_sql) AS u FROM objects),
-k AS (SELECT *, {_DUCK_TYPE} AS object_type, len({_DUCK_FEATURES}) AS nf, {", ".join(_duck_count("source_sql", p) + " AS " + n for n, p in assess.MEASURES)} FROM u),
+nm AS (SELECT {_DUCK_NAME} AS name, {_DUCK_READS} AS r, {_DUCK_WRITES} AS w FROM objects),
+ed AS (SELECT DISTINCT src, dst FROM (SELECT UNNEST(r) AS src, name AS dst FROM nm UNION ALL SELECT name, UNNEST(w) FROM nm) WHERE src <> dst),
+k AS (SELECT *, COALESCE((SELECT COUNT(*) FROM ed WHERE ed.dst = {_DUCK_NAME}), 0) AS deps, COALESCE((SELECT COUNT(*) FROM ed WHERE ed.src = {_DUCK_NAME}), 0) AS downs, {_DUCK_TYPE} AS object_type, len({_DUCK_FEATURES}) AS nf, {", ".join(_duck_count("source_sql", p) + " AS " + n for n, p in assess.MEASURES)} FROM u),
 s AS (SELECT *, CAST(LEAST(100, {" + ".join(f"CASE WHEN {n} >= {least} THEN {points} ELSE 0 END" for n, least, points in assess.POINTS)} + LEAST(nf * 5, 25)
-  + CASE object_type {" ".join(f"WHEN '{t}' THEN {p}" for t, p in assess.TYPE_POINTS.items())} ELSE 5 END + CASE WHEN case_expressions > 5 THEN 8 ELSE 0 END) AS BIGINT) AS score FROM k),
+  + CASE object_type {" ".join(f"WHEN '{t}' THEN {p}" for t, p in assess.TYPE_POINTS.items())} ELSE 5 END + CASE WHEN deps > 10 THEN 10 WHEN deps > 3 THEN 4 ELSE 0 END + CASE WHEN downs > 5 THEN 12 WHEN downs > 0 THEN 3 ELSE 0 END + CASE WHEN case_expressions > 5 THEN 8 ELSE 0 END) AS BIGINT) AS score FROM k),
 c AS (SELECT *, CASE WHEN score >= 75 THEN 'critical' WHEN score >= 50 THEN 'high' WHEN score >= 25 THEN 'medium' ELSE 'low' END AS level,
   CASE WHEN object_type = 'temp_table' AND score < 30 THEN 'retire' WHEN score >= 80 THEN 'manual_redesign' WHEN score >= 55 THEN 'partial' WHEN score >= 30 THEN 'auto_with_review' ELSE 'auto_migrate' END AS category FROM s),
 a AS (SELECT *, CASE WHEN score >= 80 THEN 'manual_redesign' WHEN score >= 60 THEN 'rewrite' WHEN category = 'retire' THEN 'retire' WHEN score >= 35 THEN 'review_and_migrate' ELSE 'migrate' END AS action FROM c)"""
-_DUCK_UPPER = "list_transform({0}, lambda x: upper(x))"
-_DUCK_READS = "list_sort(list_distinct(list_filter(" + _DUCK_UPPER.format(f"regexp_extract_all(source_sql, '{assess.READS}', 1)") + ", lambda x: NOT list_contains(" + _DUCK_UPPER.format(f"regexp_extract_all(source_sql, '{assess.CTE_NAMES}', 1)") + ", x))))"
-_DUCK_WRITES = "list_sort(list_distinct(" + _DUCK_UPPER.format(" || ".join(f"regexp_extract_all(source_sql, '{p}', 1)" for p in assess.WRITES)) + "))"
 _DUCK_PATTERN = "CASE WHEN contains(u, 'DELETE FROM') AND contains(u, 'INSERT INTO') THEN 'Delete and reload' WHEN contains(u, 'WHERE') AND (contains(u, 'LOAD_DATE') OR contains(u, 'UPDATED_AT')) THEN 'Timestamp-based incremental load' WHEN contains(u, 'MERGE INTO') THEN 'Merge/upsert' ELSE 'Full refresh' END"
 _DUCK_TERMS = "list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda t: length(t) > 2))"
 _WANTED = sorted({t for t in QUERY_TEXT.split() if len(t) > 2})
@@ -267,7 +295,7 @@ ORACLES = {
     "incr_watermark": "SELECT event_id, ts FROM events WHERE ts < TIMESTAMP '2024-01-20 00:00:00' OR ts > (SELECT MAX(ts) FROM events WHERE ts < TIMESTAMP '2024-01-20 00:00:00')",
     "script_temp_then_query": "SELECT o_custkey, day, order_count, CAST(s AS DOUBLE) AS total_spend, CASE WHEN order_count >= 2 AND s > 100 THEN 'MEDIUM_VALUE' ELSE 'STANDARD' END AS segment FROM (SELECT o_custkey, CAST(o_orderdate AS DATE) AS day, COUNT(*) AS order_count, SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS s FROM orders GROUP BY 1, 2)",
     "graph_out_degree": f"WITH {_DUCK_EDGES} SELECT src, COUNT(DISTINCT dst) AS n FROM edges GROUP BY src",
-    "lineage_neighbors": f"WITH {_DUCK_EDGES}, nodes AS (SELECT DISTINCT src AS node FROM edges) SELECT node, COALESCE((SELECT STRING_AGG(DISTINCT src, ',' ORDER BY src) FROM edges WHERE dst = node), '') AS upstream, COALESCE((SELECT STRING_AGG(DISTINCT dst, ',' ORDER BY dst) FROM edges WHERE src = node), '') AS downstream FROM nodes",
+    "lineage_neighbors": f"WITH {_DUCK_EDGES}, u AS (SELECT dst AS node, STRING_AGG(DISTINCT src, ',' ORDER BY src) AS upstream FROM edges GROUP BY dst), w AS (SELECT src AS node, STRING_AGG(DISTINCT dst, ',' ORDER BY dst) AS downstream FROM edges GROUP BY src) SELECT node, COALESCE(upstream, '') AS upstream, COALESCE(downstream, '') AS downstream FROM u FULL JOIN w USING (node)",
     "graph_reachability": f"WITH RECURSIVE {_DUCK_EDGES}, walk AS (SELECT 'r' || r_regionkey AS start, 'r' || r_regionkey AS node, 0 AS distance FROM region UNION SELECT start, dst, distance + 1 FROM walk JOIN edges ON node = src WHERE distance < 4) SELECT start, node, MIN(distance) AS distance FROM walk GROUP BY start, node",
     "graph_cycles": "SELECT n_nationkey AS node, 5 AS length FROM nation WHERE n_nationkey < 20",
     "graph_orphans": "SELECT 'c' || c_custkey AS node FROM customer UNION SELECT 'n' || n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer)",
@@ -282,13 +310,20 @@ ORACLES = {
     "lineage_reads": f"WITH {_DUCK_OBJECTS} SELECT id, COALESCE(array_to_string({_DUCK_READS}, ','), '') AS reads, COALESCE(array_to_string({_DUCK_WRITES}, ','), '') AS writes FROM objects",
     "column_transforms": f"WITH {_DUCK_OBJECTS}, u AS (SELECT *, upper(source_sql) AS u FROM objects) SELECT id, COALESCE(array_to_string(list_filter([{', '.join(f'''CASE WHEN regexp_matches(u, '{p.replace('{c}', 'V')}') THEN '{n}' END''' for n, p in assess.TRANSFORMS)}], lambda x: x IS NOT NULL), ','), '') AS transforms FROM u",
     "business_rules": f"WITH {_DUCK_OBJECTS} SELECT id, CASE WHEN contains(source_sql, 'CASE WHEN a > 1') THEN 'a > 1 -> ''x''' ELSE '' END AS rules FROM objects",
+    "behavior_differences": f"WITH {_DUCK_OBJECTS}, n AS (SELECT {_DUCK_NAME} AS name, source_sql FROM objects) SELECT name, behavior, severity FROM n, (VALUES {', '.join(f"('{n}', '{p}', '{v}')" for n, p, v in _vertica_rules())}) AS k(behavior, pattern, severity) WHERE regexp_matches(source_sql, '(?i)' || pattern) OR (behavior = 'default_ordering' AND regexp_matches(source_sql, '(?i)SELECT') AND NOT regexp_matches(source_sql, '(?i)ORDER BY'))",
+    "column_refs": f"WITH {_DUCK_OBJECTS} SELECT id, COALESCE(array_to_string({_DUCK_COLUMNS}, ','), '') AS columns FROM objects",
+    "column_lineage": f"WITH {_DUCK_LINEAGE} SELECT name, source_column, col AS column, COALESCE(array_to_string(tags, ','), '') AS transforms FROM g",
+    "column_usage": f"WITH {_DUCK_LINEAGE} SELECT source_column, COUNT(DISTINCT name) AS n_objects, COALESCE(array_to_string(list_sort(list_distinct(flatten(list(tags)))), ','), '') AS transforms FROM g GROUP BY source_column",
+    "recon_value_diff": f"WITH {_CHANGED} SELECT o.o_orderkey, 1 AS n_source, CASE WHEN c.o_orderkey IS NULL THEN 0 ELSE 1 END AS n_target, CASE WHEN c.o_totalprice <> o.o_totalprice THEN 'o_totalprice' ELSE '' END AS changed FROM orders o LEFT JOIN changed c ON o.o_orderkey = c.o_orderkey WHERE c.o_orderkey IS NULL OR c.o_totalprice <> o.o_totalprice OR c.o_custkey <> o.o_custkey",
+    "graph_upstream": f"WITH RECURSIVE {_DUCK_EDGES}, walk AS (SELECT 'c' || c_custkey AS start, 'c' || c_custkey AS node, 0 AS distance FROM customer UNION SELECT start, src, distance + 1 FROM walk JOIN edges ON node = dst WHERE distance < 4) SELECT start, node, MIN(distance) AS distance FROM walk GROUP BY start, node",
+    **{f"unsupported_features_{name}": f"WITH {_DUCK_OBJECTS}, u AS (SELECT *, upper(source_sql) AS u FROM objects) SELECT id, COALESCE(array_to_string({_duck_features(name)}, ','), '') AS features FROM u" for name in assess.FEATURES if name != "vertica"},
     "incr_strategy": f"WITH {_DUCK_OBJECTS}, u AS (SELECT *, upper(source_sql) AS u FROM objects), p AS (SELECT id, {_DUCK_PATTERN} AS pattern FROM u) SELECT *, CASE pattern WHEN 'Delete and reload' THEN 'delete+insert' WHEN 'Full refresh' THEN 'N/A' ELSE 'merge' END AS strategy FROM p",
     "text_stats": "SELECT doc_id, strlen(text) AS bytes, length(text) - length(replace(text, chr(10), '')) + 1 AS lines, length(text) AS chars FROM documents",
     "token_count": f"SELECT doc_id, len({_DUCK_TOKENS.format(_DUCK_NORMAL.format('text'))}) AS n FROM documents",
     "text_normalize": f"SELECT doc_id, {_DUCK_NORMAL.format('text')} AS normal FROM documents",
-    "eval_pairs_scored": f"WITH {_DUCK_EVAL} SELECT conv_id, exact_match, ROUND(token_f1, 6) AS token_f1, ROUND(fuzzy, 6) AS fuzzy, exact_match = 1 OR (token_f1 >= 0.85 AND fuzzy >= 0.75) AS passed FROM e",
+    "eval_pairs_scored": f"WITH {_DUCK_EVAL} SELECT pair_id, exact_match, ROUND(token_f1, 6) AS token_f1, ROUND(fuzzy, 6) AS fuzzy, exact_match = 1 OR (token_f1 >= 0.85 AND fuzzy >= 0.75) AS passed FROM e",
     "eval_summary": f"WITH {_DUCK_EVAL} SELECT conv_id % 3 AS category, COUNT(*) AS n_pairs, ROUND(AVG(exact_match), 4) AS exact_match, ROUND(AVG(token_f1), 4) AS token_f1, ROUND(AVG(fuzzy), 4) AS fuzzy, ROUND(AVG(CAST(exact_match = 1 OR (token_f1 >= 0.85 AND fuzzy >= 0.75) AS DOUBLE)), 4) AS passed FROM e GROUP BY ROLLUP(conv_id % 3)",
     "keyword_topk": f"WITH d AS (SELECT doc_id, {_DUCK_TERMS} AS t FROM documents), s AS (SELECT doc_id, len(list_intersect(t, {_WANTED})) AS b, len(t) AS n FROM d) SELECT doc_id, ROUND(b / sqrt(n * CAST({len(_WANTED)} AS DOUBLE)), 6) AS score FROM s WHERE b > 0 ORDER BY score DESC, doc_id LIMIT 10",
     "embedding_topk": "WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0) SELECT vec_id, ROUND(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS score FROM embeddings, q ORDER BY score DESC, vec_id LIMIT 10",
-    "intent_route": r"SELECT CASE WHEN regexp_matches(p, '\bpandas\b|\bpyspark\b|\bspark\b|\bdataframe\b|\bpython\b') THEN 'full' WHEN regexp_matches(p, '\bdbt\b|feature mart') THEN 'dbt' WHEN c AND regexp_matches(p, '\brisk\b|complex|score|explain|null|behavior') THEN 'full' WHEN NOT c AND regexp_matches(p, '\brisk\b|complex|score') THEN 'risk' WHEN regexp_matches(p, '\bnull\b|timezone|behavior|rag|difference') THEN 'rag' WHEN NOT c AND regexp_matches(p, '\bexplain\b|why|how') THEN 'explain' WHEN c THEN 'full' ELSE 'rag' END AS intent, COUNT(*) AS n FROM (SELECT lower(coalesce(text, '')) AS p, regexp_matches(lower(coalesce(text, '')), '\bconvert\b|\bmigrate\b|\btranslate\b|\btransform\b') AS c FROM conversations) GROUP BY 1",
+    "intent_route": f"SELECT {retrieval.intent_sql('p')} AS intent, COUNT(*) AS n FROM (SELECT lower(coalesce(text, '')) AS p FROM conversations) GROUP BY 1",
 }

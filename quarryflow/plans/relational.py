@@ -93,18 +93,16 @@ SQL: dict[str, str] = {
     "cte_chain": "WITH big AS (SELECT o_custkey, o_totalprice FROM {orders} WHERE o_totalprice > 100000), per AS (SELECT o_custkey, COUNT(*) AS n FROM big GROUP BY o_custkey) SELECT c_name, n FROM per JOIN {customer} ON o_custkey = c_custkey WHERE n >= 3",
     "scalar_subquery": "SELECT o_orderkey FROM {orders} WHERE o_totalprice > (SELECT 1.5 * AVG(o_totalprice) FROM {orders})",
     "correlated_subquery": "SELECT o_orderkey FROM {orders} o WHERE o_totalprice = (SELECT MAX(i.o_totalprice) FROM {orders} i WHERE i.o_custkey = o.o_custkey)",
-    "recursive_hierarchy": "WITH RECURSIVE t(k, depth) AS (SELECT 1 AS k, 0 AS depth UNION ALL SELECT k + 1, depth + 1 FROM t WHERE depth < 9) SELECT k, depth FROM t",
+    "recursive_hierarchy": "WITH RECURSIVE e AS (SELECT CONCAT('r', n_regionkey) AS parent, CONCAT('n', n_nationkey) AS child FROM {nation} UNION ALL SELECT CONCAT('n', c_nationkey), CONCAT('c', c_custkey) FROM {customer}), t(node, root, depth) AS (SELECT CONCAT('r', r_regionkey) AS node, r_name AS root, 0 AS depth FROM {region} UNION ALL SELECT child, root, depth + 1 FROM t JOIN e ON parent = node) SELECT node, root, depth FROM t",
     # workload of the migration corpus
     "clv": """WITH txns AS (SELECT o_custkey AS customer_id, o_orderkey AS order_id, CAST(o_orderdate AS DATE) AS order_date,
-    CAST(l_extendedprice AS DECIMAL(18,4)) - COALESCE(NULLIF(CAST(l_extendedprice * l_discount AS DECIMAL(18,4)), 0), 0) AS net_amount
+    CAST(l_extendedprice AS DECIMAL(18,4)) - COALESCE(NULLIF(CAST(l_extendedprice * l_discount AS DECIMAL(18,4)), 0), 0) AS net_amount,
+    CASE WHEN l_returnflag = 'R' THEN CAST(l_extendedprice AS DECIMAL(18,4)) ELSE 0 END AS refund
   FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey WHERE CAST(o_orderdate AS DATE) >= DATE '2001-08-01' - 365),
-refunds AS (SELECT o_custkey AS customer_id, SUM(CAST(l_extendedprice AS DECIMAL(18,4))) AS total_refunds
-  FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey
-  WHERE l_returnflag = 'R' AND CAST(o_orderdate AS DATE) >= DATE '2001-08-01' - 365 GROUP BY o_custkey),
-summ AS (SELECT t.customer_id, COUNT(DISTINCT t.order_id) AS order_count, SUM(t.net_amount) AS gross_spend,
-    COALESCE(r.total_refunds, 0) AS total_refunds, SUM(t.net_amount) - COALESCE(r.total_refunds, 0) AS net_spend,
-    MAX(order_date) AS last_order_date, MIN(order_date) AS first_order_date
-  FROM txns t LEFT JOIN refunds r ON t.customer_id = r.customer_id GROUP BY t.customer_id, r.total_refunds)
+per_order AS (SELECT customer_id, order_id, SUM(net_amount) AS net_amount, SUM(refund) AS refund, MAX(order_date) AS order_date FROM txns GROUP BY customer_id, order_id),
+summ AS (SELECT customer_id, COUNT(*) AS order_count, SUM(net_amount) AS gross_spend, SUM(refund) AS total_refunds,
+    SUM(net_amount) - SUM(refund) AS net_spend, MAX(order_date) AS last_order_date, MIN(order_date) AS first_order_date
+  FROM per_order GROUP BY customer_id)
 SELECT s.customer_id, c.c_name, order_count, CAST(gross_spend AS DOUBLE) AS gross_spend, CAST(total_refunds AS DOUBLE) AS total_refunds,
   CAST(net_spend AS DOUBLE) AS clv,
   CASE WHEN order_count >= 4 AND net_spend > 100000 THEN 'PLATINUM' WHEN order_count >= 3 AND net_spend > 50000 THEN 'GOLD'
@@ -135,8 +133,8 @@ ua AS (SELECT user_id, COUNT(*) AS event_count, COUNT(DISTINCT event_type) AS ev
 lb AS (SELECT user_id, CASE WHEN COALESCE(SUM(CASE WHEN event_type = 'error' THEN 1 END), 0) > 14 THEN 1 ELSE 0 END AS churn_label
   FROM {events} GROUP BY user_id)
 SELECT ua.*, churn_label FROM ua JOIN lb ON ua.user_id = lb.user_id""",
-    "gap_fill_daily": """WITH days AS (SELECT EXPLODE(SEQUENCE(DATE '2024-01-01', DATE '2024-01-30')) AS day),
-per AS (SELECT CAST(ts AS DATE) AS day, COUNT(*) AS n FROM {events} WHERE event_type = 'error' AND user_id < 20 GROUP BY 1)
+    "gap_fill_daily": """WITH days AS (SELECT EXPLODE(SEQUENCE(DATE '2023-12-15', DATE '2024-02-14')) AS day),
+per AS (SELECT CAST(ts AS DATE) AS day, COUNT(*) AS n FROM {events} WHERE event_type = 'error' GROUP BY 1)
 SELECT days.day, COALESCE(n, 0) AS n FROM days LEFT JOIN per ON days.day = per.day""",
     "event_windows": "SELECT CAST(window.start AS DATE) AS day, event_type, COUNT(*) AS n FROM {events} GROUP BY window(ts, '1 day'), event_type",
 }
@@ -153,7 +151,7 @@ OTHER: dict[str, str] = {
     "explode_array": "SELECT doc_id, UNNEST(string_split(source, 'c')) AS word FROM documents",
     "nvl2_zeroifnull": "SELECT event_id, CASE WHEN NULLIF(event_type, 'view') IS NOT NULL THEN 'other' ELSE 'view' END AS a, COALESCE(NULLIF(value, value), 0) AS z, COALESCE(NULLIF(event_type, 'click'), 'c') AS b FROM events",
     "date_trunc": "SELECT CAST(DATE_TRUNC('month', o_orderdate) AS DATE) AS m, COUNT(*) AS n FROM orders GROUP BY 1",
-    "gap_fill_daily": "SELECT CAST(d.day AS DATE) AS day, COUNT(e.event_id) AS n FROM (SELECT UNNEST(generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY)) AS day) d LEFT JOIN events e ON CAST(e.ts AS DATE) = CAST(d.day AS DATE) AND event_type = 'error' AND user_id < 20 GROUP BY 1",
+    "gap_fill_daily": "SELECT CAST(d.day AS DATE) AS day, COUNT(e.event_id) AS n FROM (SELECT UNNEST(generate_series(DATE '2023-12-15', DATE '2024-02-14', INTERVAL 1 DAY)) AS day) d LEFT JOIN events e ON CAST(e.ts AS DATE) = CAST(d.day AS DATE) AND event_type = 'error' GROUP BY 1",
     "event_windows": "SELECT CAST(ts AS DATE) AS day, event_type, COUNT(*) AS n FROM events GROUP BY 1, 2",
     "cast": "SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS s, CAST(o_totalprice AS DECIMAL(18,2)) AS d, CAST(o_orderdate AS DATE) AS day FROM orders",
 }

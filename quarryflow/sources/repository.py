@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 #: Files that a scan reads, and folders that it passes over.
 SUFFIXES = (".sql", ".hql", ".ddl", ".dml", ".yml", ".yaml", ".py")
-SKIPPED = (".git", "node_modules", "__pycache__", ".venv", "venv", "target", "dbt_packages")
+SKIPPED = (".git", ".svn", "node_modules", "__pycache__", ".venv", "venv", "target", "dbt_packages", ".dbt", "dist", "build")
 
 
 def _wanted(path: F.Column) -> F.Column:
@@ -20,9 +20,9 @@ def _wanted(path: F.Column) -> F.Column:
 
 
 def scan_folder(spark: SparkSession, folder: str) -> DataFrame:
-    """path, source_sql, lines, bytes of every wanted file that isn't blank."""
+    """path, source_sql, lines, bytes of every wanted file that isn't blank. Bytes that aren't UTF-8 are replaced."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    text = files.where(_wanted(F.col("path"))).select("path", F.decode("content", "UTF-8").alias("source_sql"), F.col("length").alias("bytes"))
+    text = files.where(_wanted(F.col("path"))).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("source_sql"), F.col("length").alias("bytes"))
     lines = F.length("source_sql") - F.length(F.replace("source_sql", F.lit("\n"), F.lit(""))) + 1
     return text.where(F.trim("source_sql") != "").withColumn("lines", lines)
 

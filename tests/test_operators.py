@@ -4,7 +4,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from quarryflow.functions import dialect
-from quarryflow.operators import graph, incremental, reconcile, text_metrics
+from quarryflow.operators import assess, graph, incremental, reconcile, retrieval, risk_model, text_metrics
 from quarryflow.sources import repository
 from quarryflow.streaming import increments
 
@@ -83,3 +83,57 @@ def test_streams(spark, folder, tmp_path):
     query = increments.daily_counts(increments.read_files(spark, str(source), schema)).writeStream.format("memory").queryName("days").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.sql("SELECT SUM(n) AS n FROM days").head()["n"] == spark.read.parquet(str(source)).count()
+
+
+def test_scan_replaces_bytes_that_are_not_utf8(spark, tmp_path):
+    (tmp_path / "latin.sql").write_bytes(b"SELECT '\xe9' AS x")
+    (tmp_path / "dist").mkdir()
+    (tmp_path / "dist" / "built.sql").write_text("SELECT 1")
+    found = repository.scan(spark, f"file://{tmp_path}").collect()
+    assert [r["source_sql"] for r in found] == ["SELECT '�' AS x"]
+
+
+def test_null_is_a_key_like_others(spark):
+    target = spark.createDataFrame([(None, 1), (2, 2)], "k int, v int")
+    fresh = spark.createDataFrame([(None, 9)], "k int, v int")
+    want = [(None, 9), (2, 2)]
+    for got in (incremental.delete_insert(target, fresh, ["k"]), incremental.merge_upsert(target, fresh, ["k"], ["v"])):
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert reconcile.sample_diff(target, target, ["k"]).count() == 0
+    got = reconcile.value_diff(target, fresh, ["k"], ["v"]).collect()
+    assert {(r["k"], r["n_source"], r["n_target"], r["changed"]) for r in got} == {(None, 1, 1, "v"), (2, 1, 0, "")}
+
+
+def test_reachability_both_ways(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "c")], "src string, dst string")
+    start = spark.createDataFrame([("b",)], "node string")
+    reach = lambda way: {(r["node"], r["distance"]) for r in graph.reachability(edges, start, 5, way).collect()}
+    assert reach("upstream") == {("b", 0), ("a", 1)} and reach("both") == {("b", 0), ("a", 1), ("c", 1), ("x", 2)}
+
+
+def test_full_refresh(spark, tmp_path):
+    for n in (3, 2):
+        incremental.full_refresh(spark.range(n), str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 2
+
+
+def test_risk_model_on_other_rows(spark):
+    texts = [(f"SELECT a{i} FROM t", "low") for i in range(12)] + [(f"MERGE INTO m{i} USING s ON a = b", "medium") for i in range(12)] + [("EXECUTE IMMEDIATE 'x'", "high")] * 3
+    labelled = spark.createDataFrame(texts, "source_sql string, level string")
+    other = spark.createDataFrame([("SELECT zz FROM t",), ("MERGE INTO zz USING s ON a = b",), ("DECLARE CURSOR c",)], "source_sql string")
+    got = {r["source_sql"]: r for r in risk_model.predict(risk_model.fit(labelled), other).collect()}
+    assert [got[t]["predicted"] for t in ("SELECT zz FROM t", "MERGE INTO zz USING s ON a = b", "DECLARE CURSOR c")] == ["low", "medium", "high"]
+    assert all(abs(sum(r["probabilities"].values()) - 1) < 1e-6 for r in got.values()) and got["DECLARE CURSOR c"]["probabilities"]["high"] == 0.8
+
+
+def test_features_of_every_dialect(spark):
+    texts = {"oracle": ("SELECT ROWNUM FROM DUAL", "ROWNUM,DUAL table"), "redshift": ("CREATE TABLE t (a int) DISTSTYLE ALL", "DISTSTYLE"), "bigquery": ("SELECT 1 QUALIFY ROW_NUMBER() OVER () = 1", "QUALIFY"), "snowflake": ("SELECT * FROM LATERAL FLATTEN(x)", "FLATTEN")}
+    for name, (text, want) in texts.items():
+        assert spark.range(1).select(F.array_join(assess.features(F.lit(text), name), ",").alias("f")).head()["f"] == want
+
+
+def test_intent_rules(spark):
+    asked = ["Convert to pandas", "migrate it and explain", "how risky is it", "null or timezone", "why", "translate", "hello"]
+    df = spark.createDataFrame([(a,) for a in asked], "p string")
+    assert [r["i"] for r in df.select(retrieval.intent(F.col("p"), F.lit("")).alias("i")).collect()] == ["full", "full", "explain", "rag", "explain", "full", "rag"]
+    assert df.select(retrieval.intent(F.lit("null"), F.lit("SELECT 1")).alias("i")).head()["i"] == "full"
