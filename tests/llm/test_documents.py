@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -514,3 +515,61 @@ def test_lines_share_keys_by_edit_similarity():
                 found[n].append((one == two).any())
     assert min(map(len, found.values())) >= 10
     assert all(np.mean(found[n]) >= 0.95 for n in found if n >= 5) and np.mean(found[1] + found[2]) >= 0.9
+
+
+def test_similar_lines_equal_levenshtein():
+    """The bounds and the distance by columns of bits against the plain table."""
+    rng = np.random.default_rng(8)
+    for _ in range(400):
+        line = ["".join(rng.choice(list("abc"), int(rng.integers(1, 6)))) for _ in range(int(rng.integers(1, 12)))]
+        other = [w if rng.random() < 0.8 else "".join(rng.choice(list("abc"), int(rng.integers(1, 6)))) for w in line if rng.random() < 0.95] or ["a"]
+        a, b = " ".join(line), " ".join(other)
+        far = levenshtein(a, b)
+        assert lines.similar(a, b, 80) == (far <= max(len(a), len(b)) * 20 // 100)
+        assert lines.aligned_cost(line, other) >= far
+        assert all(lines.edit_distance_within(a, b, most) == (far <= most) for most in (0, far - 1, far, far + 1))
+
+
+def test_words_are_hashed_alike_wherever_they_stand(monkeypatch):
+    words = ["naïve", "x", "word", "a" * 50, "日本語", "😀b", "word"]
+    monkeypatch.setattr(lines, "SLICE", 16)
+    plain = [" ".join(words), "word", " ".join(words[::-1])]
+    hashes, sizes, of = lines.word_hashes(plain)
+    monkeypatch.setattr(lines, "SLICE", 1 << 18)
+    many, lengths, whose = lines.word_hashes(plain)
+    assert of.tolist() == whose.tolist() == [0] * 7 + [1] + [2] * 7 and sizes.tolist() == lengths.tolist() == [len(w) for w in [*words, "word", *words[::-1]]]
+    assert [h for h, n in zip(hashes.tolist(), sizes.tolist()) if n <= 16] == [h for h, n in zip(many.tolist(), lengths.tolist()) if n <= 16]
+    assert many[2] == many[6] == many[7] == many[8] and len(set(many.tolist())) == 6
+    assert lines.plain_lines("A-b  C\n\n ¿Qué? \n😀\r") == ["a b c", "", "qué", ""]
+
+
+@pytest.mark.parametrize("n", [8, 12, 20, 30])
+def test_line_recall_against_all_pairs(n):
+    """Lines of n words with one word replaced, or up to a fifth of their characters changed, against all pairs."""
+    rng = np.random.default_rng(n)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrst"), int(rng.integers(2, 10))))
+    texts = []
+    for k in range(60):
+        line = [word() for _ in range(n)]
+        copy = list(line)
+        for at in rng.choice(n, 1 if k % 2 else max(1, n // 6), replace=False):
+            copy[at] = word()
+        texts += [" ".join(line), " ".join(copy)]
+    blocks, votes = lines.simhashes(texts)
+    near = lambda i, j: votes[i] is None or votes[j] is None or ((votes[i] ^ votes[j]) & (2**64 - 1)).bit_count() <= lines.FAR
+    alike = [(i, j) for i in range(len(texts)) for j in range(i) if lines.similar(texts[i], texts[j], 80)]
+    found = [((blocks[i] == blocks[j]).any() and near(i, j)) for i, j in alike]
+    assert len(alike) >= 50 and np.mean(found) >= 0.9
+
+
+def test_long_secret_candidates(spark):
+    """Entropy and places in time linear in the length of a candidate and in the number of matches."""
+    rng = np.random.default_rng(0)
+    blob = "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), 100_000))
+    many = " ".join(f"token=abc{i:08d}" for i in range(20_000))
+    docs = spark.createDataFrame([(1, f"x {blob} y"), (2, many)], "doc_id long, text string")
+    began = time.monotonic()
+    got = {r["doc_id"]: r for r in secrets.digest(secrets.scan(docs)).collect()}
+    assert got[1]["spans"] == "entropy_mixed:2:100002" and got[2]["n_assign"] == 20_000
+    assert got[2]["base_sha256"] == hashlib.sha256(",".join(f"assign:{a}:{b}" for a, _, b in brute_spans(many)).encode()).hexdigest()
+    assert time.monotonic() - began < 60
