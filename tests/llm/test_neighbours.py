@@ -55,3 +55,38 @@ def test_many_copies_of_a_vector(spark):
     for q in range(0, 300, 50):
         mine = [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])]
         assert mine == exact(list(range(300)), np.array(vectors), q)[0]
+
+
+def recall(spark, vectors, asks):
+    """The share of the 10 nearest found, by exact search; asks: every so many vectors is a query."""
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest_neighbours(table, F.col("vec_id") % asks == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in range(0, len(vectors), asks):
+        far = ((vectors - vectors[q]) ** 2).sum(1)
+        far[q] = np.inf
+        hits += len(got[q] & set(np.argpartition(far, 10)[:10].tolist()))
+    return hits / (10 * len(got))
+
+
+def test_recall_with_and_without_clusters(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((150, 64)) * 3
+    assert recall(spark, rng.standard_normal((12_000, 64)), 100) >= 0.9
+    monkeypatch.setattr(neighbours, "ASKS", 3)  # several groups of queries a list
+    monkeypatch.setattr(neighbours, "PART", 64)
+    assert recall(spark, centres[rng.integers(150, size=12_000)] + rng.standard_normal((12_000, 64)), 100) >= 0.95
+
+
+def test_lists_that_a_bounded_query_leaves_out():
+    """With clusters the scan drops nearly all rows in the first block of columns once a bound is known."""
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((4000, 64)) + 3 * rng.standard_normal((40, 64))[rng.integers(40, size=4000)]
+    turned = x @ neighbours.rotation(64)
+    for q in range(20):
+        far = ((x - x[q]) ** 2).sum(1)
+        bound = np.sort(far)[10]
+        rows = neighbours.scan_all(turned[q : q + 1], turned, np.array([bound]), 11)[1]
+        assert len(rows) <= 12 and len(set(rows) & set(np.argsort(far)[:11])) >= 10
