@@ -1,6 +1,7 @@
 """Licence scan by sentence rules (operator 2).
 
-A text falls into sentences at line ends and after ., ! and ?. Lines without a blank line or such a mark between them
+A text falls into sentences at line ends, after ., ! and ? (but for "v."), and after "conditions:" and
+");" within a line. Lines without a blank line or such a mark between them
 are joined where that shows a pattern that neither holds alone, so hard-wrapped and commented notices are read whole,
 and lines that each hold a pattern stay apart. Each sentence is normalised (ASCII lower case, "licence"
 as "license", everything else than letters and digits one blank) and mapped to the identifier of the first sentence
@@ -46,6 +47,8 @@ SENTENCES = (
     ("apache2_basis", r"software distributed under the license is distributed on an as is basis"),
     ("apache2_see", r"see the license for the specific language governing permissions"),
     ("agpl3_under", r"gnu affero general public license.* version 3"),
+    ("lgpl21_later", r"gnu lesser general public license.*version 2 1.*or (?:at your option )?any later version"),
+    ("lgpl3_later", r"gnu lesser general public license.*version 3.*or (?:at your option )?any later version"),
     ("lgpl21_under", r"gnu lesser general public license.* version 2 1"),
     ("lgpl3_under", r"gnu lesser general public license.* version 3"),
     ("gpl3_later", r"gnu general public license.*version 3.*or (?:at your option )?any later version"),
@@ -67,6 +70,14 @@ SENTENCES = (
     ("bsd_name", r"neither the name of .* may be used to endorse or promote products"),
     ("bsd_as_is", r"this software is provided by .* as is and any express or implied warranties"),
     ("isc_grant", r"permission to use copy modify and or distribute this software for any purpose with or without fee"),
+    ("zlib_as_is", r"this software is provided as is without any express or implied warranty"),
+    ("zlib_grant", r"permission is granted to anyone to use this software for any purpose including commercial applications"),
+    ("epl2_under", r"eclipse public license v(?:ersion)? ?2 0"),
+    ("epl1_under", r"eclipse public license v(?:ersion)? ?1 0"),
+    ("cddl1_under", r"common development and distribution license(?: version)? 1 0"),
+    ("artistic2_under", r"artistic license(?: version)? 2 0"),
+    ("bsl1_under", r"boost software license version 1 0"),
+    ("eupl12_under", r"european union public license v(?:ersion)? ?1 2"),
     ("unlicense", r"free and unencumbered software released into the public domain"),
     ("public_domain", r"(?:placed in|released into|dedicated to) the public domain"),
     ("all_rights", r"all rights reserved"),
@@ -99,6 +110,10 @@ RULES = (
     ("GPL-2.0", ("gpl2_under",)),
     ("GPL-2.0", ("spdx_gpl2",)),
     ("AGPL-3.0", ("agpl3_under",)),
+    ("LGPL-2.1-or-later", ("lgpl21_later", "gpl_hope", "gpl_received")),
+    ("LGPL-3.0-or-later", ("lgpl3_later", "gpl_hope", "gpl_received")),
+    ("LGPL-2.1-or-later", ("lgpl21_later",)),
+    ("LGPL-3.0-or-later", ("lgpl3_later",)),
     ("LGPL-2.1", ("lgpl21_under",)),
     ("LGPL-3.0", ("lgpl3_under",)),
     ("MPL-2.0", ("mpl2_under",)),
@@ -110,13 +125,22 @@ RULES = (
     ("CC-BY-4.0", ("cc_by_4",)),
     ("CC0-1.0", ("cc0",)),
     ("ISC", ("isc_grant",)),
+    ("Zlib", ("zlib_as_is", "zlib_grant")),
+    ("EPL-2.0", ("epl2_under",)),
+    ("EPL-1.0", ("epl1_under",)),
+    ("CDDL-1.0", ("cddl1_under",)),
+    ("Artistic-2.0", ("artistic2_under",)),
+    ("BSL-1.0", ("bsl1_under",)),
+    ("EUPL-1.2", ("eupl12_under",)),
     ("Unlicense", ("unlicense",)),
     ("Public-Domain", ("public_domain",)),
     ("All-Rights-Reserved", ("copyright_line", "all_rights")),
     ("All-Rights-Reserved", ("all_rights",)),
 )
 
-BREAK = r"([.!?])[ \t\n\x0B\f\r]+"
+BREAK = r"(?<! [vV])([.!?])[ \t\n\x0B\f\r]+"
+#: Where the sentences of a notice that stands in one line part without a full stop.
+CLAUSE = r"(?i)(conditions(?: are met)?:|\);)[ \t\x0B\f\r]+"
 
 
 _LINES = "array<struct<text:string,plain:string>>"
@@ -139,7 +163,7 @@ def sequence(names: tuple[str, ...]) -> str:
 def scan(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, sentences (structs of identifier and text, in order), licences (license, n)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.split(F.regexp_replace(text, BREAK, "$1\n\n"), "\n")
+    lines = F.split(F.regexp_replace(F.regexp_replace(text, BREAK, "$1\n\n"), CLAUSE, "$1\n\n"), "\n")
     plain = F.transform(lines, lambda s: F.struct(s.alias("text"), normalised(s).alias("plain")))
     df = docs.select("doc_id", F.when(text.rlike(WORDS), plain).otherwise(F.array().cast(_LINES)).alias("_lines"))
     known = lambda plain: F.when(plain.rlike(WORDS), identifier(plain))
