@@ -11,7 +11,8 @@ where the walk has run off the text. Likeness of two fingerprints is the share o
 many steps as it stands for. Bands of samples within a segment bring similar documents together; likeness confirms.
 
 Defined cases: null text counts as empty; an empty text has an empty fingerprint; two empty fingerprints have likeness
-1, an empty and another one 0; null doc_ids come before all others; rows with equal doc_ids follow each other by text;
+1, an empty and another one 0; doc_ids are whole numbers; null ones come before all others; rows with equal doc_ids
+follow each other in one fixed order of their texts (that of the compressed bytes);
 an only document is its own next one; an empty table gives no rows; other columns are ignored.
 """
 
@@ -188,7 +189,8 @@ def describe(docs: DataFrame, chunk: int = 512) -> DataFrame:
     """One row a document, kept: row (a number), doc_id, n_chars, edited_sha256, both fingerprints, both likenesses, same (digest).
 
     Documents are dealt by ranges of doc_ids and sorted within each, so almost every next document is the next row.
-    The first and the last of each range are written as well, and the few pairs across ranges are joined after.
+    The first and the last of each range are written as well, and the few pairs across ranges are joined after. A task
+    reads its range as a stream, chunk by chunk, so beyond RANGES * RANGE documents tasks get longer, not larger.
     """
     n = docs.count()
     ranges = max(1, min(RANGES, -(-n // RANGE)))

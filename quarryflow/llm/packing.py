@@ -160,6 +160,10 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     return docs.select("doc_id", "text").mapInArrow(cut, schema)
 
 
+#: Exchanges that the search tries in a lot, at most, and pieces of one bin of which pairs are tried.
+STEPS, PAIRED = 3000, 12
+
+
 def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     """Best-fit decreasing. Bins by free room in lists, and one bit a room that some bin has, so a fit is one shift."""
     by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
@@ -183,13 +187,14 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def swap_search(lengths: np.ndarray, bins: list[list[int]], capacity: int, steps: int = 3000) -> list[list[int]]:
+def swap_search(lengths: np.ndarray, bins: list[list[int]], capacity: int, steps: int = STEPS, paired: int = PAIRED) -> list[list[int]]:
     """Raise the sum of squared fills by moves and swaps out of the emptiest bins until some are empty.
 
     A step takes one or two pieces out of the emptiest bin that still has a useful step, puts them into a fuller
     underfull bin, and takes nothing (a move) or one smaller piece back. Every step makes the fuller bin fuller by as
-    much as the emptier one gets emptier, so the sum of squares rises and the search ends. steps bounds the work of a
-    lot; the packing is valid after each step.
+    much as the emptier one gets emptier, so the sum of squares rises and the search ends. steps bounds the exchanges
+    tried, and paired the pieces of a bin of which pairs are tried; the packing is valid after each step, and a bound
+    can only cost bins, never pieces.
     """
     fill = np.array([int(lengths[b].sum()) for b in bins], np.int64)
     need = -(-int(fill.sum()) // capacity)
@@ -210,7 +215,7 @@ def swap_search(lengths: np.ndarray, bins: list[list[int]], capacity: int, steps
         sizes, room = lengths[items], (capacity - fill)[holder[items]]
         best: tuple[int, tuple[int, ...], int, int] | None = None
         own = bins[source]
-        for out in [*((i,) for i in own), *combinations(own[:12], 2)]:
+        for out in [*((i,) for i in own), *combinations(own[:paired], 2)]:
             steps -= 1
             total = int(lengths[list(out)].sum())
             fits = np.flatnonzero(capacity - fill[other] >= total)
@@ -239,8 +244,11 @@ def swap_search(lengths: np.ndarray, bins: list[list[int]], capacity: int, steps
     return [b for b in bins if b]
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, lot: int = LOT) -> DataFrame:
-    """Add sequence_id and offset to pieces that have been kept (written and reread). lot: pieces packed together."""
+def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, lot: int = LOT, steps: int = STEPS, paired: int = PAIRED) -> DataFrame:
+    """Add sequence_id and offset to pieces that have been kept (written and reread).
+
+    lot: pieces packed together. steps, paired: bounds of the search in a lot, as swap_search has them.
+    """
     lots = max(1, -(-pieces.count() // lot))
     columns = [c for c in pieces.columns if c != "lot_key"]
 
@@ -248,7 +256,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, lot: int = LOT) ->
         frame = frame.sort_values("lot_key", ignore_index=True)
         lengths = frame["length"].to_numpy(np.int64)
         sequence, offset = np.zeros(len(frame), np.int64), np.zeros(len(frame), np.int64)
-        for k, members in enumerate(swap_search(lengths, best_fit(lengths, capacity), capacity)):
+        for k, members in enumerate(swap_search(lengths, best_fit(lengths, capacity), capacity, steps, paired)):
             sequence[members] = (int(key[0]) << 32) + k
             offset[members] = np.concatenate(([0], np.cumsum(lengths[members])[:-1]))
         return frame[columns].assign(sequence_id=sequence, offset=offset)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from oracle import same
 from quarryflow.llm import fingerprints, licenses, lines, minhash, mixing, packing, quality, queries, secrets, substrings
+from quarryflow.llm.common import keep, numbered, tidy
 from quarryflow.llm.queries import word_bpe_path
 
 
@@ -573,3 +574,60 @@ def test_long_secret_candidates(spark):
     assert got[1]["spans"] == "entropy_mixed:2:100002" and got[2]["n_assign"] == 20_000
     assert got[2]["base_sha256"] == hashlib.sha256(",".join(f"assign:{a}:{b}" for a, _, b in brute_spans(many)).encode()).hexdigest()
     assert time.monotonic() - began < 60
+
+
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it."""
+LGPL = """This library is free software; you can redistribute it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version."""
+BSD3 = BSD + "\n3. Neither the name of the copyright holder nor the names of its contributors\n   may be used to endorse or promote products."
+
+
+def test_more_license_notices(spark):
+    plain = [MIT, BSD3, APACHE, ZLIB, LGPL, "Licensed under the Eclipse Public License v. 2.0", "the Boost Software License, Version 1.0.", "Artistic License 2.0", "European Union Public Licence v1.2", "Common Development and Distribution License, Version 1.0"]
+    want = ["MIT", "BSD-3-Clause", "Apache-2.0", "Zlib", "LGPL-2.1-or-later", "EPL-2.0", "BSL-1.0", "Artistic-2.0", "EUPL-1.2", "CDDL-1.0"]
+    texts = plain + [" ".join(t.split()) for t in plain]  # in one line as well
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["licenses"] for r in licenses.digest(licenses.scan(docs)).collect()}
+    assert got == dict(enumerate(want + want))
+
+
+def test_stages_on_empty_tables(spark, no_docs):
+    assert lines.drop_repeated_lines(no_docs).count() == minhash.drop_near_duplicates(no_docs).count() == mixing.mix_documents(no_docs).count() == 0
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert quality.keep_good(no_docs, none).count() == 0
+
+
+def test_rows_numbered_by_file_place(spark, tmp_path, odd_docs):
+    """Operators on stored files, in a folder with odd characters, give what they give on a copied table."""
+    path = str(tmp_path / "a b%20c")
+    odd_docs.repartition(3).write.parquet(path)
+    docs = spark.read.parquet(path)
+    rows = numbered(docs, stored=True).select("row", "doc.doc_id").collect()
+    assert len({r["row"] for r in rows}) == len(rows) == 20
+    assert sorted(map(str, lines.drop_repeated_lines(docs, stored=True).collect())) == sorted(map(str, lines.drop_repeated_lines(docs).collect()))
+    assert sorted(r["doc_id"] or 0 for r in minhash.drop_near_duplicates(docs, stored=True).collect()) == sorted(r["doc_id"] or 0 for r in minhash.drop_near_duplicates(docs).collect())
+
+
+def test_tidy_leaves_only_the_result(spark):
+    kept = []
+
+    @tidy
+    def made():
+        kept.append(keep(spark.range(3), "first"))
+        return keep(kept[0].where("id > 0"), "second")
+
+    assert made().count() == 2
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FileNotFound"):
+        spark.read.parquet(kept[0].kept_at).count()
+
+
+def test_mix_lies_in_shards(spark, folder):
+    drawn = mixing.drawn_documents(documents(spark, folder), block=4, shard_words=20_000)
+    rows = mixing.in_shards(drawn).select("mix.shard", "mix.place", F.spark_partition_id().alias("p")).collect()
+    assert len({r["shard"] for r in rows}) > 2 and all(len({r["p"] for r in rows if r["shard"] == s}) == 1 for s in {r["shard"] for r in rows})
+    assert all((a["shard"], a["place"]) <= (b["shard"], b["place"]) for a, b in zip(rows, rows[1:]) if a["p"] == b["p"])
