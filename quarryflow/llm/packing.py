@@ -249,6 +249,9 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, lot: int = LOT, ste
 
     lot: pieces packed together. steps, paired: bounds of the search in a lot, as swap_search has them.
     """
+    if "ids" in pieces.columns:  # token ids go round the search, which needs lengths only
+        places = pack_pieces(pieces.select("length", F.col("lot_key").alias("_piece"), "lot_key"), capacity, lot, steps, paired)
+        return pieces.join(places.drop("length"), F.col("lot_key") == F.col("_piece")).drop("lot_key", "_piece")
     lots = max(1, -(-pieces.count() // lot))
     columns = [c for c in pieces.columns if c != "lot_key"]
 
