@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quarryflow.llm import lines, minhash, mixing, packing, quality
-from quarryflow.llm.common import keep, read_table
+from quarryflow.llm.common import discard, keep, read_table
 from quarryflow.llm.queries import word_bpe_path
 
 
@@ -54,7 +54,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    """All stages; what a stage read goes when its result is kept."""
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = keep(stage(spark, docs, sf_dir), name.split(" ")[0].lower())
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
