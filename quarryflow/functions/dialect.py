@@ -5,6 +5,8 @@ Spark SQL has NVL, NVL2, IFNULL, ZEROIFNULL, DECODE, LISTAGG, TRY_CAST and IF it
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +39,34 @@ def day_diff(start: Column, end: Column) -> Column:
     return F.datediff(end.cast("date"), start.cast("date"))
 
 
+def date_diff(unit: str, start: Column, end: Column) -> Column:
+    """DATEDIFF(unit, start, end): how many borders of the unit lie between the two; weeks begin on Monday."""
+    unit = unit.lower().rstrip("s")
+    months = lambda t: F.year(t) * 12 + F.month(t)
+    if unit in ("hour", "minute", "second"):
+        seconds = {"hour": 3600, "minute": 60, "second": 1}[unit]
+        borders = lambda t: F.floor(F.unix_micros(t.cast("timestamp")) / (seconds * 1_000_000))
+        return borders(end) - borders(start)
+    return {
+        "year": F.year(end) - F.year(start),
+        "quarter": (F.year(end) - F.year(start)) * 4 + F.quarter(end) - F.quarter(start),
+        "month": months(end) - months(start),
+        "week": (F.datediff(F.trunc(end, "week"), F.trunc(start, "week")) / 7).cast("int"),
+        "day": day_diff(start, end),
+    }[unit].cast("long")
+
+
+#: Parts of TO_CHAR's date formats and of Spark's, longest first.
+FORMATS = (("HH24", "HH"), ("HH12", "hh"), ("YYYY", "yyyy"), ("MONTH", "MMMM"), ("MON", "MMM"), ("DDD", "DDD"), ("YY", "yy"), ("MM", "MM"), ("DD", "dd"), ("DY", "E"), ("HH", "hh"), ("MI", "mm"), ("SS", "ss"), ("AM", "a"))
+
+
+def to_char_format(value: Column, form: str) -> Column:
+    """TO_CHAR(date or timestamp, format)."""
+    known = dict(FORMATS)
+    parts = re.sub("|".join(a for a, _ in FORMATS), lambda m: known[m[0].upper()], form, flags=re.IGNORECASE)
+    return F.date_format(value, parts)
+
+
 def register(spark: SparkSession) -> None:
     """SQL functions for the names whose types are fixed; they are macros that Catalyst inlines."""
     for name, body in {

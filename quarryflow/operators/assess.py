@@ -114,6 +114,11 @@ QUALIFIED = r"\b(?:[A-Za-z_]\w*\.)?([A-Za-z_]\w*\.[A-Za-z_]\w*)"
 UNQUALIFIED = r"\(\s*([A-Za-z_]\w*)\s*[,)]"
 
 
+#: A CREATE TABLE statement's name and columns, and one column's name and type.
+DDL = r"CREATE\s+(?:OR\s+REPLACE\s+)?TABLE\s+([\w.]+)\s*\(((?:[^()]|\([^()]*\))*)\)"
+DDL_COLUMN = r"(?:^|,)\s*([A-Z_]\w*)\s+([A-Z]\w*(?:\([0-9, ]*\))?)"
+
+
 def has(text: Column, *any_of: str) -> Column:
     return reduce(lambda a, b: a | b, (text.contains(x) for x in any_of))
 
@@ -278,6 +283,13 @@ def column_transforms(sql: Column, column: str) -> Column:
     return F.array_compact(F.array(*(F.when(up.rlike(p.replace("{c}", column.upper())), F.lit(name)) for name, p in TRANSFORMS)))
 
 
+def ddl_columns(objects: DataFrame) -> DataFrame:
+    """table, position, column, type: what the texts' CREATE TABLE statements declare, in upper case."""
+    body = F.regexp_extract(F.upper("source_sql"), DDL, 2)
+    rows = objects.select(F.regexp_extract(F.upper("source_sql"), DDL, 1).alias("table"), F.posexplode(F.arrays_zip(F.regexp_extract_all(body, F.lit(DDL_COLUMN), F.lit(1)).alias("c"), F.regexp_extract_all(body, F.lit(DDL_COLUMN), F.lit(2)).alias("t"))).alias("_at", "_x"))
+    return rows.select("table", F.col("_at").alias("position"), F.col("_x.c").alias("column"), F.col("_x.t").alias("type"))
+
+
 def business_rules(sql: Column, blocks: int = 10) -> Column:
     """array of 'condition -> result' from the text's first CASE blocks, so many as blocks says."""
     cases = F.slice(F.regexp_extract_all(sql, F.lit(r"(?is)CASE\s+(.*?)\s+END"), F.lit(1)), 1, blocks)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -40,5 +40,10 @@ def watermark_append(target: DataFrame, source: DataFrame, column: str) -> DataF
     return target.unionByName(fresh)
 
 
+def update(target: DataFrame, condition: Column, values: dict[str, Column]) -> DataFrame:
+    """UPDATE target SET values WHERE condition, as the table's new content; a null condition leaves the row alone."""
+    return target.withColumns({c: F.when(condition, v).otherwise(F.col(c)) for c, v in values.items()})
+
+
 def full_refresh(source: DataFrame, path: str) -> None:
     source.write.mode("overwrite").parquet(path)

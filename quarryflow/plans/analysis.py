@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarryflow.functions import dialect
 from quarryflow.operators import assess, graph, incremental, reconcile, retrieval, risk_model, text_metrics
 from quarryflow.sources import repository
 from quarryflow.sources.tables import plain_sql, run_sql, table
@@ -102,6 +103,16 @@ def incr_watermark(spark: SparkSession, folder: str) -> DataFrame:
     return incremental.watermark_append(events.where("ts < TIMESTAMP_NTZ '2024-01-20 00:00:00'"), events, "ts")
 
 
+#: TO_CHAR formats by column.
+CHAR_FORMATS = {"day": "YYYY-MM-DD", "month": "MM/YY", "time": "HH24:MI:SS"}
+
+
+def date_diff_units(spark: SparkSession, folder: str) -> DataFrame:
+    day, end = F.col("o_orderdate").cast("date"), F.lit("2001-08-01").cast("date")
+    days = table(spark, folder, "orders").select(F.col("o_orderkey").cast("long").alias("key"), *(dialect.date_diff(u, day, end).alias(f"{u}s") for u in ("year", "quarter", "month", "week", "day")))
+    return days.withColumn("hours", dialect.date_diff("hour", F.lit("2001-07-31 22:59:59").cast("timestamp"), F.lit("2001-08-01 01:00:00").cast("timestamp")))
+
+
 def text_stats(spark: SparkSession, folder: str) -> DataFrame:
     text = F.col("text")
     lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
@@ -219,6 +230,11 @@ QUERIES = {
     "lineage_reads": lineage_reads,
     "column_transforms": column_transforms,
     "business_rules": business_rules,
+    "ddl_schema": lambda s, d: assess.ddl_columns(objects(s, d)),
+    "date_diff_units": date_diff_units,
+    "to_char_format": lambda s, d: table(s, d, "orders").select("o_orderkey", *(dialect.to_char_format(F.col("o_orderdate").cast("timestamp"), f).alias(n) for n, f in CHAR_FORMATS.items())),
+    "date_trunc_units": lambda s, d: table(s, d, "orders").select("o_orderkey", *(F.trunc(F.col("o_orderdate").cast("date"), u).alias(u) for u in ("year", "quarter", "month", "week"))),
+    "update_rewrite": lambda s, d: incremental.update(table(s, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), F.col("o_orderkey") % 7 == 0, {"o_orderstatus": F.lit("X"), "o_totalprice": F.col("o_totalprice") + 1}),
     "behavior_differences": lambda s, d: assess.behaviors(objects(s, d), "vertica", "snowflake"),
     "column_refs": lambda s, d: objects(s, d).select("id", F.array_join(assess.column_references(F.col("source_sql")), ",").alias("columns")),
     "column_lineage": lambda s, d: assess.column_lineage(objects(s, d)).withColumn("transforms", F.array_join("transforms", ",")),
@@ -310,6 +326,11 @@ ORACLES = {
     "lineage_reads": f"WITH {_DUCK_OBJECTS} SELECT id, COALESCE(array_to_string({_DUCK_READS}, ','), '') AS reads, COALESCE(array_to_string({_DUCK_WRITES}, ','), '') AS writes FROM objects",
     "column_transforms": f"WITH {_DUCK_OBJECTS}, u AS (SELECT *, upper(source_sql) AS u FROM objects) SELECT id, COALESCE(array_to_string(list_filter([{', '.join(f'''CASE WHEN regexp_matches(u, '{p.replace('{c}', 'V')}') THEN '{n}' END''' for n, p in assess.TRANSFORMS)}], lambda x: x IS NOT NULL), ','), '') AS transforms FROM u",
     "business_rules": f"WITH {_DUCK_OBJECTS} SELECT id, CASE WHEN contains(source_sql, 'CASE WHEN a > 1') THEN 'a > 1 -> ''x''' ELSE '' END AS rules FROM objects",
+    "ddl_schema": f"WITH {_DUCK_OBJECTS}, b AS (SELECT regexp_extract(upper(source_sql), '{assess.DDL}', 1) AS t, regexp_extract(upper(source_sql), '{assess.DDL}', 2) AS body FROM objects), c AS (SELECT t, regexp_extract_all(body, '{assess.DDL_COLUMN}', 1) AS cs, regexp_extract_all(body, '{assess.DDL_COLUMN}', 2) AS ts FROM b) SELECT t AS table, CAST(i AS INTEGER) AS position, cs[i + 1] AS column, ts[i + 1] AS type FROM (SELECT *, UNNEST(range(len(cs))) AS i FROM c)",
+    "date_diff_units": "SELECT CAST(o_orderkey AS BIGINT) AS key, " + ", ".join(f"date_diff('{u}', CAST(o_orderdate AS DATE), DATE '2001-08-01') AS {u}s" for u in ("year", "quarter", "month", "day")) + ", date_diff('day', date_trunc('week', CAST(o_orderdate AS DATE)), date_trunc('week', DATE '2001-08-01')) // 7 AS weeks, date_diff('hour', TIMESTAMP '2001-07-31 22:59:59', TIMESTAMP '2001-08-01 01:00:00') AS hours FROM orders",
+    "to_char_format": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, strftime(o_orderdate, '%m/%y') AS month, strftime(CAST(o_orderdate AS TIMESTAMP), '%H:%M:%S') AS time FROM orders",
+    "date_trunc_units": "SELECT o_orderkey, " + ", ".join(f"CAST(date_trunc('{u}', o_orderdate) AS DATE) AS {u}" for u in ("year", "quarter", "month", "week")) + " FROM orders",
+    "update_rewrite": "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders",
     "behavior_differences": f"WITH {_DUCK_OBJECTS}, n AS (SELECT {_DUCK_NAME} AS name, source_sql FROM objects) SELECT name, behavior, severity FROM n, (VALUES {', '.join(f"('{n}', '{p}', '{v}')" for n, p, v in _vertica_rules())}) AS k(behavior, pattern, severity) WHERE regexp_matches(source_sql, '(?i)' || pattern) OR (behavior = 'default_ordering' AND regexp_matches(source_sql, '(?i)SELECT') AND NOT regexp_matches(source_sql, '(?i)ORDER BY'))",
     "column_refs": f"WITH {_DUCK_OBJECTS} SELECT id, COALESCE(array_to_string({_DUCK_COLUMNS}, ','), '') AS columns FROM objects",
     "column_lineage": f"WITH {_DUCK_LINEAGE} SELECT name, source_column, col AS column, COALESCE(array_to_string(tags, ','), '') AS transforms FROM g",

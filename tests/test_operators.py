@@ -137,3 +137,12 @@ def test_intent_rules(spark):
     df = spark.createDataFrame([(a,) for a in asked], "p string")
     assert [r["i"] for r in df.select(retrieval.intent(F.col("p"), F.lit("")).alias("i")).collect()] == ["full", "full", "explain", "rag", "explain", "full", "rag"]
     assert df.select(retrieval.intent(F.lit("null"), F.lit("SELECT 1")).alias("i")).head()["i"] == "full"
+
+
+def test_update_and_formats(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "k int, v string")
+    assert sorted(r["v"] for r in incremental.update(df, F.col("k") > 1, {"v": F.lit("z")}).collect()) == ["a", "c", "z"]
+    moment = F.lit("2024-03-05 14:07:09").cast("timestamp")
+    assert spark.range(1).select(dialect.to_char_format(moment, "DD-MON-YYYY HH24:MI:SS").alias("t")).head()["t"] == "05-Mar-2024 14:07:09"
+    diff = lambda unit, a, b: spark.range(1).select(dialect.date_diff(unit, F.lit(a).cast("timestamp"), F.lit(b).cast("timestamp")).alias("n")).head()["n"]
+    assert [diff(u, "2023-12-31 23:59:59", "2024-01-01 00:00:00") for u in ("year", "quarter", "month", "week", "day", "hour", "minute", "second")] == [1] * 8
