@@ -293,6 +293,7 @@ c AS (SELECT *, CASE WHEN score >= 75 THEN 'critical' WHEN score >= 50 THEN 'hig
   CASE WHEN object_type = 'temp_table' AND score < 30 THEN 'retire' WHEN score >= 80 THEN 'manual_redesign' WHEN score >= 55 THEN 'partial' WHEN score >= 30 THEN 'auto_with_review' ELSE 'auto_migrate' END AS category FROM s),
 a AS (SELECT *, CASE WHEN score >= 80 THEN 'manual_redesign' WHEN score >= 60 THEN 'rewrite' WHEN category = 'retire' THEN 'retire' WHEN score >= 35 THEN 'review_and_migrate' ELSE 'migrate' END AS action FROM c)"""
 _DUCK_PATTERN = "CASE WHEN contains(u, 'DELETE FROM') AND contains(u, 'INSERT INTO') THEN 'Delete and reload' WHEN contains(u, 'WHERE') AND (contains(u, 'LOAD_DATE') OR contains(u, 'UPDATED_AT')) THEN 'Timestamp-based incremental load' WHEN contains(u, 'MERGE INTO') THEN 'Merge/upsert' ELSE 'Full refresh' END"
+_DUCK_WHEN = r"(?i)WHEN\s+(.+?)\s+THEN\s+(''[^'']*''|\w+)"
 _DUCK_TERMS = "list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda t: length(t) > 2))"
 _WANTED = sorted({t for t in QUERY_TEXT.split() if len(t) > 2})
 
@@ -313,7 +314,7 @@ ORACLES = {
     "graph_out_degree": f"WITH {_DUCK_EDGES} SELECT src, COUNT(DISTINCT dst) AS n FROM edges GROUP BY src",
     "lineage_neighbors": f"WITH {_DUCK_EDGES}, u AS (SELECT dst AS node, STRING_AGG(DISTINCT src, ',' ORDER BY src) AS upstream FROM edges GROUP BY dst), w AS (SELECT src AS node, STRING_AGG(DISTINCT dst, ',' ORDER BY dst) AS downstream FROM edges GROUP BY src) SELECT node, COALESCE(upstream, '') AS upstream, COALESCE(downstream, '') AS downstream FROM u FULL JOIN w USING (node)",
     "graph_reachability": f"WITH RECURSIVE {_DUCK_EDGES}, walk AS (SELECT 'r' || r_regionkey AS start, 'r' || r_regionkey AS node, 0 AS distance FROM region UNION SELECT start, dst, distance + 1 FROM walk JOIN edges ON node = src WHERE distance < 4) SELECT start, node, MIN(distance) AS distance FROM walk GROUP BY start, node",
-    "graph_cycles": "SELECT n_nationkey AS node, 5 AS length FROM nation WHERE n_nationkey < 20",
+    "graph_cycles": "WITH RECURSIVE e AS (SELECT n_nationkey AS src, CASE WHEN n_nationkey % 5 = 4 THEN n_nationkey - 4 ELSE n_nationkey + 1 END AS dst FROM nation WHERE n_nationkey < 20 UNION ALL SELECT n_nationkey, n_nationkey + 1 FROM nation WHERE n_nationkey >= 20), walk AS (SELECT src AS start, dst AS node, 1 AS length FROM e UNION SELECT start, dst, length + 1 FROM walk JOIN e ON node = src WHERE length < 6) SELECT start AS node, MIN(length) AS length FROM walk WHERE start = node GROUP BY start",
     "graph_orphans": "SELECT 'c' || c_custkey AS node FROM customer UNION SELECT 'n' || n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer)",
     "classify_objects": f"WITH {_DUCK_OBJECTS}, u AS (SELECT *, upper(source_sql) AS u FROM objects) SELECT id, {_DUCK_TYPE} AS object_type, {_DUCK_NAME} AS name FROM u",
     "complexity_regex": f"WITH {_DUCK_OBJECTS} SELECT id, {', '.join(_duck_count('source_sql', p) + ' AS ' + n for n, p in assess.MEASURES)}, length(source_sql) - length(replace(source_sql, chr(10), '')) + 1 AS lines, length(source_sql) - length(replace(source_sql, ';', '')) + 1 AS statements FROM objects",
@@ -325,7 +326,7 @@ ORACLES = {
     "lineage_edges": f"WITH {_DUCK_OBJECTS}, n AS (SELECT {_DUCK_NAME} AS name, {_DUCK_READS} AS r, {_DUCK_WRITES} AS w FROM objects), e AS (SELECT UNNEST(r) AS src, name AS dst, 'reads' AS relation FROM n UNION SELECT name, UNNEST(w), 'writes' FROM n) SELECT * FROM e WHERE src <> dst",
     "lineage_reads": f"WITH {_DUCK_OBJECTS} SELECT id, COALESCE(array_to_string({_DUCK_READS}, ','), '') AS reads, COALESCE(array_to_string({_DUCK_WRITES}, ','), '') AS writes FROM objects",
     "column_transforms": f"WITH {_DUCK_OBJECTS}, u AS (SELECT *, upper(source_sql) AS u FROM objects) SELECT id, COALESCE(array_to_string(list_filter([{', '.join(f'''CASE WHEN regexp_matches(u, '{p.replace('{c}', 'V')}') THEN '{n}' END''' for n, p in assess.TRANSFORMS)}], lambda x: x IS NOT NULL), ','), '') AS transforms FROM u",
-    "business_rules": f"WITH {_DUCK_OBJECTS} SELECT id, CASE WHEN contains(source_sql, 'CASE WHEN a > 1') THEN 'a > 1 -> ''x''' ELSE '' END AS rules FROM objects",
+    "business_rules": f"WITH {_DUCK_OBJECTS}, c AS (SELECT id, regexp_extract_all(source_sql, '(?is)CASE\\s+(.*?)\\s+END', 1)[1:10] AS cs FROM objects) SELECT id, COALESCE(array_to_string(flatten(list_transform(cs, lambda c: list_transform(list_zip(regexp_extract_all(c, '{_DUCK_WHEN}', 1), regexp_extract_all(c, '{_DUCK_WHEN}', 2)), lambda z: trim(z[1]) || ' -> ' || z[2]))), '; '), '') AS rules FROM c",
     "ddl_schema": f"WITH {_DUCK_OBJECTS}, b AS (SELECT regexp_extract(upper(source_sql), '{assess.DDL}', 1) AS t, regexp_extract(upper(source_sql), '{assess.DDL}', 2) AS body FROM objects), c AS (SELECT t, regexp_extract_all(body, '{assess.DDL_COLUMN}', 1) AS cs, regexp_extract_all(body, '{assess.DDL_COLUMN}', 2) AS ts FROM b) SELECT t AS table, CAST(i AS INTEGER) AS position, cs[i + 1] AS column, ts[i + 1] AS type FROM (SELECT *, UNNEST(range(len(cs))) AS i FROM c)",
     "date_diff_units": "SELECT CAST(o_orderkey AS BIGINT) AS key, " + ", ".join(f"date_diff('{u}', CAST(o_orderdate AS DATE), DATE '2001-08-01') AS {u}s" for u in ("year", "quarter", "month", "day")) + ", date_diff('day', date_trunc('week', CAST(o_orderdate AS DATE)), date_trunc('week', DATE '2001-08-01')) // 7 AS weeks, date_diff('hour', TIMESTAMP '2001-07-31 22:59:59', TIMESTAMP '2001-08-01 01:00:00') AS hours FROM orders",
     "to_char_format": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, strftime(o_orderdate, '%m/%y') AS month, strftime(CAST(o_orderdate AS TIMESTAMP), '%H:%M:%S') AS time FROM orders",
