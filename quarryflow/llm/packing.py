@@ -30,7 +30,7 @@ CAPACITY = 2048
 #: Pieces a lot, on average.
 LOT = 8192
 #: Chunks, and lower-case words, that a Python worker remembers with their ids.
-REMEMBERED = 800_000
+REMEMBERED = 450_000
 #: Latin words, whose lower case is the same by all rules, with a few ASCII marks behind, which are a pre-token of their own.
 PLAIN = re.compile(r"^([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+)([!-/:-@\[-`{-~]{0,3})$", re.M)
 
@@ -122,7 +122,7 @@ def tokenizer(path: str, closing_id: int) -> ChunkTokenizer:
     return ChunkTokenizer(path, closing_id)
 
 
-def slices(texts: pa.Array, size: int = 8_000_000) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, size: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Runs of texts that hold about size bytes together, or one longer text."""
     lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     lot = np.cumsum(lengths) // size
