@@ -631,3 +631,19 @@ def test_mix_lies_in_shards(spark, folder):
     rows = mixing.in_shards(drawn).select("mix.shard", "mix.place", F.spark_partition_id().alias("p")).collect()
     assert len({r["shard"] for r in rows}) > 2 and all(len({r["p"] for r in rows if r["shard"] == s}) == 1 for s in {r["shard"] for r in rows})
     assert all((a["shard"], a["place"]) <= (b["shard"], b["place"]) for a, b in zip(rows, rows[1:]) if a["p"] == b["p"])
+
+
+def test_long_lines_are_aligned():
+    """Beyond LONG characters a copy with a few words replaced is similar, one with half of them isn't, and both are quick."""
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    line = [word() for _ in range(20_000)]
+    copy = lambda share: " ".join(word() if rng.random() < share else w for w in line)
+    began = time.monotonic()
+    assert lines.similar(" ".join(line), copy(0.15), 80) and not lines.similar(" ".join(line), copy(0.5), 80)
+    assert time.monotonic() - began < 20
+    for _ in range(50):
+        one = [word()[: int(rng.integers(1, 6))] for _ in range(12)]
+        two = [w if rng.random() < 0.7 else word() for w in one]
+        far = levenshtein(" ".join(one), " ".join(two))
+        assert far <= lines.aligned_cost(one, two, True) <= lines.aligned_cost(one, two)
