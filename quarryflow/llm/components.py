@@ -170,7 +170,11 @@ def linked_in_blocks(members: DataFrame, dense: Dense) -> DataFrame:
         if len(one) and len(two):
             theirs = list(zip(two["node"].tolist(), two["root"].tolist(), two["rest"].tolist(), map(prepare, two["content"]), strict=True))
             for a, root, mine in zip(one["node"].tolist(), one["root"].tolist(), map(prepare, one["content"]), strict=True):
-                rows += [(a, b) for b, other, rest, yours in theirs if other != root and not (rest and b < a) and linked(mine, yours)]
+                near = {root}  # one link to a root is enough
+                for b, other, rest, yours in theirs:
+                    if other not in near and not (rest and b < a) and linked(mine, yours):
+                        near.add(other)
+                        rows.append((a, b))
         return pd.DataFrame(rows, columns=["a", "b"], dtype="int64")
 
     key = ["cluster", "block", "part"]
