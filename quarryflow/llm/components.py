@@ -129,7 +129,11 @@ def linked_within_buckets(shared: DataFrame, verify: Callable[[DataFrame], DataF
 
 @dataclass
 class Dense:
-    """How to compare the members of large buckets: content (node, content), and a test of two prepared contents."""
+    """How to compare the members of large buckets: content (node, content), and a test of two prepared contents.
+
+    merge: buckets that share members are compared as one. Contents then travel once, but members that share no bucket
+    meet as well; where contents are small, each bucket by itself is less work.
+    """
 
     content: DataFrame
     prepare: Callable
@@ -137,6 +141,7 @@ class Dense:
     least: int = 16
     block: int = 128
     part: int = 1024
+    merge: bool = True
 
 
 def linked_in_blocks(members: DataFrame, dense: Dense) -> DataFrame:
@@ -146,8 +151,11 @@ def linked_in_blocks(members: DataFrame, dense: Dense) -> DataFrame:
     sent to every block, in parts, and compared there with all members of other roots. A task holds one block and one
     part, whatever the cluster's size, and no row is made for a pair that isn't a link.
     """
-    clusters = components(members.select(F.col("node").alias("a"), F.col("_pivot").alias("b")))
-    nodes = members.select("node", "root").distinct().join(clusters.withColumnRenamed("root", "cluster"), "node")
+    if dense.merge:
+        clusters = components(members.select(F.col("node").alias("a"), F.col("_pivot").alias("b")))
+        nodes = members.select("node", "root").distinct().join(clusters.withColumnRenamed("root", "cluster"), "node")
+    else:
+        nodes = members.select("node", "root", F.col("bucket").alias("cluster"))
     nodes = keep(nodes.join(dense.content, "node"), "dense")
     by_root = nodes.groupBy("cluster", "root").agg(F.count("*").alias("n"))
     totals = by_root.groupBy("cluster").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most"))

@@ -211,7 +211,9 @@ def levenshtein(a, b):
     return row[-1]
 
 
-def test_line_dedup_equals_brute_force(spark, odd_docs, no_docs):
+@pytest.mark.parametrize("large", [lines.LARGE, 1])
+def test_line_dedup_equals_brute_force(spark, odd_docs, no_docs, large, monkeypatch):
+    monkeypatch.setattr(lines, "LARGE", large)
     rng = np.random.default_rng(3)
     word = lambda: "".join(rng.choice(list("abcdefgh"), 5))
     pool = [" ".join(word() for _ in range(30)) for _ in range(12)]
