@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryflow.llm import fingerprints, licenses, lines, minhash, mixing, neighbours, packing, quality, secrets, substrings
+from quarryflow.llm import alignment, archives, codebooks, fingerprints, licenses, lines, minhash, mixing, neighbours, packing, quality, secrets, substrings
 from quarryflow.llm.common import read_table
 
 
@@ -59,6 +59,24 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align_tokenizers(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, books = codebooks.compress(read_table(spark, sf_dir, "embeddings"))
+    code = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    return rows.select("vec_id", code.alias("code"), "error", "label_error", F.lit(codebooks.digest(books)).alias("codebooks_sha256"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = archives.scratch_folder(spark)
+    archives.write_archives(read_table(spark, sf_dir, "pages"), folder, stored=True)
+    return archives.read_archives(spark, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
@@ -71,6 +89,9 @@ def queries() -> dict:
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_adaptive_scan_ann": op9_adaptive_scan_ann,
         "op10_substring_dedup": op10_substring_dedup,
+        "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
+        "op12_vector_codes": op12_vector_codes,
+        "op13_warc": op13_warc,
     }
 
 
