@@ -170,7 +170,7 @@ def trained(vectors: Bucketed, books: np.ndarray, rounds: int) -> tuple[np.ndarr
     """The codebooks after so many rounds, and how many parts each round found to have changed their entry."""
     sums, before, moves = np.zeros((*books.shape[:2], books.shape[2] + 1), np.int64), None, []
     for _ in range(rounds):
-        now = Bucketed(one_round(_beside(vectors, before) if before else vectors.df.select("row", "v"), books), vectors.buckets, "codes", dealt=before is not None)
+        now = Bucketed(one_round(_beside(vectors, before) if before else vectors.df.select("row", "v"), books), vectors.buckets, "codes", dealt=True)
         changed = now.df.where("part IS NOT NULL").groupBy("part", "entry", "place").agg(F.sum("total").alias("total"))
         moves.append(0)
         for r in changed.collect():  # entries * (dimensions + parts) at most
