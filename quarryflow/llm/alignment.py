@@ -37,7 +37,7 @@ from quarryflow.llm.common import keep, tidy
 #: Pairs of ids whose counts are broadcast, at most.
 HOT = 1 << 19
 #: Chunks and their characters that a worker remembers, and characters of texts that are read at once.
-REMEMBERED, REMEMBERED_CHARS, BATCH_CHARS = 300_000, 4_000_000, 1_000_000
+REMEMBERED, REMEMBERED_CHARS, BATCH_CHARS = 600_000, 10_000_000, 1_000_000
 #: Links that are written out at once; a larger group is multiplied by its distinct ids.
 EXPANDED = 1 << 20
 
