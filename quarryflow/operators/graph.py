@@ -5,11 +5,11 @@ Everything is joins over edges; frontiers are kept distinct, so a dense graph co
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarryflow.sources.scratch import shared_folder
+
 
 def out_degree(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.countDistinct("dst").alias("n"))
@@ -27,12 +27,7 @@ def cut(df: DataFrame) -> DataFrame:
     """df from a checkpoint in the shared folder of spark.checkpoint.dir, so later steps don't repeat it."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            folder = tempfile.mkdtemp(prefix="spark-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
