@@ -23,6 +23,13 @@ def neighbours(edges: DataFrame) -> DataFrame:
     return up.join(down, "node", "full").select("node", F.coalesce("upstream", F.lit("")).alias("upstream"), F.coalesce("downstream", F.lit("")).alias("downstream"))
 
 
+def neighbour_rows(edges: DataFrame) -> DataFrame:
+    """node, direction, neighbour: one row each, so a hub's neighbours are rows like others."""
+    down = edges.select(F.col("src").alias("node"), F.lit("downstream").alias("direction"), F.col("dst").alias("neighbour"))
+    up = edges.select(F.col("dst").alias("node"), F.lit("upstream").alias("direction"), F.col("src").alias("neighbour"))
+    return down.union(up).where("node IS NOT NULL").distinct()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df from a checkpoint in the shared folder of spark.checkpoint.dir, so later steps don't repeat it."""
     context = df.sparkSession.sparkContext
