@@ -6,8 +6,8 @@ insertion or deletion the walks over two texts soon fall into step again, and a
 Hamming distance between what was written. The walk starts anew at every SEGMENT characters, with the same bits, so a
 long text is many short walks that run side by side.
 
-A fingerprint samples fixed steps of each walk, more densely near its start, as one hexadecimal digit each, and "-"
-where the walk has run off the text. Likeness of two fingerprints is the share of agreeing samples, each weighing as
+A fingerprint samples fixed steps of each walk, more densely near its start (each of the first 16 steps, which tells
+the shortest texts apart), as one hexadecimal digit each, and "-" where the walk has run off the text. Likeness of two fingerprints is the share of agreeing samples, each weighing as
 many steps as it stands for. Bands of samples within a segment bring similar documents together; likeness confirms.
 
 Defined cases: null text counts as empty; an empty text has an empty fingerprint; two empty fingerprints have likeness
@@ -34,9 +34,9 @@ from quarryflow.llm.minhash import mixed
 SEGMENT = 2048
 STEPS = 3 * SEGMENT
 #: Steps of a walk, and how many samples are taken of them.
-STRATA = ((0, 96, 16), (96, 384, 16), (384, 1536, 24), (1536, STEPS, 40))
+STRATA = ((0, 16, 16), (16, 96, 16), (96, 384, 16), (384, 1536, 24), (1536, STEPS, 40))
 SAMPLES = sum(n for _, _, n in STRATA)
-BANDS, BAND_SAMPLES = 24, 6
+BANDS, BAND_SAMPLES = 26, 6
 #: Documents in one range of doc_ids, on average, and the most ranges.
 RANGE, RANGES = 1024, 8192
 
@@ -57,7 +57,7 @@ def band_samples(size_class: int) -> np.ndarray:
     likeness, so it agrees with about that probability. Of few samples, bands take half.
     """
     size = 2 ** (size_class / 2)
-    eligible = np.flatnonzero((_AT >= size / 4) & (_AT < 1.6 * size))
+    eligible = np.flatnonzero((_AT >= size / 6) & (_AT < 1.6 * size))
     if len(eligible) < 5:
         eligible = np.flatnonzero(_AT < max(24, 2 * size))
     width = min(BAND_SAMPLES, max(1, len(eligible) // 2))
@@ -94,10 +94,11 @@ def fingerprints(texts: list[str]) -> list[bytes]:
         row += count
     flat, place = field.ravel(), np.arange(n, dtype=np.int64) * (SEGMENT + 1)
     here, move, taken = np.zeros(n, np.uint8), np.zeros(n, np.uint8), np.zeros((SAMPLES, n), np.uint8)
-    last = int(_AT[-1]) if max(map(len, codes)) * 3 > _AT[-1] else max(map(len, codes)) * 3
     wanted = {int(step): k for k, step in enumerate(_AT)}
-    for step in range(last + 1):
+    for step in range(int(_AT[-1]) + 1):
         np.take(flat, place, out=here, mode="clip")
+        if step % 64 == 0 and not here.any():  # every walk has run off its text, whatever else is in the batch
+            break
         if step in wanted:
             taken[wanted[step]] = here
         np.take(_MOVES[step], here, out=move, mode="clip")
@@ -115,6 +116,8 @@ def likeness(one: bytes, two: bytes) -> float:
     a, b = (np.frombuffer(x.ljust(size, b"-"), np.uint8) for x in (one, two))
     reached = (a != ord("-")) | (b != ord("-"))
     weight = np.tile(_WEIGHT, size // SAMPLES) * reached
+    if not reached.any():
+        return float(one == two)
     return float((weight * (a == b)).sum() / weight.sum())
 
 

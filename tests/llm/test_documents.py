@@ -282,6 +282,23 @@ def test_fingerprints(spark, folder, odd_docs, no_docs):
     assert fingerprints.fingerprint_documents(odd_docs.where("doc_id = 8")).head()["near_next"] == 1.0
 
 
+def test_fingerprints_depend_on_their_text_alone():
+    """Each text alone, among short ones and beside a long one; prints of short texts differ; likeness lies in 0 to 1."""
+    draw = np.random.default_rng(77)
+    texts = ["".join(draw.choice(list("abcdefgh é日"), n)) for n in [*range(1, 12)] * 30] + ["b", "a", "ab", " "]
+    alone = [fingerprints.fingerprints([t])[0] for t in texts]
+    assert fingerprints.fingerprints(texts) == alone
+    assert fingerprints.fingerprints([*texts, "x y z " * 2000])[:-1] == alone
+    assert all(p.strip(b"-") for p in alone)
+    by_print = defaultdict(set)
+    for t, p in zip(texts, alone, strict=True):
+        by_print[p].add(t)
+    assert sum(len(g) - 1 for g in by_print.values()) <= len(set(texts)) // 20  # equal digits of unlike characters
+    for a, b in zip(alone, alone[1:]):
+        assert 0 <= fingerprints.likeness(a, b) <= 1 and fingerprints.likeness(a, a) == 1
+    assert fingerprints.likeness(b"-" * fingerprints.SAMPLES, b"-" * fingerprints.SAMPLES) == 1
+
+
 def test_likeness_follows_edits():
     rng = np.random.default_rng(5)
     text = "".join(rng.choice(list("abcdefghij "), 6000))
