@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -142,6 +143,8 @@ class Dense:
     block: int = 128
     part: int = 1024
     merge: bool = True
+    #: Takes two lists of prepared contents and returns which pairs may be linked, as one matrix of booleans.
+    sieve: Callable | None = None
 
 
 def linked_in_blocks(members: DataFrame, dense: Dense) -> DataFrame:
@@ -171,18 +174,23 @@ def linked_in_blocks(members: DataFrame, dense: Dense) -> DataFrame:
     columns = ["cluster", "block", "part", "node", "root", "rest", "content"]
     held = nodes.withColumn("block", deal("blocks")).withColumn("part", each("parts")).select(*columns)
     asks = nodes.where("rest").withColumn("part", deal("parts")).withColumn("block", each("blocks")).select(*columns).toDF(*columns)  # columns of its own
-    prepare, linked = dense.prepare, dense.linked
+    prepare, linked, sieve = dense.prepare, dense.linked, dense.sieve
 
     def compare(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(one) and len(two):
-            theirs = list(zip(two["node"].tolist(), two["root"].tolist(), two["rest"].tolist(), map(prepare, two["content"]), strict=True))
-            for a, root, mine in zip(one["node"].tolist(), one["root"].tolist(), map(prepare, one["content"]), strict=True):
-                near = {root}  # one link to a root is enough
-                for b, other, rest, yours in theirs:
-                    if other not in near and not (rest and b < a) and linked(mine, yours):
-                        near.add(other)
-                        rows.append((a, b))
+            asked, theirs = list(map(prepare, one["content"])), list(map(prepare, two["content"]))
+            a, b = one["node"].to_numpy(), two["node"].to_numpy()
+            roots, rest = two["root"].to_numpy(), two["rest"].to_numpy(bool)
+            may = (one["root"].to_numpy()[:, None] != roots[None, :]) & ~(rest[None, :] & (b[None, :] < a[:, None]))
+            if sieve is not None:
+                may &= sieve(asked, theirs)
+            for i in np.flatnonzero(may.any(axis=1)).tolist():
+                near = set()  # one link to a root is enough
+                for j in np.flatnonzero(may[i]).tolist():
+                    if roots[j] not in near and linked(asked[i], theirs[j]):
+                        near.add(roots[j])
+                        rows.append((a[i], b[j]))
         return pd.DataFrame(rows, columns=["a", "b"], dtype="int64")
 
     key = ["cluster", "block", "part"]

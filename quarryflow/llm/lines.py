@@ -4,8 +4,7 @@ Lines are normalised to their lower-case words. Lines with equal words are one c
 votes on the 64 bits of the line's SimHash: long lines of one language have most of their words in common, but few pairs.
 Two lines are candidates if they agree in a block, if neither is too short for the other and if, where both have VOTERS
 pairs to vote, at most FAR bits of their SimHashes differ. Candidates are linked if the edit similarity of their
-normalised texts, 1 - distance / longer length, is at least the threshold; lines of more than LONG characters are aligned
-by words that either has once. Of each connected group the occurrence with the smallest (doc_id, row, line number) stays.
+normalised texts, 1 - distance / longer length, is at least the threshold, whatever their length. Of each connected group the occurrence with the smallest (doc_id, row, line number) stays.
 
 A block is not cut from the line's 64 bits: one changed word of eight already flips some ten of them, so blocks wide
 enough to keep chance pairs few would miss most links. Instead a block is made of few of the line's words, drawn by least
@@ -42,7 +41,7 @@ BLOCKS, BLOCK_BITS = WORD_KEYS + PIECE_KEYS, 62
 #: Shorter words are drawn less often. Pairs of words that must vote for SimHashes to be compared.
 LETTERS, VOTERS = 4, 8
 FEW = 5
-#: Lines of more characters are compared by what lies between common words.
+#: Gaps between common words of more characters are taken as replaced in an upper bound.
 LONG = 512
 #: Buckets of more lines that stay apart are compared by blocks.
 LARGE = 64
@@ -239,22 +238,18 @@ def similar_pairs(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percen
 
 
 def similar(one: str, two: str, percent: int) -> bool:
-    """Whether the edit similarity is at least percent; bounds of the distance that are cheap decide first.
-
-    Where both lines have more than LONG characters, the distance is that of the aligned lines, aligned_cost with exact
-    gaps: a table of the whole lines would grow with their square. It is never less than the edit distance.
-    """
+    """Whether the edit similarity is at least percent; bounds of the distance that are cheap decide first."""
     most = max(len(one), len(two)) * (100 - percent) // 100
-    if abs(len(one) - len(two)) > most:
-        return False
-    if aligned_cost(one.split(" "), two.split(" ")) <= most:
-        return True
-    if min(len(one), len(two)) > LONG:
-        return aligned_cost(one.split(" "), two.split(" "), True) <= most
-    letters, others = Counter(one), Counter(two)
-    if max((letters - others).total(), (others - letters).total()) > most:
+    if abs(len(one) - len(two)) > most or letters_apart(one, two) > most:
         return False
-    return edit_distance_within(one, two, most)
+    return aligned_cost(one.split(" "), two.split(" ")) <= most or edit_distance_within(one, two, most)
+
+
+def letters_apart(one: str, two: str) -> int:
+    """A lower bound of the edit distance: letters that either line has more of."""
+    kinds = set(one) | set(two)
+    more = [one.count(c) - two.count(c) for c in kinds]
+    return max(sum(x for x in more if x > 0), -sum(x for x in more if x < 0))
 
 
 def aligned_cost(one: list[str], two: list[str], exact: bool = False) -> int:
@@ -337,13 +332,15 @@ def repeated_lines(rows: DataFrame, percent: int) -> DataFrame:
     votes = classes.select("node", "votes")
     content = texts.join(votes, "node").select("node", F.struct(F.col("content").alias("plain"), "votes").alias("content"))
 
-    def linked(one: tuple, two: tuple) -> bool:
-        if one[1] is not None and two[1] is not None and ((one[1] ^ two[1]) & (2**64 - 1)).bit_count() > FAR:
-            return False
-        return similar(one[0], two[0], percent)
-
     fits = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
-    roots = linked_within_buckets(shared, lambda pairs: similar_pairs(pairs, classes, texts, percent), fits, Dense(content, prepared, linked, LARGE, 64, 256, merge=False))
+    def sieve(some: list[tuple], others: list[tuple]) -> np.ndarray:
+        """Which pairs have lengths and SimHashes near enough, a whole block at once."""
+        (x, v, h), (y, w, g) = ((np.array([len(c[0]) for c in held]), np.array([(c[1] or 0) & (2**64 - 1) for c in held], np.uint64), np.array([c[1] is not None for c in held])) for held in (some, others))
+        near = np.bitwise_count(v[:, None] ^ w[None, :]) <= FAR
+        return (near | ~h[:, None] | ~g[None, :]) & (100 * np.minimum(x[:, None], y[None, :]) >= percent * np.maximum(x[:, None], y[None, :]))
+
+    dense = Dense(content, prepared, lambda a, b: similar(a[0], b[0], percent), LARGE, 256, 1024, merge=False, sieve=sieve)
+    roots = linked_within_buckets(shared, lambda pairs: similar_pairs(pairs, classes, texts, percent), fits, dense)
 
     groups = classes.select("key", "node", "n").join(roots, "node", "left").where("root IS NOT NULL OR n > 1")
     groups = keep(groups.select("key", F.coalesce("root", "node").alias("root")), "groups")
