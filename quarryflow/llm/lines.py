@@ -311,7 +311,8 @@ def edit_distance(one: str, two: str, most: int | None = None) -> int:
 
 
 def prepared(content: dict) -> tuple[str, int | None]:
-    return content["plain"], content["votes"]
+    """Text and SimHash; the SimHash travels as text, since whole numbers beside nulls would become floats."""
+    return content["plain"], None if content["votes"] is None else int(content["votes"])
 
 
 @tidy
@@ -329,7 +330,7 @@ def repeated_lines(rows: DataFrame, percent: int) -> DataFrame:
     wanted = classes.select("node", "place.row", "place.line").join(shared.select("node").distinct(), "node", "left_semi")
     texts = keep(line_texts(rows.select("row", "text"), wanted), "texts")
 
-    votes = classes.select("node", "votes")
+    votes = classes.select("node", F.col("votes").cast("string").alias("votes"))
     content = texts.join(votes, "node").select("node", F.struct(F.col("content").alias("plain"), "votes").alias("content"))
 
     fits = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)

@@ -259,6 +259,36 @@ def test_line_dedup_equals_brute_force(spark, odd_docs, no_docs, large, monkeypa
     assert lines.dedup_lines(no_docs).count() == 0
 
 
+def test_large_buckets_of_lines_with_and_without_a_simhash(spark, monkeypatch):
+    """Lines of six words, too few to vote, and of more, in one large bucket: every link of the bucket is found."""
+    monkeypatch.setattr(lines, "LARGE", 1)
+    rng = np.random.default_rng(31)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    base = [word() for _ in range(8)]
+    texts = [" ".join([*base, *(word() for _ in range(int(rng.integers(0, 5))))]) for _ in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in lines.dedup_lines(docs).select("doc.doc_id", "n_removed").collect()}
+    plain = sorted(set(texts))
+    blocks, votes = lines.simhashes(plain)
+    assert any(v is None for v in votes) and any(v is not None for v in votes)
+    group = {t: t for t in plain}
+
+    def find(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for i, a in enumerate(plain):
+        for j in range(i):
+            near = votes[i] is None or votes[j] is None or ((votes[i] ^ votes[j]) & (2**64 - 1)).bit_count() <= lines.FAR
+            if near and (blocks[i] == blocks[j]).any() and levenshtein(a, plain[j]) <= max(len(a), len(plain[j])) * 20 // 100:
+                group[find(a)] = find(plain[j])
+    first = {}
+    for i, t in enumerate(texts):
+        first.setdefault(find(t), i)
+    assert got == {i: int(first[find(t)] != i) for i, t in enumerate(texts)}
+
+
 def test_simhash_is_a_vote():
     blocks = lines.simhash_blocks([["a", "b", "c"], ["c", "b", "a"], ["x"]])
     assert (blocks[0] == blocks[1]).all() and (blocks < 1 << lines.BLOCK_BITS).all()
