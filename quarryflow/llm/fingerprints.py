@@ -34,9 +34,10 @@ from quarryflow.llm.minhash import mixed
 SEGMENT = 2048
 STEPS = 3 * SEGMENT
 #: Steps of a walk, and how many samples are taken of them.
-STRATA = ((0, 16, 16), (16, 96, 16), (96, 384, 16), (384, 1536, 24), (1536, STEPS, 40))
-SAMPLES = sum(n for _, _, n in STRATA)
-BANDS, BAND_SAMPLES = 26, 6
+STRATA = ((0, 96, 16), (96, 384, 16), (384, 1536, 24), (1536, STEPS, 40))
+#: Each of the first steps is a sample as well.
+EVERY = 16
+BANDS, BAND_SAMPLES = 24, 6
 #: Documents in one range of doc_ids, on average, and the most ranges.
 RANGE, RANGES = 1024, 8192
 
@@ -44,7 +45,11 @@ _random = np.random.default_rng(7)
 _MOVES = _random.integers(0, 2, (STEPS, 256), dtype=np.uint8)
 _MOVES[:, 0] = 0
 _AT = np.concatenate([np.sort(_random.choice(np.arange(a, b), n, replace=False)) for a, b, n in STRATA])
-_WEIGHT = np.concatenate([np.full(n, (b - a) / n) for a, b, n in STRATA])
+_AT = np.union1d(np.arange(EVERY), _AT)
+SAMPLES = len(_AT)
+_EDGES = np.array([0, EVERY, *(b for _, b, _ in STRATA)])
+_OF = np.searchsorted(_EDGES, _AT, side="right") - 1
+_WEIGHT = np.diff(_EDGES)[_OF] / np.bincount(_OF)[_OF]
 _DIGIT = _random.choice(np.frombuffer(b"0123456789abcdef", np.uint8), (SAMPLES, 256))
 _DIGIT[:, 0] = ord("-")
 
@@ -57,7 +62,7 @@ def band_samples(size_class: int) -> np.ndarray:
     likeness, so it agrees with about that probability. Of few samples, bands take half.
     """
     size = 2 ** (size_class / 2)
-    eligible = np.flatnonzero((_AT >= size / 6) & (_AT < 1.6 * size))
+    eligible = np.flatnonzero((_AT >= size / 4) & (_AT < 1.6 * size))
     if len(eligible) < 5:
         eligible = np.flatnonzero(_AT < max(24, 2 * size))
     width = min(BAND_SAMPLES, max(1, len(eligible) // 2))
