@@ -45,7 +45,10 @@ _random = np.random.default_rng(7)
 _MOVES = _random.integers(0, 2, (STEPS, 256), dtype=np.uint8)
 _MOVES[:, 0] = 0
 _AT = np.concatenate([np.sort(_random.choice(np.arange(a, b), n, replace=False)) for a, b, n in STRATA])
+_DRAWN = _AT
 _AT = np.union1d(np.arange(EVERY), _AT)
+#: Bands are made of the drawn samples only; neighbouring steps mostly stand on one character.
+_BANDED = np.isin(_AT, _DRAWN)
 SAMPLES = len(_AT)
 _EDGES = np.array([0, EVERY, *(b for _, b, _ in STRATA)])
 _OF = np.searchsorted(_EDGES, _AT, side="right") - 1
@@ -62,9 +65,9 @@ def band_samples(size_class: int) -> np.ndarray:
     likeness, so it agrees with about that probability. Of few samples, bands take half.
     """
     size = 2 ** (size_class / 2)
-    eligible = np.flatnonzero((_AT >= size / 4) & (_AT < 1.6 * size))
+    eligible = np.flatnonzero(_BANDED & (_AT >= size / 4) & (_AT < 1.6 * size))
     if len(eligible) < 5:
-        eligible = np.flatnonzero(_AT < max(24, 2 * size))
+        eligible = np.flatnonzero(_BANDED & (_AT < max(24, 2 * size)))
     width = min(BAND_SAMPLES, max(1, len(eligible) // 2))
     if not len(eligible):
         return np.zeros((0, width), np.int64)
