@@ -7,8 +7,9 @@ Hamming distance between what was written. The walk starts anew at every SEGMENT
 long text is many short walks that run side by side.
 
 A fingerprint samples fixed steps of each walk, more densely near its start (each of the first 16 steps, which tells
-the shortest texts apart), as one hexadecimal digit each, and "-" where the walk has run off the text. Likeness of two fingerprints is the share of agreeing samples, each weighing as
-many steps as it stands for. Bands of samples within a segment bring similar documents together; likeness confirms.
+the shortest texts apart), as one hexadecimal digit each, and "-" where the walk has run off the text. Likeness of two
+fingerprints is the share of agreeing samples, each weighing as many steps as it stands for. Bands of samples within a
+segment bring similar documents together; likeness confirms.
 
 Defined cases: null text counts as empty; an empty text has an empty fingerprint; two empty fingerprints have likeness
 1, an empty and another one 0; doc_ids are whole numbers; null ones come before all others; rows with equal doc_ids
@@ -37,7 +38,10 @@ STEPS = 3 * SEGMENT
 STRATA = ((0, 96, 16), (96, 384, 16), (384, 1536, 24), (1536, STEPS, 40))
 #: Each of the first steps is a sample as well.
 EVERY = 16
-BANDS, BAND_SAMPLES = 24, 6
+#: Bands of a text of one segment, and samples a band.
+BANDS, BAND_SAMPLES = 28, 8
+#: A segment shorter than this share of the next size class's least length has no alike segment there.
+NEAR_BORDER = 0.7
 #: Documents in one range of doc_ids, on average, and the most ranges.
 RANGE, RANGES = 1024, 8192
 
@@ -52,7 +56,9 @@ _BANDED = np.isin(_AT, _DRAWN)
 SAMPLES = len(_AT)
 _EDGES = np.array([0, EVERY, *(b for _, b, _ in STRATA)])
 _OF = np.searchsorted(_EDGES, _AT, side="right") - 1
-_WEIGHT = np.diff(_EDGES)[_OF] / np.bincount(_OF)[_OF]
+#: Steps that a sample stands for, as whole numbers of one common unit, so that likeness is exact.
+_UNIT = int(np.lcm.reduce(np.bincount(_OF)))
+_WEIGHT = np.diff(_EDGES)[_OF] * (_UNIT // np.bincount(_OF)[_OF])
 _DIGIT = _random.choice(np.frombuffer(b"0123456789abcdef", np.uint8), (SAMPLES, 256))
 _DIGIT[:, 0] = ord("-")
 
@@ -116,44 +122,83 @@ def fingerprints(texts: list[str]) -> list[bytes]:
     return [digits[a:b].tobytes() for a, b in zip(ends, ends[1:])]
 
 
+def _agreement(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weight of the samples that agree and weight of those that either reaches, by segment: arrays (..., SAMPLES)."""
+    reached = (one != ord("-")) | (two != ord("-"))
+    return ((one == two) & reached) @ _WEIGHT, reached @ _WEIGHT
+
+
+def likenesses(ones: list[bytes], twos: list[bytes]) -> np.ndarray:
+    """Share of agreeing samples, by weight, of those that either text reaches, for each pair of fingerprints."""
+    sizes = [max(len(a), len(b)) for a, b in zip(ones, twos, strict=True)]
+    grids = (np.frombuffer(b"".join(p.ljust(n, b"-") for p, n in zip(prints, sizes, strict=True)), np.uint8).reshape(-1, SAMPLES) for prints in (ones, twos))
+    ends = np.cumsum([0, *sizes]) // SAMPLES
+    agree, reached = (np.diff(np.concatenate(([0], np.cumsum(x)))[ends]) for x in _agreement(*grids))
+    same = np.array([a == b for a, b in zip(ones, twos, strict=True)], bool)
+    return np.where(reached > 0, agree / np.maximum(reached, 1), same.astype(float))
+
+
 def likeness(one: bytes, two: bytes) -> float:
-    """Share of agreeing samples, by weight, of those that either text reaches."""
-    size = max(len(one), len(two))
-    if size == 0:
-        return 1.0
-    a, b = (np.frombuffer(x.ljust(size, b"-"), np.uint8) for x in (one, two))
-    reached = (a != ord("-")) | (b != ord("-"))
-    weight = np.tile(_WEIGHT, size // SAMPLES) * reached
-    if not reached.any():
-        return float(one == two)
-    return float((weight * (a == b)).sum() / weight.sum())
+    return float(likenesses([one], [two])[0])
+
+
+def reach(prints: list[bytes]) -> np.ndarray:
+    """Steps that each fingerprint's samples stand for, rounded down. Likeness is at most the ratio of two of them."""
+    return np.array([int(((np.frombuffer(p, np.uint8).reshape(-1, SAMPLES) != ord("-")) @ _WEIGHT).sum()) // _UNIT for p in prints], np.int64)
+
+
+def alike_matrix(some: list[bytes], others: list[bytes], least: float) -> np.ndarray:
+    """Which of all pairs have at least this likeness."""
+    out = np.zeros((len(some), len(others)), bool)
+    wide = max(map(len, others), default=0)
+    grid = np.frombuffer(b"".join(p.ljust(wide, b"-") for p in others), np.uint8).reshape(len(others), -1, SAMPLES) if wide else None
+    mine, theirs = reach(some), reach(others)
+    for i, p in enumerate(some):
+        fit = np.flatnonzero(np.minimum(mine[i], theirs) + 1 >= least * np.maximum(mine[i], theirs))
+        if wide and p and len(fit):
+            segments = max(len(p), max(len(others[j]) for j in fit.tolist())) // SAMPLES
+            own = np.frombuffer(p.ljust(segments * SAMPLES, b"-"), np.uint8).reshape(segments, SAMPLES)
+            held = grid[fit, :segments]
+            if held.shape[1] < segments:  # all others are shorter
+                held = np.pad(held, ((0, 0), (0, segments - held.shape[1]), (0, 0)), constant_values=ord("-"))
+            agree, reached = _agreement(own[None], held)
+            agree, reached = agree.sum(axis=1), reached.sum(axis=1)
+            out[i, fit] = np.where(reached > 0, agree >= least * reached, [p == others[j] for j in fit.tolist()])
+    return out
 
 
 def band_keys(prints: list[bytes], n_chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(keys, text): the keys of each text's bands and the number of their text.
 
-    A segment has the bands of its own and of the next larger size class, so texts on both sides of a border share some.
+    A segment has the bands of its own size class and, from NEAR_BORDER of the next one's least length on, of that as
+    well, so alike texts on both sides of a border share some. The more segments a text has, the fewer bands has each:
+    2 / (segments + 1) of BANDS, always the first ones, so a text has BANDS to twice as many. The segments of a text
+    agree by different shares; the best of them make up for fewer bands.
     """
     grid = np.frombuffer(b"".join(prints), np.uint8).reshape(-1, SAMPLES)
     counts = np.array([len(p) // SAMPLES for p in prints], np.int64)
     text = np.repeat(np.arange(len(prints)), counts)
     segment = np.arange(len(grid)) - np.repeat(np.cumsum(counts) - counts, counts)
-    size_class = (2 * np.log2(np.minimum(SEGMENT, n_chars[text] - segment * SEGMENT))).astype(np.int64)
+    length = np.minimum(SEGMENT, n_chars[text] - segment * SEGMENT)
+    size_class = (2 * np.log2(length)).astype(np.int64)
+    bordering = length >= NEAR_BORDER * 2 ** ((size_class + 1) / 2)
+    allowed = np.ceil(2 * BANDS / (counts[text] + 1)).astype(np.int64)
     keys, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for c in range(int(2 * np.log2(SEGMENT)) + 1):
-        rows = np.flatnonzero((size_class == c) | (size_class == c - 1))  # alike texts are at most a class apart
+        rows = np.flatnonzero((size_class == c) | (size_class == c - 1) & bordering)  # alike texts are at most a class apart
         samples = band_samples(int(c))
         digits, packed = grid[rows][:, samples].astype(np.uint64), np.zeros((len(rows), len(samples)), np.uint64)
         for k in range(samples.shape[1]):
             packed = packed << np.uint64(8) | digits[:, :, k]
         salt = (segment[rows][:, None] * 64 + c) * 256 + np.arange(len(samples))[None, :]
-        keys.append(mixed(packed ^ mixed(salt.astype(np.uint64))).ravel())
-        of.append(np.repeat(text[rows], len(samples)))
+        own = np.arange(len(samples))[None, :] < allowed[rows][:, None]
+        keys.append(mixed(packed ^ mixed(salt.astype(np.uint64)))[own])
+        of.append(np.repeat(text[rows], own.sum(axis=1)))
     return np.concatenate(keys).view(np.int64), np.concatenate(of)
 
 
 def banded(classes: DataFrame) -> DataFrame:
-    """(bucket, node, size): one row for each key of each class. classes: (row, n_chars, fingerprint)."""
+    """(bucket, node, size): one row for each key of each class, size is its reach. classes: (row, n_chars, fingerprint)."""
 
     def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,9 +207,9 @@ def banded(classes: DataFrame) -> DataFrame:
                 prints = [p.encode() for p in part.column("fingerprint").to_pylist()]
                 keys, of = band_keys(prints, part.column("n_chars").to_numpy())
                 node = part.column("row").to_numpy()[of]
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(node), pa.array(np.zeros(len(node), np.int32))], names=["bucket", "node", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(node), pa.array(reach(prints)[of])], names=["bucket", "node", "size"])
 
-    return classes.select("row", "n_chars", "fingerprint").mapInArrow(band, "bucket long, node long, size int")
+    return classes.select("row", "n_chars", "fingerprint").mapInArrow(band, "bucket long, node long, size long")
 
 
 def edited(text: str, following: str) -> str:
@@ -176,9 +221,10 @@ def edited(text: str, following: str) -> str:
 def _described(doc_ids: list, texts: list[str], prints: list[bytes], nexts: list[tuple[str, bytes]]) -> list[tuple]:
     changed = [edited(text, following) for text, (following, _) in zip(texts, nexts, strict=True)]
     others = fingerprints(changed)
+    to_edited, to_next = likenesses(prints, others).tolist(), likenesses(prints, [q for _, q in nexts]).tolist()
     return [
-        (d, len(t), sha256(c.encode("utf-8", "replace")).hexdigest(), p.decode(), o.decode(), likeness(p, o), likeness(p, q), blake2b(p, digest_size=16).digest() if p else None)
-        for d, t, c, p, o, (_, q) in zip(doc_ids, texts, changed, prints, others, nexts, strict=True)
+        (d, len(t), sha256(c.encode("utf-8", "replace")).hexdigest(), p.decode(), o.decode(), e, n, blake2b(p, digest_size=16).digest() if p else None)
+        for d, t, c, p, o, e, n in zip(doc_ids, texts, changed, prints, others, to_edited, to_next, strict=True)
     ]
 
 
@@ -271,7 +317,7 @@ def alike_pairs(pairs: DataFrame, prints: DataFrame, least: float) -> DataFrame:
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             one, two = (batch.column(c).to_pylist() for c in ("content_a", "content_b"))
-            good = pa.array([likeness(x.encode(), y.encode()) >= least for x, y in zip(one, two, strict=True)], pa.bool_())
+            good = pa.array(likenesses([p.encode() for p in one], [p.encode() for p in two]) >= least)
             yield batch.select(["a", "b"]).filter(good)
 
     return with_contents(pairs, prints).mapInArrow(confirm, "a long, b long")
@@ -283,10 +329,11 @@ def fingerprint_documents(docs: DataFrame, least: float = 0.8) -> DataFrame:
     linkable = rows.where("same IS NOT NULL AND doc_id IS NOT NULL")
     classes = linkable.groupBy("same").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.first("fingerprint").alias("fingerprint"), F.min("n_chars").alias("n_chars"))
     classes = keep(classes.select("same", F.col("first.doc_id").alias("_doc_id"), F.col("first.row").alias("row"), "fingerprint", "n_chars"), "classes")
-    shared = crowds(keep(banded(classes), "bands"))
+    shared = crowds(banded(classes))
     prints = classes.select(F.col("row").alias("node"), F.col("fingerprint").alias("content"))
-    dense = Dense(prints, str.encode, lambda one, two: likeness(one, two) >= least)
-    roots = linked_within_buckets(shared, lambda pairs: alike_pairs(pairs, prints, least), dense=dense)
+    fits = lambda a, b: F.least(a, b) + 1 >= F.lit(least) * F.greatest(a, b)
+    dense = Dense(prints, str.encode, lambda one, two: likeness(one, two) >= least, 64, 256, 1024, merge=False, sieve=lambda some, others: alike_matrix(some, others, least))
+    roots = linked_within_buckets(shared, lambda pairs: alike_pairs(pairs, prints, least), fits, dense)
     named = classes.select("same", "_doc_id", "row").join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
     least_id = named.groupBy("root").agg(F.min("_doc_id").alias("class_id"))
     groups = keep(named.join(least_id, "root").select("same", "class_id"), "groups")

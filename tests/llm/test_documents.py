@@ -5,6 +5,7 @@ import re
 import time
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -339,6 +340,46 @@ def test_likeness_follows_edits():
     assert fingerprints.likeness(a, b) > 0.7 > 0.3 > fingerprints.likeness(a, c)
 
 
+def plain_likeness(one, two):
+    """Sample by sample, in fractions."""
+    agree = reached = Fraction(0)
+    for k in range(max(len(one), len(two))):
+        a, b = one[k : k + 1] or b"-", two[k : k + 1] or b"-"
+        if a != b"-" or b != b"-":
+            weight = Fraction(int(fingerprints._WEIGHT[k % fingerprints.SAMPLES]))
+            reached += weight
+            agree += weight * (a == b)
+    return agree / reached if reached else Fraction(int(one == two))
+
+
+def test_likenesses_equal_sample_by_sample():
+    """All ways of comparing agree, for texts of none to many segments; links need nearly equal reaches."""
+    rng = np.random.default_rng(8)
+    texts = ["", "a", "b", "ab"] + ["".join(rng.choice(list("abcdefghij "), n)) for n in (5, 60, 400, 2048, 2049, 5000, 9000)]
+    texts += [edited_copy(rng, t, share) for t in texts[4:] for share in (0.01, 0.05)] + [texts[-1][:7600], "-", "----" * 700]
+    prints = fingerprints.fingerprints(texts)
+    reach = fingerprints.reach(prints)
+    for i, one in enumerate(prints):
+        plain = [plain_likeness(one, two) for two in prints]
+        assert fingerprints.likenesses([one] * len(prints), prints).tolist() == [float(x) for x in plain]
+        assert [fingerprints.likeness(one, two) for two in prints] == [float(x) for x in plain]
+        for least in (0.5, 0.8):
+            links = [bool(x >= least) for x in plain]
+            assert fingerprints.alike_matrix([one], prints, least)[0].tolist() == [x and bool(one) and bool(two) for x, two in zip(links, prints)]
+            assert all(min(reach[i], reach[j]) + 1 >= least * max(reach[i], reach[j]) for j, x in enumerate(links) if x)
+    assert (fingerprints.alike_matrix(prints, prints, 0.8) == np.array([fingerprints.alike_matrix([p], prints, 0.8)[0] for p in prints])).all()
+
+
+def test_bands_find_pairs_at_the_threshold():
+    """Share of pairs that share a band, by likeness and by number of segments."""
+    for seed, n, most, share in ((11, 700, 0.85, 0.95), (12, 1900, 0.85, 0.95), (13, 5000, 0.85, 0.95), (14, 1900, 1.01, 0.97)):
+        pairs = near_texts(seed, [n] * 128, 0.8, most)
+        prints = [fingerprints.fingerprints([p[i] for p in pairs]) for i in (0, 1)]
+        (keys, of), (others, whose) = (fingerprints.band_keys(q, np.array([len(p[i]) for p in pairs])) for i, q in enumerate(prints))
+        found = [bool(set(keys[of == k]) & set(others[whose == k])) for k in range(len(pairs))]
+        assert len(pairs) >= 20 and np.mean(found) >= share
+
+
 def brute_pieces(rows):
     from tokenizers import Tokenizer
 
