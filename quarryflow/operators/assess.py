@@ -118,6 +118,9 @@ UNQUALIFIED = r"\(\s*([A-Za-z_]\w*)\s*[,)]"
 DDL = r"CREATE\s+(?:OR\s+REPLACE\s+)?TABLE\s+([\w.]+)\s*\(((?:[^()]|\([^()]*\))*)\)"
 DDL_COLUMN = r"(?:^|,)\s*([A-Z_]\w*)\s+([A-Z]\w*(?:\([0-9, ]*\))?)"
 
+#: Words that begin a constraint of a table, not a column.
+CONSTRAINTS = ("CHECK", "CONSTRAINT", "EXCLUDE", "FOREIGN", "INDEX", "KEY", "LIKE", "PRIMARY", "UNIQUE")
+
 
 def has(text: Column, *any_of: str) -> Column:
     return reduce(lambda a, b: a | b, (text.contains(x) for x in any_of))
@@ -284,10 +287,12 @@ def column_transforms(sql: Column, column: str) -> Column:
 
 
 def ddl_columns(objects: DataFrame) -> DataFrame:
-    """table, position, column, type: what the texts' CREATE TABLE statements declare, in upper case."""
-    body = F.regexp_extract(F.upper("source_sql"), DDL, 2)
-    rows = objects.select(F.regexp_extract(F.upper("source_sql"), DDL, 1).alias("table"), F.posexplode(F.arrays_zip(F.regexp_extract_all(body, F.lit(DDL_COLUMN), F.lit(1)).alias("c"), F.regexp_extract_all(body, F.lit(DDL_COLUMN), F.lit(2)).alias("t"))).alias("_at", "_x"))
-    return rows.select("table", F.col("_at").alias("position"), F.col("_x.c").alias("column"), F.col("_x.t").alias("type"))
+    """table, position, column, type: what all CREATE TABLE statements of the texts declare, in upper case, without constraints."""
+    groups = lambda text, p: F.arrays_zip(F.regexp_extract_all(text, F.lit(p), F.lit(1)).alias("a"), F.regexp_extract_all(text, F.lit(p), F.lit(2)).alias("b"))
+    statements = objects.select(F.explode(groups(F.upper("source_sql"), DDL)).alias("_s"))
+    columns = F.filter(groups(F.col("_s.b"), DDL_COLUMN), lambda c: ~c["a"].isin(*CONSTRAINTS))
+    rows = statements.select(F.col("_s.a").alias("table"), F.posexplode(columns).alias("_at", "_x"))
+    return rows.select("table", F.col("_at").alias("position"), F.col("_x.a").alias("column"), F.col("_x.b").alias("type"))
 
 
 def business_rules(sql: Column, blocks: int = 10) -> Column:

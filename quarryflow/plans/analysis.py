@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from quarryflow.functions import dialect
 from quarryflow.operators import assess, graph, incremental, reconcile, retrieval, risk_model, text_metrics
+from quarryflow.plans import estate
 from quarryflow.sources import repository
 from quarryflow.sources.tables import plain_sql, run_sql, table
 
-#: SQL objects made from the supplier table by the same text in both engines.
+#: SQL objects made from the supplier and part tables by the same text in both engines; those of parts have negative ids.
 OBJECTS = """SELECT s_suppkey AS id, 'repo/obj_' || CAST(s_suppkey AS STRING) || '.sql' AS path, CASE CAST(s_suppkey % 7 AS INT)
   WHEN 0 THEN 'CREATE OR REPLACE PROCEDURE etl.p_' || CAST(s_suppkey AS STRING) || ' AS BEGIN DELETE FROM mart.daily WHERE load_date = 1; INSERT INTO mart.daily SELECT CASE WHEN a > 1 THEN ''x'' ELSE ''y'' END FROM staging.orders o JOIN staging.customers c ON o.k = c.k; END'
   WHEN 1 THEN 'CREATE VIEW rpt.v_' || CAST(s_suppkey AS STRING) || ' AS WITH t AS (SELECT k, ZEROIFNULL(v) AS v FROM staging.orders) SELECT k, SUM(v) OVER (PARTITION BY k) AS s FROM t'
@@ -19,8 +20,9 @@ OBJECTS = """SELECT s_suppkey AS id, 'repo/obj_' || CAST(s_suppkey AS STRING) ||
   WHEN 4 THEN 'SELECT COUNT(*), MAX(x) FROM rpt.v_1 WHERE k IN (SELECT k FROM mart.daily) AND updated_at > 5'
   WHEN 5 THEN 'MERGE INTO mart.customers USING staging.customers s ON mart.customers.k = s.k WHEN MATCHED THEN UPDATE SET v = 1'
   ELSE 'CREATE FUNCTION util.f_' || CAST(s_suppkey AS STRING) || '(x INT) RETURN INT AS BEGIN EXECUTE IMMEDIATE ''SELECT 1''; DECLARE CURSOR c; END' END AS source_sql
-FROM {supplier}"""
-_DUCK_OBJECTS = "objects AS (" + OBJECTS.replace("{supplier}", "supplier").replace("AS STRING", "AS VARCHAR") + ")"
+FROM {supplier}
+UNION ALL SELECT -1 - p_partkey, 'repo/obj_' || CAST(-1 - p_partkey AS STRING) || '.sql', """ + estate.case_sql() + " FROM {part}"
+_DUCK_OBJECTS = "objects AS (" + plain_sql(OBJECTS).replace("AS STRING", "AS VARCHAR") + ")"
 
 
 def objects(spark: SparkSession, folder: str) -> DataFrame:
@@ -288,6 +290,7 @@ nm AS (SELECT {_DUCK_NAME} AS name, {_DUCK_READS} AS r, {_DUCK_WRITES} AS w FROM
 ed AS (SELECT DISTINCT src, dst FROM (SELECT UNNEST(r) AS src, name AS dst FROM nm UNION ALL SELECT name, UNNEST(w) FROM nm) WHERE src <> dst),
 k AS (SELECT *, COALESCE((SELECT COUNT(*) FROM ed WHERE ed.dst = {_DUCK_NAME}), 0) AS deps, COALESCE((SELECT COUNT(*) FROM ed WHERE ed.src = {_DUCK_NAME}), 0) AS downs, {_DUCK_TYPE} AS object_type, len({_DUCK_FEATURES}) AS nf, {", ".join(_duck_count("source_sql", p) + " AS " + n for n, p in assess.MEASURES)} FROM u),
 s AS (SELECT *, CAST(LEAST(100, {" + ".join(f"CASE WHEN {n} >= {least} THEN {points} ELSE 0 END" for n, least, points in assess.POINTS)} + LEAST(nf * 5, 25)
+  + CASE WHEN len(string_split(source_sql, chr(10))) > 2000 THEN 25 WHEN len(string_split(source_sql, chr(10))) > 500 THEN 12 WHEN len(string_split(source_sql, chr(10))) > 100 THEN 5 ELSE 0 END
   + CASE object_type {" ".join(f"WHEN '{t}' THEN {p}" for t, p in assess.TYPE_POINTS.items())} ELSE 5 END + CASE WHEN deps > 10 THEN 10 WHEN deps > 3 THEN 4 ELSE 0 END + CASE WHEN downs > 5 THEN 12 WHEN downs > 0 THEN 3 ELSE 0 END + CASE WHEN case_expressions > 5 THEN 8 ELSE 0 END) AS BIGINT) AS score FROM k),
 c AS (SELECT *, CASE WHEN score >= 75 THEN 'critical' WHEN score >= 50 THEN 'high' WHEN score >= 25 THEN 'medium' ELSE 'low' END AS level,
   CASE WHEN object_type = 'temp_table' AND score < 30 THEN 'retire' WHEN score >= 80 THEN 'manual_redesign' WHEN score >= 55 THEN 'partial' WHEN score >= 30 THEN 'auto_with_review' ELSE 'auto_migrate' END AS category FROM s),
@@ -327,12 +330,12 @@ ORACLES = {
     "lineage_reads": f"WITH {_DUCK_OBJECTS} SELECT id, COALESCE(array_to_string({_DUCK_READS}, ','), '') AS reads, COALESCE(array_to_string({_DUCK_WRITES}, ','), '') AS writes FROM objects",
     "column_transforms": f"WITH {_DUCK_OBJECTS}, u AS (SELECT *, upper(source_sql) AS u FROM objects) SELECT id, COALESCE(array_to_string(list_filter([{', '.join(f'''CASE WHEN regexp_matches(u, '{p.replace('{c}', 'V')}') THEN '{n}' END''' for n, p in assess.TRANSFORMS)}], lambda x: x IS NOT NULL), ','), '') AS transforms FROM u",
     "business_rules": f"WITH {_DUCK_OBJECTS}, c AS (SELECT id, regexp_extract_all(source_sql, '(?is)CASE\\s+(.*?)\\s+END', 1)[1:10] AS cs FROM objects) SELECT id, COALESCE(array_to_string(flatten(list_transform(cs, lambda c: list_transform(list_zip(regexp_extract_all(c, '{_DUCK_WHEN}', 1), regexp_extract_all(c, '{_DUCK_WHEN}', 2)), lambda z: trim(z[1]) || ' -> ' || z[2]))), '; '), '') AS rules FROM c",
-    "ddl_schema": f"WITH {_DUCK_OBJECTS}, b AS (SELECT regexp_extract(upper(source_sql), '{assess.DDL}', 1) AS t, regexp_extract(upper(source_sql), '{assess.DDL}', 2) AS body FROM objects), c AS (SELECT t, regexp_extract_all(body, '{assess.DDL_COLUMN}', 1) AS cs, regexp_extract_all(body, '{assess.DDL_COLUMN}', 2) AS ts FROM b) SELECT t AS table, CAST(i AS INTEGER) AS position, cs[i + 1] AS column, ts[i + 1] AS type FROM (SELECT *, UNNEST(range(len(cs))) AS i FROM c)",
+    "ddl_schema": f"WITH {_DUCK_OBJECTS}, b AS (SELECT UNNEST(regexp_extract_all(upper(source_sql), '{assess.DDL}', 1)) AS t, UNNEST(regexp_extract_all(upper(source_sql), '{assess.DDL}', 2)) AS body FROM objects), c AS (SELECT t, list_filter(list_zip(regexp_extract_all(body, '{assess.DDL_COLUMN}', 1), regexp_extract_all(body, '{assess.DDL_COLUMN}', 2)), lambda z: z[1] NOT IN {assess.CONSTRAINTS}) AS cs FROM b) SELECT t AS table, CAST(i AS INTEGER) AS position, cs[i + 1][1] AS column, cs[i + 1][2] AS type FROM (SELECT *, UNNEST(range(len(cs))) AS i FROM c)",
     "date_diff_units": "SELECT CAST(o_orderkey AS BIGINT) AS key, " + ", ".join(f"date_diff('{u}', CAST(o_orderdate AS DATE), DATE '2001-08-01') AS {u}s" for u in ("year", "quarter", "month", "day")) + ", date_diff('day', date_trunc('week', CAST(o_orderdate AS DATE)), date_trunc('week', DATE '2001-08-01')) // 7 AS weeks, date_diff('hour', TIMESTAMP '2001-07-31 22:59:59', TIMESTAMP '2001-08-01 01:00:00') AS hours FROM orders",
     "to_char_format": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, strftime(o_orderdate, '%m/%y') AS month, strftime(CAST(o_orderdate AS TIMESTAMP), '%H:%M:%S') AS time FROM orders",
     "date_trunc_units": "SELECT o_orderkey, " + ", ".join(f"CAST(date_trunc('{u}', o_orderdate) AS DATE) AS {u}" for u in ("year", "quarter", "month", "week")) + " FROM orders",
     "update_rewrite": "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders",
-    "behavior_differences": f"WITH {_DUCK_OBJECTS}, n AS (SELECT {_DUCK_NAME} AS name, source_sql FROM objects) SELECT name, behavior, severity FROM n, (VALUES {', '.join(f"('{n}', '{p}', '{v}')" for n, p, v in _vertica_rules())}) AS k(behavior, pattern, severity) WHERE regexp_matches(source_sql, '(?i)' || pattern) OR (behavior = 'default_ordering' AND regexp_matches(source_sql, '(?i)SELECT') AND NOT regexp_matches(source_sql, '(?i)ORDER BY'))",
+    "behavior_differences": f"WITH {_DUCK_OBJECTS}, n AS (SELECT {_DUCK_NAME} AS name, source_sql FROM objects) SELECT name, behavior, severity FROM n, (VALUES {', '.join(f"('{n}', '{p}', '{v}')" for n, p, v in _vertica_rules())}) AS k(behavior, pattern, severity) WHERE regexp_matches(source_sql, '(?i)' || pattern) OR (behavior = 'default_ordering' AND len(list_filter(string_split(source_sql, chr(10)), lambda l: regexp_matches(regexp_replace(l, '(?i)^.*ORDER BY', ''), '(?i)SELECT'))) > 0)",
     "column_refs": f"WITH {_DUCK_OBJECTS} SELECT id, COALESCE(array_to_string({_DUCK_COLUMNS}, ','), '') AS columns FROM objects",
     "column_lineage": f"WITH {_DUCK_LINEAGE} SELECT name, source_column, col AS column, COALESCE(array_to_string(tags, ','), '') AS transforms FROM g",
     "column_usage": f"WITH {_DUCK_LINEAGE} SELECT source_column, COUNT(DISTINCT name) AS n_objects, COALESCE(array_to_string(list_sort(list_distinct(flatten(list(tags)))), ','), '') AS transforms FROM g GROUP BY source_column",
