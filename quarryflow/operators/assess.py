@@ -225,12 +225,15 @@ def column_references(sql: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.concat(F.regexp_extract_all(plain, F.lit(QUALIFIED), F.lit(1)), single), F.upper)))
 
 
-def column_lineage(objects: DataFrame) -> DataFrame:
-    """name, source_column, column, transforms: one row for each column that an object names, with what it does to it."""
-    named = objects.select(object_name(F.col("path"), F.col("source_sql")).alias("name"), F.upper("source_sql").alias("_up"), F.explode(column_references(F.col("source_sql"))).alias("source_column"))
+def column_lineage(objects: DataFrame, *carried: str) -> DataFrame:
+    """name, source_column, column, transforms: one row for each column that an object names, with what it does to it.
+
+    carried: further columns of objects that the result keeps, before the others.
+    """
+    named = objects.select(*carried, object_name(F.col("path"), F.col("source_sql")).alias("name"), F.upper("source_sql").alias("_up"), F.explode(column_references(F.col("source_sql"))).alias("source_column"))
     named = named.withColumn("column", F.substring_index("source_column", ".", -1))
     tag = lambda name, p: F.when(F.regexp_like("_up", F.regexp_replace(F.lit(p), F.lit(r"\{c\}"), F.col("column"))), F.lit(name))
-    return named.select("name", "source_column", "column", F.array_compact(F.array(*(tag(*t) for t in TRANSFORMS))).alias("transforms"))
+    return named.select(*carried, "name", "source_column", "column", F.array_compact(F.array(*(tag(*t) for t in TRANSFORMS))).alias("transforms"))
 
 
 def column_usage(objects: DataFrame) -> DataFrame:
@@ -239,6 +242,26 @@ def column_usage(objects: DataFrame) -> DataFrame:
     return rows.groupBy("source_column").agg(F.countDistinct("name").alias("n_objects"), F.array_join(F.sort_array(F.collect_set("_transform")), ",").alias("transforms"))
 
 
+def table_columns(objects: DataFrame, table: str | None = None) -> DataFrame:
+    """table, source_column, n_objects, transforms: the columns named by all objects that read or write a table.
+
+    table: only this one, in any case of letters; by default every table that any object touches.
+    """
+    sql = F.col("source_sql")
+    touched = objects.select("path", "source_sql", F.explode(F.array_union(read_tables(sql), write_targets(sql))).alias("table"))
+    if table is not None:
+        touched = touched.where(F.col("table") == table.upper())
+    rows = column_lineage(touched, "table").select("table", "source_column", "name", F.explode_outer("transforms").alias("_transform"))
+    return rows.groupBy("table", "source_column").agg(F.countDistinct("name").alias("n_objects"), F.array_join(F.sort_array(F.collect_set("_transform")), ",").alias("transforms"))
+
+
+def scope_reduction(assessed: DataFrame) -> DataFrame:
+    """objects, retired, percent: how many objects need no migration, as a whole percentage of all; 0 without objects."""
+    retired = F.count_if((F.col("action") == "retire") | (F.col("category") == "retire"))
+    counted = assessed.agg(F.count("*").alias("objects"), retired.alias("retired"))
+    return counted.withColumn("percent", F.bround(100 * F.col("retired") / F.greatest("objects", F.lit(1)), 0))
+
+
 def rationalization(assessed: DataFrame) -> DataFrame:
     """action, n, share: how many objects are migrated, reviewed, rewritten or retired, and their share."""
     kind = F.when((F.col("action") == "retire") | (F.col("category") == "retire"), "retire").when(F.col("action").isin("manual_redesign", "rewrite"), "rewrite").when(F.col("action") == "review_and_migrate", "review").otherwise("migrate")

@@ -227,6 +227,8 @@ QUERIES = {
     "risk_score": lambda s, d: _assessed(s, d).select("id", "object_type", "score"),
     "risk_bucket": lambda s, d: _assessed(s, d).groupBy("level", "category", "action").agg(F.count("*").alias("n")),
     "rationalization": lambda s, d: assess.rationalization(_assessed(s, d)),
+    "scope_reduction": lambda s, d: assess.scope_reduction(_assessed(s, d)),
+    "table_columns": lambda s, d: assess.table_columns(objects(s, d)),
     "dashboard": lambda s, d: assess.dashboard(_assessed(s, d)),
     "lineage_edges": lineage_edges,
     "lineage_reads": lineage_reads,
@@ -295,6 +297,9 @@ s AS (SELECT *, CAST(LEAST(100, {" + ".join(f"CASE WHEN {n} >= {least} THEN {poi
 c AS (SELECT *, CASE WHEN score >= 75 THEN 'critical' WHEN score >= 50 THEN 'high' WHEN score >= 25 THEN 'medium' ELSE 'low' END AS level,
   CASE WHEN object_type = 'temp_table' AND score < 30 THEN 'retire' WHEN score >= 80 THEN 'manual_redesign' WHEN score >= 55 THEN 'partial' WHEN score >= 30 THEN 'auto_with_review' ELSE 'auto_migrate' END AS category FROM s),
 a AS (SELECT *, CASE WHEN score >= 80 THEN 'manual_redesign' WHEN score >= 60 THEN 'rewrite' WHEN category = 'retire' THEN 'retire' WHEN score >= 35 THEN 'review_and_migrate' ELSE 'migrate' END AS action FROM c)"""
+_DUCK_TABLE_LINEAGE = f"""{_DUCK_OBJECTS}, t AS (SELECT *, UNNEST(list_distinct(list_concat({_DUCK_READS}, {_DUCK_WRITES}))) AS tbl FROM objects),
+n AS (SELECT tbl, {_DUCK_NAME} AS name, upper(source_sql) AS u, UNNEST({_DUCK_COLUMNS}) AS source_column FROM t),
+p AS (SELECT *, split_part(source_column, '.', 2) AS col FROM n), g AS (SELECT *, list_filter([{_DUCK_TAGS}], lambda x: x IS NOT NULL) AS tags FROM p)"""
 _DUCK_PATTERN = "CASE WHEN contains(u, 'DELETE FROM') AND contains(u, 'INSERT INTO') THEN 'Delete and reload' WHEN contains(u, 'WHERE') AND (contains(u, 'LOAD_DATE') OR contains(u, 'UPDATED_AT')) THEN 'Timestamp-based incremental load' WHEN contains(u, 'MERGE INTO') THEN 'Merge/upsert' ELSE 'Full refresh' END"
 _DUCK_WHEN = r"(?i)WHEN\s+(.+?)\s+THEN\s+(''[^'']*''|\w+)"
 _DUCK_TERMS = "list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda t: length(t) > 2))"
@@ -325,6 +330,8 @@ ORACLES = {
     "risk_score": f"WITH {_DUCK_ASSESSED} SELECT id, object_type, score FROM a",
     "risk_bucket": f"WITH {_DUCK_ASSESSED} SELECT level, category, action, COUNT(*) AS n FROM a GROUP BY ALL",
     "rationalization": f"WITH {_DUCK_ASSESSED} SELECT CASE WHEN action = 'retire' OR category = 'retire' THEN 'retire' WHEN action IN ('manual_redesign', 'rewrite') THEN 'rewrite' WHEN action = 'review_and_migrate' THEN 'review' ELSE 'migrate' END AS action, COUNT(*) AS n, ROUND(COUNT(*) / (SELECT COUNT(*) FROM a), 4) AS share FROM a GROUP BY 1",
+    "scope_reduction": f"WITH {_DUCK_ASSESSED} SELECT COUNT(*) AS objects, COUNT(*) FILTER (action = 'retire' OR category = 'retire') AS retired, ROUND_EVEN(100.0 * COUNT(*) FILTER (action = 'retire' OR category = 'retire') / GREATEST(COUNT(*), 1), 0) AS percent FROM a",
+    "table_columns": f"WITH {_DUCK_TABLE_LINEAGE} SELECT tbl AS table, source_column, COUNT(DISTINCT name) AS n_objects, COALESCE(array_to_string(list_sort(list_distinct(flatten(list(tags)))), ','), '') AS transforms FROM g GROUP BY tbl, source_column",
     "dashboard": f"WITH {_DUCK_ASSESSED} SELECT COUNT(*) AS total_objects, COUNT(*) FILTER (category = 'auto_migrate') AS auto_migratable, COUNT(*) FILTER (category = 'auto_with_review') AS requires_review, COUNT(*) FILTER (category IN ('manual_redesign', 'partial')) AS requires_redesign, COUNT(*) FILTER (category = 'retire') AS recommended_retirement, ROUND(AVG(score), 4) AS migration_risk_score FROM a",
     "lineage_edges": f"WITH {_DUCK_OBJECTS}, n AS (SELECT {_DUCK_NAME} AS name, {_DUCK_READS} AS r, {_DUCK_WRITES} AS w FROM objects), e AS (SELECT UNNEST(r) AS src, name AS dst, 'reads' AS relation FROM n UNION SELECT name, UNNEST(w), 'writes' FROM n) SELECT * FROM e WHERE src <> dst",
     "lineage_reads": f"WITH {_DUCK_OBJECTS} SELECT id, COALESCE(array_to_string({_DUCK_READS}, ','), '') AS reads, COALESCE(array_to_string({_DUCK_WRITES}, ','), '') AS writes FROM objects",

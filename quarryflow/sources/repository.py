@@ -49,9 +49,15 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
     return scan_zip(spark, path) if path.lower().endswith(".zip") else scan_folder(spark, path)
 
 
-def read_pairs(spark: SparkSession, path: str) -> DataFrame:
-    """Pairs of predicted and gold SQL from JSON lines."""
-    return spark.read.schema("id string, category string, source_dialect string, target_dialect string, source_sql string, target_sql string, notes string").json(path)
+def read_pairs(spark: SparkSession, path: str, limit: int | None = None, category: str | None = None) -> DataFrame:
+    """Pairs of predicted and gold SQL from JSON lines; blank lines are none.
+
+    limit: read at most so many; category: of those that were read, only the pairs of this category.
+    """
+    pairs = spark.read.schema("id string, category string, source_dialect string, target_dialect string, source_sql string, target_sql string, notes string").json(path)
+    if limit is not None:
+        pairs = pairs.limit(limit)
+    return pairs if category is None else pairs.where(F.col("category") == category)
 
 
 def sample_table(spark: SparkSession, columns: dict[str, str], rows: int = 5) -> DataFrame:

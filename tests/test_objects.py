@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from quarryflow.operators import assess
 from quarryflow.plans import estate
+from quarryflow.sources import repository
 from quarryflow.sources.tables import run_sql
 
 TEXTS = {
@@ -91,6 +92,28 @@ def test_behaviors(texts):
     assert "EMPTY" not in {n for n, _ in got} and ("W.ONE", "floating_point_precision") in got
 
 
+def test_columns_of_one_table(texts):
+    """Two objects touch M.C or W.ONE; a table that none touches has no columns."""
+    rows = lambda table: {(r["table"], r["source_column"], r["n_objects"]) for r in assess.table_columns(texts, table).collect()}
+    assert rows("w.one") == {("W.ONE", c, 1) for c in ("O.K", "O.V", "_UNQUALIFIED.K", "_UNQUALIFIED.W")}
+    assert rows("st.Orders") == {("ST.ORDERS", "S.A", 1)} and rows("no.table") == set()
+    more = texts.union(texts.sparkSession.createDataFrame([("repo/again.sql", "CREATE VIEW r.again AS SELECT s.a, s.b FROM st.orders s")], texts.schema))
+    assert {(r["source_column"], r["n_objects"], r["transforms"]) for r in assess.table_columns(more, "ST.ORDERS").collect()} == {("S.A", 2, "case_logic"), ("S.B", 1, "")}
+
+
+def test_scope_reduction(texts):
+    assert tuple(assess.scope_reduction(assess.assess(texts)).head()) == (9, 1, 11.0)
+    assert tuple(assess.scope_reduction(assess.assess(texts.limit(0))).head()) == (0, 0, 0.0)
+
+
+def test_pairs_are_limited_before_their_category_is_chosen(spark, tmp_path):
+    lines = ['{"id": "%d", "category": "%s", "source_sql": "SELECT %d"}' % (i, "date" if i % 2 else "ddl", i) for i in range(6)]
+    (tmp_path / "pairs.jsonl").write_text("\n\n".join(lines) + "\n")
+    read = lambda **options: [r["id"] for r in repository.read_pairs(spark, str(tmp_path / "pairs.jsonl"), **options).collect()]
+    assert read() == list("012345") and read(category="date") == list("135")
+    assert read(limit=3) == list("012") and read(limit=3, category="date") == ["1"] and read(limit=0) == []
+
+
 def test_every_shape_is_made_as_written(spark, folder):
     """Each part has the text of its shape with its own columns in it, quotes and line ends as they were."""
     rows = run_sql(spark, folder, f"SELECT *, {estate.case_sql()} AS source_sql FROM {{part}}").collect()
