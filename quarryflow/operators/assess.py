@@ -232,7 +232,8 @@ def column_lineage(objects: DataFrame, *carried: str) -> DataFrame:
     """
     named = objects.select(*carried, object_name(F.col("path"), F.col("source_sql")).alias("name"), F.upper("source_sql").alias("_up"), F.explode(column_references(F.col("source_sql"))).alias("source_column"))
     named = named.withColumn("column", F.substring_index("source_column", ".", -1))
-    tag = lambda name, p: F.when(F.regexp_like("_up", F.regexp_replace(F.lit(p), F.lit(r"\{c\}"), F.col("column"))), F.lit(name))
+    over = F.col("_up").rlike(r"\bOVER\s*\(")  # without it, the pattern of windows would try a long text from each place
+    tag = lambda name, p: F.when((over if "OVER" in p else F.lit(True)) & F.regexp_like("_up", F.regexp_replace(F.lit(p), F.lit(r"\{c\}"), F.col("column"))), F.lit(name))
     return named.select(*carried, "name", "source_column", "column", F.array_compact(F.array(*(tag(*t) for t in TRANSFORMS))).alias("transforms"))
 
 
@@ -248,10 +249,11 @@ def table_columns(objects: DataFrame, table: str | None = None) -> DataFrame:
     table: only this one, in any case of letters; by default every table that any object touches.
     """
     sql = F.col("source_sql")
-    touched = objects.select("path", "source_sql", F.explode(F.array_union(read_tables(sql), write_targets(sql))).alias("table"))
+    touched = objects.select("path", "source_sql", F.array_union(read_tables(sql), write_targets(sql)).alias("_tables"))
     if table is not None:
-        touched = touched.where(F.col("table") == table.upper())
-    rows = column_lineage(touched, "table").select("table", "source_column", "name", F.explode_outer("transforms").alias("_transform"))
+        touched = touched.where(F.array_contains("_tables", table.upper())).withColumn("_tables", F.array(F.lit(table.upper())))
+    rows = column_lineage(touched, "_tables").withColumn("table", F.explode("_tables"))  # patterns are tried once an object
+    rows = rows.select("table", "source_column", "name", F.explode_outer("transforms").alias("_transform"))
     return rows.groupBy("table", "source_column").agg(F.countDistinct("name").alias("n_objects"), F.array_join(F.sort_array(F.collect_set("_transform")), ",").alias("transforms"))
 
 

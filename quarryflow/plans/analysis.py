@@ -26,7 +26,8 @@ _DUCK_OBJECTS = "objects AS (" + plain_sql(OBJECTS).replace("AS STRING", "AS VAR
 
 
 def objects(spark: SparkSession, folder: str) -> DataFrame:
-    return run_sql(spark, folder, OBJECTS)
+    """The texts are made once and dealt to all tasks; otherwise each use of a text would make it anew, in one task a file."""
+    return run_sql(spark, folder, OBJECTS).repartition("id")
 
 
 def changed_orders(spark: SparkSession, folder: str) -> DataFrame:
@@ -297,9 +298,10 @@ s AS (SELECT *, CAST(LEAST(100, {" + ".join(f"CASE WHEN {n} >= {least} THEN {poi
 c AS (SELECT *, CASE WHEN score >= 75 THEN 'critical' WHEN score >= 50 THEN 'high' WHEN score >= 25 THEN 'medium' ELSE 'low' END AS level,
   CASE WHEN object_type = 'temp_table' AND score < 30 THEN 'retire' WHEN score >= 80 THEN 'manual_redesign' WHEN score >= 55 THEN 'partial' WHEN score >= 30 THEN 'auto_with_review' ELSE 'auto_migrate' END AS category FROM s),
 a AS (SELECT *, CASE WHEN score >= 80 THEN 'manual_redesign' WHEN score >= 60 THEN 'rewrite' WHEN category = 'retire' THEN 'retire' WHEN score >= 35 THEN 'review_and_migrate' ELSE 'migrate' END AS action FROM c)"""
-_DUCK_TABLE_LINEAGE = f"""{_DUCK_OBJECTS}, t AS (SELECT *, UNNEST(list_distinct(list_concat({_DUCK_READS}, {_DUCK_WRITES}))) AS tbl FROM objects),
-n AS (SELECT tbl, {_DUCK_NAME} AS name, upper(source_sql) AS u, UNNEST({_DUCK_COLUMNS}) AS source_column FROM t),
-p AS (SELECT *, split_part(source_column, '.', 2) AS col FROM n), g AS (SELECT *, list_filter([{_DUCK_TAGS}], lambda x: x IS NOT NULL) AS tags FROM p)"""
+_DUCK_TABLE_LINEAGE = f"""{_DUCK_OBJECTS}, t AS (SELECT *, list_distinct(list_concat({_DUCK_READS}, {_DUCK_WRITES})) AS tbls FROM objects),
+n AS (SELECT tbls, {_DUCK_NAME} AS name, upper(source_sql) AS u, UNNEST({_DUCK_COLUMNS}) AS source_column FROM t),
+p AS (SELECT *, split_part(source_column, '.', 2) AS col FROM n), q AS MATERIALIZED (SELECT tbls, name, source_column, list_filter([{_DUCK_TAGS}], lambda x: x IS NOT NULL) AS tags FROM p),
+g AS (SELECT name, source_column, tags, UNNEST(tbls) AS tbl FROM q)"""
 _DUCK_PATTERN = "CASE WHEN contains(u, 'DELETE FROM') AND contains(u, 'INSERT INTO') THEN 'Delete and reload' WHEN contains(u, 'WHERE') AND (contains(u, 'LOAD_DATE') OR contains(u, 'UPDATED_AT')) THEN 'Timestamp-based incremental load' WHEN contains(u, 'MERGE INTO') THEN 'Merge/upsert' ELSE 'Full refresh' END"
 _DUCK_WHEN = r"(?i)WHEN\s+(.+?)\s+THEN\s+(''[^'']*''|\w+)"
 _DUCK_TERMS = "list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda t: length(t) > 2))"
