@@ -7,7 +7,9 @@ and lines that each hold a pattern stay apart. Each sentence is normalised (ASCI
 as "license", everything else than letters and digits one blank) and mapped to the identifier of the first sentence
 pattern that it holds. The identifiers, in text order, are matched against ordered licence rules: each rule is a
 sequence of identifiers; where it stands it counts one finding of its licence and takes the identifiers away, so that
-the rules after it see only what is left. Sentences without an identifier do not interrupt a sequence.
+the rules after it see only what is left. Sentences without an identifier do not interrupt a sequence. An SPDX line is
+one rule for all licences: each name of its expression, with the exception after WITH, counts one finding, spelt as it
+stands there; a line without a readable expression stays unmatched.
 
 Only built-in functions run; texts without any cue word are passed over by one regular expression.
 
@@ -30,13 +32,7 @@ WORDS = r"(?i)licen[cs]e|copyright|warrant|redistribut|permission|domain|liable|
 
 #: Sentence identifiers and their patterns over normalised sentences, in order.
 SENTENCES = (
-    ("spdx_mit", r"spdx license identifier mit\b"),
-    ("spdx_apache2", r"spdx license identifier apache 2 0"),
-    ("spdx_gpl3", r"spdx license identifier gpl 3 0"),
-    ("spdx_gpl2", r"spdx license identifier gpl 2 0"),
-    ("spdx_bsd3", r"spdx license identifier bsd 3 clause"),
-    ("spdx_bsd2", r"spdx license identifier bsd 2 clause"),
-    ("spdx_mpl2", r"spdx license identifier mpl 2 0"),
+    ("spdx", r"spdx license identifier\b"),
     ("cc_by_nc_4", r"licensed under (?:the |a )?(?:cc by nc|creative commons attribution non ?commercial) 4 0"),
     ("cc_by_sa_4", r"licensed under (?:the |a )?(?:cc by sa|creative commons attribution share ?alike) 4 0"),
     ("cc_by_4", r"licensed under (?:the |a )?(?:cc by|creative commons attribution) 4 0"),
@@ -100,15 +96,11 @@ RULES = (
     ("MPL-2.0", ("mpl2_under", "mpl2_obtain")),
     ("ISC", ("isc_grant", "as_is")),
     ("MIT", ("mit_under",)),
-    ("MIT", ("spdx_mit",)),
     ("Apache-2.0", ("apache2_under",)),
-    ("Apache-2.0", ("spdx_apache2",)),
     ("GPL-3.0-or-later", ("gpl3_later",)),
     ("GPL-2.0-or-later", ("gpl2_later",)),
     ("GPL-3.0", ("gpl3_under",)),
-    ("GPL-3.0", ("spdx_gpl3",)),
     ("GPL-2.0", ("gpl2_under",)),
-    ("GPL-2.0", ("spdx_gpl2",)),
     ("AGPL-3.0", ("agpl3_under",)),
     ("LGPL-2.1-or-later", ("lgpl21_later", "gpl_hope", "gpl_received")),
     ("LGPL-3.0-or-later", ("lgpl3_later", "gpl_hope", "gpl_received")),
@@ -117,9 +109,6 @@ RULES = (
     ("LGPL-2.1", ("lgpl21_under",)),
     ("LGPL-3.0", ("lgpl3_under",)),
     ("MPL-2.0", ("mpl2_under",)),
-    ("MPL-2.0", ("spdx_mpl2",)),
-    ("BSD-3-Clause", ("spdx_bsd3",)),
-    ("BSD-2-Clause", ("spdx_bsd2",)),
     ("CC-BY-NC-4.0", ("cc_by_nc_4",)),
     ("CC-BY-SA-4.0", ("cc_by_sa_4",)),
     ("CC-BY-4.0", ("cc_by_4",)),
@@ -138,6 +127,12 @@ RULES = (
     ("All-Rights-Reserved", ("all_rights",)),
 )
 
+#: An SPDX line and the expression it states; a licence of an expression, with its exception.
+_ID = r"[A-Za-z0-9](?:[A-Za-z0-9.:-]*[A-Za-z0-9])?\+?"
+_TERM = rf"(?:\([ \t]*)*{_ID}(?:[ \t]*\))*"
+SPDX = rf"(?i:spdx-licen[cs]e-identifier)[ \t]*[:=][ \t]*[\"']?({_TERM}(?:[ \t]+(?:AND|OR|WITH)[ \t]+{_TERM})*)"
+SPDX_NAME = rf"{_ID}(?:[ \t]+WITH[ \t]+{_ID})?"
+
 BREAK = r"(?<! [vV])([.!?])[ \t\n\x0B\f\r]+"
 #: Where the sentences of a notice that stands in one line part without a full stop.
 CLAUSE = r"(?i)(conditions(?: are met)?:|\);)[ \t\x0B\f\r]+"
@@ -188,7 +183,11 @@ def scan(docs: DataFrame) -> DataFrame:
 
     start = F.struct(F.array().cast("array<struct<identifier:string,text:string>>").alias("found"), nothing.alias("open"))
     df = df.select("doc_id", F.aggregate("_lines", start, add, done).alias("sentences"))
-    df = df.withColumn("_left", F.array_join(F.transform("sentences", lambda s: F.concat(F.lit("<"), s["identifier"], F.lit(">"))), ""))
+    stated = lambda s: F.when(s["identifier"] == "spdx", F.regexp_extract(s["text"], SPDX, 1)).otherwise("")
+    mark = lambda s: F.when(stated(s) != "", F.lit(".")).otherwise(F.concat(F.lit("<"), s["identifier"], F.lit(">")))
+    df = df.withColumn("_left", F.array_join(F.transform("sentences", mark), ""))
+    named = F.flatten(F.transform("sentences", lambda s: F.regexp_extract_all(stated(s), F.lit(SPDX_NAME), F.lit(0))))
+    named = F.transform(F.filter(named, lambda x: ~x.isin("AND", "OR")), lambda x: F.struct(F.regexp_replace(x, "[ \t]+", " ").alias("license"), F.lit(1).alias("n")))
     rules = F.array(*(F.struct(F.lit(name).alias("license"), F.lit(sequence(s)).alias("pattern")) for name, s in RULES))
 
     def apply(state: Column, rule: Column) -> Column:
@@ -198,7 +197,7 @@ def scan(docs: DataFrame) -> DataFrame:
         found = F.when(n > 0, F.concat(state["found"], one)).otherwise(state["found"])
         return F.struct(F.replace(state["left"], rule["pattern"], F.lit(".")).alias("left"), found.alias("found"))
 
-    start = F.struct(F.col("_left").alias("left"), F.array().cast("array<struct<license:string,n:int>>").alias("found"))
+    start = F.struct(F.col("_left").alias("left"), named.cast("array<struct<license:string,n:int>>").alias("found"))
     matched = F.aggregate(rules, start, apply)
     df = df.withColumn("_matched", F.when(F.col("_left") != "", matched))
     return df.select("doc_id", "sentences", F.coalesce(F.col("_matched.found"), F.array().cast("array<struct<license:string,n:int>>")).alias("licenses"), F.coalesce(F.col("_matched.left"), F.lit("")).alias("unmatched"))
@@ -227,12 +226,14 @@ def oracle_sql() -> str:
     names = ", ".join(f"CASE WHEN n{k} > 0 THEN {quote(name)} END" for k, (name, _) in enumerate(RULES))
     return f"""
 WITH lines AS (SELECT doc_id, list_filter(string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \\t\\n\\x0B\\f\\r]+', '\\1' || chr(10), 'g'), chr(10)), lambda x: regexp_matches(x, {cues})) AS ls FROM documents),
-plain AS (SELECT doc_id, list_transform(ls, lambda x: trim(regexp_replace(replace(lower(x), 'licence', 'license'), '[^a-z0-9]+', ' ', 'g'))) AS ls FROM lines),
-named AS (SELECT doc_id, list_filter(list_transform(ls, lambda s: CASE {cases} END), lambda x: x IS NOT NULL) AS ids FROM plain),
-s0 AS (SELECT doc_id, ids, coalesce(array_to_string(list_transform(ids, lambda x: '<' || x || '>'), ''), '') AS l FROM named),
+plain AS (SELECT doc_id, ls, list_transform(ls, lambda x: trim(regexp_replace(replace(lower(x), 'licence', 'license'), '[^a-z0-9]+', ' ', 'g'))) AS ps FROM lines),
+named AS (SELECT doc_id, list_filter(list_transform(list_zip(list_transform(ps, lambda s: CASE {cases} END), list_transform(ls, lambda x: regexp_extract(x, {quote(SPDX)}, 1))), lambda x: {{'id': x[1], 'spdx': CASE WHEN x[1] = 'spdx' THEN x[2] ELSE '' END}}), lambda x: x.id IS NOT NULL) AS found FROM plain),
+s0 AS (SELECT doc_id, list_transform(found, lambda x: x.id) AS ids,
+  list_filter(flatten(list_transform(found, lambda x: regexp_extract_all(x.spdx, {quote(SPDX_NAME)}))), lambda x: x NOT IN ('AND', 'OR')) AS spdx,
+  coalesce(array_to_string(list_transform(found, lambda x: CASE WHEN x.spdx <> '' THEN '.' ELSE '<' || x.id || '>' END), ''), '') AS l FROM named),
 {", ".join(steps)}
 SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_sentences, CAST(length(l) - length(replace(l, '<', '')) AS BIGINT) AS n_unmatched,
   coalesce(array_to_string(ids, ','), '') AS sentence_ids,
-  coalesce(array_to_string(list_sort(list_distinct(list_filter([{names}], lambda x: x IS NOT NULL))), ','), '') AS licenses,
-  CAST({" + ".join(f"n{k}" for k in range(len(RULES)))} AS BIGINT) AS n_licenses
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(list_transform(coalesce(spdx, []), lambda x: regexp_replace(x, '[ \\t]+', ' ', 'g')), list_filter([{names}], lambda x: x IS NOT NULL)))), ','), '') AS licenses,
+  CAST(coalesce(len(spdx), 0) + {" + ".join(f"n{k}" for k in range(len(RULES)))} AS BIGINT) AS n_licenses
 FROM s{len(RULES)}"""

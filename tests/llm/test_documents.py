@@ -686,6 +686,54 @@ def test_more_license_notices(spark):
     assert got == dict(enumerate(want + want))
 
 
+def test_spdx_expressions(spark, tmp_path):
+    cases = [
+        ("# SPDX-License-Identifier: EPL-2.0", "EPL-2.0", 1, 0),
+        ("/* SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause */", "Apache-2.0,BSD-3-Clause,MIT", 3, 0),
+        ("// SPDX-License-Identifier: GPL-2.0-only WITH  Classpath-exception-2.0", "GPL-2.0-only WITH Classpath-exception-2.0", 1, 0),
+        ("<!-- SPDX-License-Identifier: MIT-->", "MIT", 1, 0),
+        ("SPDX-License-Identifier: GPL-2.0+.", "GPL-2.0+", 1, 0),
+        ("SPDX-License-Identifier: MIT\nSPDX-License-Identifier: MIT\nx = 1", "MIT", 2, 0),
+        ("spdx-license-identifier: LicenseRef-own\nLicensed under the Apache License, Version 2.0", "Apache-2.0,LicenseRef-own", 2, 0),
+        ("The SPDX license identifier of this", "", 0, 1),
+        ("SPDX-License-Identifier:", "", 0, 1),
+    ]
+    docs = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)] + [(None, None)], "doc_id long, text string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["licenses"], r["n_licenses"], r["n_unmatched"]) for r in licenses.digest(licenses.scan(docs)).collect()}
+    assert got == {**{i: c[1:] for i, c in enumerate(cases)}, None: ("", 0, 0)}
+    same(queries.op2_license_scan(spark, str(tmp_path)), str(tmp_path), licenses.oracle_sql())
+
+
+def plain_sentences(text):
+    """Identifiers of a text's sentences by the joined rule, one line after the other."""
+    text = re.sub(licenses.CLAUSE, r"\1\n\n", re.sub(licenses.BREAK, r"\1\n\n", text or ""))
+    known = lambda s: next((n for n, p in licenses.SENTENCES if re.search(p, s)), None)
+    found, held = [], ""
+    for line in text.split("\n"):
+        plain = re.sub("[^a-z0-9]+", " ", line.lower().replace("licence", "license")).strip(" ")
+        both = f"{held} {plain}"
+        if held and plain and (known(plain) is None or known(both) not in (None, known(plain), known(held))):
+            held = both
+            continue
+        found.append(known(held))
+        held = plain
+    return [x for x in [*found, known(held)] if x]
+
+
+def test_licenses_equal_plain_python(spark):
+    """Notices cut at random places, with comment marks, blank lines and other lines between."""
+    rng = np.random.default_rng(5)
+    notices = [MIT, BSD, BSD3, APACHE, GPL, LGPL, ZLIB, "SPDX-License-Identifier: MIT", "All rights reserved", "CC0 1.0"]
+    texts = [None, ""]
+    for _ in range(150):
+        words = " ".join(notices[k] + str(rng.choice([" ", "\n", "\n\n"])) for k in rng.integers(0, len(notices), rng.integers(1, 4))).split(" ")
+        texts.append("".join(w + str(rng.choice([" ", "\n", "\n# ", "\n\n", "\nx = 1\n"], p=[0.85, 0.08, 0.04, 0.02, 0.01])) for w in words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [x["identifier"] for x in r["sentences"]] for r in licenses.scan(docs).collect()}
+    assert got == {i: plain_sentences(t) for i, t in enumerate(texts)}
+
+
 def test_stages_on_empty_tables(spark, no_docs):
     assert lines.drop_repeated_lines(no_docs).count() == minhash.drop_near_duplicates(no_docs).count() == mixing.mix_documents(no_docs).count() == 0
     none = spark.createDataFrame([], "doc_id long, quality int")
