@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarryflow.operators.graph import cut
+
 #: Counts taken from the text, by pattern.
 MEASURES = (
     ("ctes", r"(?i)\bWITH\b"),
@@ -60,6 +62,19 @@ TRANSFORMS = (
     ("date_trunc", r"\b(?:DATE_TRUNC|TRUNC)\s*\([^)]*{c}"),
 )
 
+#: The same patterns as parts of a text that hold or begin with the column: the pattern of a part, and whether
+#: the column begins it. A part is found once a text, in one pass over it, for all columns.
+PARTS = {
+    "aggregation": (r"\b(?:SUM|COUNT|AVG|MIN|MAX)\s*\(([^)]*)", False),
+    "case_logic": (r"\bCASE\b([\s\S]*)", False),
+    "window_function": (r"(?:^|\))([^)]*)\bOVER\s*\(", False),
+    "cast": (r"CAST\s*\(\s*(?=(\w*))", True),
+    "coalesce": (r"\b(?:COALESCE|NVL|IFNULL|ZEROIFNULL)\s*\(([^)]*)", False),
+    "date_trunc": (r"\b(?:DATE_TRUNC|TRUNC)\s*\(([^)]*)", False),
+}
+#: Stands before each part; no column's name holds it.
+MARK = "\x00"
+
 
 #: Class of an object by what its upper-case text holds; the first row that holds counts.
 TYPES = (
@@ -225,36 +240,78 @@ def column_references(sql: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.concat(F.regexp_extract_all(plain, F.lit(QUALIFIED), F.lit(1)), single), F.upper)))
 
 
+def transform_parts(up: Column) -> dict[str, Column]:
+    """By kind of transform, the parts of an upper-case text that a transformed column stands in, joined by MARK.
+
+    A pattern with {c} in its middle would be tried anew from each place of the text and for each column, and go on to the
+    next bracket or the end each time. Every part is as long as a match can be, so what stands in a match stands in a part.
+    """
+    return {name: F.concat(F.lit(MARK), F.array_join(F.regexp_extract_all(up, F.lit(p), F.lit(1)), MARK)) for name, (p, _) in PARTS.items()}
+
+
+def transformed(parts: dict[str, Column], column: Column) -> dict[str, Column]:
+    """By kind of transform, whether a column, a name of letters, digits and underscores in upper case, is in a part."""
+    return {name: parts[name].contains(F.concat(F.lit(MARK), column) if begins else column) for name, (_, begins) in PARTS.items()}
+
+
+def transform_bits(parts: dict[str, Column], column: Column) -> Column:
+    """The transforms of a column as a sum of powers of two."""
+    held = (F.when(holds, 1 << k).otherwise(0) for k, holds in enumerate(transformed(parts, column).values()))
+    return reduce(lambda a, b: a + b, held)
+
+
+def transform_names(bits: Column) -> Column:
+    """array of the transforms in a sum of powers of two, in the order of PARTS."""
+    return F.array_compact(F.array(*(F.when(bits.bitwiseAND(F.lit(1 << k)) != 0, F.lit(name)) for k, name in enumerate(PARTS))))
+
+
+def column_bits(objects: DataFrame, *carried: str) -> DataFrame:
+    """carried, name, source_column, column, bits: one row for each column that an object names.
+
+    What an object's text must be searched for is found before there are rows of columns.
+    """
+    sql = F.col("source_sql")
+    found = objects.select(*carried, object_name(F.col("path"), sql).alias("name"), column_references(sql).alias("_columns"), F.struct(*(c.alias(k) for k, c in transform_parts(F.upper(sql)).items())).alias("_parts"))
+    rows = found.select(*carried, "name", "_parts", F.explode("_columns").alias("source_column"))
+    rows = rows.withColumn("column", F.substring_index("source_column", ".", -1))
+    return rows.select(*carried, "name", "source_column", "column", transform_bits({k: F.col(f"_parts.{k}") for k in PARTS}, F.col("column")).alias("bits"))
+
+
 def column_lineage(objects: DataFrame, *carried: str) -> DataFrame:
     """name, source_column, column, transforms: one row for each column that an object names, with what it does to it.
 
     carried: further columns of objects that the result keeps, before the others.
     """
-    named = objects.select(*carried, object_name(F.col("path"), F.col("source_sql")).alias("name"), F.upper("source_sql").alias("_up"), F.explode(column_references(F.col("source_sql"))).alias("source_column"))
-    named = named.withColumn("column", F.substring_index("source_column", ".", -1))
-    over = F.col("_up").rlike(r"\bOVER\s*\(")  # without it, the pattern of windows would try a long text from each place
-    tag = lambda name, p: F.when((over if "OVER" in p else F.lit(True)) & F.regexp_like("_up", F.regexp_replace(F.lit(p), F.lit(r"\{c\}"), F.col("column"))), F.lit(name))
-    return named.select(*carried, "name", "source_column", "column", F.array_compact(F.array(*(tag(*t) for t in TRANSFORMS))).alias("transforms"))
+    return column_bits(objects, *carried).select(*carried, "name", "source_column", "column", transform_names(F.col("bits")).alias("transforms"))
+
+
+def _transforms(bits: Column) -> Column:
+    return F.array_join(F.array_sort(transform_names(bits)), ",").alias("transforms")
 
 
 def column_usage(objects: DataFrame) -> DataFrame:
     """source_column, n_objects, transforms: column_lineage merged by column over all objects."""
-    rows = column_lineage(objects).select("name", "source_column", F.explode_outer("transforms").alias("_transform"))
-    return rows.groupBy("source_column").agg(F.countDistinct("name").alias("n_objects"), F.array_join(F.sort_array(F.collect_set("_transform")), ",").alias("transforms"))
+    once = column_bits(objects).groupBy("source_column", "name").agg(F.bit_or("bits").alias("bits"))
+    return once.groupBy("source_column").agg(F.count("name").alias("n_objects"), F.bit_or("bits").alias("_bits")).select("source_column", "n_objects", _transforms(F.col("_bits")))
 
 
 def table_columns(objects: DataFrame, table: str | None = None) -> DataFrame:
     """table, source_column, n_objects, transforms: the columns named by all objects that read or write a table.
 
-    table: only this one, in any case of letters; by default every table that any object touches.
+    table: only this one, in any case of letters; by default every table that any object touches. An object of many
+    tables and columns gives all pairs of both; they are counted where they are made, unless other objects have its name.
     """
     sql = F.col("source_sql")
     touched = objects.select("path", "source_sql", F.array_union(read_tables(sql), write_targets(sql)).alias("_tables"))
     if table is not None:
         touched = touched.where(F.array_contains("_tables", table.upper())).withColumn("_tables", F.array(F.lit(table.upper())))
-    rows = column_lineage(touched, "_tables").withColumn("table", F.explode("_tables"))  # patterns are tried once an object
-    rows = rows.select("table", "source_column", "name", F.explode_outer("transforms").alias("_transform"))
-    return rows.groupBy("table", "source_column").agg(F.countDistinct("name").alias("n_objects"), F.array_join(F.sort_array(F.collect_set("_transform")), ",").alias("transforms"))
+    names = objects.select(object_name(F.col("path"), sql).alias("name"))
+    shared = cut(names.groupBy("name").agg(F.count("*").alias("_n")).where("_n > 1").select("name", F.lit(True).alias("_shared")))
+    rows = column_bits(touched, "_tables").join(shared, "name", "left")
+    rows = rows.select(F.explode("_tables").alias("table"), "source_column", F.when(F.col("_shared"), F.col("name")).alias("_name"), F.col("name").isNotNull().alias("_named"), "bits")
+    once = rows.groupBy("table", "source_column", "_name").agg(F.count_if("_named").alias("_n"), F.bit_or("bits").alias("bits"))
+    n = F.sum(F.when(F.col("_name").isNull(), F.col("_n")).otherwise(1))
+    return once.groupBy("table", "source_column").agg(n.alias("n_objects"), F.bit_or("bits").alias("_bits")).select("table", "source_column", "n_objects", _transforms(F.col("_bits")))
 
 
 def scope_reduction(assessed: DataFrame) -> DataFrame:
@@ -306,9 +363,9 @@ def lineage_edges(objects: DataFrame) -> DataFrame:
 
 
 def column_transforms(sql: Column, column: str) -> Column:
-    """array of what a text does to a column."""
-    up = F.upper(sql)
-    return F.array_compact(F.array(*(F.when(up.rlike(p.replace("{c}", column.upper())), F.lit(name)) for name, p in TRANSFORMS)))
+    """array of what a text does to a column, a name of letters, digits and underscores."""
+    held = transformed(transform_parts(F.upper(sql)), F.lit(column.upper()))
+    return F.array_compact(F.array(*(F.when(holds, F.lit(name)) for name, holds in held.items())))
 
 
 def ddl_columns(objects: DataFrame) -> DataFrame:

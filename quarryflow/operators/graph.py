@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryflow.sources.scratch import shared_folder
+from quarryflow.sources.scratch import fresh_folder
 
 
 def out_degree(edges: DataFrame) -> DataFrame:
@@ -31,11 +31,13 @@ def neighbour_rows(edges: DataFrame) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df from a checkpoint in the shared folder of spark.checkpoint.dir, so later steps don't repeat it."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    """df from files in the shared folder of spark.checkpoint.dir, so later steps don't repeat it.
+
+    A checkpoint would compute df twice, once to count it and once to write it, and read back whole rows of Java objects.
+    """
+    folder = fresh_folder(df.sparkSession, "cut")
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def directed(edges: DataFrame, direction: str) -> DataFrame:

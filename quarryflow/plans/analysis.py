@@ -26,8 +26,11 @@ _DUCK_OBJECTS = "objects AS (" + plain_sql(OBJECTS).replace("AS STRING", "AS VAR
 
 
 def objects(spark: SparkSession, folder: str) -> DataFrame:
-    """The texts are made once and dealt to all tasks; otherwise each use of a text would make it anew, in one task a file."""
-    return run_sql(spark, folder, OBJECTS).repartition("id")
+    """The texts are made once and dealt to all tasks; otherwise each use of a text would make it anew, in one task a file.
+
+    The number of tasks is given, since Spark would join parts that are small, and texts of one shape are small as shuffled.
+    """
+    return run_sql(spark, folder, OBJECTS).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
 
 
 def changed_orders(spark: SparkSession, folder: str) -> DataFrame:

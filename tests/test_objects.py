@@ -1,5 +1,9 @@
 """Assessment of SQL objects against rows written by hand."""
 
+import random
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,3 +127,33 @@ def test_every_shape_is_made_as_written(spark, folder):
             want = want.replace(f"<{place}>", str(value))
         assert r["source_sql"] == want
     assert len({r["p_partkey"] % len(estate.SHAPES) for r in rows}) == len(estate.SHAPES) == 40
+
+
+def test_transforms_equal_their_patterns(spark):
+    """The parts found once a text hold what the patterns find, tried for each column by itself."""
+    draw = random.Random(5)
+    bits = ["SUM(", "sum (", "CASE", " CASE WHEN ", "CAST(", "CAST( CAST (", "NVL(", "TRUNC(", "DATE_TRUNC(", " OVER (", " OVER(", "OVER(", ")", ")", " ", ", ", "A", " a ", "AB", "b", "\n", "CASEA", "x.a"]
+    texts = ["".join(draw.choice(bits) for _ in range(draw.randint(0, 25))) for _ in range(400)]
+    table = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for column in ("a", "AB", "x"):
+        got = {r["i"]: r["f"] for r in table.select("i", assess.column_transforms(F.col("t"), column).alias("f")).collect()}
+        want = {i: [n for n, p in assess.TRANSFORMS if re.search(p.replace("{c}", column.upper()), t.upper(), re.ASCII)] for i, t in enumerate(texts)}
+        assert got == want
+    assert {n for found in want.values() for n in found} == {n for n, _ in assess.TRANSFORMS} == set(assess.PARTS)
+
+
+def test_transforms_of_a_long_text(spark):
+    """A text of 20,000 lines without a bracket is gone through once; from every place to its end took minutes."""
+    text = "SELECT v.v OVER\n" + "v := v + 1;\n" * 40_000
+    table = spark.createDataFrame([("repo/long.sql", text)], "path string, source_sql string")
+    began = time.monotonic()
+    assert table.select(assess.column_transforms(F.col("source_sql"), "v").alias("t")).head()["t"] == []
+    assert [r["transforms"] for r in assess.column_lineage(table).collect()] == [[]]
+    assert time.monotonic() - began < 30
+
+
+def test_objects_of_one_name_count_once(texts):
+    again = texts.sparkSession.createDataFrame([("a/same.sql", "SELECT s.k FROM m.one s"), ("b/same.sql", "SELECT s.k, s.v, CAST(s.k AS INT) FROM m.one s JOIN m.two t"), ("c/other.sql", "SELECT s.k FROM m.one s")], texts.schema)
+    got = {(r["table"], r["source_column"]): (r["n_objects"], r["transforms"]) for r in assess.table_columns(again).collect()}
+    assert got == {("M.ONE", "S.K"): (2, ""), ("M.ONE", "S.V"): (1, ""), ("M.TWO", "S.K"): (1, ""), ("M.TWO", "S.V"): (1, "")}
+    assert {(r["source_column"], r["n_objects"]) for r in assess.column_usage(again).collect()} == {("S.K", 2), ("S.V", 1)}
