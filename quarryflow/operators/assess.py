@@ -268,11 +268,12 @@ def transform_names(bits: Column) -> Column:
 def column_bits(objects: DataFrame, *carried: str) -> DataFrame:
     """carried, name, source_column, column, bits: one row for each column that an object names.
 
-    What an object's text must be searched for is found before there are rows of columns.
+    What an object's text must be searched for is found before there are rows of columns. Of explode Spark would infer
+    that the array isn't empty, and search the texts for that before they are dealt to all tasks; not of explode_outer.
     """
     sql = F.col("source_sql")
     found = objects.select(*carried, object_name(F.col("path"), sql).alias("name"), column_references(sql).alias("_columns"), F.struct(*(c.alias(k) for k, c in transform_parts(F.upper(sql)).items())).alias("_parts"))
-    rows = found.select(*carried, "name", "_parts", F.explode("_columns").alias("source_column"))
+    rows = found.select(*carried, "name", "_parts", F.explode_outer("_columns").alias("source_column")).where("source_column IS NOT NULL")
     rows = rows.withColumn("column", F.substring_index("source_column", ".", -1))
     return rows.select(*carried, "name", "source_column", "column", transform_bits({k: F.col(f"_parts.{k}") for k in PARTS}, F.col("column")).alias("bits"))
 
@@ -308,8 +309,8 @@ def table_columns(objects: DataFrame, table: str | None = None) -> DataFrame:
     names = objects.select(object_name(F.col("path"), sql).alias("name"))
     shared = cut(names.groupBy("name").agg(F.count("*").alias("_n")).where("_n > 1").select("name", F.lit(True).alias("_shared")))
     rows = column_bits(touched, "_tables").join(shared, "name", "left")
-    rows = rows.select(F.explode("_tables").alias("table"), "source_column", F.when(F.col("_shared"), F.col("name")).alias("_name"), F.col("name").isNotNull().alias("_named"), "bits")
-    once = rows.groupBy("table", "source_column", "_name").agg(F.count_if("_named").alias("_n"), F.bit_or("bits").alias("bits"))
+    rows = rows.select(F.explode_outer("_tables").alias("table"), "source_column", F.when(F.col("_shared"), F.col("name")).alias("_name"), F.col("name").isNotNull().alias("_named"), "bits")
+    once = rows.where("table IS NOT NULL").groupBy("table", "source_column", "_name").agg(F.count_if("_named").alias("_n"), F.bit_or("bits").alias("bits"))
     n = F.sum(F.when(F.col("_name").isNull(), F.col("_n")).otherwise(1))
     return once.groupBy("table", "source_column").agg(n.alias("n_objects"), F.bit_or("bits").alias("_bits")).select("table", "source_column", "n_objects", _transforms(F.col("_bits")))
 
@@ -357,8 +358,8 @@ def read_tables(sql: Column) -> Column:
 def lineage_edges(objects: DataFrame) -> DataFrame:
     """src, dst, relation: table to object for reads, object to table for writes, never a loop."""
     named = objects.select(object_name(F.col("path"), F.col("source_sql")).alias("name"), "source_sql")
-    reads = named.select(F.explode(read_tables(F.col("source_sql"))).alias("src"), F.col("name").alias("dst"), F.lit("reads").alias("relation"))
-    writes = named.select(F.col("name").alias("src"), F.explode(write_targets(F.col("source_sql"))).alias("dst"), F.lit("writes").alias("relation"))
+    reads = named.select(F.explode_outer(read_tables(F.col("source_sql"))).alias("src"), F.col("name").alias("dst"), F.lit("reads").alias("relation"))
+    writes = named.select(F.col("name").alias("src"), F.explode_outer(write_targets(F.col("source_sql"))).alias("dst"), F.lit("writes").alias("relation"))
     return reads.union(writes).where("src <> dst").distinct()
 
 
