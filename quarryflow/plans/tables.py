@@ -64,12 +64,9 @@ def interval_join(spark: SparkSession, folder: str) -> DataFrame:
     """For each purchase the errors at most six hours before or after it, of anyone: how many, and how near."""
     events = table(spark, folder, "events")
     us, reach = patterns.micros(events, "ts"), 6 * 3_600_000_000
-    points = events.select("event_id", "event_type", us.alias("us"))
-    purchases = points.where("event_type = 'purchase'").select("event_id", "us", (F.col("us") - reach).alias("a"), (F.col("us") + reach).alias("b"))
-    errors = points.where("event_type = 'error'").select("event_id", "us")
-    near = intervals.interval_join(purchases, errors, ("a", "b"), ("us", "us"), reach)
-    gap = F.abs(F.col("l.us") - F.col("r.us"))
-    return near.groupBy(F.col("l.event_id").alias("event_id")).agg(F.count("*").alias("errors"), F.min(gap).alias("nearest_us"), F.min(F.col("r.event_id")).alias("first_error"))
+    of = lambda kind: events.where(F.col("event_type") == kind).select(F.col("event_id").alias("id"), us.alias("at"))
+    near = intervals.points_within(of("purchase"), of("error"), reach, reach, parts=8)
+    return near.select(F.col("id").alias("event_id"), F.col("n").alias("errors"), F.col("nearest").alias("nearest_us"), F.col("first").alias("first_error"))
 
 
 def sketch_rollup(spark: SparkSession, folder: str) -> DataFrame:

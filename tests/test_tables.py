@@ -3,6 +3,7 @@
 import json
 import os
 import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -153,3 +154,28 @@ def test_sketches_merge(spark):
         assert abs(got[k]["distinct"] - exact[k]) <= 0.05 * exact[k] and abs(got[k]["q50"] - 25_000) < 1000 and abs(got[k]["q90"] - 45_000) < 1000
     assert got[9]["distinct"] == 0 and got[9]["rows"] == 1 and got[9]["q50"] is None
     assert sketches.estimates(sketches.roll_up(fine.limit(0), ["kind"]), ["kind"]).count() == 0
+
+
+@pytest.mark.parametrize("width,parts", [(1, 1), (7, 3), (1000, 2)])
+def test_points_within_equal_all_pairs(spark, width, parts):
+    draw = random.Random(3)
+    rows = lambda n: [(draw.choice([None, *range(n)]), draw.choice([None, *range(-40, 40)])) for _ in range(n)]
+    left, right = rows(80), rows(60)
+    one, two = (spark.createDataFrame(r, "id long, at long") for r in (left, right))
+    want = {}
+    for i, x in left:
+        for j, y in right:
+            if x is not None and y is not None and abs(x - y) <= 5:
+                want.setdefault(i, []).append((abs(x - y), j))
+    want = {i: (len(v), min(d for d, _ in v), min((j for _, j in v if j is not None), default=None)) for i, v in want.items()}
+    got = intervals.points_within(one, two, 5, width, parts).collect()
+    assert {r["id"]: (r["n"], r["nearest"], r["first"]) for r in got} == want and len(got) == len(want)
+    assert intervals.points_within(one, two.limit(0), 5, width).count() == 0
+
+
+def test_points_within_never_make_pairs(spark):
+    """20,000 points each within reach of all others: 400 million pairs."""
+    many = spark.range(20_000).select("id", (F.col("id") % 1000).alias("at"))
+    began = time.monotonic()
+    assert intervals.points_within(many, many, 1000, 1000).agg(F.sum("n"), F.max("nearest"), F.max("first")).head() == (400_000_000, 0, 0)
+    assert time.monotonic() - began < 30
