@@ -26,11 +26,13 @@ _DUCK_OBJECTS = "objects AS (" + plain_sql(OBJECTS).replace("AS STRING", "AS VAR
 
 
 def objects(spark: SparkSession, folder: str) -> DataFrame:
-    """The texts are made once and dealt to all tasks; otherwise each use of a text would make it anew, in one task a file.
+    """The texts are made once, dealt to all tasks and written to files.
 
-    The number of tasks is given, since Spark would join parts that are small, and texts of one shape are small as shuffled.
+    Otherwise each use would make them anew, and Spark would move conditions on what is found in a text to before the
+    texts are dealt, into one task a file of the table. The number of tasks is given, since Spark would join parts that
+    are small, and texts of few shapes are small as shuffled.
     """
-    return run_sql(spark, folder, OBJECTS).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
+    return graph.cut(run_sql(spark, folder, OBJECTS).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id"))
 
 
 def changed_orders(spark: SparkSession, folder: str) -> DataFrame:
@@ -194,7 +196,7 @@ def staged_daily(spark: SparkSession, folder: str) -> DataFrame:
 
 def risk_ml(spark: SparkSession, folder: str) -> DataFrame:
     """Trained on the assessed levels of the objects and applied to all of them."""
-    assessed = _assessed(spark, folder).select("id", "source_sql", "level")
+    assessed = graph.cut(_assessed(spark, folder).select("id", "source_sql", "level"))
     return risk_model.predict(risk_model.fit(assessed), assessed).select("id", "level", "predicted", "hard")
 
 

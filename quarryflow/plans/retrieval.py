@@ -42,7 +42,7 @@ def sentence_lengths(spark: SparkSession, folder: str) -> DataFrame:
 
 def risk_ml_held_out(spark: SparkSession, folder: str) -> DataFrame:
     """A model from two thirds of the objects, judged on the others: by level and prediction, rows and the mean probability."""
-    assessed = analysis._assessed(spark, folder).select("id", "source_sql", "level")
+    assessed = graph.cut(analysis._assessed(spark, folder).select("id", "source_sql", "level"))
     part = F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(3)) == 1
     found = risk_model.predict(risk_model.fit(assessed.where(~part)), assessed.where(part))
     chance = F.element_at("probabilities", F.col("predicted"))

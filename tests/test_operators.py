@@ -146,3 +146,15 @@ def test_update_and_formats(spark):
     assert spark.range(1).select(dialect.to_char_format(moment, "DD-MON-YYYY HH24:MI:SS").alias("t")).head()["t"] == "05-Mar-2024 14:07:09"
     diff = lambda unit, a, b: spark.range(1).select(dialect.date_diff(unit, F.lit(a).cast("timestamp"), F.lit(b).cast("timestamp")).alias("n")).head()["n"]
     assert [diff(u, "2023-12-31 23:59:59", "2024-01-01 00:00:00") for u in ("year", "quarter", "month", "week", "day", "hour", "minute", "second")] == [1] * 8
+
+
+def test_risk_vocabulary(spark):
+    """Occurrences decide which n-grams are known, then their letters; the number of texts goes with each."""
+    texts = ["abcabcabc", "abcé😀é", "ab", "", "xé😀é", "xyzxyz"]
+    got = risk_model.vocabulary(spark.createDataFrame([(t,) for t in texts], "plain string").repartition(2))
+    for n in risk_model.LENGTHS:
+        found = [{t[i : i + n] for i in range(len(t) - n + 1)} for t in texts]
+        times = lambda g: sum(t[i : i + n] == g for t in texts for i in range(len(t) - n + 1))  # noqa: B023, E731
+        held = {g: sum(g in f for f in found) for f in found for g in f}
+        assert got[n] == [(g, held[g]) for g in sorted(held, key=lambda g: (-times(g), g)) if held[g] >= 2]
+    assert got[3] == [("abc", 2), ("é😀é", 2)]
