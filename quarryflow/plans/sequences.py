@@ -59,10 +59,7 @@ FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey GROUP BY ALL"""
 def flatten_orders(spark: SparkSession, folder: str) -> DataFrame:
     """Members of every order's JSON by path (any index) and kind, with what their texts hold."""
     docs = run_sql(spark, folder, ORDER_JSON.replace("GROUP BY ALL", "GROUP BY o_orderkey, o_orderstatus, o_orderpriority, o_custkey"))
-    found = semistructured.flatten(docs, "doc", ["o_orderkey"])
-    shape = F.regexp_replace("path", r"\[\d+\]", "[*]")
-    grouped = found.groupBy(shape.alias("shape"), "kind").agg(F.count("*").alias("n"), F.countDistinct("o_orderkey").alias("orders"), F.countDistinct("text").alias("texts"), F.max("index").cast("long").alias("last_index"), F.min("text").alias("least"), F.sum(F.length("text")).alias("letters"))
-    return grouped
+    return semistructured.member_shapes(docs, "doc", "o_orderkey").withColumnRenamed("owners", "orders")
 
 
 def flatten_props(spark: SparkSession, folder: str) -> DataFrame:

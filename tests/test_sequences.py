@@ -137,6 +137,18 @@ def test_flatten(spark):
     assert semistructured.flatten(table.limit(0), "doc", ["id"]).count() == 0
 
 
+def test_member_shapes_equal_flattened(spark):
+    """Counted as they are read or as variants, the members are those that flatten() gives."""
+    docs = ['{"a": {"b": [1, 22, "x", null, true, [[]], {}], "c d": "q"}, "e": -7}', '{"a": {"b": [1, "x"]}}', '[1, [2, [3, {"k\\"q": "deep"}]]]', "[1.50, 1e3, 12345678901234567890, -0]"]
+    docs += ['{"a": 1} rest', '{"a": 1, "a": 2}', '{"n[3]": [5], "ü": "ß"}', "{'a': 1}", "[NaN]", "3", "null", "", None, "{}", "[01]", '{"a":\n1}', '{"": {"_x1": [false, [9]]}}', "[" * 12 + "1" + "]" * 12]
+    table = spark.createDataFrame([(i % 11, d) for i, d in enumerate(docs * 2)] + [(None, None), (5, docs[0])], "id long, doc string")
+    got = semistructured.member_shapes(table, "doc", "id").collect()
+    found = semistructured.flatten(table, "doc", ["id"]).withColumn("shape", F.regexp_replace("path", r"\[\d+\]", "[*]"))
+    want = found.groupBy("shape", "kind").agg(F.count("*"), F.countDistinct("id"), F.countDistinct("text"), F.max("index").cast("long"), F.min("text"), F.sum(F.length("text"))).collect()
+    assert len(got) > 20 and sorted(map(repr, map(tuple, got))) == sorted(map(repr, map(tuple, want)))
+    assert semistructured.member_shapes(table.limit(0), "doc", "id").count() == 0
+
+
 def test_map_members(spark):
     table = spark.createDataFrame([(1, '{"a": 1, "b": "x"}'), (2, None), (3, "[]"), (4, "{}")], "id long, props string")
     got = semistructured.map_members(table, "props", ["id"], "bigint").collect()
