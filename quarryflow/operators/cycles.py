@@ -9,6 +9,8 @@ from quarryflow.operators.graph import cut, directed
 
 #: Rounds that take off nodes without a way in or out before parts are looked for; the walks take care of the rest.
 TRIMS = 3
+#: Walks from one node up to which parts aren't looked for: following all walks then costs less than the rounds of that.
+WALKS = 64
 
 
 def _trimmed(steps: DataFrame) -> DataFrame:
@@ -68,20 +70,32 @@ def elementary_cycles(edges: DataFrame, longest: int) -> DataFrame:
 
     edges: (src, dst); repeated edges count once, an edge from a node to itself is a cycle of one, edges with a null end
     are none. A graph can have exponentially many cycles, so longest is the caller's limit. Walks begin at their least
-    node and stay within its strongly connected part.
+    node. Where the out-degrees allow more than WALKS walks from a node, they stay within its strongly connected part.
     """
-    edges = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct()
-    parts = strong_parts(edges)
-    of = lambda c: parts.select(F.col("node").alias(c), F.col("part").alias(f"_{c}"))
-    steps = cut(edges.where("src <> dst").join(of("src"), "src").join(of("dst"), "dst").where("_src = _dst").select(F.col("src").alias("_at"), F.col("dst").alias("_to")))
+    edges = cut(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
+    several = edges.where("src <> dst")
+    most = several.groupBy("src").count().agg(F.max("count")).first()[0] or 0
+    if few_walks(most, longest):
+        steps = _trimmed(several.toDF("_src", "_dst")).toDF("_at", "_to")
+    else:
+        parts = strong_parts(edges)
+        of = lambda c: parts.select(F.col("node").alias(c), F.col("part").alias(f"_{c}"))
+        steps = several.join(of("src"), "src").join(of("dst"), "dst").where("_src = _dst").select(F.col("src").alias("_at"), F.col("dst").alias("_to"))
+    steps = cut(steps)
     found = edges.where("src = dst").select(F.array("src").alias("cycle"))
     walk = steps.where("_to > _at").select(F.array("_at", "_to").alias("cycle"))
+    first, at = F.col("cycle")[0], F.element_at("cycle", -1) == F.col("_at")
     for length in range(2, longest + 1):
-        on = walk.join(steps, F.element_at("cycle", -1) == F.col("_at")).drop("_at")
-        found = found.union(on.where(F.col("_to") == F.col("cycle")[0]).select("cycle"))
-        if length == longest:
-            break
-        walk = cut(on.where((F.col("_to") > F.col("cycle")[0]) & ~F.array_contains("cycle", F.col("_to"))).select(F.concat("cycle", F.array("_to")).alias("cycle")))
-        if walk.isEmpty():
+        if length == longest or walk.isEmpty():
+            found = found.union(walk.join(steps, at & (first == F.col("_to"))).select("cycle"))
             break
+        on = walk.join(steps, at).where((F.col("_to") == first) | ((F.col("_to") > first) & ~F.array_contains("cycle", F.col("_to"))))
+        on = cut(on.select((F.col("_to") == first).alias("closed"), F.when(F.col("_to") == first, F.col("cycle")).otherwise(F.concat("cycle", F.array("_to"))).alias("cycle")))
+        found = found.union(on.where("closed").select("cycle"))
+        walk = on.where("NOT closed").select("cycle")
     return found.select("cycle", F.size("cycle").cast("long").alias("length"))
+
+
+def few_walks(degree: int, longest: int) -> bool:
+    """Whether out-degrees of at most so many allow at most WALKS walks of longest - 1 steps from a node."""
+    return degree <= 1 or longest <= 2 or (degree <= WALKS and degree ** min(longest - 1, 64) <= WALKS)

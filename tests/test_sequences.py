@@ -99,6 +99,15 @@ def test_cycles_equal_plain_search(spark, seed):
     assert {100, 101, 102} in parts.values() and {103, 104} in parts.values() and all(p in nodes for p, nodes in parts.items())
 
 
+def test_cycles_of_few_walks_need_no_parts(spark, monkeypatch):
+    """With two ways out of each node, as graph_elementary_cycles has them, walks are followed without looking for parts."""
+    monkeypatch.setattr(cycles, "strong_parts", lambda edges: pytest.fail("parts were looked for"))
+    draw = random.Random(4)
+    edges = {(a, b) for a in range(40) for b in draw.sample(range(40), 2)} | {(50, 51), (51, 50), (60, 60), (61, 60)}
+    got = [(tuple(r["cycle"]), r["length"]) for r in cycles.elementary_cycles(spark.createDataFrame(sorted(edges), "src long, dst long"), 6).collect()]
+    assert len(got) == len(set(got)) and {c for c, _ in got} == plain_cycles(edges, 6) and all(len(c) == n for c, n in got)
+
+
 def test_no_cycles(spark):
     table = spark.createDataFrame([(i, i + 1) for i in range(12)], "src long, dst long")
     assert cycles.elementary_cycles(table, 20).count() == 0
