@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryflow.llm.common import keep, tidy
@@ -71,9 +71,12 @@ def with_contents(pairs: DataFrame, content: DataFrame, fan: int = 64) -> DataFr
 
 
 def crowds(members: DataFrame) -> DataFrame:
-    """The members (bucket, node, size) of buckets with several nodes, with the bucket's count n; kept."""
-    counts = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    return keep(members.join(counts, "bucket").select("bucket", "node", "size", "n"), "crowds")
+    """The members (bucket, node, size) of buckets with several nodes, with the bucket's count n; kept.
+
+    The members, most of which are alone, are dealt once; a window that is larger than Spark's buffer goes to disk.
+    """
+    n = F.count("*").over(Window.partitionBy("bucket"))
+    return keep(members.select("bucket", "node", "size").withColumn("n", n).where("n > 1"), "crowds")
 
 
 @tidy
@@ -112,6 +115,7 @@ def linked_within_buckets(shared: DataFrame, verify: Callable[[DataFrame], DataF
         open_ones = keep(named.join(mixed, "bucket"), "open")
         if open_ones.isEmpty():
             break
+        shared = open_ones.select("bucket", "node", "size", "n")  # a bucket of one root stays so
         if full:
             large = None
             if dense is not None:

@@ -133,6 +133,19 @@ def draws(hashes: np.ndarray, light: np.ndarray | None, starts: np.ndarray, seed
     return (total >> np.uint64(64 - BLOCK_BITS)).astype(np.int64)
 
 
+def ayes(ballots: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """(sets, 64): how many of the 64-bit ballots of each set have each bit, in the order of np.unpackbits of their bytes.
+
+    Eight counters of a byte lie in one long, so at most 255 ballots are added up at once.
+    """
+    parts = -(-np.diff(np.append(starts, len(ballots))) // 255)
+    first = np.cumsum(parts) - parts
+    cuts = np.repeat(starts - 255 * first, parts) + 255 * np.arange(parts.sum())
+    ones = np.uint64(0x0101010101010101)
+    counts = [np.add.reduceat(ballots >> np.uint64(7 - k) & ones, cuts).view(np.uint8).reshape(-1, 8) for k in range(8)]
+    return np.add.reduceat(np.stack(counts, axis=2).reshape(-1, 64), first, axis=0, dtype=np.int32)
+
+
 def simhashes(plain: list[str]) -> tuple[np.ndarray, list[int | None]]:
     """(lines, BLOCKS) blocks and the SimHash of each normalised line, null with few voters.
 
@@ -142,7 +155,7 @@ def simhashes(plain: list[str]) -> tuple[np.ndarray, list[int | None]]:
     pairs = mixed(hashes[:-1] * np.uint64(3) + hashes[1:])
     within = of[1:] == of[:-1]
     pairs, pairs_of = pairs[within], of[1:][within]
-    order = np.lexsort((hashes, of))
+    order = np.argsort(of.astype(np.uint64) << np.uint64(43) | hashes >> np.uint64(21)) if len(plain) < 1 << 21 else np.lexsort((hashes, of))
     hashes, sizes, of = hashes[order], sizes[order], of[order]
     once = np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (of[1:] != of[:-1])))  # each distinct word counts once
     hashes, sizes, of = hashes[once], sizes[once], of[once]
@@ -154,10 +167,8 @@ def simhashes(plain: list[str]) -> tuple[np.ndarray, list[int | None]]:
     votes: list[int | None] = [None] * len(plain)
     many = voters >= VOTERS
     if many.any():
-        ballots = np.unpackbits(pairs[many[pairs_of]].view(np.uint8).reshape(-1, 8), axis=1)
         own = np.concatenate(([0], np.cumsum(voters[many])[:-1]))
-        ayes = np.add.reduceat(ballots, own, axis=0, dtype=np.int32)
-        bits = np.packbits(2 * ayes > voters[many][:, None], axis=1).view(np.int64).ravel()
+        bits = np.packbits(2 * ayes(pairs[many[pairs_of]], own) > voters[many][:, None], axis=1).view(np.int64).ravel()
         for i, b in zip(np.flatnonzero(many).tolist(), bits.tolist(), strict=True):
             votes[i] = b
     few = np.flatnonzero(np.diff(np.append(starts, len(of))) <= FEW)
@@ -206,26 +217,30 @@ def read_lines(rows: DataFrame) -> DataFrame:
 
 
 def line_texts(rows: DataFrame, places: DataFrame) -> DataFrame:
-    """(node, content): the normalised texts of chosen lines. places: (node, row, line)."""
-    wanted = places.groupBy("row").agg(F.collect_list(F.struct("line", "node")).alias("wanted"))
+    """(node, content, votes): the normalised texts of chosen lines. places: (node, row, line, votes).
+
+    Whole texts are dealt by row; what is wanted of them is small and hashed, so that texts need no sorting.
+    """
+    wanted = places.groupBy("row").agg(F.collect_list(F.struct("line", "node", "votes")).alias("wanted"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                node, plain = [], []
+                node, plain, votes = [], [], []
                 for text, asked in zip(part.column("text").to_pylist(), part.column("wanted").to_pylist(), strict=True):
                     found = plain_lines(text)
                     node += [x["node"] for x in asked]
                     plain += [found[x["line"]] for x in asked]
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(plain, pa.string())], names=["node", "content"])
+                    votes += [x["votes"] for x in asked]
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(plain, pa.string()), pa.array(votes, pa.int64())], names=["node", "content", "votes"])
 
-    return rows.join(wanted, "row").select("text", "wanted").mapInArrow(read, "node long, content string")
+    return rows.join(wanted.hint("shuffle_hash"), "row").select("text", "wanted").mapInArrow(read, "node long, content string, votes long")
 
 
-def similar_pairs(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def similar_pairs(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of lines with edit similarity of at least percent. The SimHashes are compared first."""
-    of = lambda c: classes.select(F.col("node").alias(c), F.col("votes").alias(f"votes_{c}"))
+    of = lambda c: texts.select(F.col("node").alias(c), F.col("votes").alias(f"votes_{c}"))
     near = F.coalesce(F.bit_count(F.col("votes_a").bitwiseXOR(F.col("votes_b"))) <= FAR, F.lit(True))
     near = keep(pairs.join(of("a"), "a").join(of("b"), "b").where(near).select("a", "b"), "near")
 
@@ -234,7 +249,7 @@ def similar_pairs(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percen
             one, two = (batch.column(c).to_pylist() for c in ("content_a", "content_b"))
             yield batch.select(["a", "b"]).filter(pa.array([similar(x, y, percent) for x, y in zip(one, two, strict=True)], pa.bool_()))
 
-    return with_contents(near, texts).mapInArrow(confirm, "a long, b long")
+    return with_contents(near, texts.select("node", "content")).mapInArrow(confirm, "a long, b long")
 
 
 def similar(one: str, two: str, percent: int) -> bool:
@@ -291,7 +306,8 @@ def edit_distance_within(one: str, two: str, most: int) -> bool:
 def edit_distance(one: str, two: str, most: int | None = None) -> int:
     """Levenshtein's distance by columns of bits (Myers 1999), one whole column a step in a long integer.
 
-    With most, any larger number may stand for a distance beyond it.
+    With most, any larger number may stand for a distance beyond it. On the diagonal that ends in the last cell the
+    numbers never fall, so unlike lines are left where it passes most.
     """
     places: dict[str, int] = {}
     for i, c in enumerate(one):
@@ -307,6 +323,10 @@ def edit_distance(one: str, two: str, most: int | None = None) -> int:
             return most + 1
         rise = rise << 1 | 1
         up, down = (fall << 1 | (full & ~(diagonal | rise))) & full, rise & diagonal & full
+        if most is not None and at % 8 == 7 and (row := len(one) - len(two) + at + 1) > 0:
+            above = (1 << row) - 1
+            if at + 1 + (up & above).bit_count() - (down & above).bit_count() > most:
+                return most + 1
     return score
 
 
@@ -327,11 +347,10 @@ def repeated_lines(rows: DataFrame, percent: int) -> DataFrame:
     classes = keep(blocked.drop("blocks"), "classes")
     discard(blocked)
 
-    wanted = classes.select("node", "place.row", "place.line").join(shared.select("node").distinct(), "node", "left_semi")
+    wanted = classes.select("node", "place.row", "place.line", "votes").join(shared.select("node").distinct(), "node", "left_semi")
     texts = keep(line_texts(rows.select("row", "text"), wanted), "texts")
 
-    votes = classes.select("node", F.col("votes").cast("string").alias("votes"))
-    content = texts.join(votes, "node").select("node", F.struct(F.col("content").alias("plain"), "votes").alias("content"))
+    content = texts.select("node", F.struct(F.col("content").alias("plain"), F.col("votes").cast("string").alias("votes")).alias("content"))
 
     fits = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
     def sieve(some: list[tuple], others: list[tuple]) -> np.ndarray:
@@ -341,7 +360,7 @@ def repeated_lines(rows: DataFrame, percent: int) -> DataFrame:
         return (near | ~h[:, None] | ~g[None, :]) & (100 * np.minimum(x[:, None], y[None, :]) >= percent * np.maximum(x[:, None], y[None, :]))
 
     dense = Dense(content, prepared, lambda a, b: similar(a[0], b[0], percent), LARGE, 256, 1024, merge=False, sieve=sieve)
-    roots = linked_within_buckets(shared, lambda pairs: similar_pairs(pairs, classes, texts, percent), fits, dense)
+    roots = linked_within_buckets(shared, lambda pairs: similar_pairs(pairs, texts, percent), fits, dense)
 
     groups = classes.select("key", "node", "n").join(roots, "node", "left").where("root IS NOT NULL OR n > 1")
     groups = keep(groups.select("key", F.coalesce("root", "node").alias("root")), "groups")
@@ -368,7 +387,7 @@ def dedup_lines(docs: DataFrame, percent: int = 80, stored: bool = False) -> Dat
             out.append(None if text is None else "\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop))
         return pd.Series(out, dtype=object)
 
-    df = rows.join(gone, "row", "left").withColumn("_n", F.coalesce(F.size("gone"), F.lit(0)))
+    df = rows.join(gone.hint("shuffle_hash"), "row", "left").withColumn("_n", F.coalesce(F.size("gone"), F.lit(0)))
     text = F.col("doc.text")
     kept = F.coalesce(without(F.when(F.col("_n") > 0, text), F.col("gone")), text)
     n_lines = F.when(F.coalesce(text, F.lit("")) == "", 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from oracle import same
-from quarryflow.llm import fingerprints, licenses, lines, minhash, mixing, packing, quality, queries, secrets, substrings
+from quarryflow.llm import components, fingerprints, licenses, lines, minhash, mixing, packing, quality, queries, secrets, substrings
 from quarryflow.llm.common import keep, numbered, tidy
 from quarryflow.llm.queries import word_bpe_path
 
@@ -785,3 +785,43 @@ def test_long_lines_are_aligned():
         two = [w if rng.random() < 0.7 else word() for w in one]
         far = levenshtein(" ".join(one), " ".join(two))
         assert far <= lines.aligned_cost(one, two, True) <= lines.aligned_cost(one, two)
+
+
+def test_votes_are_counted_as_single_bits():
+    """Counters of a byte: sets of more than 255 ballots are added up in parts."""
+    rng = np.random.default_rng(12)
+    sizes = [1, 8, 254, 255, 256, 700, 3]
+    ballots = rng.integers(0, 2**64, sum(sizes), dtype=np.uint64)
+    ballots[9:] |= np.uint64(1 << 63 | 1)
+    starts = np.cumsum([0, *sizes[:-1]])
+    expected = [np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0).tolist() for x in np.split(ballots, starts[1:])]
+    assert lines.ayes(ballots, starts).tolist() == expected
+
+
+def test_unlike_lines_are_left_early():
+    """The distance of unlike lines is given up where the last diagonal passes the bound, with the same answer."""
+    rng = np.random.default_rng(13)
+    seen = 0
+
+    class Counted(str):
+        def __iter__(self):
+            nonlocal seen
+            for c in str.__iter__(self):
+                seen += 1
+                yield c
+
+    one, two = ("".join(rng.choice(list("abcdefghijklmnop "), 2000)) for _ in range(2))
+    assert not lines.edit_distance_within(one, Counted(two), 400) and seen < 1200
+    for _ in range(200):
+        a = "".join(rng.choice(list("abc"), int(rng.integers(1, 60))))
+        b = "".join(c for c in a if rng.random() > 0.2) + "".join(rng.choice(list("abc"), int(rng.integers(0, 8))))
+        assert all(lines.edit_distance_within(a, b, most) == (levenshtein(a, b) <= most) for most in range(0, 20, 3))
+
+
+def test_bucket_members_are_dealt_once(spark, monkeypatch):
+    """Which members share a bucket is found without a join of all members with the buckets' counts."""
+    members = spark.createDataFrame([(b, n, n) for b, held in enumerate([[1], [2, 3], [], [4], [1, 2, 4]]) for n in held], "bucket long, node long, size long")
+    monkeypatch.setattr(components, "keep", lambda df, name: df)
+    found = components.crowds(members)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [(1, 2, 2, 2), (1, 3, 3, 2), (4, 1, 1, 3), (4, 2, 2, 3), (4, 4, 4, 3)]
