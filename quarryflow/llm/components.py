@@ -65,8 +65,9 @@ def with_contents(pairs: DataFrame, content: DataFrame, fan: int = 64) -> DataFr
     """
     parts = keep(pairs.groupBy("a").agg(F.ceil(F.count("*") / fan).cast("int").alias("_parts")), "parts")
     dealt = pairs.join(parts, "a").withColumn("_part", F.pmod(F.xxhash64("b"), "_parts").cast("int")).drop("_parts")
-    one = content.join(parts, F.col("node") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), F.col("content").alias("content_a"))
-    two = content.select(F.col("node").alias("b"), F.col("content").alias("content_b"))
+    of = lambda c: content.select(F.col("node").alias(c), F.col("content").alias(f"content_{c}"))  # noqa: E731 - alike, so contents are dealt once
+    one = of("a").join(parts, "a").select("a", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), "content_a")
+    two = of("b")
     return dealt.join(two, "b").join(one, ["a", "_part"]).select("a", "b", "content_a", "content_b")
 
 
@@ -89,7 +90,8 @@ def linked_within_buckets(shared: DataFrame, verify: Callable[[DataFrame], DataF
     First each member of a bucket is compared with the smallest one, then with one chosen by hash; most groups are
     whole by then. At last, in buckets that still hold several components, the members outside the bucket's most
     frequent component are compared with all members of other components. So every pair that shares a bucket is
-    either compared or already connected. With dense, large buckets of that kind are compared by blocks.
+    either compared or already connected. With dense, large buckets of that kind are compared by blocks. Buckets of two
+    have been compared in whole by the first step.
     """
     fits = fits or (lambda a, b: F.lit(True))
     tested = []
@@ -106,6 +108,7 @@ def linked_within_buckets(shared: DataFrame, verify: Callable[[DataFrame], DataF
     pivots = shared.groupBy("bucket").agg(F.min("node").alias("pivot"), F.min_by("size", "node").alias("pivot_size"))
     first = shared.join(pivots, "bucket").where("node <> pivot").where(fits("size", "pivot_size"))
     roots = grown(None, first.select(F.col("node").alias("a"), F.col("pivot").alias("b")))
+    shared = shared.where("n > 2")
 
     for full in (False, True):
         named = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -156,13 +159,15 @@ def linked_in_blocks(members: DataFrame, dense: Dense) -> DataFrame:
 
     _pivot is one member of the bucket. Buckets that share members form a cluster. Its members lie in blocks; those outside its most frequent root are
     sent to every block, in parts, and compared there with all members of other roots. A task holds one block and one
-    part, whatever the cluster's size, and no row is made for a pair that isn't a link.
+    part, whatever the cluster's size, and no row is made for a pair that isn't a link. A pair of members that share
+    several buckets is compared in the first of them only.
     """
     if dense.merge:
         clusters = components(members.select(F.col("node").alias("a"), F.col("_pivot").alias("b")))
-        nodes = members.select("node", "root").distinct().join(clusters.withColumnRenamed("root", "cluster"), "node")
+        nodes = members.select("node", "root").distinct().join(clusters.withColumnRenamed("root", "cluster"), "node").withColumn("before", F.array().cast("array<long>"))
     else:
-        nodes = members.select("node", "root", F.col("bucket").alias("cluster"))
+        of = members.groupBy("node").agg(F.collect_list("bucket").alias("_all"))
+        nodes = members.join(of, "node").select("node", "root", F.col("bucket").alias("cluster"), F.filter("_all", lambda b: b < F.col("bucket")).alias("before"))
     nodes = keep(nodes.join(dense.content, "node"), "dense")
     by_root = nodes.groupBy("cluster", "root").agg(F.count("*").alias("n"))
     totals = by_root.groupBy("cluster").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most"))
@@ -175,7 +180,7 @@ def linked_in_blocks(members: DataFrame, dense: Dense) -> DataFrame:
     nodes = nodes.join(shape, "cluster").withColumn("rest", F.col("root") != F.col("main"))
     deal = lambda k: F.pmod(F.xxhash64("node"), F.col(k)).cast("int")
     each = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
-    columns = ["cluster", "block", "part", "node", "root", "rest", "content"]
+    columns = ["cluster", "block", "part", "node", "root", "rest", "before", "content"]
     held = nodes.withColumn("block", deal("blocks")).withColumn("part", each("parts")).select(*columns)
     asks = nodes.where("rest").withColumn("part", deal("parts")).withColumn("block", each("blocks")).select(*columns).toDF(*columns)  # columns of its own
     prepare, linked, sieve = dense.prepare, dense.linked, dense.sieve
@@ -187,6 +192,13 @@ def linked_in_blocks(members: DataFrame, dense: Dense) -> DataFrame:
             a, b = one["node"].to_numpy(), two["node"].to_numpy()
             roots, rest = two["root"].to_numpy(), two["rest"].to_numpy(bool)
             may = (one["root"].to_numpy()[:, None] != roots[None, :]) & ~(rest[None, :] & (b[None, :] < a[:, None]))
+            met: dict[int, tuple[list, list]] = {}
+            for side, frame in enumerate((one, two)):
+                for i, buckets in enumerate(frame["before"]):
+                    for bucket in buckets:
+                        met.setdefault(bucket, ([], []))[side].append(i)
+            for some, others in met.values():
+                may[np.ix_(some, others)] = False
             if sieve is not None:
                 may &= sieve(asked, theirs)
             for i in np.flatnonzero(may.any(axis=1)).tolist():

@@ -22,6 +22,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -54,11 +55,16 @@ _BASE = 0x9E3779B97F4A7C15
 _POWERS, _INVERSE = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(SLICE, x, np.uint64))), dtype=np.uint64) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
 #: Which of the first 65,536 characters belong to words.
 _IN_WORDS = np.array([c.isalnum() or c == "_" for c in map(chr, range(1 << 16))])
+#: The lower-case letters of the first 256 characters, blanks for those outside words; each stays one of the 256.
+_PLAIN = "".join(c.lower() if _IN_WORDS[ord(c.lower())] or c == "\n" else " " for c in map(chr, range(256))).encode("latin-1")
 
 
 def plain_lines(text: str) -> list[str]:
     """The normalised lines of a text: lower-case words joined by one space; empty where a line has none."""
-    codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), "<u4").copy()
+    try:  # most texts have no other characters
+        return [" ".join(line.split()) for line in text.encode("latin-1").translate(_PLAIN).decode("latin-1").split("\n")]
+    except UnicodeEncodeError:
+        codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), "<u4").copy()
     wide = codes >= 1 << 16
     held = _IN_WORDS[np.where(wide, 0, codes)]
     if wide.any():
@@ -79,7 +85,11 @@ def word_hashes(plain: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     The polynomial of a word's characters is the difference of two running sums over all characters. So many characters
     are read at a time, cut between words; a longer word is hashed by itself.
     """
-    codes = np.frombuffer("\n".join(plain).encode("utf-32-le", "replace"), "<u4")
+    whole = "\n".join(plain)
+    try:
+        codes = np.frombuffer(whole.encode("latin-1"), np.uint8)
+    except UnicodeEncodeError:
+        codes = np.frombuffer(whole.encode("utf-32-le", "replace"), "<u4")
     hashes, sizes, lines, at, line = [], [], [], 0, 0
     while at < len(codes):
         part = codes[at : at + SLICE]
@@ -89,7 +99,7 @@ def word_hashes(plain: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 whole = codes[at:]
                 later = np.flatnonzero((whole == 32) | (whole == 10))
                 size = int(later[0]) if len(later) else len(whole)
-                hashes.append(np.array([xxh3_64_intdigest(whole[:size].tobytes())], np.uint64))
+                hashes.append(np.array([xxh3_64_intdigest(whole[:size].astype("<u4").tobytes())], np.uint64))
                 sizes.append(np.array([size]))
                 lines.append(np.array([line]))
                 if size < len(whole):
@@ -117,16 +127,21 @@ def draws(hashes: np.ndarray, light: np.ndarray | None, starts: np.ndarray, seed
     different numbers never agree.
     """
     keys, bounds = len(seeds) // rows, np.append(starts, len(hashes))
-    least, at = np.zeros((len(starts), len(seeds)), np.uint32), 0
+    least, at = np.zeros((len(starts), len(seeds)), np.uint64), 0
+    if light is not None:  # there are few short words, so each is drawn once
+        kinds, kind = np.unique(hashes[light], return_inverse=True)
+        rare, place = np.zeros((len(kinds), len(seeds)), np.uint64), np.cumsum(light) - 1
+        for more in (1, 3, 5, 7):  # the largest of four hashes is a quarter as often the least
+            np.maximum(rare, kinds[:, None] * (seeds * np.uint64(more))[None, :], out=rare)
     while at < len(starts):  # so many elements at once
-        stop = max(at + 1, int(np.searchsorted(bounds, bounds[at] + 4096, side="right")) - 1)
-        part = hashes[bounds[at] : bounds[stop], None]
-        values = (part * seeds[None, :] >> np.uint64(32)).astype(np.uint32)
-        if light is not None and len(rare := np.flatnonzero(light[bounds[at] : bounds[stop]])):
-            for more in (3, 5, 7):  # the largest of four hashes is a quarter as often the least
-                values[rare] = np.maximum(values[rare], (part[rare] * (seeds * np.uint64(more))[None, :] >> np.uint64(32)).astype(np.uint32))
-        least[at:stop] = np.minimum.reduceat(values, bounds[at:stop] - bounds[at], axis=0)
+        stop = max(at + 1, int(np.searchsorted(bounds, bounds[at] + 1024, side="right")) - 1)
+        low, high = bounds[at], bounds[stop]
+        values = hashes[low:high, None] * seeds[None, :]
+        if light is not None and len(some := np.flatnonzero(light[low:high])):
+            values[some] = rare[kind[place[low + some]]]
+        np.minimum.reduceat(values, bounds[at:stop] - low, axis=0, out=least[at:stop])
         at = stop
+    least >>= np.uint64(32)
     total = np.arange(first + 1, first + keys + 1, dtype=np.uint64)[None, :]
     for row in range(rows):
         total = mixed(total * np.uint64(_BASE) + least[:, row::rows])
@@ -208,7 +223,7 @@ def read_lines(rows: DataFrame) -> DataFrame:
                 row.append(r)
                 texts.append(text.as_py())
                 held += len(texts[-1] or "")
-                if held > 1_000_000:
+                if held > 250_000:
                     yield lines_of(row, texts)
                     row, texts, held = [], [], 0
             yield lines_of(row, texts)
@@ -219,7 +234,8 @@ def read_lines(rows: DataFrame) -> DataFrame:
 def line_texts(rows: DataFrame, places: DataFrame) -> DataFrame:
     """(node, content, votes): the normalised texts of chosen lines. places: (node, row, line, votes).
 
-    Whole texts are dealt by row; what is wanted of them is small and hashed, so that texts need no sorting.
+    Whole texts are dealt by row; what is wanted of them is small and hashed, so that texts need no sorting. Only the
+    chosen lines are normalised, those of several texts at once.
     """
     wanted = places.groupBy("row").agg(F.collect_list(F.struct("line", "node", "votes")).alias("wanted"))
 
@@ -227,12 +243,13 @@ def line_texts(rows: DataFrame, places: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                node, plain, votes = [], [], []
+                node, found, votes = [], [], []
                 for text, asked in zip(part.column("text").to_pylist(), part.column("wanted").to_pylist(), strict=True):
-                    found = plain_lines(text)
+                    held = text.split("\n")
                     node += [x["node"] for x in asked]
-                    plain += [found[x["line"]] for x in asked]
+                    found += [held[x["line"]] for x in asked]
                     votes += [x["votes"] for x in asked]
+                plain = plain_lines("\n".join(found))
                 yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(plain, pa.string()), pa.array(votes, pa.int64())], names=["node", "content", "votes"])
 
     return rows.join(wanted.hint("shuffle_hash"), "row").select("text", "wanted").mapInArrow(read, "node long, content string, votes long")
@@ -255,9 +272,32 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame
 def similar(one: str, two: str, percent: int) -> bool:
     """Whether the edit similarity is at least percent; bounds of the distance that are cheap decide first."""
     most = max(len(one), len(two)) * (100 - percent) // 100
-    if abs(len(one) - len(two)) > most or letters_apart(one, two) > most:
+    if abs(len(one) - len(two)) > most:
         return False
-    return aligned_cost(one.split(" "), two.split(" ")) <= most or edit_distance_within(one, two, most)
+    start = common_start(one, two)
+    one, two = one[start:], two[start:]
+    if end := common_start(one[::-1], two[::-1]):  # what lies between is as far apart as the whole
+        one, two = one[:-end], two[:-end]
+    if max(len(one), len(two)) <= most:
+        return True
+    some, others = one.split(" "), two.split(" ")
+    if aligned_cost(some, others) <= most:
+        return True
+    if letters_apart(one, two) > most:
+        return False
+    return min(len(one), len(two)) > LONG and aligned_cost(some, others, True) <= most or edit_distance_within(one, two, most)
+
+
+def common_start(one: str, two: str) -> int:
+    """How many characters two texts have in common from the start, by halving."""
+    low, high = 0, min(len(one), len(two))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if one[low:middle] == two[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
 
 
 def letters_apart(one: str, two: str) -> int:
@@ -276,25 +316,28 @@ def aligned_cost(one: list[str], two: list[str], exact: bool = False) -> int:
     once, again = Counter(one), Counter(two)
     at = {w: j for j, w in enumerate(two) if again[w] == 1}
     pairs = [(i, at[w]) for i, w in enumerate(one) if once[w] == 1 and w in at]
-    tails, ends, before = [], [], []  # longest rising run
-    for k, (_, j) in enumerate(pairs):
-        slot = bisect_left(tails, j)
-        tails[slot:slot + 1], ends[slot:slot + 1] = [j], [k]
-        before.append(ends[slot - 1] if slot else -1)
-    k, chain = ends[-1] if ends else -1, []
-    while k >= 0:
-        chain.append(pairs[k])
-        k = before[k]
+    if any(y < x for (_, x), (_, y) in pairwise(pairs)):
+        tails, ends, before = [], [], []  # longest rising run
+        for k, (_, j) in enumerate(pairs):
+            slot = bisect_left(tails, j)
+            tails[slot:slot + 1], ends[slot:slot + 1] = [j], [k]
+            before.append(ends[slot - 1] if slot else -1)
+        k, chain = ends[-1], []
+        while k >= 0:
+            chain.append(pairs[k])
+            k = before[k]
+        pairs = chain[::-1]
     cost, i, j = 0, 0, 0
-    for x, y in [*reversed(chain), (len(one), len(two))]:
-        a, b = x, y
-        while i < a and j < b and one[i] == two[j]:
-            i, j = i + 1, j + 1
-        while i < a and j < b and one[a - 1] == two[b - 1]:
-            a, b = a - 1, b - 1
-        if i < a or j < b:
-            x_size, y_size = sum(map(len, one[i:a])) + a - i, sum(map(len, two[j:b])) + b - j
-            cost += edit_distance(" ".join(one[i:a]) + " ", " ".join(two[j:b]) + " ") if exact and i < a and j < b and max(x_size, y_size) <= LONG else max(x_size, y_size)
+    for x, y in [*pairs, (len(one), len(two))]:
+        if x > i or y > j:
+            a, b = x, y
+            while i < a and j < b and one[i] == two[j]:
+                i, j = i + 1, j + 1
+            while i < a and j < b and one[a - 1] == two[b - 1]:
+                a, b = a - 1, b - 1
+            if i < a or j < b:
+                x_size, y_size = sum(map(len, one[i:a])) + a - i, sum(map(len, two[j:b])) + b - j
+                cost += edit_distance(" ".join(one[i:a]) + " ", " ".join(two[j:b]) + " ") if exact and i < a and j < b and max(x_size, y_size) <= LONG else max(x_size, y_size)
         i, j = x + 1, y + 1
     return cost
 
@@ -307,27 +350,29 @@ def edit_distance(one: str, two: str, most: int | None = None) -> int:
     """Levenshtein's distance by columns of bits (Myers 1999), one whole column a step in a long integer.
 
     With most, any larger number may stand for a distance beyond it. On the diagonal that ends in the last cell the
-    numbers never fall, so unlike lines are left where it passes most.
+    numbers never fall, and the last row falls by one a column at most, so unlike lines are left where either shows it;
+    both are looked at every few columns.
     """
     places: dict[str, int] = {}
     for i, c in enumerate(one):
         places[c] = places.get(c, 0) | 1 << i
-    full, top, score = (1 << len(one)) - 1, 1 << max(0, len(one) - 1), len(one)
-    up, down = full, 0
-    for at, c in enumerate(two):
-        equal = places.get(c, 0)
-        diagonal = ((((equal & up) + up) ^ up) | equal | down) & full
-        rise, fall = down | (full & ~(diagonal | up)), up & diagonal
-        score += bool(rise & top) - bool(fall & top)
-        if most is not None and score - (len(two) - at - 1) > most:
-            return most + 1
-        rise = rise << 1 | 1
-        up, down = (fall << 1 | (full & ~(diagonal | rise))) & full, rise & diagonal & full
-        if most is not None and at % 8 == 7 and (row := len(one) - len(two) + at + 1) > 0:
-            above = (1 << row) - 1
-            if at + 1 + (up & above).bit_count() - (down & above).bit_count() > most:
+    full, up, down = (1 << len(one)) - 1, (1 << len(one)) - 1, 0
+    step = len(two) if most is None else 16
+    for start in range(0, len(two), step or 1):
+        for c in two[start : start + step]:
+            equal = places.get(c, 0)
+            diagonal = (((equal & up) + up ^ up) | equal | down) & full
+            rise = (down | full ^ (diagonal | up)) << 1 | 1
+            up, down = ((up & diagonal) << 1 | full ^ (diagonal | rise & full)) & full, rise & diagonal
+        if most is not None:
+            at = min(start + step, len(two))
+            if at + up.bit_count() - down.bit_count() - (len(two) - at) > most:
                 return most + 1
-    return score
+            if (row := len(one) - len(two) + at) > 0:
+                above = (1 << row) - 1
+                if at + (up & above).bit_count() - (down & above).bit_count() > most:
+                    return most + 1
+    return len(two) + up.bit_count() - down.bit_count()
 
 
 def prepared(content: dict) -> tuple[str, int | None]:

@@ -825,3 +825,69 @@ def test_bucket_members_are_dealt_once(spark, monkeypatch):
     found = components.crowds(members)
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, found.collect())) == [(1, 2, 2, 2), (1, 3, 3, 2), (4, 1, 1, 3), (4, 2, 2, 3), (4, 4, 4, 3)]
+
+
+def test_buckets_of_two_are_read_once(spark):
+    """The first step compares the pair of a bucket of two, so the later steps deal larger buckets only."""
+    shared = spark.createDataFrame([(b, n, 1, len(held)) for b, held in enumerate([[1, 2], [3, 4], [5, 6, 7], [5, 6, 7]]) for n in held], "bucket long, node long, size int, n long")
+    asked, opened = [], []
+
+    def verify(pairs):
+        asked.append(sorted(map(tuple, pairs.select("a", "b").collect())))
+        return pairs.where("a = 1 OR a = 6")
+
+    keep = components.keep
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(components, "keep", lambda df, name: opened.append(df.count()) or keep(df, name) if name == "open" else keep(df, name))
+        found = {r["node"]: r["root"] for r in components.linked_within_buckets(shared, verify).collect()}
+    assert asked[0] == [(1, 2), (3, 4), (5, 6), (5, 7)] and (6, 7) in sum(asked[1:], []) and len(sum(asked, [])) == 5
+    assert found == {1: 1, 2: 1, 6: 6, 7: 6} and max(opened) == 6
+
+
+def test_pairs_of_several_large_buckets_are_compared_once(spark, tmp_path):
+    """Members that share three large buckets, and pairs that share one of them only."""
+    buckets = {1: [1, 2, 3, 4], 2: [1, 2, 3, 4], 3: [2, 3, 4, 5]}
+    members = spark.createDataFrame([(b, n, n, held[0]) for b, held in buckets.items() for n in held], "bucket long, node long, root long, _pivot long")
+    content = spark.createDataFrame([(n, str(n)) for n in range(1, 6)], "node long, content string")
+    where = str(tmp_path / "seen")
+
+    def linked(one, two):
+        with open(where, "a") as f:
+            f.write(f"{min(one, two)}{max(one, two)}\n")
+        return one == "5" or two == "5"
+
+    dense = components.Dense(content, str, linked, 1, 2, 2, merge=False)
+    found = {tuple(sorted(r)) for r in components.linked_in_blocks(members, dense).collect()}
+    assert found == {(2, 5), (3, 5), (4, 5)}
+    with open(where) as f:
+        assert sorted(f.read().split()) == ["12", "13", "14", "23", "24", "25", "34", "35", "45"]
+
+
+def test_contents_are_dealt_once(spark, tmp_path):
+    spark.range(400).selectExpr("id AS node", "repeat(id, 50) AS content").write.parquet(str(tmp_path / "content"))
+    spark.range(399).selectExpr("id AS a", "id + 1 AS b").write.parquet(str(tmp_path / "pairs"))
+    with_all = components.with_contents(spark.read.parquet(str(tmp_path / "pairs")), spark.read.parquet(str(tmp_path / "content")).hint("merge"))
+    rows = with_all.collect()
+    assert len(rows) == 399 and all(r["content_a"] == str(r["a"]) * 50 and r["content_b"] == str(r["b"]) * 50 for r in rows)
+    assert "ReusedExchange" in with_all._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_of_few_and_of_many_characters_are_read_alike(spark):
+    """Texts of the first 256 characters are read by a shorter way, with the same lines and words."""
+    text = "".join(map(chr, range(256))) + "  \x1cÀ_b\tC²\r\n\n \x85x\xa0µ\n"
+    assert [*lines.plain_lines(text), "日"] == lines.plain_lines(text + "\n日") and lines.plain_lines("") == [""] and lines.plain_lines("\n") == ["", ""]
+    plain = [p for p in lines.plain_lines(text) if p] + ["a" * 9]
+    few, many = lines.word_hashes(plain), lines.word_hashes([*plain, "日"])
+    assert all(x.tolist() == y[:-1].tolist() for x, y in zip(few, many))
+    docs = spark.createDataFrame([(0, "x\nÀ b\r\n\nonly"), (1, "à B!\n日 one\n日 one")], "row long, text string")
+    places = spark.createDataFrame([(7, 0, 1, 5), (8, 1, 2, None), (9, 1, 0, 6)], "node long, row long, line int, votes long")
+    assert sorted(map(tuple, lines.line_texts(docs, places).collect())) == [(7, "à b", 5), (8, "日 one", None), (9, "à b", 6)]
+
+
+def test_common_ends_leave_the_edit_similarity():
+    rng = np.random.default_rng(14)
+    for _ in range(300):
+        end = ["".join(rng.choice(list("ab "), int(rng.integers(0, 30)))) for _ in range(2)]
+        a, b = (end[0] + "".join(rng.choice(list("ab "), int(rng.integers(0, 25)))) + end[1] for _ in range(2))
+        assert lines.common_start(a, b) == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        assert lines.similar(a, b, 80) == (levenshtein(a, b) <= max(len(a), len(b)) * 20 // 100)
