@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from quarryflow.llm.common import keep, tidy
 
+#: Pairs that are tested at once within two blocks.
+PAIRS = 1 << 15
+
 
 @tidy
 def components(edges: DataFrame) -> DataFrame:
@@ -57,18 +60,26 @@ def extended(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     return keep(old.select("node", F.coalesce("_next", "root").alias("root")).union(new.select("node", "root")), "roots")
 
 
-def with_contents(pairs: DataFrame, content: DataFrame, fan: int = 64) -> DataFrame:
+def tasks(df: DataFrame) -> int:
+    """How many tasks costly rows are dealt to. Spark would join parts by their bytes, however long their rows take."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def with_contents(pairs: DataFrame, content: DataFrame, fan: int = 64, spread: bool = False) -> DataFrame:
     """pairs (a, b) with content_a and content_b, from content (node, content).
 
     One node can be in very many pairs. Its pairs are dealt to one part for each fan of them, and its content is
-    repeated for each part, so no task gets all pairs of a node.
+    repeated for each part, so no task gets all pairs of a node. spread: the pairs are dealt to all tasks, since what
+    is done with each takes long.
     """
     parts = keep(pairs.groupBy("a").agg(F.ceil(F.count("*") / fan).cast("int").alias("_parts")), "parts")
     dealt = pairs.join(parts, "a").withColumn("_part", F.pmod(F.xxhash64("b"), "_parts").cast("int")).drop("_parts")
     of = lambda c: content.select(F.col("node").alias(c), F.col("content").alias(f"content_{c}"))  # noqa: E731 - alike, so contents are dealt once
     one = of("a").join(parts, "a").select("a", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), "content_a")
     two = of("b")
-    return dealt.join(two, "b").join(one, ["a", "_part"]).select("a", "b", "content_a", "content_b")
+    held = dealt.join(two, "b")
+    held = held.repartition(tasks(pairs), "a", "_part") if spread else held
+    return held.join(one, ["a", "_part"]).select("a", "b", "content_a", "content_b")
 
 
 def crowds(members: DataFrame) -> DataFrame:
@@ -152,6 +163,8 @@ class Dense:
     merge: bool = True
     #: Takes two lists of prepared contents and returns which pairs may be linked, as one matrix of booleans.
     sieve: Callable | None = None
+    #: Takes these lists and the places of pairs in the one and the other, and tests all the pairs at once.
+    linked_many: Callable | None = None
 
 
 def linked_in_blocks(members: DataFrame, dense: Dense) -> DataFrame:
@@ -183,7 +196,7 @@ def linked_in_blocks(members: DataFrame, dense: Dense) -> DataFrame:
     columns = ["cluster", "block", "part", "node", "root", "rest", "before", "content"]
     held = nodes.withColumn("block", deal("blocks")).withColumn("part", each("parts")).select(*columns)
     asks = nodes.where("rest").withColumn("part", deal("parts")).withColumn("block", each("blocks")).select(*columns).toDF(*columns)  # columns of its own
-    prepare, linked, sieve = dense.prepare, dense.linked, dense.sieve
+    prepare, linked, sieve, linked_many = dense.prepare, dense.linked, dense.sieve, dense.linked_many
 
     def compare(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
         rows = []
@@ -201,6 +214,18 @@ def linked_in_blocks(members: DataFrame, dense: Dense) -> DataFrame:
                 may[np.ix_(some, others)] = False
             if sieve is not None:
                 may &= sieve(asked, theirs)
+            if linked_many is not None:
+                i, j = np.nonzero(may)
+                for at in range(0, len(i), PAIRS):
+                    some, others = i[at : at + PAIRS], j[at : at + PAIRS]
+                    new = may[some, others]  # not those whose link to a root has been found
+                    some, others = some[new], others[new]
+                    found = linked_many(asked, theirs, some, others)
+                    for x, y in zip(some[found].tolist(), others[found].tolist(), strict=True):
+                        if may[x, y]:  # one link to a root is enough
+                            may[x, roots == roots[y]] = False
+                            rows.append((a[x], b[y]))
+                return pd.DataFrame(rows, columns=["a", "b"], dtype="int64")
             for i in np.flatnonzero(may.any(axis=1)).tolist():
                 near = set()  # one link to a root is enough
                 for j in np.flatnonzero(may[i]).tolist():
@@ -210,4 +235,6 @@ def linked_in_blocks(members: DataFrame, dense: Dense) -> DataFrame:
         return pd.DataFrame(rows, columns=["a", "b"], dtype="int64")
 
     key = ["cluster", "block", "part"]
+    if linked_many is not None:
+        asks, held = asks.repartition(tasks(members), *key), held.repartition(tasks(members), *key)
     return asks.groupBy(*key).cogroup(held.groupBy(*key)).applyInPandas(compare, "a long, b long")

@@ -44,6 +44,10 @@ LETTERS, VOTERS = 4, 8
 FEW = 5
 #: Gaps between common words of more characters are taken as replaced in an upper bound.
 LONG = 512
+#: Pairs are compared at once in classes of so many words of 64 letters; pairs, and cells of the table of letters, at once.
+WORDS, AT_ONCE, CELLS = np.array([1, 2, 3, 4, 5, 6, 8, 10, 12, 16, 24, 32]), 4096, 1 << 22
+#: Fewer pairs than so many a word are compared one by one.
+FEW_PAIRS = 20
 #: Buckets of more lines that stay apart are compared by blocks.
 LARGE = 64
 #: Bits of 64 in which two SimHashes may differ: of lines with one word in five replaced, 18 on average.
@@ -266,7 +270,7 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame
             one, two = (batch.column(c).to_pylist() for c in ("content_a", "content_b"))
             yield batch.select(["a", "b"]).filter(pa.array([similar(x, y, percent) for x, y in zip(one, two, strict=True)], pa.bool_()))
 
-    return with_contents(near, texts.select("node", "content")).mapInArrow(confirm, "a long, b long")
+    return with_contents(near, texts.select("node", "content"), spread=True).mapInArrow(confirm, "a long, b long")
 
 
 def similar(one: str, two: str, percent: int) -> bool:
@@ -281,11 +285,13 @@ def similar(one: str, two: str, percent: int) -> bool:
     if max(len(one), len(two)) <= most:
         return True
     some, others = one.split(" "), two.split(" ")
-    if aligned_cost(some, others) <= most:
+    cost = aligned_cost(some, others)
+    if cost <= most:
         return True
     if letters_apart(one, two) > most:
         return False
-    return min(len(one), len(two)) > LONG and aligned_cost(some, others, True) <= most or edit_distance_within(one, two, most)
+    tried = min(len(one), len(two)) > LONG and cost <= 2 * most  # else edits between common words seldom are few enough
+    return tried and aligned_cost(some, others, True, most) <= most or edit_distance_within(one, two, most)
 
 
 def common_start(one: str, two: str) -> int:
@@ -307,11 +313,12 @@ def letters_apart(one: str, two: str) -> int:
     return max(sum(x for x in more if x > 0), -sum(x for x in more if x < 0))
 
 
-def aligned_cost(one: list[str], two: list[str], exact: bool = False) -> int:
+def aligned_cost(one: list[str], two: list[str], exact: bool = False, most: int | None = None) -> int:
     """An upper bound of the edit distance of two lines of words: the cost of changing what lies between common words.
 
     Words that either line has once are matched, as many as keep their order; between them, and at both ends, equal
-    words are matched from either side, and the rest is replaced, or, with exact, edited where it is short.
+    words are matched from either side, and the rest is replaced, or, with exact, edited where it is short. With most,
+    any larger number may stand for a cost beyond it.
     """
     once, again = Counter(one), Counter(two)
     at = {w: j for j, w in enumerate(two) if again[w] == 1}
@@ -338,6 +345,8 @@ def aligned_cost(one: list[str], two: list[str], exact: bool = False) -> int:
             if i < a or j < b:
                 x_size, y_size = sum(map(len, one[i:a])) + a - i, sum(map(len, two[j:b])) + b - j
                 cost += edit_distance(" ".join(one[i:a]) + " ", " ".join(two[j:b]) + " ") if exact and i < a and j < b and max(x_size, y_size) <= LONG else max(x_size, y_size)
+        if most is not None and cost > most:
+            break
         i, j = x + 1, y + 1
     return cost
 
@@ -375,6 +384,119 @@ def edit_distance(one: str, two: str, most: int | None = None) -> int:
     return len(two) + up.bit_count() - down.bit_count()
 
 
+def similar_many(texts: list[str], a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """similar() of the pairs (texts[a[k]], texts[b[k]]): pairs of like length are worked on at once, few by themselves.
+
+    For pairs most of which are unlike; of others the cheap bounds of similar() decide sooner.
+    """
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    a, b = np.where(sizes[a] < sizes[b], b, a), np.where(sizes[a] < sizes[b], a, b)  # the longer one first
+    most = sizes[a] * (100 - percent) // 100
+    out = most >= sizes[a]
+    open_ones = np.flatnonzero(~out & (sizes[a] - sizes[b] <= most))
+    if not len(open_ones):
+        return out
+    whole = "".join(texts)
+    try:
+        codes = np.frombuffer(whole.encode("latin-1"), np.uint8)
+    except UnicodeEncodeError:
+        codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4")
+    letters = np.zeros(int(codes.max(initial=0)) + 1, np.int32)
+    letters[codes] = 1
+    kinds = int(letters.sum()) + 1  # 0: no letter
+    codes, starts = np.cumsum(letters, dtype=np.int32)[codes], np.cumsum(sizes) - sizes
+    bags = np.bincount(np.repeat(np.arange(len(texts)) * 64, sizes) + codes % 64, minlength=64 * len(texts)).astype(np.int32).reshape(-1, 64)
+    near = []
+    for at in range(0, len(open_ones), AT_ONCE):  # letters that either line has more of
+        part = open_ones[at : at + AT_ONCE]
+        more = bags[a[part]] - bags[b[part]]
+        near.append(part[np.maximum(more, 0).sum(axis=1) <= most[part]])  # the longer one has more letters in all
+    open_ones = np.concatenate(near)
+    words = -(-sizes[a[open_ones]] // 64)
+    classes, alone = np.searchsorted(WORDS, words), []  # at WORDS or fewer; beyond, one by one
+    for k in np.unique(classes).tolist():
+        some = open_ones[classes == k]
+        if k == len(WORDS) or len(some) < FEW_PAIRS * WORDS[k]:
+            alone.append(some)
+            continue
+        some = some[np.argsort(a[some], kind="stable")]
+        step = max(FEW_PAIRS, min(AT_ONCE, CELLS // (kinds * WORDS[k])))
+        for at in range(0, len(some), step):
+            part = some[at : at + step]
+            found = _within(codes, starts, sizes, a[part], b[part], most[part], kinds, WORDS[k])
+            out[part] = found == 1
+            alone.append(part[found < 0])
+    for k in np.concatenate(alone).tolist() if alone else []:
+        out[k] = similar(texts[a[k]], texts[b[k]], percent)
+    return out
+
+
+def _within(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray, kinds: int, words: int) -> np.ndarray:
+    """1 where the edit distance of a pair (a, b) is at most most, 0 where not, -1 where too few pairs were left to go on.
+
+    a is not the shorter one, and has up to so many words of 64 letters.
+
+    The columns of bits of edit_distance() for many pairs, in words that pass their carry on (Hyyro 2003). A word is
+    begun when the first column comes near it; the cells that it had before are beyond most for certain. The pairs lie in
+    falling order of columns, so those that end are the last; pairs whose diagonal shows too much are left.
+    """
+    one = np.uint64(1)
+    held, which = np.unique(a, return_inverse=True)
+    table = np.zeros((words, len(held) * kinds), np.uint64)  # by word, text and letter: the places of the letter
+    total = sizes[held]
+    place = np.arange(total.sum()) - np.repeat(np.cumsum(total) - total, total)
+    cells = np.repeat(np.arange(len(held)) * kinds, total) + codes[np.repeat(starts[held], total) + place]
+    np.add.at(table.reshape(-1), place // 64 * table.shape[1] + cells, one << (place % 64).astype(np.uint64))
+
+    order = np.argsort(-sizes[b], kind="stable")
+    rows, columns, limit, base = sizes[a][order], sizes[b][order], most[order], which[order] * kinds
+    longest, out = int(columns[0]), np.zeros(len(a), np.int8)
+    at = np.arange(longest)[:, None]
+    letter = np.where(at < columns[None, :], codes[np.minimum(starts[b][order][None, :] + at, len(codes) - 1)], 0)
+    up, down = np.full((words, len(a)), ~np.uint64(0)), np.zeros((words, len(a)), np.uint64)
+    reach = int(limit.max())
+
+    def cell(row: np.ndarray, column: int, first: int, used: int) -> np.ndarray:
+        """The numbers in these rows of a column, of the pairs from first on."""
+        number = np.full(len(row), column)
+        for w in range(used):
+            bits = np.clip(row - 64 * w, 0, 64)
+            mask = np.where(bits == 64, ~np.uint64(0), (one << np.minimum(bits, 63).astype(np.uint64)) - one)
+            number += np.bitwise_count(up[w, first:] & mask).astype(np.int64) - np.bitwise_count(down[w, first:] & mask)
+        return number
+
+    for j in range(1, longest + 1):
+        used = min(words, (j + reach) // 64 + 1)
+        equal, plus, minus = base + letter[j - 1], one, np.uint64(0)
+        for w in range(used):
+            same, rises, falls = table[w].take(equal), up[w], down[w]
+            upright = same | falls
+            same |= minus
+            level = (((same & rises) + rises) ^ rises) | same
+            more, less = falls | ~(level | rises), rises & level
+            out_plus, out_minus = more >> np.uint64(63), less >> np.uint64(63)
+            more, less = more << one | plus, less << one | minus
+            up[w], down[w] = less | ~(upright | more), more & upright
+            plus, minus = out_plus, out_minus
+        left = int(np.searchsorted(-columns, -j))  # pairs with further columns
+        if left < len(columns):
+            out[order[left:]] = cell(rows[left:], j, left, used) <= limit[left:]
+            kept, n = slice(left), left  # no copy
+        elif j % 16 == 0:
+            kept = np.flatnonzero(cell(rows - columns + j, j, 0, used) <= limit)
+            n = len(kept)
+        else:
+            continue
+        if n < FEW_PAIRS // 2 * used and 2 * j < longest:
+            out[order[kept]] = -1
+            break
+        if not n:
+            break
+        if n < len(columns):
+            order, rows, columns, limit, base, letter, up, down = order[kept], rows[kept], columns[kept], limit[kept], base[kept], letter[:, kept], up[:, kept], down[:, kept]
+    return out
+
+
 def prepared(content: dict) -> tuple[str, int | None]:
     """Text and SimHash; the SimHash travels as text, since whole numbers beside nulls would become floats."""
     return content["plain"], None if content["votes"] is None else int(content["votes"])
@@ -404,7 +526,10 @@ def repeated_lines(rows: DataFrame, percent: int) -> DataFrame:
         near = np.bitwise_count(v[:, None] ^ w[None, :]) <= FAR
         return (near | ~h[:, None] | ~g[None, :]) & (100 * np.minimum(x[:, None], y[None, :]) >= percent * np.maximum(x[:, None], y[None, :]))
 
-    dense = Dense(content, prepared, lambda a, b: similar(a[0], b[0], percent), LARGE, 256, 1024, merge=False, sieve=sieve)
+    def linked_many(some: list[tuple], others: list[tuple], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return similar_many([c[0] for c in (*some, *others)], a, len(some) + b, percent)
+
+    dense = Dense(content, prepared, lambda a, b: similar(a[0], b[0], percent), LARGE, 256, 1024, merge=False, sieve=sieve, linked_many=linked_many)
     roots = linked_within_buckets(shared, lambda pairs: similar_pairs(pairs, texts, percent), fits, dense)
 
     groups = classes.select("key", "node", "n").join(roots, "node", "left").where("root IS NOT NULL OR n > 1")

@@ -1,6 +1,7 @@
 """Each operator against brute force, on the small tables and on odd rows."""
 
 import hashlib
+import random
 import re
 import time
 import zlib
@@ -891,3 +892,37 @@ def test_common_ends_leave_the_edit_similarity():
         a, b = (end[0] + "".join(rng.choice(list("ab "), int(rng.integers(0, 25)))) + end[1] for _ in range(2))
         assert lines.common_start(a, b) == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
         assert lines.similar(a, b, 80) == (levenshtein(a, b) <= max(len(a), len(b)) * 20 // 100)
+
+
+@pytest.mark.parametrize("percent", [80, 100, 55])
+def test_many_pairs_of_lines_as_one_by_one(percent):
+    """Pairs that are tested at once get the same answers as pairs by themselves, in every class of lengths."""
+    rng, texts = random.Random(percent), []
+    for letters, n, most in (("ab ", 900, 70), ("abcdefgh\u00e9 ", 500, 150), ("abcde\u4e00\u4e01\U0001f600 ", 300, 400), ("abcdefghijkl ", 60, 2300)):
+        for _ in range(n):
+            one = "".join(rng.choices(letters, k=rng.randint(0, most)))
+            other = list(one)
+            for _ in range(rng.randint(0, 1 + len(one) // 2)):
+                at = rng.randint(0, len(other))
+                other[at : at + rng.randint(0, 1)] = rng.choices(letters, k=rng.randint(0, 1))
+            texts += [one, "".join(other)]
+    a = np.arange(0, len(texts), 2)
+    b = np.where(np.arange(len(a)) % 3 == 0, np.roll(a, 1), a) + 1
+    got = lines.similar_many(texts, a, b, percent)
+    want = [max(len(x), len(y)) * (100 - percent) // 100 >= lines.edit_distance(x, y) for x, y in ((texts[i], texts[j]) for i, j in zip(a.tolist(), b.tolist()))]
+    assert got.tolist() == want and any(want) and not all(want)
+
+
+def test_costly_pairs_go_to_all_tasks(spark):
+    """Few bytes of text may take long to compare, so Spark doesn't join their parts."""
+    content = spark.range(40).selectExpr("id AS node", "struct(repeat('x', 9) AS plain, CAST(NULL AS string) AS votes) AS content")
+    pairs = spark.range(39).selectExpr("id AS a", "id + 1 AS b")
+    assert components.with_contents(pairs, content, spread=True).rdd.getNumPartitions() == components.tasks(pairs) == 4
+    members = spark.range(40).selectExpr("id AS node", "0L AS bucket", "id AS root", "0L AS _pivot")
+    many = lambda some, others, a, b: np.ones(len(a), bool)
+    dense = components.Dense(content, lines.prepared, lambda a, b: True, merge=False, linked_many=many)
+    links = components.linked_in_blocks(members, dense)
+    assert links.rdd.getNumPartitions() == 4
+    found = [tuple(r) for r in links.collect()]
+    roots = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(found, "a long, b long")).collect()}
+    assert set(roots.values()) == {0} and len(roots) == 40
