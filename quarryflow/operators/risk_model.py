@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quarryflow.operators.graph import cut
-from quarryflow.sources.scratch import fresh_folder
+from quarryflow.sources.scratch import fresh_folder, file_by_file
 
 #: Lengths of n-grams, least number of texts that hold one, and size of the vocabulary of each length.
 LENGTHS, LEAST_TEXTS, VOCABULARY = (3, 4, 5), 2, 4000
@@ -27,6 +27,9 @@ HARD = r"(?i)EXECUTE\s+IMMEDIATE|\bCURSOR\b|\bCONNECT\s+BY\b|EXCEPTION\s+WHEN"
 HARD_PROBABILITIES = {"low": 0.05, "medium": 0.15, "high": 0.80}
 #: Characters whose n-grams are made at once, and texts whose counts are held as a matrix at once.
 CHARACTERS, TEXTS = 1_000_000, 128
+#: Characters of texts in a part, at most and, if there are tasks without a part, at least. Vectors take some ten times as
+#: many bytes in memory, and the regression holds whole parts.
+LARGEST, LEAST = 8_000_000, 500_000
 #: An n-gram's number: its characters as digits to this base, modulo 2 ** 64.
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -106,11 +109,22 @@ def _counts(texts: list[str], numbers: list[np.ndarray]) -> Iterator[tuple[list[
             yield [at + p for p in places], matrix
 
 
+def parts(characters: int, tasks: int) -> int:
+    """How many parts texts of so many characters are dealt to. By their bytes in files, which like texts make few, a part would have any number."""
+    return max(1, -(-characters // LARGEST), min(tasks, -(-characters // LEAST)))
+
+
 def fit(labelled: DataFrame, text: str = "source_sql", label: str = "level") -> RiskModel:
     """labelled: texts with a class. Classes weigh alike, however many rows they have."""
-    rows = cut(labelled.select(F.col(label).alias("label"), plain(F.col(text)).alias("plain")))
-    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}  # one row a class
+    spark = labelled.sparkSession
+    found = labelled.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"), F.sum(F.length(text)).alias("characters")).collect()  # one row a class
+    counts = {r["label"]: r["n"] for r in found}
     total, labels = sum(counts.values()), sorted(counts)
+    n = parts(sum(r["characters"] or 0 for r in found), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    folder = fresh_folder(spark, "texts")
+    dealt = labelled.select(F.col(label).alias("label"), plain(F.col(text)).alias("plain")).repartition(n)
+    dealt.write.option("compression", "zstd").parquet(folder)
+    rows = file_by_file(spark, folder, dealt.schema, TEXTS)
     words = vocabulary(rows.select("plain"))
     # by number, since texts are looked up so
     number = lambda gram: int(_grams(np.frombuffer(gram.encode("utf-32-le"), "<u4").astype(np.uint64), np.zeros(len(gram), np.int64), len(gram))[0][0])
@@ -131,11 +145,11 @@ def fit(labelled: DataFrame, text: str = "source_sql", label: str = "level") ->
                 own = [classes[kinds[p]] for p in places]
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in own]), pa.array([w for _, w in own]), features], names=["label", "weight", "features"])
 
-    spark, folder = labelled.sparkSession, fresh_folder(labelled.sparkSession, "vectors")
+    folder = fresh_folder(spark, "vectors")
     held = rows.mapInArrow(vectors, "label double, weight double, features struct<type:tinyint,size:int,indices:array<int>,values:array<double>>")
     held.write.option("compression", "zstd").parquet(folder)
     schema = StructType([StructField("label", DoubleType()), StructField("weight", DoubleType()), StructField("features", VectorUDT())])
-    model = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", maxIter=20, regParam=0.01).fit(spark.read.schema(schema).parquet(folder))
+    model = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", maxIter=20, regParam=0.01).fit(file_by_file(spark, folder, schema, TEXTS))
     weights, intercepts = model.coefficientMatrix.toArray().T, model.interceptVector.toArray()
     if weights.shape[1] == 1:  # two classes: the second's odds
         weights, intercepts = np.hstack([0 * weights, weights]), np.array([0.0, intercepts[0]])
@@ -157,7 +171,8 @@ def predict(model: RiskModel, objects: DataFrame, text: str = "source_sql") -> D
         return texts.__class__(out, dtype=object)
 
     names = F.array(*map(F.lit, labels))
-    scored = objects.withColumn("_chances", judged(plain(F.col(text))))
+    tasks = int(objects.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    scored = objects.repartition(tasks).withColumn("_chances", judged(plain(F.col(text))))
     hard = F.col(text).rlike(HARD)
     fixed = F.create_map(*(x for c, p in HARD_PROBABILITIES.items() for x in (F.lit(c), F.lit(p))))
     likeliest = F.get(names, (F.array_position("_chances", F.array_max("_chances")) - 1).cast("int"))

@@ -158,3 +158,26 @@ def test_risk_vocabulary(spark):
         held = {g: sum(g in f for f in found) for f in found for g in f}
         assert got[n] == [(g, held[g]) for g in sorted(held, key=lambda g: (-times(g), g)) if held[g] >= 2]
     assert got[3] == [("abc", 2), ("é😀é", 2)]
+
+
+def test_parts_of_risk_texts(spark, tmp_path, monkeypatch):
+    """Texts and vectors make few bytes as files, so parts are made by characters, read as they are, and few rows at once."""
+    assert [risk_model.parts(n, 8) for n in (0, 1, 4_000_000, 80_000_001)] == [1, 1, 8, 11]
+    spark.range(90).repartition(9).write.parquet(str(tmp_path / "t"))
+    seen, read = [], risk_model.file_by_file
+
+    def watched(*args):
+        seen.append(read(*args))
+        return seen[-1]
+
+    monkeypatch.setattr(risk_model, "file_by_file", watched)
+    monkeypatch.setattr(risk_model, "LARGEST", 100)
+    whole = watched(spark, str(tmp_path / "t"), spark.range(1).schema, 16)
+    assert whole.rdd.getNumPartitions() == 9 and whole.count() == 90
+    texts = [(f"SELECT a{i} FROM t{i}", "low") for i in range(40)] + [(f"MERGE INTO m{i} USING s", "medium") for i in range(40)]
+    model = risk_model.fit(spark.createDataFrame(texts, "source_sql string, level string"))
+    assert model.labels == ["low", "medium"]
+    for df in seen[1:]:
+        assert df.rdd.getNumPartitions() == risk_model.parts(sum(len(t) for t, _ in texts), 4) > 10
+        assert int(df.sparkSession.conf.get("spark.sql.parquet.columnarReaderBatchSize")) == risk_model.TEXTS
+    assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) == 4096
